@@ -6,7 +6,7 @@ totals of earlier buckets, which come from a pre-aggregated table with one row p
 """
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -140,3 +140,26 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, quantiles: d
         *[e.alias(f"_{part}_{name}") for name, a, b, w in outputs for part, e in (("lo", a), ("hi", b), ("w", w))])
     return grouped.select(*keys, *[
         (F.col(f"_lo_{n}") + (F.col(f"_hi_{n}") - F.col(f"_lo_{n}")) * F.col(f"_w_{n}")).alias(n) for n, *_ in outputs])
+
+
+def first_after(events: DataFrame, targets: DataFrame, keys: Sequence[str], bucket: Callable[[Column], Column],
+                strict: bool) -> DataFrame:
+    """For each target (keys, value, ask) the event (keys, value, item) with the smallest value over (or at) it.
+
+    Equal values take the smallest item; targets past the last event of their group get no row. Events and targets
+    meet in buckets of the value, so no group is sorted in one task; a target past the last event of its bucket takes
+    the first event of the group's next filled bucket.
+    """
+    keys = list(keys)
+    both = events.select(*keys, "value", F.col("item"), F.lit(None).alias("ask"), F.lit(0).alias("_asks")).unionByName(
+        targets.select(*keys, "value", F.lit(None).alias("item"), F.col("ask"), F.lit(1).alias("_asks"))
+    ).withColumn("_b", bucket(F.col("value")))
+    tie = F.desc("_asks") if strict else F.col("_asks")
+    falling = Window.partitionBy(*keys, "_b").orderBy(F.desc("value"), tie, F.desc("item")).rowsBetween(Window.unboundedPreceding, 0)
+    answers = both.withColumn("_inside", F.last("item", ignorenulls=True).over(falling)).filter(F.col("_asks") == 1)
+    later = Window.partitionBy(*keys).orderBy(F.desc("_b")).rowsBetween(Window.unboundedPreceding, -1)
+    buckets = both.groupBy(*keys, "_b").agg(F.min(
+        F.when(F.col("_asks") == 0, F.struct("value", "item"))).alias("_first")).select(
+        *keys, "_b", F.last(F.col("_first.item"), ignorenulls=True).over(later).alias("_after"))
+    joined = answers.join(buckets, [*keys, "_b"]).select(*keys, "ask", F.coalesce("_inside", "_after").alias("item"))
+    return joined.filter(F.col("item").isNotNull())

@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-AREAS = ("text", "scores")
+AREAS = ("text", "scores", "planning")
 
 
 def load_all() -> None:
