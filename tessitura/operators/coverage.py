@@ -143,7 +143,7 @@ def greedy_cover(types: DataFrame, pairs: DataFrame, marks: DataFrame, objective
         total = first.agg(F.count(F.lit(1)).alias("_all"))
         added = first.groupBy("k").agg(F.count(F.lit(1)).alias("_new"), F.sum("mass").alias("_mass"))
         part = order.join(added, "k", "left").crossJoin(F.broadcast(total)).select(
-            "k", F.coalesce("_new", F.lit(0)).alias(f"new_{name}"), (F.sum(F.coalesce("_new", F.lit(0))).over(steps) / F.col("_all")).alias(f"{name}_cov"),
+            "k", F.coalesce("_new", F.lit(0)).alias(f"new_{name}"), F.try_divide(F.sum(F.coalesce("_new", F.lit(0))).over(steps), F.col("_all")).alias(f"{name}_cov"),
             F.sum(F.coalesce("_mass", F.lit(0.0))).over(steps).alias(f"{name}_mass_cov"))
         out = out.join(part, "k")
     return out

@@ -266,12 +266,13 @@ def reference_words(keys: Column, table: TokenTable) -> Column:
     """Struct (words, malformed): words of units (base, sorted marks) from one utterance's table keys.
 
     Stress, ties, tones and older symbols do not count; blanks and punctuation end a word; a mark without a phone
-    before it makes the string malformed.
+    before it, or a special token, makes the string malformed.
     """
     phone, mark, edge = (_class(c) for c in (table.phones, table.marks, table.boundaries))
     heard = F.array_join(F.filter(keys, lambda k: k.rlike(f"^(?:{phone}|{mark}|{edge})$")), "")
     words = F.filter(F.split(heard, edge), lambda w: w != "")
-    malformed = F.exists(words, lambda w: w.rlike(f"^{mark}"))
+    special = [k for k, c in table.classes.items() if c == "special"]
+    malformed = F.exists(words, lambda w: w.rlike(f"^{mark}")) | F.exists(keys, lambda k: k.isin(*special))
     return F.struct(F.when(~malformed, F.transform(words, lambda w: _units(w, phone, mark))).alias("words"), malformed.alias("malformed"))
 
 

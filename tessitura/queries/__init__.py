@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-AREAS = ("text", "scores", "planning")
+AREAS = ("text", "scores", "planning", "symbols", "signals", "listening")
 
 
 def load_all() -> None:

@@ -12,6 +12,7 @@ from ..operators import packing as P
 from ..operators import planning as L
 from ..operators import records as V
 from ..operators import selection as S
+from ..sources.readers import fixed
 from ..sources.tables import read_table
 from . import sql as Q
 from .registry import query
@@ -189,7 +190,7 @@ def v7_unknown_pairs(spark, sf):
     return outside.groupBy("language", "speaker").agg(F.count(F.lit(1)).alias("n")).unionByName(every)
 
 
-@query("v8_one_voice_per_language", """SELECT source AS language, count(DISTINCT lang) AS voices, min(lang) AS first, max(lang) AS last
+@query("v8_one_voice_per_language", """SELECT source, count(DISTINCT lang) AS voices, min(lang) AS first, max(lang) AS last
     FROM documents GROUP BY 1 HAVING count(DISTINCT lang) > 1""")
 def v8_one_voice_per_language(spark, sf):
     return I.one_voice_per_language(read_table(spark, sf, "documents"), "source", "lang")
@@ -231,7 +232,7 @@ def a2_teacher_reports(spark, sf):
 def a3_s15_speaker_reports(spark, sf):
     stats = read_table(spark, sf, "lineitem").select(
         F.col("l_returnflag").alias("language"), F.col("l_suppkey").alias("speaker"), F.col("l_linenumber").alias("kept"), F.col("l_quantity").alias("kept_seconds"))
-    return P.speaker_reports(stats).withColumn("kept_hours", F.format_string("%.3f", F.round("kept_hours", 6)))
+    return P.speaker_reports(stats).withColumn("kept_hours", fixed(F.round("kept_hours", 6), 3))
 
 
 _J1 = """WITH piper AS (SELECT 'v' || n_nationkey AS voice, 'e' || n_nationkey AS espeak, 'loc' || n_nationkey AS locale, n_regionkey + 1 AS num_speakers, n_nationkey FROM nation WHERE n_regionkey IN (0, 1)),

@@ -233,8 +233,13 @@ def write_shards(items: DataFrame, path: str) -> None:
         "errorifexists").option("ignoreNullFields", False).partitionBy("shard").json(path)
 
 
+def fixed(value: Column, digits: int) -> Column:
+    """A number with fixed decimals, rounded half-even from its exact value."""
+    return F.call_function("format_number", value, F.lit("0." + "0" * digits))
+
+
 def write_reports(teachers: DataFrame, speakers: DataFrame, path: str) -> None:
     """Filter report per teacher and hours per speaker, hours with three decimals."""
-    hours = lambda df: df.withColumn("kept_hours", F.format_string("%.3f", F.col("kept_hours")))
+    hours = lambda df: df.withColumn("kept_hours", fixed(F.col("kept_hours"), 3))
     for name, df in (("filter", teachers), ("speakers", speakers)):
         hours(df).coalesce(1).write.mode("errorifexists").option("header", True).option("sep", "\t").csv(f"{path}/{name}")
