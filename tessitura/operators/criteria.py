@@ -5,6 +5,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.numbers import fixed
 from .catalog import format_voice_key, parse_reference_key
 from .checks import require_empty
 from .listening import VERDICT_SEPARATOR
@@ -292,4 +293,4 @@ def needs_ears(i: Inputs, results: DataFrame) -> DataFrame:
     low = i.candidate.groupBy(*CELL).agg(F.avg("UTMOS").alias("m")).filter(c("m") < t.utmos_relisten)
     return out.unionByName(low.select(
         F.lit("re-listen: low recording quality").alias("task"), _key().alias("voice"), c("espeak").alias("language"),
-        F.lit("verdict page 'clean enough'").alias("where"), F.concat(F.lit("UTMOS "), F.call_function("format_number", c("m"), F.lit("0.00")), F.lit(f" < {t.utmos_relisten}")).alias("why")))
+        F.lit("verdict page 'clean enough'").alias("where"), F.concat(F.lit("UTMOS "), fixed(c("m"), 2), F.lit(f" < {t.utmos_relisten}")).alias("why")))

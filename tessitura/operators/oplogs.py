@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.numbers import round_exact
 from .ordering import exact_quantiles, top_rows
 
 WARMUP_SECONDS = 90.0
@@ -16,7 +17,7 @@ def parse_gpu_lines(lines: DataFrame, line: str = "value") -> DataFrame:
     parts = F.transform(F.split(line, ","), lambda p: F.trim(p))
     cells = lines.withColumn("_p", parts).filter((F.size("_p") == 4) & ~F.array_contains("_p", "N/A"))
     number = lambda i: F.col("_p")[i].cast("double")
-    stamp = F.to_timestamp(F.col("_p")[0], "yyyy/MM/dd HH:mm:ss.[SSSSSS][SSS]")
+    stamp = F.to_timestamp(F.concat(F.col("_p")[0], F.lit(" Z")), "yyyy/MM/dd HH:mm:ss.[SSSSSS][SSS] XXX")
     return cells.select(*[c for c in lines.columns if c != line], (F.unix_micros(stamp) / 1e6).alias("t"),
                         number(1).alias("util"), number(2).alias("mem"), number(3).alias("power"))
 
@@ -56,23 +57,23 @@ def summarize_runs(steps: DataFrame, gpu: DataFrame, machine: DataFrame, last: i
         F.sum("data_wait").alias("_wait"), F.avg("data_wait").alias("_mean_wait"), F.avg(F.col("t_end") - F.col("t_begin")).alias("_compute"))
     d = F.col("_d")
     out = base.select(
-        "run", F.bround(d, 1).alias("steady_seconds"), "steady_steps", F.bround(F.col("steady_steps") / d, 3).alias("steps_per_s"),
-        F.bround(F.col("_utts") / d, 1).alias("utts_per_s"), F.bround(F.col("_audio") / d, 1).alias("audio_sec_per_s"),
-        F.bround("_compute", 4).alias("mean_step_compute_s"), F.bround("_mean_wait", 4).alias("mean_data_wait_s"),
-        F.bround(F.col("_wait") / d, 4).alias("data_wait_frac"))
+        "run", round_exact(d, 1).alias("steady_seconds"), "steady_steps", round_exact(F.col("steady_steps") / d, 3).alias("steps_per_s"),
+        round_exact(F.col("_utts") / d, 1).alias("utts_per_s"), round_exact(F.col("_audio") / d, 1).alias("audio_sec_per_s"),
+        round_exact("_compute", 4).alias("mean_step_compute_s"), round_exact("_mean_wait", 4).alias("mean_data_wait_s"),
+        round_exact(F.col("_wait") / d, 4).alias("data_wait_frac"))
     waits = exact_quantiles(counted.select("run", "data_wait"), ["run"], "data_wait", {"p90_data_wait_s": 0.9}, rule="nearest").select(
-        "run", F.bround("p90_data_wait_s", 4).alias("p90_data_wait_s"))
+        "run", round_exact("p90_data_wait_s", 4).alias("p90_data_wait_s"))
     steady = in_window(gpu, window)
-    use = steady.groupBy("run").agg(F.bround(F.avg("util"), 1).alias("gpu_util_mean"), F.bround(F.avg("power"), 1).alias("gpu_power_mean_w"))
+    use = steady.groupBy("run").agg(round_exact(F.avg("util"), 1).alias("gpu_util_mean"), round_exact(F.avg("power"), 1).alias("gpu_power_mean_w"))
     use_q = exact_quantiles(steady, ["run"], "util", {"gpu_util_p10": 0.1, "gpu_util_p50": 0.5, "gpu_util_p90": 0.9}, rule="nearest")
     memory = gpu.groupBy("run").agg(F.max("mem").alias("gpu_mem_used_max_mib"))
     host = in_window(machine, window).groupBy("run").agg(
-        F.bround(F.avg("cores"), 2).alias("container_cores_used_mean"), F.max("mem_gb").alias("sys_mem_used_gb_max"))
+        round_exact(F.avg("cores"), 2).alias("container_cores_used_mean"), F.max("mem_gb").alias("sys_mem_used_gb_max"))
     finite = ~F.isnan("loss") & (F.abs("loss") != float("inf"))
     losses = steps.groupBy("run").agg(
         F.count_if(~finite).alias("nonfinite_loss_steps"), F.min_by("loss", F.col("step")).alias("loss_first"))
     tail = top_rows(steps, ["run"], [F.desc("step")], last, F.col("step")).groupBy("run").agg(
-        F.bround(F.avg(F.when(finite, F.col("loss"))), 3).alias("loss_last_mean"))
+        round_exact(F.avg(F.when(finite, F.col("loss"))), 3).alias("loss_last_mean"))
     for part in (waits, use, use_q, memory, host, losses, tail):
         out = out.join(part, "run", "left")
     return out
@@ -104,15 +105,15 @@ def extrapolate_cost(runs: DataFrame, hosts: DataFrame, targets: Sequence[int])
         "target_iterations", F.explode(F.array(*[F.lit(int(t)) for t in targets])))
     hours = F.col("target_iterations") / F.col("steps_per_s") / 3600
     money = hours * F.col("dollars_per_hour")
-    return each.select("host", "run", "steps_per_s", "target_iterations", F.bround(hours, 1).alias("hours"), F.bround(money, 2).alias("dollars"),
-                       F.bround(2 * hours, 1).alias("hours_2_attempts"), F.bround(2 * money, 2).alias("dollars_2_attempts"))
+    return each.select("host", "run", "steps_per_s", "target_iterations", round_exact(hours, 1).alias("hours"), round_exact(money, 2).alias("dollars"),
+                       round_exact(2 * hours, 1).alias("hours_2_attempts"), round_exact(2 * money, 2).alias("dollars_2_attempts"))
 
 
 def host_costs(hosts: DataFrame) -> DataFrame:
     """Start-up minutes, billed hours and cost from creation, running and removal times (epoch seconds)."""
     hours = (F.col("destroyed") - F.col("created")) / 3600
-    return hosts.select("host", "dollars_per_hour", F.bround((F.col("running") - F.col("created")) / 60, 1).alias("create_to_running_min"),
-                        F.bround(hours, 2).alias("billed_hours"), F.bround(hours * F.col("dollars_per_hour"), 2).alias("cost_dollars"))
+    return hosts.select("host", "dollars_per_hour", round_exact((F.col("running") - F.col("created")) / 60, 1).alias("create_to_running_min"),
+                        round_exact(hours, 2).alias("billed_hours"), round_exact(hours * F.col("dollars_per_hour"), 2).alias("cost_dollars"))
 
 
 def throughput_windows(steps: DataFrame, every: str, watermark: str | None = None) -> DataFrame:
@@ -123,6 +124,6 @@ def throughput_windows(steps: DataFrame, every: str, watermark: str | None = Non
     timed = steps.withWatermark("ts", watermark) if watermark else steps
     sums = timed.groupBy(F.window("ts", every).alias("w")).agg(
         F.count(F.lit(1)).alias("steps"), F.sum("samples").alias("samples"), F.sum("wait").alias("wait"), F.sum("excluded").alias("excluded"))
-    seconds = F.unix_seconds(F.col("w.end")) - F.unix_seconds(F.col("w.start")) - F.col("excluded")
+    seconds = F.expr("CAST(CAST(w.`end` - w.`start` AS INTERVAL SECOND) AS BIGINT)") - F.col("excluded")
     return sums.select(F.col("w.start").alias("window_start"), "steps", (F.col("steps") / seconds).alias("steps_per_s"),
                        (F.col("samples") / seconds).alias("samples_per_s"), (F.col("wait") / seconds).alias("data_wait_share"))

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.hashing import hash_bucket, hex_hash
+from ..functions.numbers import round_exact
 from ..session import ensure_checkpoint_dir
 from .ordering import first_after, grouped_scan, position_bucket
 
@@ -67,5 +68,5 @@ def generation_summary(results: DataFrame, keys: Sequence[str], wall: Column) ->
     """Utterances, audio seconds, audio seconds per wall second and mean length."""
     audio = F.sum("audio_seconds")
     return results.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("utterances"), F.bround(audio, 1).alias("audio_seconds"), F.bround(audio / 3600, 3).alias("audio_hours"),
-        F.bround(audio / wall, 2).alias("audio_sec_per_wall_sec"), F.bround(F.avg("audio_seconds"), 2).alias("mean_utt_seconds"))
+        F.count(F.lit(1)).alias("utterances"), round_exact(audio, 1).alias("audio_seconds"), round_exact(audio / 3600, 3).alias("audio_hours"),
+        round_exact(audio / wall, 2).alias("audio_sec_per_wall_sec"), round_exact(F.avg("audio_seconds"), 2).alias("mean_utt_seconds"))

@@ -97,7 +97,7 @@ def plan_epoch(items: DataFrame, o: EpochOptions) -> DataFrame:
     slots = chosen_languages(language_mass(items), o)
     dealt = deal_by_length(draw_items(items, slots, o), o)
     batches = items.sparkSession.range(o.batches).select(F.col("id").alias("batch")).withColumn(
-        "_digest", hex_hash(o.seed, o.epoch, "order", F.col("id")))
+        "_digest", hex_hash(o.seed, o.epoch, "order", F.col("batch")))
     order = grouped_scan(batches, [], [F.col("_digest")], hash_bucket(F.col("_digest")), rank="_n").select(
         "batch", ((F.col("_n") - 1) % o.world_size).alias("rank"), F.floor((F.col("_n") - 1) / o.world_size).alias("step"))
     return dealt.join(order, "batch").select("rank", "step", "batch", "slot", "j", "lang", "id", "length")

@@ -5,6 +5,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.numbers import round_exact
 from .checks import require_empty
 from .ordering import exact_quantiles, top_rows
 
@@ -55,8 +56,8 @@ def summarize(rows: DataFrame, keys: Sequence[str] = GROUP) -> DataFrame:
 def clip_means(clips: DataFrame, metrics: Sequence[str], lowest: str, keys: Sequence[str] = ("voice", "speaker")) -> DataFrame:
     """Per speaker: clips, mean of each metric and the minimum of one, rounded half-even to four digits."""
     return clips.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n_clips"), *[F.bround(F.avg(m), 4).alias(m) for m in metrics],
-        F.bround(F.min(lowest), 4).alias(f"{lowest}_min"))
+        F.count(F.lit(1)).alias("n_clips"), *[round_exact(F.avg(m), 4).alias(m) for m in metrics],
+        round_exact(F.min(lowest), 4).alias(f"{lowest}_min"))
 
 
 def common_texts(a: DataFrame, b: DataFrame, text: str = "text", keys: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:

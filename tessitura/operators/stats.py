@@ -149,11 +149,12 @@ def evaluate(rows: DataFrame, metrics: Sequence[str], row_id: str, draws: int, s
     return out
 
 
-def preference_strengths(answers: DataFrame, iterations: int = 200, checkpoint_every: int = 10) -> DataFrame:
+def preference_strengths(answers: DataFrame, iterations: int = 200, tolerance: float = 0.0) -> DataFrame:
     """Log strengths from pairwise answers (a, b, answer in A/B/tie), by the fixed-point update with a 0.1 prior.
 
-    Wins and games are aggregated once; each round joins strengths to the games table and normalizes by the
-    geometric mean. Lineage is cut by a checkpoint every few rounds.
+    Wins and games are aggregated once. The update keeps ratios when all strengths are scaled, so the geometric mean
+    is taken out once at the end instead of in every round. Each round joins the current strengths to the games table
+    and is checkpointed, so plans and lineage stay short; a positive ``tolerance`` stops once no strength moves more.
     """
     ensure_checkpoint_dir(answers.sparkSession)
     score = F.when(F.col("answer") == "A", 1.0).when(F.col("answer") == "B", 0.0).otherwise(0.5)
@@ -161,18 +162,19 @@ def preference_strengths(answers: DataFrame, iterations: int = 200, checkpoint_e
         F.struct(F.col("a").alias("key"), F.col("b").alias("other"), score.alias("won")),
         F.struct(F.col("b").alias("key"), F.col("a").alias("other"), (1.0 - score).alias("won")))))
     games = sides.groupBy("key", "other").agg(F.count(F.lit(1)).alias("games"), F.sum("won").alias("won")).checkpoint()
-    players = games.groupBy("key").agg(F.sum("won").alias("wins"), F.sum("games").alias("played")).checkpoint()
-    strengths = players.select("key", F.lit(1.0).alias("s"))
+    state = games.groupBy("key").agg(F.sum("won").alias("wins"), F.sum("games").alias("played"), F.lit(1.0).alias("s")).checkpoint()
+    links = games.select("key", "other", "games")
     for step in range(1, iterations + 1):
-        other = strengths.select(F.col("key").alias("other"), F.col("s").alias("so"))
-        load = games.join(strengths, "key").join(other, "other").groupBy("key").agg(
-            F.first("s").alias("s"), F.sum(F.col("games") / (F.col("s") + F.col("so"))).alias("load"))
-        moved = load.join(players, "key").select("key", ((F.col("wins") + 0.1) / (F.col("load") + F.lit(0.2) / F.col("s"))).alias("ns"))
-        if step % checkpoint_every == 0 or step == iterations:
-            moved = moved.checkpoint()
-        mean = moved.agg(F.exp(F.avg(F.ln("ns"))).alias("m"))
-        strengths = moved.crossJoin(F.broadcast(mean)).select("key", (F.col("ns") / F.col("m")).alias("s"))
-    return strengths.join(players, "key").select("key", F.ln("s").alias("strength"), "played")
+        opponent = state.select(F.col("key").alias("other"), F.col("s").alias("so"))
+        load = links.join(state, "key").join(opponent, "other").groupBy("key", "wins", "played", "s").agg(
+            F.sum(F.col("games") / (F.col("s") + F.col("so"))).alias("load"))
+        moved = load.select("key", "wins", "played", F.col("s").alias("was"), ((F.col("wins") + 0.1) / (F.col("load") + F.lit(0.2) / F.col("s"))).alias("s"))
+        state = moved.checkpoint()
+        if tolerance and step % 10 == 0:
+            if state.agg(F.max(F.abs(F.ln("s") - F.ln("was")))).first()[0] < tolerance:
+                break
+    mean = state.agg(F.avg(F.ln("s")).alias("m"))
+    return state.crossJoin(F.broadcast(mean)).select("key", (F.ln("s") - F.col("m")).alias("strength"), "played")
 
 
 def listener_consistency(answers: DataFrame) -> DataFrame:

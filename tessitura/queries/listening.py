@@ -80,7 +80,7 @@ def e14_metric_agreement(spark, sf):
 
 @query("e12_preference_strengths")
 def e12_preference_strengths(spark, sf):
-    return St.preference_strengths(answers(spark, sf)).select("key", F.round("strength", 6).alias("strength"), "played")
+    return St.preference_strengths(answers(spark, sf), tolerance=1e-7).select("key", F.round("strength", 5).alias("strength"), "played")
 
 
 MANIFEST = """m AS (SELECT 'v' || (c_custkey // 3) AS voice, '0' AS speaker, 'l' || ((c_custkey // 3) % 7) || '-x' AS espeak, (c_custkey % 3) AS idx, '/' || c_name AS file FROM customer)"""

@@ -4,6 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import text as X
+from ..functions.numbers import fixed
 from ..operators import catalog as C
 from ..operators import checks as K
 from ..operators import ids as I
@@ -12,7 +13,6 @@ from ..operators import packing as P
 from ..operators import planning as L
 from ..operators import records as V
 from ..operators import selection as S
-from ..sources.readers import fixed
 from ..sources.tables import read_table
 from . import sql as Q
 from .registry import query

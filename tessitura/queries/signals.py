@@ -35,7 +35,7 @@ def w11_internal_silence(spark, sf):
     return rounded(vectors(spark, sf).select("vec_id", s.cast("double").alias("silence_s")))
 
 
-@query("n2_peak_normalize", """SELECT vec_id, round(x / greatest(0.01, max(abs(x)) OVER (PARTITION BY vec_id)), 5) AS x, i::INT AS i
+@query("n2_peak_normalize", """SELECT vec_id, round((x / greatest(0.01, max(abs(x)) OVER (PARTITION BY vec_id)))::FLOAT::DOUBLE, 5) AS x, i::INT AS i
     FROM (SELECT vec_id, unnest(embedding)::DOUBLE AS x, unnest(range(0, len(embedding))) AS i FROM embeddings)""")
 def n2_peak_normalize(spark, sf):
     v = vectors(spark, sf).select("vec_id", F.posexplode(A.peak_normalize(F.col("embedding"))).alias("i", "x"))

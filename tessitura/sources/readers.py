@@ -5,6 +5,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ..functions.numbers import fixed
 from ..operators.checks import CheckError, require_empty, require_unique
 from ..operators.records import RECORD_SCHEMA, Vocabulary, parse_records
 from ..operators.scoring import RATES, SCORE_SCHEMA, row_rate
@@ -233,11 +234,6 @@ def write_shards(items: DataFrame, path: str) -> None:
         "errorifexists").option("ignoreNullFields", False).partitionBy("shard").json(path)
 
 
-def fixed(value: Column, digits: int) -> Column:
-    """A number with fixed decimals, rounded half-even from its exact value."""
-    return F.call_function("format_number", value, F.lit("0." + "0" * digits))
-
-
 def write_reports(teachers: DataFrame, speakers: DataFrame, path: str) -> None:
     """Filter report per teacher and hours per speaker, hours with three decimals."""
     hours = lambda df: df.withColumn("kept_hours", fixed(F.col("kept_hours"), 3))
