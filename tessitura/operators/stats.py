@@ -3,6 +3,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.hashing import unit_hash
@@ -11,6 +12,7 @@ from .checks import require_empty
 from .ordering import exact_quantiles, grouped_scan, top_rows, value_bucket, value_counts
 
 EXTREME_FRACTION = 0.15
+BROADCAST_ROWS = 100_000  # a strengths table up to this many rows is sent to every task
 
 
 def join_verdicts(verdicts: DataFrame, scores: DataFrame, keys: Sequence[str], strict: bool = True) -> DataFrame:
@@ -154,7 +156,7 @@ def preference_strengths(answers: DataFrame, iterations: int = 200, tolerance: f
 
     Wins and games are aggregated once. The update keeps ratios when all strengths are scaled, so the geometric mean
     is taken out once at the end instead of in every round. Each round joins the current strengths to the games table
-    and is checkpointed, so plans and lineage stay short; a positive ``tolerance`` stops once no strength moves more.
+    and is checkpointed, so plans and lineage stay short; a positive ``tolerance`` stops once no ratio of strengths moves more.
     """
     ensure_checkpoint_dir(answers.sparkSession)
     score = F.when(F.col("answer") == "A", 1.0).when(F.col("answer") == "B", 0.0).otherwise(0.5)
@@ -162,17 +164,23 @@ def preference_strengths(answers: DataFrame, iterations: int = 200, tolerance: f
         F.struct(F.col("a").alias("key"), F.col("b").alias("other"), score.alias("won")),
         F.struct(F.col("b").alias("key"), F.col("a").alias("other"), (1.0 - score).alias("won")))))
     games = sides.groupBy("key", "other").agg(F.count(F.lit(1)).alias("games"), F.sum("won").alias("won")).checkpoint()
-    state = games.groupBy("key").agg(F.sum("won").alias("wins"), F.sum("games").alias("played"), F.lit(1.0).alias("s")).checkpoint()
-    links = games.select("key", "other", "games")
+    state = games.groupBy("key").agg(
+        F.sum("won").alias("wins"), F.sum("games").alias("played"), F.lit(1.0).alias("was"), F.lit(1.0).alias("s")).checkpoint()
+    small = state.count() <= BROADCAST_ROWS
+    links = games.select("key", "other", "games").repartition("key").persist(StorageLevel.MEMORY_AND_DISK)
+    sent = F.broadcast if small else (lambda df: df)  # size known; larger tables are shuffled
     for step in range(1, iterations + 1):
         opponent = state.select(F.col("key").alias("other"), F.col("s").alias("so"))
-        load = links.join(state, "key").join(opponent, "other").groupBy("key", "wins", "played", "s").agg(
+        load = links.join(sent(opponent), "other").join(sent(state.drop("was")), "key").groupBy("key", "wins", "played", "s").agg(
             F.sum(F.col("games") / (F.col("s") + F.col("so"))).alias("load"))
-        moved = load.select("key", "wins", "played", F.col("s").alias("was"), ((F.col("wins") + 0.1) / (F.col("load") + F.lit(0.2) / F.col("s"))).alias("s"))
+        moved = load.select("key", "wins", "played", F.col("s").alias("was"), (
+            (F.col("wins") + 0.1) / (F.col("load") + F.lit(0.2) / F.col("s"))).alias("s")).persist(StorageLevel.MEMORY_AND_DISK)
         state = moved.checkpoint()
-        if tolerance and step % 10 == 0:
-            if state.agg(F.max(F.abs(F.ln("s") - F.ln("was")))).first()[0] < tolerance:
-                break
+        moved.unpersist()
+        change = F.ln("s") - F.ln("was")
+        if tolerance and step % 10 == 0 and state.agg(F.max(change) - F.min(change)).first()[0] < tolerance:
+            break
+    links.unpersist()
     mean = state.agg(F.avg(F.ln("s")).alias("m"))
     return state.crossJoin(F.broadcast(mean)).select("key", (F.ln("s") - F.col("m")).alias("strength"), "played")
 

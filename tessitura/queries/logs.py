@@ -16,7 +16,7 @@ def steps(spark: SparkSession, sf: str) -> DataFrame:
     t = utc_micros(F.col("ts")) / 1e6
     return read_table(spark, sf, "events").filter("event_type IN ('view', 'click')").select(
         (F.col("user_id") % 20).alias("run"), F.col("event_id").alias("step"), t.alias("t_end"), (t - F.col("value") / 100).alias("t_begin"),
-        (F.col("event_id") % 32).alias("batch_size"), F.col("value").alias("audio_seconds"), (F.col("value") / 1000).alias("data_wait"),
+        (F.col("event_id") % 32).alias("batch_size"), F.col("value").alias("audio_seconds"), (F.col("value") / 1013).alias("data_wait"),
         F.when(F.col("event_id") % 40 == 0, float("nan")).otherwise(F.col("value") / 10).alias("loss"))
 
 
@@ -31,7 +31,7 @@ def machine(spark: SparkSession, sf: str) -> DataFrame:
 
 
 LOGS = """st AS (SELECT user_id % 20 AS run, event_id AS step, epoch_us(ts) / 1e6 AS t_end, epoch_us(ts) / 1e6 - value / 100 AS t_begin, event_id % 32 AS batch_size, value AS audio_seconds,
-      value / 1000 AS data_wait, CASE WHEN event_id % 40 = 0 THEN NULL ELSE value / 10 END AS loss FROM events WHERE event_type IN ('view', 'click')),
+      value / 1013 AS data_wait, CASE WHEN event_id % 40 = 0 THEN NULL ELSE value / 10 END AS loss FROM events WHERE event_type IN ('view', 'click')),
     gp AS (SELECT user_id % 20 AS run, event_id, epoch_us(ts) / 1e6 AS t, value AS util, event_id % 4000 AS mem, value * 2 AS power FROM events WHERE event_type = 'error'),
     ma AS (SELECT user_id % 20 AS run, epoch_us(ts) / 1e6 AS t, value / 7 AS cores, event_id % 100 AS mem_gb FROM events WHERE event_type = 'signup'),
     w AS (SELECT run, min(t_end) AS a, max(t_end) AS b FROM (SELECT *, min(t_end) OVER (PARTITION BY run) + 90 AS f FROM st) WHERE t_end >= f GROUP BY run)"""
@@ -123,10 +123,10 @@ def a24_cost_extrapolation(spark, sf):
                                                         F.round(F.sum(hours * F.col("dollars_per_hour")), 3).alias("dollars"))
 
 
-@query("a25_host_costs", """SELECT o_orderkey AS host, round_even((o_custkey * 3) / 60, 1) AS create_to_running_min, round_even(o_totalprice * 1.000007::DOUBLE / 3600, 2) AS billed_hours,
+@query("a25_host_costs", """SELECT o_orderkey AS host, round_even((o_custkey * 3.0001::DOUBLE) / 60, 1) AS create_to_running_min, round_even(o_totalprice * 1.000007::DOUBLE / 3600, 2) AS billed_hours,
     round_even(o_totalprice * 1.000007::DOUBLE / 3600 * 0.5::DOUBLE, 2) AS cost_dollars FROM orders""")
 def a25_host_costs(spark, sf):
-    h = read_table(spark, sf, "orders").select(F.col("o_orderkey").alias("host"), F.lit(0.5).alias("dollars_per_hour"), F.lit(0).alias("created"), (F.col("o_custkey") * 3).alias("running"), (F.col("o_totalprice") * 1.000007).alias("destroyed"))
+    h = read_table(spark, sf, "orders").select(F.col("o_orderkey").alias("host"), F.lit(0.5).alias("dollars_per_hour"), F.lit(0).alias("created"), (F.col("o_custkey") * 3.0001).alias("running"), (F.col("o_totalprice") * 1.000007).alias("destroyed"))
     return G.host_costs(h).drop("dollars_per_hour")
 
 
