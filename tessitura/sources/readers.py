@@ -208,7 +208,7 @@ def number_lines(rejected: DataFrame) -> DataFrame:
     files = [r[0] for r in rejected.select("file").distinct().limit(1000).collect()]
     if not files:
         return rejected.withColumn("line", F.lit(None).cast("int"))
-    whole = spark.read.option("wholetext", True).text(files).select(
+    whole = spark.read.text(files, wholetext=True).select(
         F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\r?\n", -1)).alias("_pos", "value"))
     return rejected.join(whole, ["file", "value"]).withColumn("line", F.col("_pos") + 1).drop("_pos")
 
