@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-AREAS = ("text", "scores", "planning", "symbols", "signals", "listening", "logs", "training", "criteria", "streams")
+AREAS = ("text", "scores", "planning", "symbols", "signals", "listening", "logs", "training", "criteria", "streams", "files")
 
 
 def load_all() -> None:
