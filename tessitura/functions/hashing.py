@@ -25,6 +25,6 @@ def hex_hash(*parts) -> Column:
     return F.sha2(_joined(parts), 256)
 
 
-def hash_bucket(digest: Column, digits: int = 3) -> Column:
+def hash_bucket(digest: Column, digits: int = 4) -> Column:
     """Leading hex digits: a monotone, evenly filled bucket of the digest order (16^digits buckets)."""
     return F.substring(digest, 1, digits)

@@ -95,15 +95,20 @@ def symbol_table(maps: DataFrame, reference: DataFrame) -> DataFrame:
 
 
 def map_differences(maps: DataFrame, reference: DataFrame) -> DataFrame:
-    """Per voice: symbols beyond the reference, missing from it, and with another ID, each as a sorted list."""
-    voices = maps.select("voice").distinct()
-    want = voices.crossJoin(F.broadcast(reference.select("symbol", F.col("id").alias("ref_id"))))
-    both = maps.select("voice", "symbol", "id").join(want, ["voice", "symbol"], "full_outer")
-    listed = lambda test: F.array_join(F.array_sort(F.collect_list(F.when(test, F.col("symbol")))), " ")
-    extra, missing, other = F.col("ref_id").isNull(), F.col("id").isNull(), F.col("id") != F.col("ref_id")
-    return both.groupBy("voice").agg(
-        F.count("id").alias("n_symbols"), (F.count_if(extra | missing | F.coalesce(other, F.lit(False))) == 0).alias("same_as_reference"),
-        listed(extra).alias("extra_vs_reference"), listed(missing).alias("missing_vs_reference"), listed(other).alias("id_conflicts"))
+    """Per voice: symbols beyond the reference, missing from it, and with another ID, each as a sorted list.
+
+    A voice's own symbols are one array (an alphabet), the reference travels as one row of arrays.
+    """
+    known = maps.select("voice", "symbol", "id").join(reference.select("symbol", F.col("id").alias("ref_id")), "symbol", "left")
+    voices = known.groupBy("voice").agg(
+        F.collect_list("symbol").alias("_all"), F.collect_list(F.when(F.col("ref_id").isNull(), F.col("symbol"))).alias("_extra"),
+        F.collect_list(F.when(F.col("id") != F.col("ref_id"), F.col("symbol"))).alias("_other"))
+    whole = reference.agg(F.collect_list("symbol").alias("_reference"))
+    missing = F.array_except("_reference", "_all")
+    shown = lambda x: F.array_join(F.array_sort(x), " ")
+    return voices.crossJoin(F.broadcast(whole)).select(
+        "voice", F.size("_all").cast("bigint").alias("n_symbols"), (F.size(F.concat("_extra", "_other", missing)) == 0).alias("same_as_reference"),
+        shown(F.col("_extra")).alias("extra_vs_reference"), shown(missing).alias("missing_vs_reference"), shown(F.col("_other")).alias("id_conflicts"))
 
 
 def greedy_cover(types: DataFrame, pairs: DataFrame, marks: DataFrame, objective: str = "types") -> DataFrame:

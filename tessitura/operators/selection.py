@@ -67,9 +67,9 @@ def split_by_hash(items: DataFrame, item_id: str, count: int) -> DataFrame:
 
 
 def selection_counts(pool: DataFrame, held: DataFrame, blocked: DataFrame, train: int) -> DataFrame:
-    """Per language: texts without symbols, held out, left to train on, and taken; one pass over the flagged pool."""
+    """Per language: texts without symbols (not ``usable``), held out, left to train on, and taken."""
     flagged = (
-        pool.select("lang", "hash", F.col("symbols").isNotNull().alias("usable"))
+        pool.select("lang", "hash", "usable")
         .join(held.select("lang", "hash", F.lit(True).alias("held")), ["lang", "hash"], "left")
         .join(blocked.select("hash").distinct().withColumn("blocked", F.lit(True)), "hash", "left")
     )

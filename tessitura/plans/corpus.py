@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.text import WordLimits, text_hash
 from ..operators import selection as S
+from ..session import written
 from ..sources.tables import split_sentences
 
 # Characters a letter-level symbol table can represent.
@@ -47,7 +48,9 @@ def select_sentences(documents: DataFrame, benchmark: DataFrame, options: Select
 
 
 def selection_report(documents: DataFrame, benchmark: DataFrame, options: SelectionOptions) -> DataFrame:
-    pool = sentence_pool(documents, options)
-    held = S.held_out(pool.filter(F.col("symbols").isNotNull()), options.held_out)
+    """Counts per language. The pool's identities are written once: three later steps read them, the text only once."""
+    pool = sentence_pool(documents, options).select("lang", "hash", F.col("symbols").isNotNull().alias("usable"))
+    pool = written(pool, "pool")
+    held = S.held_out(pool.filter("usable"), options.held_out)
     blocked = held.select("hash").unionByName(forbidden_texts(benchmark))
     return S.selection_counts(pool, held, blocked, options.train)

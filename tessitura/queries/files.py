@@ -6,10 +6,10 @@ from pyspark.sql import functions as F
 from ..operators import catalog as C
 from ..operators import packing as P
 from ..operators import records as R
+from ..session import work_folder
 from ..sources import readers as D
 from ..sources import sentences as T
 from ..sources.tables import read_table
-from ..streaming.ingest import work_folder
 from . import sql as Q
 from .registry import query
 from .symbols import BIGRAMS, CHARS, bigrams

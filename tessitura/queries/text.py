@@ -233,8 +233,8 @@ def c22_file_label(spark, sf):
       count_if(usable AND hash NOT IN (SELECT hash FROM held)) AS train_pool,
       least(200, count_if(usable AND hash NOT IN (SELECT hash FROM held))) AS train FROM pool GROUP BY lang""")
 def a32_selection_counts(spark, sf):
-    p = pool(spark, sf).withColumn("symbols", C.letter_symbols(F.col("sentence")))
-    held = S.held_out(p.filter(F.col("symbols").isNotNull()), 10)
+    p = pool(spark, sf).withColumn("usable", C.letter_symbols(F.col("sentence")).isNotNull())
+    held = S.held_out(p.filter("usable"), 10)
     return S.selection_counts(p, held, held, 200)
 
 

@@ -2,8 +2,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
@@ -42,3 +43,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     if not sc.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a shared folder")
     sc.setCheckpointDir(tempfile.mkdtemp(prefix="tessitura-ckpt-", dir="/tmp"))
+
+
+def work_folder(spark: SparkSession, name: str) -> str:
+    """A fresh folder under the session's checkpoint folder, which all executors share."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The rows as a table in the shared folder: computed once, short lineage, and sizes the optimizer knows."""
+    folder = work_folder(df.sparkSession, name)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)

@@ -197,7 +197,8 @@ def read_valid_shards(spark: SparkSession, paths, vocab: Vocabulary) -> DataFram
     """Strict read: a bad line or a repeated ID fails, naming file and line."""
     from ..operators.records import duplicate_ids, validated
     good, bad = validated(read_shards(spark, paths, vocab))
-    require_empty(number_lines(bad).select("file", "line", "problems"), "malformed records")
+    if not bad.isEmpty():
+        require_empty(number_lines(bad.limit(20)).select("file", "line", "problems"), "malformed records")
     require_empty(duplicate_ids(good), "record IDs repeat")
     return good.drop("value")
 
@@ -205,12 +206,12 @@ def read_valid_shards(spark: SparkSession, paths, vocab: Vocabulary) -> DataFram
 def number_lines(rejected: DataFrame) -> DataFrame:
     """Adds the 1-based ``line`` of rejected lines, re-reading only the files that hold one."""
     spark = rejected.sparkSession
-    files = [r[0] for r in rejected.select("file").distinct().limit(1000).collect()]
+    files = [r[0] for r in rejected.select("file").distinct().collect()]
     if not files:
         return rejected.withColumn("line", F.lit(None).cast("int"))
     whole = spark.read.text(files, wholetext=True).select(
         F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\r?\n", -1)).alias("_pos", "value"))
-    return rejected.join(whole, ["file", "value"]).withColumn("line", F.col("_pos") + 1).drop("_pos")
+    return rejected.join(whole, ["file", "value"], "left").withColumn("line", F.col("_pos") + 1).drop("_pos")
 
 
 def read_loose_records(spark: SparkSession, paths) -> DataFrame:

@@ -1,21 +1,13 @@
 """Incremental forms on file streams: manifest ingest, records once by ID, throughput windows, running reports."""
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.oplogs import throughput_windows
 from ..operators.packing import teacher_reports
 from ..operators.records import Vocabulary, parse_records, validated
-from ..session import ensure_checkpoint_dir
-
-
-def work_folder(spark: SparkSession, name: str) -> str:
-    """A fresh folder under the session's checkpoint folder, which all executors share."""
-    ensure_checkpoint_dir(spark)
-    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+from ..session import work_folder
 
 
 def ingest_manifests(spark: SparkSession, source: str, vocab: Vocabulary, valid: str, rejected: str, checkpoint: str,
