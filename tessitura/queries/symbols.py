@@ -9,6 +9,7 @@ from ..functions import text as X
 from ..operators import coverage as V
 from ..operators import records as R
 from ..operators import tokens as K
+from ..session import written
 from ..sources.tables import balanced, read_table, split_sentences
 from . import sql as Q
 from .registry import query
@@ -134,9 +135,9 @@ def j15_map_differences(spark, sf):
 
 
 def cover(spark: SparkSession, sf: str, objective: str) -> DataFrame:
-    c = categorized(spark, sf)
+    c = written(categorized(spark, sf), "symbols")
     of = lambda name: V.shares(c.filter(F.col("category") == name), ["run"]).select("run", "symbol", "share")
-    pairs = V.shares(bigrams(spark, sf), ["run"]).select("run", F.concat("first", "second").alias("symbol"), "share")
+    pairs = V.shares(written(bigrams(spark, sf), "bigrams"), ["run"]).select("run", F.concat("first", "second").alias("symbol"), "share")
     return V.greedy_cover(of("phoneme"), pairs, of("supra_diacritic"), objective)
 
 
