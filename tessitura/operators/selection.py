@@ -98,6 +98,22 @@ def from_lower_quartile(sentences: DataFrame, keys: Sequence[str], length: Colum
     return ranked.filter(F.col("rank") > skipped).withColumn("rank", (F.col("rank") - skipped).cast("bigint")).drop("group_rows")
 
 
+# Voice codes whose sentences are listed under another run name.
+RUN_NAMES = {"zh": "cmn"}
+
+
+def run_of_voice(voices: DataFrame, sentences: DataFrame) -> DataFrame:
+    """(espeak, lang): the run whose sentences a voice reads: its own, else its base language's; none, no row."""
+    named = F.col("espeak")
+    for code, run in RUN_NAMES.items():
+        named = F.when(F.col("espeak") == code, run).otherwise(named)
+    asked = voices.select("espeak").distinct().withColumn("_own", named).withColumn("_base", F.element_at(F.split("_own", "-"), 1))
+    runs = sentences.select("lang").distinct()
+    own = asked.join(runs.select(F.col("lang").alias("_own"), F.col("lang").alias("_a")), "_own", "left")
+    both = own.join(runs.select(F.col("lang").alias("_base"), F.col("lang").alias("_b")), "_base", "left")
+    return both.select("espeak", F.coalesce("_a", "_b").alias("lang")).filter(F.col("lang").isNotNull())
+
+
 def _gain(symbols: Column, counts: Column) -> Column:
     one = F.lit(1.0)
     return F.aggregate(symbols, F.lit(0.0), lambda acc, s: acc + one / (one + F.coalesce(F.try_element_at(counts, s), F.lit(0))))

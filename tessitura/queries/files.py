@@ -69,3 +69,15 @@ def s7_sentence_table_file(spark, sf):
     folder = work_folder(spark, "sentences")
     pool(spark, sf).select("lang", F.lit("app"), "sentence").write.option("sep", "\t").option("quote", "").csv(folder)
     return T.read_sentence_table(spark, folder).groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.sum(F.char_length("text")).alias("chars"))
+
+
+@query("s21_phonemized_file", """SELECT lang AS run, count(*) AS rows, sum(length(regexp_replace(lower(text), '[^a-z ]', '', 'g')))::BIGINT AS tokens FROM documents GROUP BY 1""")
+def s21_phonemized_file(spark, sf):
+    folder, alphabet = work_folder(spark, "phonemized"), [*"abcdefghijklmnopqrstuvwxyz "]
+    text = F.lower("text")
+    rows = read_table(spark, sf, "documents").select(
+        F.col("lang").alias("run"), F.col("doc_id").cast("int").alias("idx"), text.alias("phonemes"),
+        F.regexp_extract_all(text, F.lit("([a-z ])"), 1).alias("tokens"))
+    rows.write.json(folder)
+    return D.read_phonemized(spark, folder, alphabet).groupBy("run").agg(
+        F.count(F.lit(1)).alias("rows"), F.sum(F.size("tokens")).alias("tokens"))

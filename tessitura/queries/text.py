@@ -250,3 +250,13 @@ def s16_selection_lists(spark, sf):
     ranked = S.hash_ordered(pool(spark, sf), ["lang"], "hash", "rank")
     return ranked.groupBy("lang", F.when(F.col("rank") <= 20, "held_out").otherwise("train").alias("list")).agg(
         F.count(F.lit(1)).alias("n"))
+
+
+@query("f14_run_of_voice", """WITH v AS (SELECT DISTINCT CASE n_nationkey % 5 WHEN 0 THEN 'en-us' WHEN 1 THEN 'es-419' WHEN 2 THEN 'fr' WHEN 3 THEN 'xx-yy' ELSE 'de' END AS espeak FROM nation),
+    r AS (SELECT DISTINCT lang FROM documents)
+    SELECT espeak, coalesce(a.lang, b.lang) AS lang FROM v LEFT JOIN r a ON a.lang = espeak LEFT JOIN r b ON b.lang = split_part(espeak, '-', 1) WHERE coalesce(a.lang, b.lang) IS NOT NULL""")
+def f14_run_of_voice(spark, sf):
+    k = F.col("n_nationkey") % 5
+    voices = read_table(spark, sf, "nation").select(
+        F.when(k == 0, "en-us").when(k == 1, "es-419").when(k == 2, "fr").when(k == 3, "xx-yy").otherwise("de").alias("espeak"))
+    return S.run_of_voice(voices, documents(spark, sf))

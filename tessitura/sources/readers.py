@@ -240,3 +240,16 @@ def write_reports(teachers: DataFrame, speakers: DataFrame, path: str) -> None:
     hours = lambda df: df.withColumn("kept_hours", fixed(F.col("kept_hours"), 3))
     for name, df in (("filter", teachers), ("speakers", speakers)):
         hours(df).coalesce(1).write.mode("errorifexists").option("header", True).option("sep", "\t").csv(f"{path}/{name}")
+
+
+PHONEMIZED = "run string, idx int, phonemes string, tokens array<string>"
+
+
+def read_phonemized(spark: SparkSession, paths, reference: Sequence[str]) -> DataFrame:
+    """Phonemized JSON lines; the stored tokens must be the string's characters that the reference alphabet has."""
+    from ..functions.symbols import char_class, characters
+    rows = spark.read.schema(PHONEMIZED).option("mode", "FAILFAST").json(paths)
+    replay = characters(F.regexp_replace("phonemes", f"[^{char_class(reference)}]", ""))
+    same = replay.eqNullSafe(F.col("tokens"))
+    return rows.withColumn("tokens", F.when(same, F.col("tokens")).otherwise(F.raise_error(
+        F.concat(F.lit("tokens differ from a replay: "), F.col("run"), F.lit(" "), F.col("idx").cast("string")))))

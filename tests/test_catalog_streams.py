@@ -94,3 +94,30 @@ def test_manifest_stream_equals_batch(spark, tmp_path):
 def test_queries_and_sql_pair_up():
     import __spark_entry__ as entry
     assert set(entry.oracle_sql()) <= set(entry.queries()) and len(entry.queries()) > 140
+
+
+def test_training_view(spark, tmp_path):
+    from tessitura.operators.sampling import EpochOptions
+    from tessitura.plans import training_view as V
+    rows = [(str(i), i, "es" if i % 3 else "de", "es" if i % 3 else "de", f"s{i % 4}", [1, 0, 9, 0, 2], [2, 2, 2, 2, 2], 2560 if i else 10, 1.0) for i in range(40)]
+    df = spark.createDataFrame(rows, "id string, position int, language string, espeak string, speaker string, phoneme_ids array<int>, durations array<int>, num_samples int, weight double")
+    o = V.ViewOptions(1000, 256, 1.0, 5.0, 5, EpochOptions(4, 6, 2, 2, 1, 3, 2))
+    view = V.prepare(df, o)
+    assert view["items"].count() == 39 and {r["language"]: r["id"] for r in view["languages"].collect()} == {"es": 0, "de": 1}
+    held = {r["id"] for r in view["split"].filter("split = 'validation'").collect()}
+    batches = V.epoch_batches(view, o, view["pairs"])
+    V.write_epoch(batches, str(tmp_path / "epoch"))
+    back = spark.read.parquet(str(tmp_path / "epoch"))
+    assert len(held) == 5 and back.count() == 24 and not held & {r["id"] for r in back.collect()}
+    assert {(r["epoch"], r["rank"]) for r in back.select("epoch", "rank").distinct().collect()} == {(3, 0), (3, 1)}
+    with pytest.raises(checks.CheckError):
+        V.prepare(df.withColumn("durations", F.array(F.lit(1))), o)
+
+
+def test_phonemized_replay(spark, tmp_path):
+    from tessitura.sources import readers as D
+    path = tmp_path / "p.jsonl"
+    path.write_text(json.dumps({"run": "de", "idx": 0, "phonemes": "a#b", "tokens": ["a", "b"]}) + "\n")
+    assert D.read_phonemized(spark, str(path), ["a", "b"]).count() == 1
+    with pytest.raises(Exception, match="replay"):
+        D.read_phonemized(spark, str(path), ["a", "#"]).collect()
