@@ -5,7 +5,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import arrays as A
 from ..operators import quality as Z
-from ..sources.tables import read_table
+from ..sources.tables import balanced, read_table
 from .registry import query
 from .scores import rounded
 
@@ -129,7 +129,8 @@ TIMED = """w AS (SELECT doc_id, lang, string_split(regexp_replace(lower(text), '
 def timings(spark: SparkSession, sf: str) -> DataFrame:
     """Padded symbol and duration arrays per document."""
     words = F.filter(F.split(F.regexp_replace(F.lower("text"), "[^a-z ]", ""), " "), lambda w: w != "")
-    d = read_table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("teacher"), words.alias("w"))
+    d = balanced(read_table(spark, sf, "documents").select("doc_id", "lang", "text")).select(
+        F.col("doc_id").alias("id"), F.col("lang").alias("teacher"), words.alias("w"))
     pad = lambda inner, first, last: F.concat(F.array(F.lit(first), F.lit(0)), F.flatten(F.transform("w", lambda w: F.array(inner(w), F.lit(0)))), F.array(F.lit(last)))
     return d.select("id", "teacher", pad(F.ascii, 1, 2).alias("ids"), pad(F.char_length, 9, 9).alias("durations"))
 
