@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..sources.tables import read_table
-from . import sharding, warc
+from . import decontam, rules, sharding, warc
 from .registry import ORACLES, QUERIES, query
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -40,3 +40,47 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = sharding.shard(docs, "doc_id", F.col("size"), SHARD_BYTES).drop("size")
     totals = rows.groupBy("shard").agg(F.sum("n_bytes").alias("shard_bytes"), F.count(F.lit(1)).alias("shard_docs"))
     return rows.join(totals, "shard").select("doc_id", "n_bytes", "shard", "depth", "shard_bytes", "shard_docs")
+
+
+@query("op4_rule_ledger", r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+l AS (SELECT r, [x FOR x IN string_split(t, chr(10)) IF regexp_matches(x, '[^\x20\x09-\x0D]')] AS lines FROM d),
+g AS (SELECT r, i, list_slice(w, i, i + 2) AS gram FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS i FROM d WHERE len(w) > 2)),
+twice AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, gram) AS n FROM g) WHERE n > 1),
+rep AS (SELECT r, count(DISTINCT i + k) AS n FROM twice, (SELECT unnest([0, 1, 2]) AS k) GROUP BY r),
+m AS (SELECT d.doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
+    length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
+    coalesce(rep.n, 0)::BIGINT AS n_repeat_words, len(lines)::BIGINT AS n_lines,
+    len([x FOR x IN w IF regexp_matches(x, '[^\x00-\x40\x5B-\x60\x7B-\x7F]')])::BIGINT AS n_letter_words
+    FROM d JOIN l USING (r) LEFT JOIN rep USING (r)),
+b AS (SELECT *, (CASE WHEN n_words < 50 THEN 1 ELSE 0 END) + (CASE WHEN 100 * n_repeat_words > 50 * n_words THEN 2 ELSE 0 END)
+    + (CASE WHEN 10 * n_symbols > n_words THEN 4 ELSE 0 END) + (CASE WHEN word_chars < 3 * n_words THEN 8 ELSE 0 END)
+    + (CASE WHEN word_chars > 10 * n_words THEN 16 ELSE 0 END) + (CASE WHEN 100 * n_letter_words < 80 * n_words THEN 32 ELSE 0 END)
+    + (CASE WHEN 100 * n_dup_lines > 50 * n_lines THEN 64 ELSE 0 END) AS fail_bits FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, n_letter_words, fail_bits::INTEGER AS fail_bits,
+  fail_bits & 3 > 0 AS base_failed, fail_bits = 0 AS kept FROM b
+""")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = rules.ledger(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    judged = rules.apply_policy(rules.apply_policy(rows, "base", "base_kept"), "v1")
+    return judged.select("doc_id", *rules.MEASURES, "fail_bits", (~F.col("base_kept")).alias("base_failed"), "kept")
+
+
+@query("op8_prefix_join", r"""
+WITH words AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+win AS (SELECT DISTINCT item_id, array_to_string(list_slice(w, i, i + 9), ' ') AS g, least(len(w), 10) AS l
+    FROM (SELECT *, unnest(range(1, greatest(1, len(w) - 9) + 1)) AS i FROM words WHERE len(w) > 0)),
+d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+p AS (SELECT r, w, l, unnest(range(1, len(w) - l + 2)) AS i FROM d, (SELECT DISTINCT l FROM win) WHERE len(w) >= l),
+h AS (SELECT r, i, l, item_id FROM (SELECT r, i, l, array_to_string(list_slice(w, i, i + l - 1), ' ') AS g FROM p) JOIN win USING (g, l)),
+hits AS (SELECT r, count(DISTINCT k) AS n_hit FROM (SELECT r, unnest(range(i, i + l)) AS k FROM (SELECT DISTINCT r, i, l FROM h)) GROUP BY r),
+its AS (SELECT r, count(*) AS n_items, string_agg(x, ',' ORDER BY x) AS s FROM (SELECT DISTINCT r, coalesce(item_id::VARCHAR, 'null') AS x FROM h) GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(s, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated FROM d LEFT JOIN hits USING (r) LEFT JOIN its USING (r)
+""")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", F.col("text").cast("binary").alias("text"))
+    rows = decontam.contamination(docs, read_table(spark, sf_dir, "benchmark"))
+    n_hit = F.aggregate(F.zip_with("starts", "ends", lambda a, b: b - a), F.lit(0).cast("bigint"), lambda x, y: x + y)
+    return rows.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("bigint").alias("n_items"),
+                       F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
