@@ -5,8 +5,10 @@ reader yields (record, chunk number) rows whose ``digest`` is the SHA-256 of the
 """
 from __future__ import annotations
 
+import gzip
 import hashlib
 import io
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -17,7 +19,7 @@ from .common import flushed, need, shared_file
 
 #: The record date (the page table has none) and the crlf of the format.
 DATE, CRLF = "1970-01-01T00:00:00Z", b"\r\n"
-CHUNK_BYTES, LEAST_REVISIT_BYTES = 1 << 18, 100
+CHUNK_BYTES, LEAST_REVISIT_BYTES, LEVEL = 1 << 18, 100, 3
 
 MANIFEST = pa.schema([("file", pa.string()), ("records", pa.int64()), ("bytes", pa.int64())])
 CHUNKS = pa.schema([
@@ -63,7 +65,7 @@ def _name(page: int | None) -> str:
     return f"<urn:page:{'null' if page is None else page}>"
 
 
-def _head(page, url, digest, refers_to, payload_bytes, serial) -> bytes:
+def _head(page, url, digest, refers_to, payload_bytes) -> bytes:
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {payload_bytes}\r\n\r\n".encode()
     block = len(http) + (payload_bytes if refers_to is None else 0)
     safe = "".join(c if c.isprintable() and c != " " else "".join(f"%{b:02X}" for b in c.encode()) for c in url or "")
@@ -80,26 +82,29 @@ def _head(page, url, digest, refers_to, payload_bytes, serial) -> bytes:
 def write_archives(chunks: DataFrame, folder: str) -> DataFrame:
     """Appends the chunks of each task to an archive of its own; returns the committed files (file, records, bytes).
 
+    Each record is a gzip member, compressed chunk by chunk, as archives usually are.
+
     A lost task leaves a file that no manifest row names. The chunks of a record must follow each other.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = system = path = name = None
+        out = system = path = name = member = None
         records = 0
         for batch in batches:
             columns = [batch.column(c).to_pylist() for c in ("page_id", "url", "digest", "refers_to", "payload_bytes", "chunk_no")]
             data = batch.column("data")
             for i, (page, url, digest, refers, size, chunk) in enumerate(zip(*columns)):
                 if out is None:
-                    system, path, name = shared_file(folder, "warc")
+                    system, path, name = shared_file(folder, "warc.gz")
                     out = system.open_output_stream(path)
                 if chunk == 0:
-                    if records:
-                        out.write(CRLF * 2)
-                    out.write(_head(page, url, digest, refers, size, records))
+                    if member is not None:
+                        out.write(member.compress(CRLF * 2) + member.flush())
+                    member = zlib.compressobj(LEVEL, zlib.DEFLATED, zlib.MAX_WBITS | 16)
+                    out.write(member.compress(_head(page, url, digest, refers, size)))
                     records += 1
-                out.write(data[i].as_buffer())
+                out.write(member.compress(data[i].as_buffer()))
         if out is not None:
-            out.write(CRLF * 2)
+            out.write(member.compress(CRLF * 2) + member.flush())
             size = out.tell()
             out.close()
             yield pa.RecordBatch.from_pylist([{"file": name, "records": records, "bytes": size}], schema=MANIFEST)
@@ -174,7 +179,7 @@ def read_archives(manifest: DataFrame, folder: str, chunk_bytes: int = CHUNK_BYT
         system, root = fs.FileSystem.from_uri(folder)
         for batch in batches:
             for name in batch.column("file").to_pylist():
-                with system.open_input_stream(f"{root}/{name}") as raw, io.BufferedReader(raw, 1 << 20) as stream:
+                with system.open_input_stream(f"{root}/{name}", compression=None) as raw, io.BufferedReader(gzip.GzipFile(fileobj=raw), 1 << 20) as stream:
                     yield from flushed(CHUNKS, record_chunks(stream, chunk_bytes, with_data), 16 if with_data else 4096)
 
     files = max(1, manifest.count())
