@@ -95,7 +95,7 @@ def write_archives(chunks: DataFrame, folder: str) -> DataFrame:
             for i, (page, url, digest, refers, size, chunk) in enumerate(zip(*columns)):
                 if out is None:
                     system, path, name = shared_file(folder, "warc.gz")
-                    out = system.open_output_stream(path)
+                    out = system.open_output_stream(path, compression=None)
                 if chunk == 0:
                     if member is not None:
                         out.write(member.compress(CRLF * 2) + member.flush())
