@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..sources.tables import read_table
-from . import decontam, rules, sharding, simhash, warc
+from . import decontam, licenses, rules, sharding, simhash, warc
 from .registry import ORACLES, QUERIES, query
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -90,3 +90,30 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
     return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
+
+
+def _template_rows() -> str:
+    """The templates as rows of a SQL VALUES list: number, label, words, offset and words of the key."""
+    quoted = lambda words: "[" + ", ".join(f"'{w.decode()}'" for w in words) + "]"
+    return ", ".join(f"({t}, '{x.label}', {quoted(x.words)}, {x.at}, {quoted(x.key)})" for t, x in enumerate(licenses.BASE + licenses.MORE))
+
+
+@query("op5_rare_token_index", rf"""
+WITH t(t, label, words, off, key) AS (VALUES {_template_rows()}),
+d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+p AS (SELECT r, w, unnest(range(1, len(w) + 1)) AS i FROM d),
+f AS (SELECT r, t, label, i, words, w, i - off AS start FROM p JOIN t ON w[i] = key[1] WHERE list_slice(w, i, i + len(key) - 1) = key),
+s AS (SELECT r, t, label, i, len([1 FOR x, k IN words IF start + k - 1 >= 1 AND w[start + k - 1] = x])::DOUBLE / len(words) AS share FROM f),
+g AS (SELECT r, count(*) FILTER (WHERE t < 3) AS n_base, min(i) FILTER (WHERE t < 3) - 1 AS first_word, max(i) FILTER (WHERE t < 3) - 1 AS last_word,
+  string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE t < 3) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(share) AS score FROM s GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels,
+  coalesce(labels, '') AS labels, coalesce(score, 0.0) AS score FROM d LEFT JOIN g USING (r)
+""")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = licenses.scan(read_table(spark, sf_dir, "documents").select("doc_id", F.col("text").cast("binary").alias("text")))
+    base = F.filter("found", lambda x: x["template"] < len(licenses.BASE))
+    joined = lambda found: F.array_join(F.array_sort(F.array_distinct(F.transform(found, lambda x: x["label"]))), ",")
+    return rows.select(
+        "doc_id", "n_words", F.size(base).cast("bigint").alias("n_base"), F.array_min(F.transform(base, lambda x: x["word"])).alias("first_word"),
+        F.array_max(F.transform(base, lambda x: x["word"])).alias("last_word"), joined(base).alias("base_labels"), joined(F.col("found")).alias("labels"),
+        F.coalesce(F.array_max(F.transform("found", lambda x: x["share"])), F.lit(0.0)).alias("score"))
