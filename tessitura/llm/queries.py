@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..sources.tables import read_table
-from . import decontam, licenses, rules, sharding, simhash, warc
+from . import decontam, hmm, licenses, rules, sharding, simhash, warc
 from .registry import ORACLES, QUERIES, query
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -117,3 +117,8 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", F.size(base).cast("bigint").alias("n_base"), F.array_min(F.transform(base, lambda x: x["word"])).alias("first_word"),
         F.array_max(F.transform(base, lambda x: x["word"])).alias("last_word"), joined(base).alias("base_labels"), joined(F.col("found")).alias("labels"),
         F.coalesce(F.array_max(F.transform("found", lambda x: x["share"])), F.lit(0.0)).alias("score"))
+
+
+@query("op3_hidden_markov")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm.score_documents(read_table(spark, sf_dir, "documents"))
