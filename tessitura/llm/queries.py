@@ -1,16 +1,19 @@
 """The registered queries: each applies one operator, with production parameters, to its whole table."""
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..sources.tables import read_table
-from . import decontam, hmm, licenses, rules, sharding, simhash, warc
+from . import decontam, hmm, licenses, repair, rules, sharding, simhash, warc
 from .registry import ORACLES, QUERIES, query
 
 __all__ = ["ORACLES", "QUERIES"]
 
 #: Bytes of a shard in op6; the operator's own default is 128 MiB, for corpora larger than the test tables.
 SHARD_BYTES = 1 << 20
+#: Fixed values of the byte-level vocabulary: its size with the special token, and the id that ends a document.
+VOCABULARY, END_ID = 50_257, 2
 
 
 @query("op2_warc_records", """
@@ -122,3 +125,10 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_hidden_markov")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hmm.score_documents(read_table(spark, sf_dir, "documents"))
+
+
+@query("op10_re_pair_files")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    rows = repair.token_files(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, VOCABULARY, END_ID, ids=False)
+    return rows.select(F.col("key").alias("doc_id"), "start", "n_tokens", "ids_crc32")
