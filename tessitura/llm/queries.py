@@ -5,7 +5,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..sources.tables import read_table
-from . import decontam, hmm, licenses, repair, rules, sharding, simhash, warc
+from . import bpe, decontam, hmm, licenses, repair, rules, sharding, simhash, warc
 from .registry import ORACLES, QUERIES, query
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -132,3 +132,13 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     rows = repair.token_files(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, VOCABULARY, END_ID, ids=False)
     return rows.select(F.col("key").alias("doc_id"), "start", "n_tokens", "ids_crc32")
+
+
+@query("op9_byte_bpe")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    rows = bpe.decode(bpe.encode(docs, path, public_tokenizers.PATTERN).select("doc_id", "ids"), path)
+    listed = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return rows.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), F.sha2(listed, 256).alias("ids_sha256"),
+                       F.sha2("decoded", 256).alias("decoded_sha256"))
