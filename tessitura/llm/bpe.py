@@ -1,9 +1,8 @@
 """Byte-level BPE: ranked merges folded over the bytes of distinct words by higher-order functions, ids back to bytes.
 
 The rank map is a literal: an open hash table of (left id, right id) pairs, each in one of two slots, as an array that
-every row of a task shares. A word starts as the ids of its bytes with the rank of every neighbouring pair; each step of
-the fold replaces the leftmost pair of least rank and looks up its two new neighbours. The ranks are by bytes (any two
-parts of a token may merge into it), as the rank files mean them.
+every row of a task shares (a slot holds the pair plus one, so that an empty slot is no pair). A word starts as the ids of its bytes with the rank of every neighbouring pair; each step of
+the fold replaces the leftmost pair of least rank and looks up its two new neighbours.
 """
 from __future__ import annotations
 
@@ -23,7 +22,7 @@ from .pieces import coded, gathered, pieces
 from .vocabulary import frequent
 
 #: Slots of the pair table as a power of two, its two hash multipliers, "no such pair", and ids that fit an entry.
-SLOT_BITS, NONE, ID_BITS = 18, 1 << 17, 17
+SLOT_BITS, NONE, ID_BITS = 17, 1 << 17, 17
 MULTIPLIERS = ((40503, 30011), (60493, 19997))
 #: Pieces that tasks hold with their ids (others are folded where they stand), and bytes beyond which a piece is merged
 #: with a heap instead, as the fold copies the word in each step.
@@ -39,21 +38,32 @@ class Ranks:
         self.byte_ids = [self.of[bytes([b])] for b in range(256)]
         if max(self.of.values()) >= NONE:
             raise ValueError(f"ids from {NONE} do not fit the pair table")
-        self.pairs = {(self.of[t[:i]], self.of[t[i:]]): r for t, r in self.of.items() for i in range(1, len(t))
-                      if t[:i] in self.of and t[i:] in self.of}
+        self.pairs = {pair: r for t, r in self.of.items() if (pair := self._last_pair(t, r)) is not None}
+
+    def _last_pair(self, token: bytes, rank: int) -> tuple[int, int] | None:
+        """The two ids whose merge yields the token. Inside a token merges run as they do for the token alone, as none
+        crosses its ends, so no other pair ever does; a token that its own bytes do not lead to is never made."""
+        parts = [token[i:i + 1] for i in range(len(token))]
+        while len(parts) > 2:
+            found = [(self.of.get(a + b, rank), i) for i, (a, b) in enumerate(zip(parts, parts[1:]))]
+            least, i = min(found)
+            if least >= rank:
+                return None
+            parts[i:i + 2] = [parts[i] + parts[i + 1]]
+        return (self.of[parts[0]], self.of[parts[1]]) if len(parts) == 2 else None
 
     def table(self) -> list[int]:
-        """Slots of (left, right, merged) numbers, by two-choice hashing; an empty slot is -1."""
-        slots = [-1] * (1 << SLOT_BITS)
+        """Slots of (left, right, merged) numbers, by two-choice hashing; an empty slot is 0."""
+        slots = [0] * (1 << SLOT_BITS)
         for (a, b), rank in self.pairs.items():
-            entry, side = (a << ID_BITS | b) << ID_BITS | rank, 0
+            entry, side = ((a << ID_BITS | b) + 1) << ID_BITS | rank, 0
             for _ in range(2000):
-                key = entry >> ID_BITS
+                key = (entry >> ID_BITS) - 1
                 at = slot(key >> ID_BITS, key & (1 << ID_BITS) - 1, side)
                 entry, slots[at] = slots[at], entry
-                if entry < 0:
+                if not entry:
                     break
-                key = entry >> ID_BITS
+                key = (entry >> ID_BITS) - 1
                 left, right = key >> ID_BITS, key & (1 << ID_BITS) - 1
                 side = 1 if at == slot(left, right, 0) else 0
             else:
@@ -86,35 +96,41 @@ def fold(word: Column, path: str) -> Column:
     table, none = literal(book.table()), F.array().cast("array<bigint>")
 
     def looked_up(a: Column, b: Column) -> Column:
-        key = F.shiftleft(a, ID_BITS).bitwiseOR(b)
+        key = F.shiftleft(a, ID_BITS).bitwiseOR(b) + 1
         found = F.lit(NONE).cast("bigint")
         for side in (1, 0):
             entry = F.get(table, slot_column(a, b, side))
             found = F.when(F.shiftright(entry, ID_BITS) == key, entry.bitwiseAND((1 << ID_BITS) - 1)).otherwise(found)
         return found
 
-    def merged(state: Column) -> Column:
+    pair = lambda a, b: F.struct(a.alias("a"), b.alias("b"))
+    nothing = F.array().cast("array<struct<a: bigint, b: bigint>>")
+
+    def step(state: Column) -> Column:
+        """The first step (no pairs yet) looks up all pairs, each later one merges one pair and looks up its neighbours."""
+        ids, pairs = state["ids"], state["pairs"]
+        n = F.size(ids)
+
         def at_place(p: Column, best: Column) -> Column:
-            ids, pairs = state["ids"], state["pairs"]
-            n = F.size(ids)
-            pair = lambda a, b: F.array(F.struct(a.alias("a"), b.alias("b")))
-            nothing = F.array().cast("array<struct<a: bigint, b: bigint>>")
-            beside = F.concat(F.when(p > 1, pair(F.get(ids, p - 2), best)).otherwise(nothing),
-                              F.when(p + 1 < n, pair(best, F.get(ids, p + 1))).otherwise(nothing))
-            return F.struct(
-                F.concat(F.slice(ids, 1, p - 1), F.array(best), F.slice(ids, p + 2, n)).alias("ids"),
-                F.concat(F.slice(pairs, 1, F.greatest(p - 2, F.lit(0))), F.transform(beside, lambda x: looked_up(x["a"], x["b"])),
-                         F.slice(pairs, p + 2, n)).alias("pairs"))
-
-        least = F.array_min(state["pairs"])
-        return F.when(F.coalesce(least, F.lit(NONE)) >= NONE, state).otherwise(
-            let(least, lambda best: let(F.array_position(state["pairs"], best).cast("int"), lambda p: at_place(p, best))))
+            merged = F.concat(F.slice(ids, 1, p - 1), F.array(best), F.slice(ids, p + 2, n))
+            beside = F.concat(F.when(p > 1, F.array(pair(F.get(ids, p - 2), best))).otherwise(nothing),
+                              F.when(p + 1 < n, F.array(pair(best, F.get(ids, p + 1)))).otherwise(nothing))
+            return F.struct(merged.alias("ids"), F.slice(pairs, 1, F.greatest(p - 2, F.lit(0))).alias("left"), beside.alias("new"),
+                            F.slice(pairs, p + 2, n).alias("right"))
+
+        every = F.transform(F.slice(ids, 2, n), lambda b, i: pair(F.get(ids, i), b))
+        start = F.struct(ids.alias("ids"), none.alias("left"), every.alias("new"), none.alias("right"))
+        merging = let(F.array_min(pairs), lambda best: let(F.array_position(pairs, best).cast("int"), lambda p: at_place(p, best)))
+        planned = F.when(pairs.isNull(), start).otherwise(merging)
+        done = F.coalesce(F.array_min(pairs) >= NONE, F.lit(False))
+        return F.when(done, state).otherwise(let(planned, lambda x: F.struct(
+            x["ids"].alias("ids"), F.concat(x["left"], F.transform(x["new"], lambda y: looked_up(y["a"], y["b"])), x["right"]).alias("pairs"))))
 
     def from_ids(ids: Column) -> Column:
         n = F.size(ids)
-        pairs = F.when(n > 1, F.transform(F.slice(ids, 2, n), lambda b, i: looked_up(F.get(ids, i), b))).otherwise(none)
-        steps = F.when(n > 1, F.sequence(F.lit(1), n - 1)).otherwise(F.array().cast("array<int>"))
-        return F.aggregate(steps, F.struct(ids.alias("ids"), pairs.alias("pairs")), lambda state, _: merged(state), lambda state: state["ids"])
+        start = F.struct(ids.alias("ids"), F.lit(None).cast("array<bigint>").alias("pairs"))
+        steps = F.when(n > 1, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
+        return F.aggregate(steps, start, lambda state, _: step(state), lambda state: state["ids"])
 
     places = F.when(F.octet_length(word) > 0, F.sequence(F.lit(1), F.octet_length(word))).otherwise(F.array().cast("array<int>"))
     chars = let(F.decode(word, "ISO-8859-1"), lambda w: F.transform(places, lambda i: F.get(literal(book.byte_ids), F.ascii(F.substring(w, i, F.lit(1))))))
@@ -178,11 +194,11 @@ def dictionary(counts: DataFrame, path: str, most: int) -> tuple[bytes, np.ndarr
     """Frequent pieces (their bytes end to end, and ends) with the ids that the fold gives (flat, and length of each)."""
     spark = counts.sparkSession
     parts = 4 * spark.sparkContext.defaultParallelism
-    table = written(frequent(counts, most).select("token").repartition(parts).select("token", fold(F.col("token"), path).alias("ids")), "piece-ids").toArrow()
+    table = written(frequent(counts, most).select("token").repartition(parts).select("token", fold(F.col("token"), path).cast("array<int>").alias("ids")), "piece-ids").toArrow()
     tokens, ids = table.column("token").combine_chunks(), table.column("ids").combine_chunks()
     sizes = np.asarray(pa.compute.list_value_length(ids), np.int64)
     lengths = np.asarray(pa.compute.binary_length(tokens), np.int64)
-    return b"".join(tokens.to_pylist()), np.cumsum(lengths), np.asarray(ids.flatten(), np.int64).astype(np.int32), sizes
+    return b"".join(tokens.to_pylist()), np.cumsum(lengths), np.asarray(ids.flatten(), np.int32), sizes
 
 
 def encode(docs: DataFrame, path: str, pattern: str, most: int = DICTIONARY, text: str = "text") -> DataFrame:
