@@ -5,7 +5,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..sources.tables import read_table
-from . import bpe, decontam, hmm, licenses, repair, rules, sharding, simhash, warc
+from . import bpe, decontam, hmm, licenses, repair, rules, sharding, simhash, suffixes, warc
 from .registry import ORACLES, QUERIES, query
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -142,3 +142,20 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     listed = F.array_join(F.col("ids").cast("array<string>"), " ")
     return rows.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), F.sha2(listed, 256).alias("ids_sha256"),
                        F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query("op1_sparse_suffixes", r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+    FROM (SELECT DISTINCT doc_id, coalesce(text, '') AS t FROM documents)),
+g AS (SELECT r, doc_id, i, sha256(array_to_string(list_slice(w, i, i + 49), ' ')) AS h FROM (SELECT *, unnest(range(1, len(w) - 48)) AS i FROM d WHERE len(w) >= 50)),
+s AS (SELECT r, doc_id, i - 1 AS y FROM (SELECT *, count(*) OVER (PARTITION BY h) AS n FROM g) WHERE n > 1),
+c AS (SELECT *, CASE WHEN y - lag(y) OVER (PARTITION BY r ORDER BY y) <= 50 THEN 0 ELSE 1 END AS new FROM s),
+k AS (SELECT *, sum(new) OVER (PARTITION BY r ORDER BY y) AS span FROM c)
+SELECT doc_id, min(y) AS start_word, max(y) + 50 AS end_word, max(y) + 50 - min(y) AS n_words FROM k GROUP BY r, doc_id, span
+""")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row per repeated passage and document; documents without one have no row."""
+    rows = suffixes.repeated_spans(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    spans = rows.select("doc", F.explode(F.arrays_zip("starts", "ends")).alias("s"))
+    return spans.select(F.when(F.col("doc") != F.lit(-(1 << 63)), F.col("doc")).alias("doc_id"), F.col("s.starts").alias("start_word"),
+                        F.col("s.ends").alias("end_word"), (F.col("s.ends") - F.col("s.starts")).alias("n_words"))
