@@ -14,10 +14,10 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..session import written
-from .common import let, need
+from .common import let, need, replacing, with_fields
 from .pieces import coded, gathered, pieces
 from .vocabulary import frequent
 
@@ -205,15 +205,12 @@ def encode(docs: DataFrame, path: str, pattern: str, most: int = DICTIONARY, tex
     """The rows with ``ids``: the whole text cut by the pattern, each piece merged by the ranks; null is empty.
 
     Pieces are counted over all rows; the distinct frequent ones are folded once and held by every task (at most ``most``
-    of 64 bytes), all others are folded in the rows where they stand, once per row.
+    of 64 bytes), all others are folded in the rows where they stand, once per row. Columns of the added names are replaced.
     """
     need(docs, text)
-    clash = {"ids", "_pieces", "_codes", "_rare", "_rare_ids"} & set(docs.columns)
-    if clash:
-        raise ValueError(f"columns {sorted(clash)} would be overwritten")
+    docs = replacing(docs, "ids", "_pieces", "_codes", "_rare", "_rare_ids")
     cut = docs.withColumn("_pieces", pieces(F.col(text), pattern))
     shared = docs.sparkSession.sparkContext.broadcast(dictionary(piece_counts(cut.select("_pieces")), path, most))
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = _index(shared)
@@ -256,13 +253,14 @@ def encode(docs: DataFrame, path: str, pattern: str, most: int = DICTIONARY, tex
                                              names=[*own, "ids"])
 
     folded = F.transform("_rare", lambda w: F.when(F.octet_length(w) <= LONG, fold(w, path)))
-    return cut.mapInArrow(number, f"{kept}, _codes binary, _rare array<binary>").withColumn("_rare_ids", folded).mapInArrow(
-        assemble, f"{kept}, ids array<int>")
+    numbered = cut.mapInArrow(number, with_fields(docs, _codes=T.BinaryType(), _rare=T.ArrayType(T.BinaryType())))
+    return numbered.withColumn("_rare_ids", folded).mapInArrow(assemble, with_fields(docs, ids=T.ArrayType(T.IntegerType())))
 
 
 def decode(rows: DataFrame, path: str, ids: str = "ids") -> DataFrame:
     """The rows with ``decoded``: the pieces of the ids, concatenated; null ids give null."""
     need(rows, ids)
+    rows = replacing(rows, "decoded")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         book = ranks(path)
@@ -278,5 +276,4 @@ def decode(rows: DataFrame, path: str, ids: str = "ids") -> DataFrame:
             joined = pa.compute.binary_join(lists, b"")
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.compute.if_else(column.is_valid(), joined, None)], names=[*batch.schema.names, "decoded"])
 
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-    return rows.mapInArrow(run, f"{kept}, decoded binary")
+    return rows.mapInArrow(run, with_fields(rows, decoded=T.BinaryType()))

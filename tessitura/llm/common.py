@@ -5,7 +5,7 @@ import uuid
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 #: Upper-case ASCII letters to lower case.
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -34,6 +34,17 @@ def need(df: DataFrame, *columns: str) -> None:
         raise ValueError(f"columns {missing} are missing; there are {df.columns}")
 
 
+def replacing(df: DataFrame, *added: str) -> DataFrame:
+    """The rows without columns of the names that an operator is about to add: its own take their place."""
+    names = {a.lower() for a in added}
+    return df.drop(*[c for c in df.columns if c.lower() in names])
+
+
+def with_fields(df: DataFrame, **added: T.DataType) -> T.StructType:
+    """The schema of the rows plus further columns."""
+    return T.StructType([*df.schema.fields, *[T.StructField(k, v) for k, v in added.items()]])
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` over ``value`` computed once per row, however often the body names it (also inside lambdas)."""
     return F.transform(F.array(value), body)[0]

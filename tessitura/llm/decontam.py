@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import written
-from .common import letter_words, need
+from .common import letter_words, need, replacing
 
 WINDOW, BLOCK = 10, 200_000
 
@@ -86,19 +86,15 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-HITS = "n_words bigint, starts array<bigint>, ends array<bigint>, items array<string>"
-
-
 def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, text: str = "text", block: int = BLOCK) -> DataFrame:
     """The rows with ``n_words``, merged hit spans (``starts``, ``ends`` in words) and the items found (sorted texts).
 
     Exact for any number of items: blocks of ``block`` windows are held by every task, one after the other, each with a
     pass over all documents whose hits are written before the next. Null texts have no words; repeated rows stay.
+    Columns of the added names are replaced.
     """
     need(docs, text)
-    clash = {"n_words", "starts", "ends", "items"} & set(docs.columns)
-    if clash:
-        raise ValueError(f"columns {sorted(clash)} would be overwritten")
+    docs = replacing(docs, "n_words", "starts", "ends", "items")
     windows = written(item_windows(items, window), "item-windows")
     blocks = max(1, -(-windows.count() // block))
     fields = docs.schema

@@ -10,9 +10,9 @@ from collections.abc import Iterator
 from typing import NamedTuple
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import letter_words, need
+from .common import letter_words, need, replacing, with_fields
 from .decontam import word_counts
 
 
@@ -82,12 +82,10 @@ def scan(docs: DataFrame, templates: tuple[Template, ...] = BASE + MORE, text: s
     """The rows with ``n_words`` and ``found``: (label, template, word, share) of every place, in order of place.
 
     Document frequencies of the licence words come from all documents; only they decide which words are looked up, the
-    places found are the same for any. Null texts have no words; repeated rows stay.
+    places found are the same for any. Null texts have no words; repeated rows stay; columns of the added names are replaced.
     """
     need(docs, text)
-    clash = {"n_words", "found"} & set(docs.columns)
-    if clash:
-        raise ValueError(f"columns {sorted(clash)} would be overwritten")
+    docs = replacing(docs, "n_words", "found")
     index = build_index(templates, word_counts(docs, {w for t in templates for w in t.key}, text))
     kind = pa.list_(pa.struct([("label", pa.string()), ("template", pa.int32()), ("word", pa.int64()), ("share", pa.float64())]))
 
@@ -103,5 +101,5 @@ def scan(docs: DataFrame, templates: tuple[Template, ...] = BASE + MORE, text: s
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(n_words, pa.int64()), pa.array(found, kind)],
                                              names=[*batch.schema.names, "n_words", "found"])
 
-    added = "n_words bigint, found array<struct<label: string, template: int, word: bigint, share: double>>"
-    return docs.mapInArrow(run, ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema] + [added]))
+    place = T.StructType().add("label", T.StringType()).add("template", T.IntegerType()).add("word", T.LongType()).add("share", T.DoubleType())
+    return docs.mapInArrow(run, with_fields(docs, n_words=T.LongType(), found=T.ArrayType(place)))

@@ -6,7 +6,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import let, need
+from .common import let, need, replacing
 
 BLANKS = r"[\x20\x09-\x0D]+"
 
@@ -68,11 +68,10 @@ def ledger(docs: DataFrame, text: str = "text") -> DataFrame:
     """The rows with all measurements and ``fail_bits``: bit k is 1 where rule k of ``RULES`` fails.
 
     Repeated rows and null or empty texts keep a row each (the latter fail ``few_words`` and have all measurements 0).
+    Columns named like a measurement are replaced.
     """
     need(docs, text)
-    clash = {*MEASURES, "fail_bits", "_m"} & set(docs.columns)
-    if clash:
-        raise ValueError(f"columns {sorted(clash)} would be overwritten")
+    docs = replacing(docs, *MEASURES, "fail_bits", "_m")
     measured = docs.withColumn("_m", F.explode(F.array(measures(F.coalesce(F.col(text), F.lit("")).cast("string")))))
     parts = {"n_symbols": "_m.n_symbols", **{k: f"_m.l.{k}" for k in ("n_lines", "n_dup_lines")},
              **{k: f"_m.w.{k}" for k in ("n_words", "word_chars", "n_repeat_words", "n_letter_words")}}

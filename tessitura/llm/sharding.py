@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..session import written
-from .common import need
+from .common import need, replacing
 
 #: Bits of the key hash in use, and bits examined per round (a round has at most 2**STEP cells per oversized bucket).
 BITS, STEP = 60, 15
@@ -33,16 +33,12 @@ def shard(df: DataFrame, key: str, size: Column, limit: int = 128 << 20) -> Data
     whose rows fit (``-`` for the empty prefix). Sizes are aggregated per cell of 15 bits before any decision; further
     bits are read only inside cells that are still too large. Rows of one hash that exceed the limit by themselves get
     numbered overflow pages by size class, each within the limit; a row larger than the limit has a page of its own.
-    Null sizes count as 0, null keys as one key; all rows are kept.
+    Null sizes count as 0, null keys as one key; all rows are kept. Columns of the added names are replaced.
     """
     need(df, key)
-    clash = {"n_bytes", "shard", "depth"} & set(df.columns)
-    if clash:
-        raise ValueError(f"columns {sorted(clash)} would be overwritten")
-    spark = df.sparkSession
-    rows = df.withColumn("n_bytes", F.coalesce(size, F.lit(0)).cast("bigint")).withColumn("_h", key_hash(F.col(key)))
-    if not df.columns:
-        raise ValueError("no columns")
+    sized = df.withColumn("_size", F.coalesce(size, F.lit(0)).cast("bigint"))
+    df = replacing(df, "n_bytes", "shard", "depth", "_h")
+    rows = sized.select(*df.columns, F.col("_size").alias("n_bytes"), key_hash(F.col(key)).alias("_h"))
     sizes = written(rows.select("_h", "n_bytes").groupBy("_h").agg(F.sum("n_bytes").alias("n_bytes")), "shard-sizes")
     directory, pending = None, None
     for low in range(0, BITS, STEP):

@@ -11,10 +11,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import combinations
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..session import written
 from .common import blank_words, need
@@ -24,6 +25,9 @@ from .graph import components
 GENERATOR, LENGTH, RADIUS = 0xC75, 23, 3
 #: Differing bits allowed, and expected fingerprints of a comparison cell.
 DISTANCE, CELL = 4, 2048
+#: Of near copies: word-set fingerprints per text, words of a shingle, differing bits of the shingle fingerprints (at
+#: least 0.8 of 64 bits agree).
+TABLES, SHINGLE, SHINGLE_DISTANCE = 4, 5, 12
 
 
 def shingle_hashes(words: list[bytes], k: int) -> np.ndarray:
@@ -41,8 +45,12 @@ def shingle_hashes(words: list[bytes], k: int) -> np.ndarray:
 
 
 def fingerprint(words: list[bytes], k: int) -> int:
-    """Bit set where over half of the shingle hashes have it, as a signed 64-bit number; no words give 0."""
-    hashes = shingle_hashes(words, k)
+    """The fingerprint of all k-word shingles."""
+    return majority(shingle_hashes(words, k))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """Bit set where over half of the hashes have it, as a signed 64-bit number; no hashes give 0."""
     counts = np.zeros(64, np.int64)
     for start in range(0, len(hashes), 1 << 15):
         part = hashes[start:start + (1 << 15)]
@@ -61,7 +69,15 @@ def fingerprints(docs: DataFrame, k: int = 4, key: str = "doc_id", text: str = "
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int64())], names=["key", "fp"])
 
     rows = docs.select(F.col(key).alias("key"), F.col(text).cast("binary").alias("body"))
-    return rows.mapInArrow(run, f"key {docs.schema[key].dataType.simpleString()}, fp bigint")
+    return rows.mapInArrow(run, T.StructType([T.StructField("key", docs.schema[key].dataType), T.StructField("fp", T.LongType())]))
+
+
+def word_set_fingerprints(words: list[bytes], tables: int = TABLES) -> list[int]:
+    """Independent fingerprints of the set of words, one per hash seed."""
+    import xxhash
+
+    distinct, digest = set(words), xxhash.xxh64_intdigest
+    return [majority(np.fromiter((digest(w, seed) for w in distinct), np.uint64, len(distinct))) for seed in range(tables)]
 
 
 @lru_cache(maxsize=1)
@@ -103,92 +119,142 @@ def replicas(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return tuple(np.concatenate(c) for c in zip(*out))
 
 
-def linked(left: np.ndarray, right: np.ndarray | None, distance: int = DISTANCE) -> Iterator[tuple[int, int]]:
-    """Links that connect whatever is within ``distance`` inside ``left``, or between ``left`` and ``right``.
+class Side(NamedTuple):
+    """Nodes of a comparison: id, the fingerprint that placed them, and the one that confirms a link."""
+
+    node: np.ndarray
+    placed: np.ndarray
+    fine: np.ndarray
 
-    At most one link fewer than fingerprints: links inside what already hangs together are left out.
+
+def linked(left: Side, right: Side | None, fine: int, distance: int = DISTANCE) -> Iterator[tuple[int, int]]:
+    """Links that connect whatever is within ``distance`` (and ``fine`` bits of the confirming fingerprints) inside
+    ``left``, or between ``left`` and ``right``.
+
+    At most one link fewer than nodes: links inside what already hangs together are left out.
     """
-    every = left if right is None else np.concatenate((left, right))
-    other, shift = (left, 0) if right is None else (right, len(left))
-    here, there = left.view(np.uint64), other.view(np.uint64)  # bits of a signed number are counted of its absolute value
+    every = left.node if right is None else np.concatenate((left.node, right.node))
+    other, shift = (left, 0) if right is None else (right, len(left.node))
+    view = lambda x: x.view(np.uint64)  # noqa: E731  bits of a signed number are counted of its absolute value
     labels = np.arange(len(every))
-    step = max(1, (1 << 20) // max(1, len(other)))
-    for start in range(0, len(left), step):
-        near = np.bitwise_count(here[start:start + step, None] ^ there[None, :]) <= distance
-        for r in np.nonzero(near.sum(axis=1) > (1 if right is None else 0))[0]:
-            at = np.nonzero(near[r])[0] + shift
-            own = labels[start + r]
+    step = max(1, (1 << 20) // max(1, len(other.node)))
+    for start in range(0, len(left.node), step):
+        near = np.bitwise_count(view(left.placed)[start:start + step, None] ^ view(other.placed)[None, :]) <= distance
+        r, c = np.nonzero(near)
+        sure = np.bitwise_count(view(left.fine)[start + r] ^ view(other.fine)[c]) <= fine
+        if right is None:
+            sure &= start + r != c
+        r, c = r[sure], c[sure]
+        bounds = np.searchsorted(r, np.arange(near.shape[0] + 1))
+        for i in np.unique(r):
+            at = c[bounds[i]:bounds[i + 1]] + shift
+            own = labels[start + i]
             names, first = np.unique(labels[at], return_index=True)
             new = names != own
             if new.any():
-                for i in first[new]:
-                    yield int(every[start + r]), int(every[at[i]])
+                for k in first[new]:
+                    yield int(every[start + i]), int(every[at[k]])
                 labels[np.isin(labels, names)] = own
 
 
-def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bool, np.ndarray, np.ndarray]]:
-    """(same part, parts, fingerprints) of each cell; rows come sorted by cell."""
-    rest = None
+def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+    """The rows of each cell; they come sorted by cell."""
     def cut(rows: np.ndarray, whole: bool):
         change = np.nonzero((rows[1:, :4] != rows[:-1, :4]).any(axis=1))[0] + 1
         bounds = [0, *change.tolist(), *([len(rows)] if whole else [])]
         for a, b in zip(bounds, bounds[1:]):
             if b - a > 1:
-                yield rows[a, 2] == rows[a, 3], rows[a:b, 4], rows[a:b, 5]
+                yield rows[a:b]
         return rows[bounds[-1]:]
 
+    rest = None
     for batch in batches:
-        rows = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in range(6)], axis=1)
+        rows = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in range(8)], axis=1)
         if len(rows):
             rest = yield from cut(rows if rest is None else np.concatenate((rest, rows)), False)
     if rest is not None and len(rest):
         yield from cut(rest, True)
 
 
-def links(nodes: DataFrame) -> DataFrame:
-    """Edges (u, v) between distinct fingerprints ``fp`` that connect all within 4 bits of each other.
+def links(nodes: DataFrame, fine: int = 64) -> DataFrame:
+    """Edges (u, v) between ``nodes`` (node, prints, fine) that connect all that are within 4 bits in one of their
+    ``prints`` and within ``fine`` bits in the confirming fingerprint.
 
-    An anchor with many fingerprints is cut into parts of about ``CELL``; each pair of parts is a cell of its own, so
-    no task holds a whole hot anchor. Per cell only links that join something are returned.
+    An anchor with many nodes is cut into parts of about ``CELL``; each pair of parts is a cell of its own, so no task
+    holds a whole hot anchor. Per cell only links that join something are returned. The table of hot anchors is broadcast:
+    it has at most one row per anchor (2 * 4096 + 2**18 for each print), however many nodes there are.
     """
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = batch.column(0).to_numpy()
-            for start in range(0, len(fps), 1 << 15):
-                part = fps[start:start + (1 << 15)]
-                block, anchor, row = replicas(part)
-                yield pa.RecordBatch.from_arrays([pa.array(block), pa.array(anchor), pa.array(part[row])], names=["block", "anchor", "fp"])
+            for start in range(0, batch.num_rows, 1 << 14):
+                some = batch.slice(start, 1 << 14)
+                node, fines = some.column(0).to_numpy(), some.column(2).to_numpy()
+                prints = some.column(1).flatten().to_numpy().reshape(len(node), -1)
+                for t in range(prints.shape[1]):
+                    part = np.ascontiguousarray(prints[:, t])
+                    block, anchor, row = replicas(part)
+                    yield pa.RecordBatch.from_arrays([pa.array(3 * t + block, pa.int32()), pa.array(anchor), pa.array(node[row]), pa.array(part[row]), pa.array(fines[row])],
+                                                     names=["block", "anchor", "node", "placed", "fine"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for same, parts, fps in _cells(batches):
-            if same:
-                found = list(linked(fps, None))
+        for rows in _cells(batches):
+            side = lambda x: Side(*(np.ascontiguousarray(x[:, c]) for c in (5, 6, 7)))
+            own = rows[:, 4] == rows[0, 2]
+            if rows[0, 2] == rows[0, 3]:
+                found = list(linked(side(rows), None, fine))
             else:
-                found = list(linked(fps[parts == parts.min()], fps[parts != parts.min()])) if parts.min() != parts.max() else []
+                found = list(linked(side(rows[own]), side(rows[~own]), fine)) if own.any() and not own.all() else []
             if found:
                 u, v = zip(*found)
                 yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
-    placed = written(nodes.select("fp").mapInArrow(spread, "block int, anchor bigint, fp bigint"), "anchors")
-    sizes = placed.groupBy("block", "anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").withColumn(
-        "parts", F.ceil(F.col("n") / CELL).cast("int"))
-    rows = placed.join(sizes, ["block", "anchor"]).withColumn("part", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
-    cells = rows.select("block", "anchor", "part", "fp", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")).select(
-        "block", "anchor", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "fp")
+    placed = nodes.select("node", "prints", "fine").mapInArrow(spread, "block int, anchor bigint, node bigint, placed bigint, fine bigint")
+    hot = placed.groupBy("block", "anchor").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > CELL).select(
+        "block", "anchor", F.ceil(F.col("n") / CELL).cast("int").alias("parts"))
+    rows = placed.join(F.broadcast(hot), ["block", "anchor"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    cells = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")).select(
+        "block", "anchor", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "node", "placed", "fine")
     dealt = cells.repartition("block", "anchor", "i", "j").sortWithinPartitions("block", "anchor", "i", "j")
     return dealt.mapInArrow(compare, "u bigint, v bigint")
 
 
+def _components(rows: DataFrame, nodes: DataFrame, fine: int) -> DataFrame:
+    """``rows`` (key, node) with the smallest key of their component."""
+    roots = components(links(nodes, fine))
+    rooted = nodes.join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
+    named = rooted.groupBy("root").agg(F.min("least").alias("component"))
+    return rows.join(rooted.select("node", "root").join(named, "root").drop("root"), "node")
+
+
 def near_duplicates(docs: DataFrame, k: int = 4, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, fp, component): component is the smallest key reachable over fingerprints within 4 bits.
 
     Equal fingerprints collapse before any comparison, so copies cost nothing there. Blank and null texts share
     fingerprint 0 and link like others; a null key never names a component unless it has no other member.
     """
-    rows = written(fingerprints(docs, k, key, text), "fingerprints")
-    nodes = written(rows.groupBy("fp").agg(F.min("key").alias("least")), "fingerprint-nodes")
-    roots = components(links(nodes))
-    rooted = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = rooted.groupBy("root").agg(F.min("least").alias("component"))
-    table = rooted.select("fp", "root").join(named, "root").select(F.col("fp").alias("_fp"), "component")
-    return rows.join(table, F.col("fp") == F.col("_fp")).select(F.col("key").alias(key), "fp", "component")
+    rows = written(fingerprints(docs, k, key, text).withColumnRenamed("fp", "node"), "fingerprints")
+    nodes = written(rows.groupBy("node").agg(F.min("key").alias("least")).withColumn("prints", F.array("node")).withColumn("fine", F.lit(0).cast("bigint")), "fingerprint-nodes")
+    return _components(rows, nodes, 64).select(F.col("key").alias(key), F.col("node").alias("fp"), "component")
+
+
+def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", tables: int = TABLES, k: int = SHINGLE, bits: int = SHINGLE_DISTANCE) -> DataFrame:
+    """(key, component) of near copies: texts whose k-word-shingle fingerprints differ in at most ``bits`` bits.
+
+    Such fingerprints differ in too many bits to be looked up by anchors, so candidates are texts that are within 4 bits
+    in one of several fingerprints of their word sets, which edits change less. Texts with equal fingerprints throughout
+    are one node, named by a 64-bit hash of them.
+    """
+    need(docs, key, text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = [blank_words(x.as_py()) for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([word_set_fingerprints(w, tables) for w in words], pa.list_(pa.int64())),
+                                              pa.array([fingerprint(w, k) for w in words], pa.int64())], names=["key", "prints", "fine"])
+
+    rows = docs.select(F.col(key).alias("key"), F.col(text).cast("binary").alias("body"))
+    kind = T.StructType([T.StructField("key", docs.schema[key].dataType), T.StructField("prints", T.ArrayType(T.LongType())), T.StructField("fine", T.LongType())])
+    found = written(rows.mapInArrow(run, kind).withColumn("node", F.xxhash64("prints", "fine")), "word-fingerprints")
+    nodes = written(found.groupBy("node").agg(F.min("key").alias("least"), F.min("prints").alias("prints"), F.min("fine").alias("fine")), "copy-nodes")
+    return _components(found.select("key", "node"), nodes, bits).select(F.col("key").alias(key), "component")

@@ -15,10 +15,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..session import written
-from .common import blank_words, need
+from .common import blank_words, need, replacing
 
 #: Words of a passage, of a hashed gram, and grams among which a minimiser is the least.
 PASSAGE, GRAM, GRAMS = 50, 5, 31
@@ -258,20 +258,22 @@ def without_words(body: bytes, starts: list[int], ends: list[int]) -> bytes:
 
 
 def drop_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows with every passage of at least 50 words cut from all places but its first; adds ``cut_words`` (0: as it was)."""
-    if {"cut_words", "doc", "h", "starts", "ends"} & set(docs.columns):
-        raise ValueError("a column would be overwritten")
-    spans = repeated_spans(docs, True, key, text)
+    """The rows with every passage of at least 50 words cut from all places but its first; ``cut_words`` is added (0: as it
+    was, a column of that name is replaced)."""
+    docs = replacing(docs, "cut_words")
+    spans = repeated_spans(docs.select(key, text), True, key, text)
+    others = [c for c in docs.columns if c != text]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, cuts = [], []
-            for body, starts, ends in zip(*(batch.column(c).to_pylist() for c in (text, "starts", "ends"))):
+            for body, starts, ends in zip(*(batch.column(c).to_pylist() for c in ("body", "starts", "ends"))):
                 texts.append(body if not starts else without_words(body.encode(), starts, ends).decode())
                 cuts.append(sum(ends or ()) - sum(starts or ()))
-            columns = {**{c: batch.column(c) for c in docs.columns}, text: pa.array(texts, pa.string()), "cut_words": pa.array(cuts, pa.int64())}
-            yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+            yield pa.RecordBatch.from_arrays([batch.column("others"), pa.array(texts, pa.string()), pa.array(cuts, pa.int64())], names=["others", "body", "cut_words"])
 
-    keyed = docs.select("*", *_keys(docs, key, text)).join(spans, ["doc", "h"], "left")
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return keyed.select(*docs.columns, "starts", "ends").mapInArrow(run, f"{kept}, cut_words bigint")
+    rows = docs.select(F.struct(F.lit(0).alias("_"), *others).alias("others"), F.col(text).alias("body"), *_keys(docs, key, text)).join(
+        spans, ["doc", "h"], "left").select("others", "body", "starts", "ends")
+    kind = T.StructType([rows.schema["others"], T.StructField("body", T.StringType()), T.StructField("cut_words", T.LongType())])
+    cut = rows.mapInArrow(run, kind)
+    return cut.select(*[F.col("body").alias(c) if c == text else F.col("others").getField(c).alias(c) for c in docs.columns], "cut_words")
