@@ -35,22 +35,24 @@ def gathered(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray, picks:
 
 
 class Cache:
-    """Ids of pieces, kept by a Python worker over tasks up to ``most`` entries; what is dropped is encoded again."""
+    """Ids of pieces, kept by a Python worker over tasks: of each two generations of ``most`` entries the older goes when
+    the newer is full, and what was looked up meanwhile has moved over. What is dropped is encoded again."""
 
     def __init__(self, encode: Callable[[list[str]], list[list[int]]], most: int = 300_000) -> None:
-        self.encode, self.most, self.held = encode, most, {}
+        self.encode, self.most, self.new, self.old = encode, most, {}, {}
 
     def ids(self, wanted: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(flat ids, start of each piece, length of each piece)."""
-        missing = [w for w in wanted if w not in self.held]
-        found = dict(zip(missing, (np.array(x, np.uint32) for x in self.encode(missing)))) if missing else {}
-        runs = [found[w] if w in found else self.held[w] for w in wanted]
-        if len(self.held) + len(found) > self.most:
-            self.held = {}
-        if len(found) <= self.most:
-            self.held.update(found)
-        lengths = np.fromiter(map(len, runs), np.int64, len(runs))
-        return np.concatenate(runs) if runs else np.empty(0, np.uint32), np.cumsum(lengths) - lengths, lengths
+        new, old = self.new, self.old
+        missing = [w for w in wanted if w not in new and w not in old]
+        found = dict(zip(missing, (np.array(x, "<u4").tobytes() for x in self.encode(missing)))) if missing else {}
+        runs = [new.get(w) or old.get(w) or found.get(w, b"") for w in wanted]
+        for a in range(0, len(wanted), self.most):
+            if len(self.new) + min(self.most, len(wanted) - a) > self.most:
+                self.old, self.new = self.new, {}
+            self.new.update(zip(wanted[a:a + self.most], runs[a:a + self.most]))
+        lengths = np.fromiter(map(len, runs), np.int64, len(runs)) // 4
+        return np.frombuffer(b"".join(runs), "<u4"), np.cumsum(lengths) - lengths, lengths
 
 
 _CACHES: dict[tuple, Cache] = {}
@@ -64,5 +66,5 @@ def library_cache(path: str) -> Cache:
 
         tokenizer = Tokenizer.from_file(path)
         tokenizer.encode_special_tokens = True
-        _CACHES[path] = Cache(lambda texts: [x.ids for x in tokenizer.encode_batch(texts, add_special_tokens=False)])
+        _CACHES[path] = Cache(lambda texts: [x.ids for x in tokenizer.encode_batch_fast(texts, add_special_tokens=False)])
     return _CACHES[path]

@@ -25,7 +25,7 @@ from .pieces import coded, gathered, library_cache, pieces
 
 MAGIC, HEAD = b"RPG1", struct.Struct("<4s5Q")
 #: Ids after which a shard is closed, rounds, pairs replaced per round, and occurrences below which a pair is left.
-SHARD_IDS, ROUNDS, PAIRS, LEAST = 4_000_000, 6, 2500, 8
+SHARD_IDS, ROUNDS, PAIRS, LEAST = 4_000_000, 4, 3800, 8
 
 
 class Grammar(NamedTuple):
@@ -60,10 +60,8 @@ def compress(ids: np.ndarray, sizes: np.ndarray, first: int, rounds: int = ROUND
         if len(symbols) < 2:
             break
         inside = owner[1:] == owner[:-1]
-        keys = symbols[:-1] << 32 | symbols[1:]
-        # Ranks of symbols keep the sort narrow: symbols fit into 16 bits as long as the vocabulary and rules do.
-        narrow = number <= 1 << 16
-        sorting = np.sort((symbols[:-1] << 16 | symbols[1:]).astype(np.uint32)[inside]) if narrow else np.sort(keys[inside])
+        narrow = number <= 1 << 16  # then a pair of symbols fits 32 bits, which sort faster
+        sorting = np.sort((symbols[:-1] << 16 | symbols[1:]).astype(np.uint32)[inside] if narrow else (symbols[:-1] << 32 | symbols[1:])[inside])
         if not len(sorting):
             break
         edge = np.concatenate(([0], np.nonzero(sorting[1:] != sorting[:-1])[0] + 1, [len(sorting)]))
@@ -78,9 +76,16 @@ def compress(ids: np.ndarray, sizes: np.ndarray, first: int, rounds: int = ROUND
         taken = np.sort(choose(distinct, count, most))
         if not len(taken):
             break
-        at = np.minimum(np.searchsorted(taken, keys), len(taken) - 1)
-        hit = np.nonzero((taken[at] == keys) & inside)[0]
-        symbols[hit] = number + at[hit]
+        # Rule of every (left, right) pair: rows and columns only for symbols that are left or right in some rule.
+        lefts, rights = np.unique(taken >> 32), np.unique(taken & 0xFFFFFFFF)
+        row, column = np.zeros(number, np.int32), np.zeros(number, np.int32)
+        row[lefts], column[rights] = np.arange(1, len(lefts) + 1), np.arange(1, len(rights) + 1)
+        rule = np.full((len(lefts) + 1) * (len(rights) + 1), -1, np.int32)
+        rule[row[taken >> 32] * (len(rights) + 1) + column[taken & 0xFFFFFFFF]] = np.arange(len(taken))
+        maybe = np.nonzero((row[symbols[:-1]] > 0) & (column[symbols[1:]] > 0) & inside)[0]
+        at = rule[row[symbols[maybe]] * (len(rights) + 1) + column[symbols[maybe + 1]]]
+        hit, at = maybe[at >= 0], at[at >= 0]
+        symbols[hit] = number + at
         keep = np.ones(len(symbols), bool)
         keep[hit + 1] = False
         symbols, owner = symbols[keep], owner[keep]
@@ -208,8 +213,8 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, pattern: str, voc
             return pa.RecordBatch.from_pylist([row], schema=MANIFEST)
 
         for batch in batches:
-            for start in range(0, batch.num_rows, 256):
-                some = batch.slice(start, 256)
+            for start in range(0, batch.num_rows, 2048):
+                some = batch.slice(start, 2048)
                 distinct, occurrence, bounds = coded(some.column("pieces"))
                 ids, ends = gathered(*cache.ids(distinct.to_pylist()), occurrence)
                 stops = np.concatenate(([0], ends))[bounds]
