@@ -38,14 +38,15 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Rows that repeat id and text are copies too: one of them stays. Null ids come first.
     """
-    keyed = docs.withColumn("_key", F.struct(F.col("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")))
-    groups = written(simhash.near_copies(keyed.select("_key", "text"), key="_key"), "near-copies")
-    stays = groups.filter(F.col("_key").eqNullSafe(F.col("component"))).groupBy("_key").agg(F.count(F.lit(1)).alias("_n")).select(
-        F.col("_key.doc_id").alias("_id"), F.col("_key.h").alias("_h"), "_n")
-    met = keyed.join(stays, F.col("_key.doc_id").eqNullSafe(F.col("_id")) & (F.col("_key.h") == F.col("_h")))
-    once = met.filter("_n = 1").select(*docs.columns)
-    repeated = met.filter("_n > 1").select("_id", "_h", F.struct(*docs.columns).alias("_row")).groupBy("_id", "_h").agg(F.first("_row").alias("_row"))
-    return once.unionByName(repeated.select(*[F.col("_row").getField(c).alias(c) for c in docs.columns]))
+    key = F.struct(F.col("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"))
+    groups = written(simhash.near_copies(docs.select(key.alias("key"), "text"), key="key"), "near-copies")
+    stays = groups.filter(F.col("key").eqNullSafe(F.col("component"))).groupBy("key").agg(F.count(F.lit(1)).alias("times")).select(
+        F.col("key.doc_id").alias("id"), F.col("key.h").alias("hash"), "times")
+    rows = docs.select(key.alias("key"), F.struct(*docs.columns).alias("row"))
+    met = rows.join(stays, F.col("key.doc_id").eqNullSafe(F.col("id")) & (F.col("key.h") == F.col("hash"))).select("key", "row", "times")
+    once = met.filter("times = 1").select("row").unionByName(
+        met.filter("times > 1").groupBy("key").agg(F.first("row").alias("row")).select("row"))
+    return once.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

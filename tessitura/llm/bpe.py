@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..session import written
 from .common import let, need, replacing, with_fields
-from .pieces import coded, gathered, pieces
+from .pieces import coded, gathered, pieces, sliced
 from .vocabulary import frequent
 
 #: Slots of the pair table as a power of two, its two hash multipliers, "no such pair", and ids that fit an entry.
@@ -170,7 +170,7 @@ def piece_counts(rows: DataFrame) -> DataFrame:
     schema = pa.schema([("token", pa.binary()), ("n", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             distinct, occurrence, _ = coded(batch.column(0))
             counts = np.bincount(occurrence, minlength=len(distinct))
             whole = pa.RecordBatch.from_arrays([distinct.cast(pa.binary()), pa.array(counts, pa.int64())], schema=schema)
@@ -214,7 +214,7 @@ def encode(docs: DataFrame, path: str, pattern: str, most: int = DICTIONARY, tex
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = _index(shared)
-        for batch in batches:
+        for batch in sliced(batches):
             distinct, occurrence, bounds = coded(batch.column("_pieces"))
             known = np.fromiter((index.get(x, -1) for x in distinct.cast(pa.binary()).to_pylist()), np.int64, len(distinct))
             codes = known[occurrence]
@@ -233,7 +233,7 @@ def encode(docs: DataFrame, path: str, pattern: str, most: int = DICTIONARY, tex
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, _, flat, sizes = shared.value
-        for batch in batches:
+        for batch in sliced(batches):
             names = batch.schema.names
             words = batch.column("_rare").flatten().to_pylist()
             folded = [x if x is not None else merged_long(w, path) for w, x in zip(words, batch.column("_rare_ids").flatten().to_pylist())]
@@ -266,7 +266,7 @@ def decode(rows: DataFrame, path: str, ids: str = "ids") -> DataFrame:
         book = ranks(path)
         names = {i: t for t, i in book.of.items()}
         table = pa.array([names.get(i) for i in range(max(names) + 1)], pa.binary())
-        for batch in batches:
+        for batch in sliced(batches):
             column = batch.column(ids)
             sizes = np.asarray(pa.compute.fill_null(pa.compute.list_value_length(column), 0), np.int64)
             parts = table.take(column.flatten())

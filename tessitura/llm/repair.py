@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..session import work_folder, written
 from .common import need, shared_file
-from .pieces import coded, gathered, library_cache, pieces
+from .pieces import coded, gathered, library_cache, pieces, sliced
 
 MAGIC, HEAD = b"RPG1", struct.Struct("<4s5Q")
 #: Ids after which a shard is closed, rounds, pairs replaced per round, and occurrences below which a pair is left.
@@ -212,24 +212,22 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, pattern: str, voc
             keys, sizes, held, size, number = [], [], [], 0, number + 1
             return pa.RecordBatch.from_pylist([row], schema=MANIFEST)
 
-        for batch in batches:
-            for start in range(0, batch.num_rows, 2048):
-                some = batch.slice(start, 2048)
-                distinct, occurrence, bounds = coded(some.column("pieces"))
-                ids, ends = gathered(*cache.ids(distinct.to_pylist()), occurrence)
-                stops = np.concatenate(([0], ends))[bounds]
-                lengths = np.diff(stops) + 1
-                full = np.empty(len(ids) + some.num_rows, np.int64)
-                last = np.cumsum(lengths) - 1
-                inner = np.ones(len(full), bool)
-                inner[last] = False
-                full[inner], full[last] = ids, end_id
-                keys += some.column("key").to_pylist()
-                sizes.append(lengths)
-                held.append(full)
-                size += len(full)
-                if size >= shard_ids:
-                    yield close()
+        for some in sliced(batches):
+            distinct, occurrence, bounds = coded(some.column("pieces"))
+            ids, ends = gathered(*cache.ids(distinct.to_pylist()), occurrence)
+            stops = np.concatenate(([0], ends))[bounds]
+            lengths = np.diff(stops) + 1
+            full = np.empty(len(ids) + some.num_rows, np.int64)
+            last = np.cumsum(lengths) - 1
+            inner = np.ones(len(full), bool)
+            inner[last] = False
+            full[inner], full[last] = ids, end_id
+            keys += some.column("key").to_pylist()
+            sizes.append(lengths)
+            held.append(full)
+            size += len(full)
+            if size >= shard_ids:
+                yield close()
         if keys:
             yield close()
 
