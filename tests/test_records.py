@@ -1,4 +1,5 @@
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -6,44 +7,58 @@ from pyspark.sql import functions as F
 from tessitura.operators import checks, records as R
 from tessitura.sources import readers as S
 
-VOCAB = R.Vocabulary(175, 0, 1, 2)
+VOCAB = R.Vocabulary(60, 4, 2, 3)
 
 
-def record(**changes):
-    return {"id": "a", "audio": "audio/a.flac", "language": "es-419", "espeak": "es-419", "speaker": "s", "condition": "clean",
-            "phoneme_ids": [1, 0, 20, 0, 21, 0, 2], "durations": [1, 2, 3, 4, 5, 6, 7], "text": "hola", "teacher": "t", "weight": 1.5} | changes
+def record(seed=0, **changes):
+    rng = random.Random(seed)
+    inner = [x for _ in range(rng.randint(0, 6)) for x in (rng.randint(5, 59), 4)]
+    ids = [2, 4, *inner, 3]
+    made = {"id": f"r{seed}", "audio": f"part{seed % 3}/clip{seed}.flac", "language": rng.choice(["nl", "pt-BR", "fi"]), "espeak": "nl", "speaker": f"p{seed % 5}",
+            "condition": rng.choice(R.CONDITIONS), "phoneme_ids": ids, "durations": [rng.randint(1, 9) for _ in ids] if seed % 4 else None,
+            "text": "tekst" * (seed % 3), "teacher": "maker", "weight": rng.choice([0.25, 1, 3.5])}
+    return made | changes
 
 
-BAD = [("condition", {"condition": "noisy"}), ("weight", {"weight": 0}), ("weight", {"weight": True}), ("json", {"weight": float("inf")}),
-       ("audio", {"audio": "/abs/a.flac"}), ("audio", {"audio": "../a.flac"}), ("language", {"language": "en.us"}), ("speaker", {"speaker": ""}),
-       ("durations", {"durations": [1, 2, 3]}), ("durations", {"durations": [1, 2, -3, 4, 5, 6, 7]}), ("durations", {"durations": [0] * 7}),
-       ("phoneme_ids", {"phoneme_ids": [1, 0, 20, 0, 2, 3, 4]}), ("phoneme_ids", {"phoneme_ids": [1, 20, 21, 0, 2]}),
-       ("phoneme_ids", {"phoneme_ids": [1, 0, 175, 0, 2]}), ("phoneme_ids", {"phoneme_ids": [1, 0, True, 0, 2]}),
-       ("phoneme_ids", {"phoneme_ids": [0, 0, 20, 0, 2]}), ("text", {"text": None}), ("fields", {"extra": 1}), ("id", {"id": 7}), ("durations", {"durations": "x"})]
+def breakers(rng, whole):
+    """(expected problem, changed record): for each field every way to break its rule."""
+    ids, n = whole["phoneme_ids"], len(whole["phoneme_ids"])
+    swap = lambda i, x: {"phoneme_ids": ids[:i] + [x] + ids[i + 1:]}
+    some = [rng.randint(1, 9) for _ in ids]
+    out = [(f, {f: x}) for f in ("id", "espeak", "speaker", "teacher") for x in ("", None, rng.randint(1, 9), ["x"])]
+    out += [("audio", {"audio": x}) for x in ("", "/" + whole["audio"], "a/../b.flac", None)]
+    out += [("language", {"language": x}) for x in ("", "nl.be", None)]
+    out += [("condition", {"condition": x}) for x in ("studio", "", None)]
+    out += [("weight", {"weight": x}) for x in (0, -rng.random(), "1", False, None)] + [("text", {"text": x}) for x in (None, 5)]
+    out += [("phoneme_ids", c) for c in (swap(0, 3), swap(n - 1, 2), swap(1, 5), swap(n - 2, 60) if n > 3 else swap(1, 60), {"phoneme_ids": ids + [4]}, {"phoneme_ids": [2]},
+                                         {"phoneme_ids": []}, {"phoneme_ids": "ids"}, swap(0, -1), swap(1, None), swap(1, 4.5))]
+    out += [("durations", {"durations": x}) for x in (some[1:], some + [1], [0] * n, [-1] + some[1:], "none", {"a": 1})]
+    return out + [("fields", {"more": 1}), ("json", {"weight": float("nan")}), ("json", {"weight": float("-inf")})]
 
 
 def parse(spark, lines):
-    df = spark.createDataFrame(list(enumerate(lines)), "n int, value string")
+    df = spark.createDataFrame(list(enumerate(lines)), "n int, value string").repartition(3)
     return {r["n"]: r for r in R.parse_records(df, VOCAB).collect()}
 
 
-def test_valid_records(spark):
-    rows = parse(spark, [json.dumps(record()), json.dumps(record(durations=None)), json.dumps(record(weight=2))])
-    assert all(r["problems"] == [] for r in rows.values())
-    assert rows[0]["durations"] == [1, 2, 3, 4, 5, 6, 7] and rows[1]["durations"] is None and rows[2]["weight"] == 2.0
+def test_made_records_are_valid(spark):
+    made = [record(k) for k in range(40)]
+    rows = parse(spark, [json.dumps(x) for x in made])
+    for n, x in enumerate(made):
+        assert rows[n]["problems"] == [] and {f: rows[n][f] for f in R.FIELDS} == x
 
 
-def test_bad_records(spark):
-    short = record()
-    del short["teacher"]
-    rows = parse(spark, [json.dumps(record(**c)) for _, c in BAD] + [json.dumps(short), "{", "[1]"])
-    for n, (name, change) in enumerate(BAD):
-        assert name in rows[n]["problems"], (change, rows[n]["problems"])
-    assert "fields" in rows[len(BAD)]["problems"] and rows[len(BAD) + 1]["problems"] == ["json"] and rows[len(BAD) + 2]["problems"]
+def test_every_broken_field_is_named(spark):
+    cases = [(want, record(seed) | change) for seed in (1, 6, 9) for want, change in breakers(random.Random(seed), record(seed))]
+    missing = [("fields", {k: v for k, v in record(2).items() if k != f}) for f in R.FIELDS]
+    rows = parse(spark, [json.dumps(x) for _, x in cases + missing] + ["", "{", "7"])
+    for n, (want, x) in enumerate(cases + missing):
+        assert want in rows[n]["problems"], (want, x, rows[n]["problems"])
+    assert all(rows[len(cases) + len(missing) + k]["problems"] for k in range(3))
 
 
 def test_shards_round_trip_and_strict_read(spark, tmp_path):
-    items = spark.createDataFrame([(i % 2, *[record(id=str(i))[f] for f in R.FIELDS]) for i in range(4)], "shard long, " + R.RECORD_SCHEMA)
+    items = spark.createDataFrame([(i % 2, *[record(1, id=str(i), audio=f"audio/{i}.flac")[f] for f in R.FIELDS]) for i in range(4)], "shard long, " + R.RECORD_SCHEMA)
     S.write_shards(items, str(tmp_path / "shards"))
     back = S.read_valid_shards(spark, str(tmp_path / "shards/*/*.json"), VOCAB)
     assert sorted(r["audio"] for r in back.collect()) == [f"audio/{i}.flac" for i in range(4)]
