@@ -1,15 +1,16 @@
 """Byte-level BPE: ranked merges folded over the bytes of distinct words by higher-order functions, ids back to bytes.
 
-The rank map is a literal: an open hash table of (left id, right id) pairs, each in one of two slots, as an array that
-every row of a task shares (a slot holds the pair plus one, so that an empty slot is no pair). A word starts as the ids of its bytes with the rank of every neighbouring pair; each step of
-the fold replaces the leftmost pair of least rank and looks up its two new neighbours.
+The rank map is a literal: the sparse rows of a pair table (left id by right id) laid over one another in one array, so
+that a look-up is one sum and two array reads, shared by every row of a task.
+A word starts as the ids of its bytes; each step of the fold replaces the leftmost pair of least
+rank, until no pair merges.
 """
 from __future__ import annotations
 
 import base64
 import heapq
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -21,9 +22,8 @@ from .common import let, need, replacing, with_fields
 from .pieces import coded, gathered, pieces, sliced
 from .vocabulary import frequent
 
-#: Slots of the pair table as a power of two, its two hash multipliers, "no such pair", and ids that fit an entry.
-SLOT_BITS, NONE, ID_BITS = 17, 1 << 17, 17
-MULTIPLIERS = ((40503, 30011), (60493, 19997))
+#: "No such pair" (a rank beyond all), bits of an id and of a place in a word.
+NONE, ID_BITS, PLACE_BITS = 1 << 17, 18, 10
 #: Pieces that tasks hold with their ids (others are folded where they stand), and bytes beyond which a piece is merged
 #: with a heap instead, as the fold copies the word in each step.
 DICTIONARY, LONG = 800_000, 256
@@ -52,33 +52,35 @@ class Ranks:
             parts[i:i + 2] = [parts[i] + parts[i + 1]]
         return (self.of[parts[0]], self.of[parts[1]]) if len(parts) == 2 else None
 
-    def table(self) -> list[int]:
-        """Slots of (left, right, merged) numbers, by two-choice hashing; an empty slot is 0."""
-        slots = [0] * (1 << SLOT_BITS)
+    @cached_property
+    def rows(self) -> tuple[list[int], list[int]]:
+        """(offset of each left id, slots): the merge of a pair stands in slot ``offset[left] + right``, with its left id.
+
+        Each left id has a sparse row over the right ids; rows are laid over one another where none of their entries
+        meet, the fullest first. A slot is 0 where nothing stands; left ids are stored plus one.
+        """
+        by_left: dict[int, dict[int, int]] = {}
         for (a, b), rank in self.pairs.items():
-            entry, side = ((a << ID_BITS | b) + 1) << ID_BITS | rank, 0
-            for _ in range(2000):
-                key = (entry >> ID_BITS) - 1
-                at = slot(key >> ID_BITS, key & (1 << ID_BITS) - 1, side)
-                entry, slots[at] = slots[at], entry
-                if not entry:
+            by_left.setdefault(a, {})[b] = rank
+        size, wide = max(self.of.values()) + 1, 1 << 13
+        offsets, slots, free = [0] * size, [0] * (8 * size), np.ones(8 * size, bool)
+        for a, row in sorted(by_left.items(), key=lambda x: (-len(x[1]), x[0])):
+            rights, at = sorted(row), 0
+            while True:
+                fits = np.ones(wide, bool)
+                for b in rights:
+                    fits &= free[at + b:at + b + wide]
+                if fits.any():
                     break
-                key = (entry >> ID_BITS) - 1
-                left, right = key >> ID_BITS, key & (1 << ID_BITS) - 1
-                side = 1 if at == slot(left, right, 0) else 0
-            else:
-                raise ValueError("the pair table is too full")
-        return slots
-
-
-def slot(a: int, b: int, side: int) -> int:
-    x, y = MULTIPLIERS[side]
-    return (a * x + b * y) & (1 << SLOT_BITS) - 1
-
-
-def slot_column(a: Column, b: Column, side: int) -> Column:
-    x, y = MULTIPLIERS[side]
-    return (a * x + b * y).bitwiseAND((1 << SLOT_BITS) - 1).cast("int")
+                at += wide
+            at += int(fits.argmax())
+            offsets[a] = at
+            for b, rank in row.items():
+                free[at + b], slots[at + b] = False, ((a + 1) << ID_BITS | rank) << PLACE_BITS
+        top = len(slots)
+        while top and not slots[top - 1]:
+            top -= 1
+        return offsets, slots[:top]
 
 
 @lru_cache(maxsize=4)
@@ -87,53 +89,36 @@ def ranks(path: str) -> Ranks:
 
 
 def fold(word: Column, path: str) -> Column:
-    """Ids of one word (binary), as an array of bigints.
+    """Ids of one word (binary), as an array of ints.
 
-    The table stands in the plan itself: a lambda variable would be copied for every word.
+    The rank map stands in the plan itself: a lambda variable would be copied for every word.
     """
     book = ranks(path)
-    literal = lambda values: F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
-    table, none = literal(book.table()), F.array().cast("array<bigint>")
-
-    def looked_up(a: Column, b: Column) -> Column:
-        key = F.shiftleft(a, ID_BITS).bitwiseOR(b) + 1
-        found = F.lit(NONE).cast("bigint")
-        for side in (1, 0):
-            entry = F.get(table, slot_column(a, b, side))
-            found = F.when(F.shiftright(entry, ID_BITS) == key, entry.bitwiseAND((1 << ID_BITS) - 1)).otherwise(found)
-        return found
-
-    pair = lambda a, b: F.struct(a.alias("a"), b.alias("b"))
-    nothing = F.array().cast("array<struct<a: bigint, b: bigint>>")
-
-    def step(state: Column) -> Column:
-        """The first step (no pairs yet) looks up all pairs, each later one merges one pair and looks up its neighbours."""
-        ids, pairs = state["ids"], state["pairs"]
-        n = F.size(ids)
+    literal = lambda values, kind: F.split(F.lit(",".join(map(str, values))), ",").cast(f"array<{kind}>")
+    offsets, slots = literal(book.rows[0], "int"), literal(book.rows[1], "bigint")
+    id_mask, none = (1 << ID_BITS + PLACE_BITS) - 1, NONE << PLACE_BITS
 
-        def at_place(p: Column, best: Column) -> Column:
-            merged = F.concat(F.slice(ids, 1, p - 1), F.array(best), F.slice(ids, p + 2, n))
-            beside = F.concat(F.when(p > 1, F.array(pair(F.get(ids, p - 2), best))).otherwise(nothing),
-                              F.when(p + 1 < n, F.array(pair(best, F.get(ids, p + 1)))).otherwise(nothing))
-            return F.struct(merged.alias("ids"), F.slice(pairs, 1, F.greatest(p - 2, F.lit(0))).alias("left"), beside.alias("new"),
-                            F.slice(pairs, p + 2, n).alias("right"))
-
-        every = F.transform(F.slice(ids, 2, n), lambda b, i: pair(F.get(ids, i), b))
-        start = F.struct(ids.alias("ids"), none.alias("left"), every.alias("new"), none.alias("right"))
-        merging = let(F.array_min(pairs), lambda best: let(F.array_position(pairs, best).cast("int"), lambda p: at_place(p, best)))
-        planned = F.when(pairs.isNull(), start).otherwise(merging)
-        done = F.coalesce(F.array_min(pairs) >= NONE, F.lit(False))
-        return F.when(done, state).otherwise(let(planned, lambda x: F.struct(
-            x["ids"].alias("ids"), F.concat(x["left"], F.transform(x["new"], lambda y: looked_up(y["a"], y["b"])), x["right"]).alias("pairs"))))
+    def step(ids: Column) -> Column:
+        """Ranks all neighbouring pairs, each with its place below the rank, and merges the least one if any merges."""
+        def ranked(right: Column, i: Column) -> Column:
+            left = F.get(ids, i - 1)
+            entry = F.get(slots, F.get(offsets, left) + right)
+            return F.when(F.shiftright(entry, ID_BITS + PLACE_BITS) == left + 1, entry.bitwiseAND(id_mask).bitwiseOR(i))
+
+        def merged(least: Column) -> Column:
+            right = least.bitwiseAND((1 << PLACE_BITS) - 1).cast("int")
+            return F.concat(F.slice(ids, F.lit(1), right - 1), F.array(F.shiftright(least, PLACE_BITS).cast("int")), F.slice(ids, right + 2, F.size(ids)))
+
+        best = F.coalesce(F.array_min(F.transform(ids, ranked)), F.lit(none))
+        return let(best, lambda least: F.when(least < none, merged(least)).otherwise(ids))
 
     def from_ids(ids: Column) -> Column:
         n = F.size(ids)
-        start = F.struct(ids.alias("ids"), F.lit(None).cast("array<bigint>").alias("pairs"))
-        steps = F.when(n > 1, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
-        return F.aggregate(steps, start, lambda state, _: step(state), lambda state: state["ids"])
+        steps = F.when(n > 1, F.sequence(F.lit(1), n - 1)).otherwise(F.array().cast("array<int>"))
+        return F.aggregate(steps, ids, lambda state, _: step(state))
 
     places = F.when(F.octet_length(word) > 0, F.sequence(F.lit(1), F.octet_length(word))).otherwise(F.array().cast("array<int>"))
-    chars = let(F.decode(word, "ISO-8859-1"), lambda w: F.transform(places, lambda i: F.get(literal(book.byte_ids), F.ascii(F.substring(w, i, F.lit(1))))))
+    chars = let(F.decode(word, "ISO-8859-1"), lambda w: F.transform(places, lambda i: F.get(literal(book.byte_ids, "int"), F.ascii(F.substring(w, i, F.lit(1))))))
     return let(chars, from_ids)
 
 
@@ -179,26 +164,20 @@ def piece_counts(rows: DataFrame) -> DataFrame:
     return written(rows.mapInArrow(run, "token binary, n bigint").groupBy("token").agg(F.sum("n").alias("n")), "piece-counts")
 
 
-_INDEX: dict = {}
-
-
-def _index(shared) -> dict[bytes, int]:
-    """Number of each dictionary piece, built once per worker."""
-    if _INDEX.get("of") is not shared.value:
-        blob, ends = shared.value[0], shared.value[1].tolist()
-        _INDEX.update(of=shared.value, index={blob[a:b]: i for i, (a, b) in enumerate(zip([0, *ends], ends))})
-    return _INDEX["index"]
+def dictionary(counts: DataFrame, path: str, most: int) -> tuple[bytes, bytes, np.ndarray, np.ndarray]:
+    """Frequent pieces (their bytes end to end, and 32-bit bounds) with the ids that the fold gives (flat, and how many)."""
+    parts = 4 * counts.sparkSession.sparkContext.defaultParallelism
+    table = written(frequent(counts, most).select("token").repartition(parts).select("token", fold(F.col("token"), path).alias("ids")), "piece-ids").toArrow()
+    tokens, ids = table.column("token").combine_chunks().cast(pa.binary()), table.column("ids").combine_chunks()
+    sizes = np.asarray(pa.compute.list_value_length(ids), np.int64)
+    bounds = np.concatenate(([0], np.cumsum(np.asarray(pa.compute.binary_length(tokens), np.int64)))).astype(np.int32)
+    return b"".join(tokens.to_pylist()), bounds.tobytes(), np.asarray(ids.flatten(), np.int32), sizes
 
 
-def dictionary(counts: DataFrame, path: str, most: int) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
-    """Frequent pieces (their bytes end to end, and ends) with the ids that the fold gives (flat, and length of each)."""
-    spark = counts.sparkSession
-    parts = 4 * spark.sparkContext.defaultParallelism
-    table = written(frequent(counts, most).select("token").repartition(parts).select("token", fold(F.col("token"), path).cast("array<int>").alias("ids")), "piece-ids").toArrow()
-    tokens, ids = table.column("token").combine_chunks(), table.column("ids").combine_chunks()
-    sizes = np.asarray(pa.compute.list_value_length(ids), np.int64)
-    lengths = np.asarray(pa.compute.binary_length(tokens), np.int64)
-    return b"".join(tokens.to_pylist()), np.cumsum(lengths), np.asarray(ids.flatten(), np.int32), sizes
+def _pieces_of(shared) -> pa.Array:
+    """The dictionary's pieces as an array over the broadcast bytes."""
+    blob, bounds = shared.value[:2]
+    return pa.Array.from_buffers(pa.binary(), len(bounds) // 4 - 1, [None, pa.py_buffer(bounds), pa.py_buffer(blob)])
 
 
 def encode(docs: DataFrame, path: str, pattern: str, most: int = DICTIONARY, text: str = "text") -> DataFrame:
@@ -213,10 +192,10 @@ def encode(docs: DataFrame, path: str, pattern: str, most: int = DICTIONARY, tex
     shared = docs.sparkSession.sparkContext.broadcast(dictionary(piece_counts(cut.select("_pieces")), path, most))
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = _index(shared)
+        dealt = _pieces_of(shared)
         for batch in sliced(batches):
             distinct, occurrence, bounds = coded(batch.column("_pieces"))
-            known = np.fromiter((index.get(x, -1) for x in distinct.cast(pa.binary()).to_pylist()), np.int64, len(distinct))
+            known = np.asarray(pa.compute.fill_null(pa.compute.index_in(distinct.cast(pa.binary()), value_set=dealt), -1), np.int64)
             codes = known[occurrence]
             rare = np.nonzero(codes < 0)[0]
             row = np.searchsorted(bounds, rare, "right") - 1

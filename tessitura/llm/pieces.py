@@ -45,7 +45,7 @@ class Cache:
     """Ids of pieces, kept by a Python worker over tasks: of each two generations of ``most`` entries the older goes when
     the newer is full, and what was looked up meanwhile has moved over. What is dropped is encoded again."""
 
-    def __init__(self, encode: Callable[[list[str]], list[list[int]]], most: int = 300_000) -> None:
+    def __init__(self, encode: Callable[[list[str]], list[list[int]]], most: int = 450_000) -> None:
         self.encode, self.most, self.new, self.old = encode, most, {}, {}
 
     def ids(self, wanted: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
