@@ -9,34 +9,47 @@ STEP = T.ArrayType(T.StructType([
     T.StructField("op", T.StringType()), T.StructField("ref", T.IntegerType()), T.StructField("hyp", T.IntegerType())]))
 
 
-def _costs(ref, hyp) -> np.ndarray:
-    """Edit cost table, one vector operation per reference unit (insert runs by a running minimum)."""
+def _codes(ref, hyp) -> tuple[np.ndarray, np.ndarray]:
     codes = {u: i for i, u in enumerate(dict.fromkeys([*ref, *hyp]))}
-    a, b = (np.fromiter((codes[u] for u in x), dtype=np.int64, count=len(x)) for x in (ref, hyp))
-    places = np.arange(len(b) + 1)
-    table = np.empty((len(a) + 1, len(b) + 1), dtype=np.int32)
-    table[0] = places
-    for i, unit in enumerate(a, start=1):
-        above = table[i - 1]
-        row = np.concatenate(([i], np.minimum(above[:-1] + (b != unit), above[1:] + 1)))
-        table[i] = np.minimum.accumulate(row - places) + places
-    return table
+    return tuple(np.fromiter((codes[u] for u in x), dtype=np.int64, count=len(x)) for x in (ref, hyp))
+
+
+def _next_row(above: np.ndarray, unit: int, b: np.ndarray, places: np.ndarray, i: int) -> np.ndarray:
+    """Row i of the edit cost table in one vector operation (insert runs by a running minimum)."""
+    row = np.concatenate(([i], np.minimum(above[:-1] + (b != unit), above[1:] + 1)))
+    return (np.minimum.accumulate(row - places) + places).astype(np.int32)
 
 
 def _steps(ref, hyp) -> list[tuple[str, int | None, int | None]]:
-    """Cheapest alignment, walked back preferring diagonal, then delete, then insert."""
-    table, i, j, out = _costs(ref, hyp), len(ref), len(hyp), []
-    while i or j:
-        differ = i and j and ref[i - 1] != hyp[j - 1]
-        if i and j and table[i, j] == table[i - 1, j - 1] + bool(differ):
-            i, j = i - 1, j - 1
-            out.append(("substitute" if differ else "match", i, j))
-        elif i and table[i, j] == table[i - 1, j] + 1:
-            i -= 1
-            out.append(("delete", i, None))
-        else:
-            j -= 1
-            out.append(("insert", None, j))
+    """Cheapest alignment, walked back preferring diagonal, then delete, then insert.
+
+    Only every k-th row of the cost table is kept, k about the square root of the reference's length; the rows between
+    are computed again when the walk reaches them. So two texts of n units take n * sqrt(n) cells, not n * n.
+    """
+    a, b = _codes(ref, hyp)
+    k, places = max(1, int(len(a) ** 0.5)), np.arange(len(b) + 1, dtype=np.int32)
+    row, kept = places, [places]
+    for i, unit in enumerate(a, start=1):
+        row = _next_row(row, unit, b, places, i)
+        if i % k == 0:
+            kept.append(row)
+    i, j, out = len(a), len(b), []
+    for block in range(len(kept) - 1, -1, -1):
+        low, rows = block * k, [kept[block]]
+        for n in range(low + 1, i + 1):
+            rows.append(_next_row(rows[-1], a[n - 1], b, places, n))
+        while (i > low or not block) and (i or j):
+            here = rows[i - low]
+            differ = bool(i and j and a[i - 1] != b[j - 1])
+            if i and j and here[j] == rows[i - low - 1][j - 1] + differ:
+                i, j = i - 1, j - 1
+                out.append(("substitute" if differ else "match", i, j))
+            elif i and here[j] == rows[i - low - 1][j] + 1:
+                i -= 1
+                out.append(("delete", i, None))
+            else:
+                j -= 1
+                out.append(("insert", None, j))
     return out[::-1]
 
 
@@ -51,23 +64,29 @@ def align(ref: Column, hyp: Column) -> Column:
     return _align(ref, hyp)
 
 
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
+def _unit_edits(ref: pd.Series, hyp: pd.Series) -> pd.Series:
+    def charged(r, h):
+        edits, waiting = [], 0
+        for op, _, _ in _steps(list(r), list(h)):
+            if op != "insert":
+                edits.append((op != "match") + waiting)
+                waiting = 0
+            elif edits:
+                edits[-1] += 1
+            else:
+                waiting += 1
+        return edits
+
+    return pd.Series([None if r is None or h is None else charged(r, h) for r, h in zip(ref, hyp)], dtype=object)
+
+
 def unit_edits(ref: Column, hyp: Column) -> Column:
     """Edits charged to each reference unit; an insertion goes to the unit before it, at the start to the first.
 
-    Folds over the aligned steps in the JVM; an empty reference is an error.
+    An empty reference is an error.
     """
-    start = F.struct(F.lit(0).alias("waiting"), F.array().cast("array<int>").alias("edits"))
-
-    def fold(s: Column, step: Column) -> Column:
-        insert, n = step["op"] == "insert", F.size(s["edits"])
-        charged = F.when(step["op"] == "match", 0).otherwise(1) + s["waiting"]
-        bumped = F.concat(F.slice(s["edits"], F.lit(1), F.greatest(n - 1, F.lit(0))), F.array(F.try_element_at(s["edits"], F.lit(-1)) + 1))
-        return F.struct(
-            F.when(insert & (n == 0), s["waiting"] + 1).otherwise(F.lit(0)).alias("waiting"),
-            F.when(insert & (n == 0), s["edits"]).when(insert, bumped).otherwise(F.concat(s["edits"], F.array(charged))).alias("edits"))
-
-    counted = F.aggregate(align(ref, hyp), start, fold, lambda s: s["edits"])
-    return F.when(F.size(ref) == 0, F.raise_error(F.lit("phoneme error rate of an empty reference"))).otherwise(counted)
+    return F.when(F.size(ref) == 0, F.raise_error(F.lit("phoneme error rate of an empty reference"))).otherwise(_unit_edits(ref, hyp))
 
 
 def edit_count(ref: Column, hyp: Column) -> Column:

@@ -1,7 +1,16 @@
-"""Row-local arithmetic on array columns: signals, tracks, vectors, durations. No shuffle, no Python."""
+"""Row-local arithmetic on array columns: signals, tracks, vectors, durations. No shuffle; each is linear in the array."""
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from collections.abc import Callable
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, functions as F, types as T
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` over ``value`` computed once per row: an expression named inside a lambda is computed per element."""
+    return F.transform(F.array(value), body)[0]
 
 
 def total(x: Column) -> Column:
@@ -17,8 +26,7 @@ def dot(x: Column, y: Column) -> Column:
 
 
 def unit(x: Column) -> Column:
-    n = norm(x)
-    return F.transform(x, lambda v: v.cast("double") / n)
+    return let(norm(x), lambda n: F.transform(x, lambda v: v.cast("double") / n))
 
 
 def cosine(x: Column, y: Column) -> Column:
@@ -29,22 +37,25 @@ def frame_samples(frame_s, rate: Column) -> Column:
     return F.greatest(F.lit(1), F.bround(F.lit(float(frame_s)) * rate, 0).cast("int"))
 
 
+def _frame_powers(signal: Column, frame: Column) -> Column:
+    """Mean power of each whole frame."""
+    def powers(x: Column) -> Column:
+        n = F.floor(F.size(x) / frame).cast("int")
+        starts = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.aggregate(
+            F.slice(x, i * frame + 1, frame), F.lit(0.0), lambda a, v: a + v.cast("double") * v.cast("double")) / frame)
+
+    return F.when(signal.isNotNull(), let(signal, powers))
+
+
 def frame_levels(signal: Column, frame: Column, floor: float = 1e-10) -> Column:
     """Level in dB of each whole frame: 20 log10 of the root mean square, floored."""
-    n = F.floor(F.size(signal) / frame).cast("int")
-    starts = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-    power = lambda i: F.aggregate(F.slice(signal, i * frame + 1, frame), F.lit(0.0),
-                                  lambda a, v: a + v.cast("double") * v.cast("double")) / frame
-    return F.transform(starts, lambda i: F.lit(20.0) * F.log10(F.greatest(F.sqrt(power(i)), F.lit(floor))))
+    return F.transform(_frame_powers(signal, frame), lambda p: F.lit(20.0) * F.log10(F.greatest(F.sqrt(p), F.lit(floor))))
 
 
 def energy_levels(signal: Column, frame: Column) -> Column:
     """Level in dB from the mean power plus a small constant, as used for voice metrics."""
-    n = F.floor(F.size(signal) / frame).cast("int")
-    starts = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-    power = lambda i: F.aggregate(F.slice(signal, i * frame + 1, frame), F.lit(0.0),
-                                  lambda a, v: a + v.cast("double") * v.cast("double")) / frame
-    return F.transform(starts, lambda i: F.lit(10.0) * F.log10(power(i) + 1e-12))
+    return F.transform(_frame_powers(signal, frame), lambda p: F.lit(10.0) * F.log10(p + 1e-12))
 
 
 def longest_inner_run(silent: Column) -> Column:
@@ -66,7 +77,7 @@ def longest_internal_silence(signal: Column, rate: Column, frame_s: float, silen
 
 def peak_normalize(signal: Column, floor: float = 0.01) -> Column:
     peak = F.greatest(F.lit(floor), F.array_max(F.transform(signal, lambda v: F.abs(v).cast("double"))))
-    return F.transform(signal, lambda v: (v.cast("double") / peak).cast("float"))
+    return let(peak, lambda p: F.transform(signal, lambda v: (v.cast("double") / p).cast("float")))
 
 
 def fit_frames(signal: Column, frames: Column, hop: int) -> Column:
@@ -78,38 +89,52 @@ def fit_frames(signal: Column, frames: Column, hop: int) -> Column:
     return F.when(F.abs(off) > hop, F.raise_error(F.lit("audio and durations differ by more than one hop"))).otherwise(fitted)
 
 
-def rescale_durations(durations: Column, rate: Column, target_rate: int = 22050) -> Column:
-    """Frames at ``rate`` as frames at the target rate; boundaries rounded half up, so each moves at most half a frame."""
-    start = F.struct(F.lit(0).cast("bigint").alias("sum"), F.lit(0).cast("bigint").alias("edge"), F.array().cast("array<bigint>").alias("out"))
+@F.pandas_udf(T.ArrayType(T.LongType()))
+def _edge_steps(durations: pd.Series, rate: pd.Series, target: pd.Series) -> pd.Series:
+    out = []
+    for d, r, t in zip(durations, rate, target):
+        if d is None or r != r:
+            out.append(None)
+            continue
+        edges = (2 * np.cumsum(np.asarray(d, np.int64)) * int(t) + int(r)) // (2 * int(r))
+        out.append(np.diff(edges, prepend=0))
+    return pd.Series(out, dtype=object)
 
-    def step(s: Column, d: Column) -> Column:
-        cumulative = s["sum"] + d.cast("bigint")
-        edge = F.call_function("div", 2 * cumulative * target_rate + rate, 2 * rate)
-        return F.struct(cumulative.alias("sum"), edge.alias("edge"), F.concat(s["out"], F.array(edge - s["edge"])).alias("out"))
 
-    return F.aggregate(durations, start, step, lambda s: s["out"])
+def rescale_durations(durations: Column, rate: Column, target_rate: int = 22050) -> Column:
+    """Frames at ``rate`` as frames at the target rate; boundaries rounded half up, so each moves at most half a frame."""
+    return _edge_steps(durations.cast("array<bigint>"), rate.cast("bigint"), F.lit(target_rate))
 
 
 def ctc_collapse(ids: Column, blank: int) -> Column:
     """Repeats merged, then blanks dropped."""
-    changed = F.filter(ids, lambda x, i: (i == 0) | (x != F.try_element_at(ids, i)))
-    return F.filter(changed, lambda x: x != blank)
+    merged = let(ids, lambda x: F.filter(x, lambda v, i: (i == 0) | (v != F.get(x, i - 1))))
+    return F.when(ids.isNotNull(), F.filter(merged, lambda v: v != blank))
 
 
-def array_quantile(x: Column, q: float) -> Column:
-    """Linear quantile of a row's own array."""
-    ordered, n = F.array_sort(x), F.size(x)
+def _quantile_of_sorted(ordered: Column, q: float) -> Column:
+    n = F.size(ordered)
     h = F.lit(float(q)) * (n - 1)
     low = F.floor(h).cast("int")
-    at = lambda i: F.try_element_at(ordered, i + 1).cast("double")
+    at = lambda i: F.get(ordered, i).cast("double")
     return F.when(n > 0, at(low) + (at(F.least(low + 1, n - 1)) - at(low)) * (h - low))
 
 
+def array_quantile(x: Column, q: float) -> Column:
+    """Linear quantile of a row's own array."""
+    return let(F.array_sort(x), lambda ordered: _quantile_of_sorted(ordered, q))
+
+
 def speech_mask(levels: Column, share: float = 0.4) -> Column:
     """Frames louder than quiet + share * (loud - quiet), quiet and loud being the 10th and 95th percentile."""
-    quiet, loud = array_quantile(levels, 0.10), array_quantile(levels, 0.95)
-    limit = quiet + F.lit(share) * (loud - quiet)
-    return F.transform(levels, lambda v: v > limit)
+    def mask(x: Column) -> Column:
+        def limit(ordered: Column) -> Column:
+            quiet, loud = _quantile_of_sorted(ordered, 0.10), _quantile_of_sorted(ordered, 0.95)
+            return quiet + F.lit(share) * (loud - quiet)
+
+        return let(let(F.array_sort(x), limit), lambda least: F.transform(x, lambda v: v > least))
+
+    return F.when(levels.isNotNull(), let(levels, mask))
 
 
 def active_span(mask: Column) -> Column:
@@ -140,15 +165,19 @@ def contour_correlation(a: Column, b: Column, min_frames: int) -> Column:
     good = lambda v: v.isNotNull() & ~F.isnan(v)
     pairs = F.filter(F.zip_with(F.slice(a, F.lit(1), n), F.slice(b, F.lit(1), n), lambda x, y: F.struct(
         x.cast("double").alias("x"), y.cast("double").alias("y"))), lambda p: good(p["x"]) & good(p["y"]))
-    m = F.size(pairs)
-    mean = lambda c: total(F.transform(pairs, lambda p: p[c])) / m
-    moments = F.aggregate(
-        F.transform(pairs, lambda p: F.struct((p["x"] - mean("x")).alias("x"), (p["y"] - mean("y")).alias("y"))),
-        F.struct(F.lit(0.0).alias("xx"), F.lit(0.0).alias("yy"), F.lit(0.0).alias("xy")),
-        lambda s, p: F.struct((s["xx"] + p["x"] * p["x"]).alias("xx"), (s["yy"] + p["y"] * p["y"]).alias("yy"), (s["xy"] + p["x"] * p["y"]).alias("xy")))
-    r = moments["xy"] / F.nullif(F.sqrt(moments["xx"] * moments["yy"]), F.lit(0.0))
-    few = m < min_frames
-    return F.struct(F.when(few, "too_few_voiced").otherwise("ok").alias("status"), F.when(~few, r).alias("correlation"))
+
+    def measured(p: Column) -> Column:
+        m = F.size(p)
+        mean = lambda c: F.aggregate(p, F.lit(0.0), lambda s, v: s + v[c]) / m
+        moments = lambda c: F.aggregate(
+            p, F.struct(F.lit(0.0).alias("xx"), F.lit(0.0).alias("yy"), F.lit(0.0).alias("xy")),
+            lambda s, v: F.struct((s["xx"] + (v["x"] - c["x"]) * (v["x"] - c["x"])).alias("xx"), (s["yy"] + (v["y"] - c["y"]) * (v["y"] - c["y"])).alias("yy"),
+                                  (s["xy"] + (v["x"] - c["x"]) * (v["y"] - c["y"])).alias("xy")))
+        r = let(let(F.struct(mean("x").alias("x"), mean("y").alias("y")), moments), lambda s: s["xy"] / F.nullif(F.sqrt(s["xx"] * s["yy"]), F.lit(0.0)))
+        few = m < min_frames
+        return F.struct(F.when(few, "too_few_voiced").otherwise("ok").alias("status"), F.when(~few, r).alias("correlation"))
+
+    return let(pairs, measured)
 
 
 def f0_correlation(a: Column, b: Column, samples_a: Column, samples_b: Column, rate: int, max_mismatch_s: float, min_frames: int) -> Column:

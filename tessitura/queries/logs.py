@@ -21,7 +21,7 @@ def steps(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def samples(spark: SparkSession, sf: str) -> DataFrame:
-    return read_table(spark, sf, "events").filter("event_type = 'error'").select(
+    return read_table(spark, sf, "events").filter("event_type IN ('error', 'purchase')").select(
         (F.col("user_id") % 20).alias("run"), "event_id", (utc_micros(F.col("ts")) / 1e6).alias("t"), F.col("value").alias("util"), (F.col("event_id") % 4000).alias("mem"), (F.col("value") * 2).alias("power"))
 
 
@@ -32,7 +32,7 @@ def machine(spark: SparkSession, sf: str) -> DataFrame:
 
 LOGS = """st AS (SELECT user_id % 20 AS run, event_id AS step, epoch_us(ts) / 1e6 AS t_end, epoch_us(ts) / 1e6 - value / 100 AS t_begin, event_id % 32 AS batch_size, value AS audio_seconds,
       value / 1013 AS data_wait, CASE WHEN event_id % 40 = 0 THEN NULL ELSE value / 10 END AS loss FROM events WHERE event_type IN ('view', 'click')),
-    gp AS (SELECT user_id % 20 AS run, event_id, epoch_us(ts) / 1e6 AS t, value AS util, event_id % 4000 AS mem, value * 2 AS power FROM events WHERE event_type = 'error'),
+    gp AS (SELECT user_id % 20 AS run, event_id, epoch_us(ts) / 1e6 AS t, value AS util, event_id % 4000 AS mem, value * 2 AS power FROM events WHERE event_type IN ('error', 'purchase')),
     ma AS (SELECT user_id % 20 AS run, epoch_us(ts) / 1e6 AS t, value / 7 AS cores, event_id % 100 AS mem_gb FROM events WHERE event_type = 'signup'),
     w AS (SELECT run, min(t_end) AS a, max(t_end) AS b FROM (SELECT *, min(t_end) OVER (PARTITION BY run) + 90 AS f FROM st) WHERE t_end >= f GROUP BY run)"""
 

@@ -122,13 +122,17 @@ def c20_ctc_collapse(spark, sf):
 
 
 # Stand-in timings: document words as symbols, their first letter as ID and their length as frames.
-TIMED = """w AS (SELECT doc_id, lang, string_split(regexp_replace(lower(text), '[^a-z ]', '', 'g'), ' ') AS words FROM documents),
+TIMED = """w AS (SELECT doc_id, lang, string_split(regexp_replace(lower(text), '[^\\p{L} ]', '', 'g'), ' ') AS words FROM documents),
     t AS (SELECT doc_id, lang, unnest(words) AS word FROM w), sym AS (SELECT doc_id, lang, unicode(word) AS symbol, ln(1 + length(word)) AS x FROM t WHERE word <> '')"""
 
 
+# First letters that count as symbols: the Latin letters of the table's languages.
+LETTER_IDS = list(range(97, 123)) + list(range(0xDF, 0x100))
+
+
 def timings(spark: SparkSession, sf: str) -> DataFrame:
     """Padded symbol and duration arrays per document."""
-    words = F.filter(F.split(F.regexp_replace(F.lower("text"), "[^a-z ]", ""), " "), lambda w: w != "")
+    words = F.filter(F.split(F.regexp_replace(F.lower("text"), r"[^\p{L} ]", ""), " "), lambda w: w != "")
     d = balanced(read_table(spark, sf, "documents").select("doc_id", "lang", "text")).select(
         F.col("doc_id").alias("id"), F.col("lang").alias("teacher"), words.alias("w"))
     pad = lambda inner, first, last: F.concat(F.array(F.lit(first), F.lit(0)), F.flatten(F.transform("w", lambda w: F.array(inner(w), F.lit(0)))), F.array(F.lit(last)))
@@ -138,7 +142,7 @@ def timings(spark: SparkSession, sf: str) -> DataFrame:
 @query("w9_c19_duration_outliers", f"""WITH {TIMED}, st AS (SELECT lang, symbol, avg(x) AS m, stddev_pop(x) AS sd FROM sym GROUP BY ALL HAVING count(*) >= 30 AND min(x) < max(x)),
     z AS (SELECT doc_id, max((x - m) / sd) AS z FROM sym JOIN st USING (lang, symbol) GROUP BY 1) SELECT doc_id AS id, round(z, 6) AS z FROM z WHERE z > 3.0""")
 def w9_c19_duration_outliers(spark, sf):
-    return rounded(Z.duration_outliers(timings(spark, sf), list(range(97, 123)), 3.0, 30))
+    return rounded(Z.duration_outliers(timings(spark, sf), LETTER_IDS, 3.0, 30))
 
 
 @query("w10_drop_reasons", f"""WITH {TIMED}, st AS (SELECT lang, symbol, avg(x) AS m, stddev_pop(x) AS sd FROM sym GROUP BY ALL HAVING count(*) >= 30 AND min(x) < max(x)),
@@ -146,7 +150,7 @@ def w9_c19_duration_outliers(spark, sf):
     SELECT d.doc_id AS id, CASE WHEN z.z IS NOT NULL THEN 'duration_outlier' ELSE 'internal_silence' END AS reason, round(CASE WHEN z.z IS NOT NULL THEN z.z ELSE n_chars / 1000.0 END, 6)::DOUBLE AS value
     FROM documents d LEFT JOIN z USING (doc_id) WHERE z.z IS NOT NULL OR n_chars / 1000.0 > 5""")
 def w10_drop_reasons(spark, sf):
-    outliers = Z.duration_outliers(timings(spark, sf), list(range(97, 123)), 3.0, 30)
+    outliers = Z.duration_outliers(timings(spark, sf), LETTER_IDS, 3.0, 30)
     items = read_table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "n_chars")
     return rounded(Z.drop_reasons(items, outliers, F.col("n_chars") / 1000.0, 5.0))
 

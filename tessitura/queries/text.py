@@ -208,11 +208,10 @@ def c3_ids(spark, sf):
 
 
 @query("c4_asr_text", f"""WITH {Q.sentences()} SELECT doc_id, pos::INT AS pos,
-    trim(regexp_replace(regexp_replace(lower(sentence), '[\\p{{P}}\\p{{S}}\\p{{Z}}]', ' ', 'g'), '{Q.WS}', ' ', 'g')) AS normal
-    FROM sent WHERE NOT regexp_matches(sentence, '[^\\x00-\\x7F]')""")
+    trim(regexp_replace(regexp_replace(replace(lower(nfc_normalize(sentence)), 'ß', 'ss'), '[\\p{{P}}\\p{{S}}\\p{{Z}}]', ' ', 'g'), '{Q.WS}', ' ', 'g')) AS normal
+    FROM sent""")
 def c4_asr_text(spark, sf):
-    s = sentences(spark, sf).filter(F.col("sentence").rlike(r"^[\x00-\x7f]*+$"))
-    return s.select("doc_id", "pos", X.normalize_text(F.col("sentence")).alias("normal"))
+    return sentences(spark, sf).select("doc_id", "pos", X.normalize_text(F.col("sentence")).alias("normal"))
 
 
 @query("c23_letter_count", """SELECT doc_id, length(regexp_replace(text, '[^\\p{L}]', '', 'g')) AS letters FROM documents""")
