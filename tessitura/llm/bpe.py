@@ -18,7 +18,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..session import written
-from .common import let, need, replacing, with_fields
+from .common import let, need, replacing, small_batches, with_fields
 from .pieces import coded, gathered, pieces, sliced
 from .vocabulary import frequent
 
@@ -180,15 +180,20 @@ def _pieces_of(shared) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(bounds) // 4 - 1, [None, pa.py_buffer(bounds), pa.py_buffer(blob)])
 
 
-def encode(docs: DataFrame, path: str, pattern: str, most: int = DICTIONARY, text: str = "text") -> DataFrame:
+def encode(docs: DataFrame, path: str, pattern: str, most: int = DICTIONARY, text: str = "text", keep_text: bool = True) -> DataFrame:
     """The rows with ``ids``: the whole text cut by the pattern, each piece merged by the ranks; null is empty.
 
+    Without ``keep_text`` the text itself is not carried along.
+
     Pieces are counted over all rows; the distinct frequent ones are folded once and held by every task (at most ``most``
     of 64 bytes), all others are folded in the rows where they stand, once per row. Columns of the added names are replaced.
     """
     need(docs, text)
     docs = replacing(docs, "ids", "_pieces", "_codes", "_rare", "_rare_ids")
+    small_batches(docs)
     cut = docs.withColumn("_pieces", pieces(F.col(text), pattern))
+    if not keep_text:
+        docs, cut = docs.drop(text), cut.drop(text)
     shared = docs.sparkSession.sparkContext.broadcast(dictionary(piece_counts(cut.select("_pieces")), path, most))
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -34,6 +34,14 @@ def need(df: DataFrame, *columns: str) -> None:
         raise ValueError(f"columns {missing} are missing; there are {df.columns}")
 
 
+def small_batches(df: DataFrame, rows: int = 500) -> None:
+    """Whole texts go to Python in Arrow batches of ``rows`` rows where the session has left Spark's default of 10,000:
+    a batch is held several times over (JVM, worker, results), and texts have no bounded length."""
+    conf = df.sparkSession.conf
+    if conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 def replacing(df: DataFrame, *added: str) -> DataFrame:
     """The rows without columns of the names that an operator is about to add: its own take their place."""
     names = {a.lower() for a in added}

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import written
-from .common import letter_words, need, replacing
+from .common import letter_words, need, replacing, small_batches
 
 WINDOW, BLOCK = 10, 200_000
 
@@ -95,6 +95,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, text:
     """
     need(docs, text)
     docs = replacing(docs, "n_words", "starts", "ends", "items")
+    small_batches(docs)
     windows = written(item_windows(items, window), "item-windows")
     blocks = max(1, -(-windows.count() // block))
     fields = docs.schema

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import written
-from .common import blank_words, need
+from .common import blank_words, need, small_batches
 from .vocabulary import frequent, token_counts
 
 #: Words that tasks look up directly (others are joined), words with a class of their own, states, rounds of training.
@@ -281,6 +281,7 @@ def score_documents(docs: DataFrame, dictionary: int = DICTIONARY, own: int = OW
     each of them is rarer than any dictionary word, so none is a hot key.
     """
     need(docs, key, text)
+    small_batches(docs)
     held = F.coalesce(F.pmod(F.crc32(F.col(key).cast("string").cast("binary")), F.lit(7)) == 2, F.lit(False))
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).cast("bigint").alias("doc_id"), held.alias("held_out"),
                        F.col(text).cast("binary").alias("body"))

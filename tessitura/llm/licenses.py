@@ -12,7 +12,7 @@ from typing import NamedTuple
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import letter_words, need, replacing, with_fields
+from .common import letter_words, need, replacing, small_batches, with_fields
 from .decontam import word_counts
 
 
@@ -86,6 +86,7 @@ def scan(docs: DataFrame, templates: tuple[Template, ...] = BASE + MORE, text: s
     """
     need(docs, text)
     docs = replacing(docs, "n_words", "found")
+    small_batches(docs)
     index = build_index(templates, word_counts(docs, {w for t in templates for w in t.key}, text))
     kind = pa.list_(pa.struct([("label", pa.string()), ("template", pa.int32()), ("word", pa.int64()), ("share", pa.float64())]))
 

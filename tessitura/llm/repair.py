@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..session import work_folder, written
-from .common import need, shared_file
+from .common import need, shared_file, small_batches
 from .pieces import coded, gathered, library_cache, pieces, sliced
 
 MAGIC, HEAD = b"RPG1", struct.Struct("<4s5Q")
@@ -194,6 +194,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, pattern: str, voc
     from pyspark import TaskContext
 
     need(docs, key, text)
+    small_batches(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, part, number = library_cache(tokenizer), TaskContext.get().partitionId(), 0

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..session import written
-from .common import blank_words, need
+from .common import blank_words, need, small_batches
 from .graph import components
 
 #: The generator of the Golay code (x^11+x^10+x^6+x^5+x^4+x^2+1), its length and its covering radius.
@@ -62,6 +62,7 @@ def majority(hashes: np.ndarray) -> int:
 def fingerprints(docs: DataFrame, k: int = 4, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, fp) of every row, over whole texts; a null or blank text has fingerprint 0."""
     need(docs, key, text)
+    small_batches(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -246,6 +247,7 @@ def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", tables
     are one node, named by a 64-bit hash of them.
     """
     need(docs, key, text)
+    small_batches(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

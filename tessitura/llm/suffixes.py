@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..session import written
-from .common import blank_words, need, replacing
+from .common import blank_words, need, replacing, small_batches
 
 #: Words of a passage, of a hashed gram, and grams among which a minimiser is the least.
 PASSAGE, GRAM, GRAMS = 50, 5, 31
@@ -224,6 +224,7 @@ def repeated_spans(docs: DataFrame, later_only: bool = False, key: str = "doc_id
     spans; null keys come first. Texts without spans have no row.
     """
     need(docs, key, text)
+    small_batches(docs)
     found = written(neighbours(written(sparse_suffixes(docs, key, text), "suffixes"), later_only), "suffix-matches")
     windows = written(_extended(docs, _to_extend(found), key, text), "suffix-windows")
     place = F.shiftright("at", 7).alias("place")
