@@ -1,6 +1,8 @@
 """Symbol statistics and tokens, with characters of ``documents`` as symbols and ``benchmark`` as reference alphabet."""
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import align as A
@@ -159,27 +161,36 @@ def letter_table() -> K.TokenTable:
 
 
 TABLE = letter_table()
-LIST = "['" + "', '".join(KEYS[:10] + LETTERS) + "']"
-SPOKEN = f"""{Q.sentences()}, low AS (SELECT doc_id, lang, pos, lower(sentence) AS s FROM sent),
-    tk AS (SELECT *, regexp_matches(s, '^[a-z ]*$') AS fine, [list_position({LIST}, x) - 1 FOR x IN regexp_extract_all(s, '(?s).')] AS ids FROM low WHERE regexp_matches(s, '^[ -~]*$'))"""
+LIST = "['" + "', '".join(KEYS) + "']"
 
 
-def spoken(spark: SparkSession, sf: str) -> DataFrame:
-    return sentences(spark, sf).select("doc_id", "lang", "pos", F.lower("sentence").alias("s"))
+def decomposed(text: str) -> str:
+    """SQL for the canonical decomposition of the Latin-1 letters whose accents the table has."""
+    for c in map(chr, range(0xE0, 0x100)):
+        parts = unicodedata.normalize("NFD", c)
+        if len(parts) == 2 and parts[1] in ACCENTS:
+            text = f"replace({text}, '{c}', '{parts}')"
+    return text
+
 
+# Every sentence; ids is null where a character is not in the table. words: runs of letters, accents left out.
+SPOKEN = f"""{Q.sentences()}, low AS (SELECT doc_id, lang, pos, {decomposed('lower(nfc_normalize(sentence))')} AS s FROM sent),
+    tk0 AS (SELECT *, regexp_matches(s, '^[a-zß ,;:.!?{ACCENTS}]*$') AS fine FROM low),
+    tk AS (SELECT *, CASE WHEN fine THEN [list_position({LIST}, x) - 1 FOR x IN regexp_extract_all(s, '(?s).')] END AS ids,
+      CASE WHEN fine THEN regexp_extract_all(regexp_replace(s, '[{ACCENTS}]', '', 'g'), '[a-zß]+') END AS words FROM tk0)"""
 
-def ascii_spoken(spark: SparkSession, sf: str) -> DataFrame:
-    return spoken(spark, sf).filter(F.col("s").rlike("^[ -~]*+$"))
+
+def spoken(spark: SparkSession, sf: str) -> DataFrame:
+    return sentences(spark, sf).select("doc_id", "lang", "pos", F.lower("sentence").alias("s"))
 
 
 def tokenized(spark: SparkSession, sf: str) -> DataFrame:
-    return K.tokenize(ascii_spoken(spark, sf), TABLE, "s", "lang")
+    return K.tokenize(spoken(spark, sf), TABLE, "s", "lang")
 
 
-@query("t1_t2_tokenize", f"""WITH {SPOKEN} SELECT doc_id, pos::INT AS pos, ids::INT[] AS ids FROM tk WHERE fine""")
+@query("t1_t2_tokenize", f"""WITH {SPOKEN} SELECT doc_id, pos::INT AS pos, ids::INT[] AS ids FROM tk""")
 def t1_t2_tokenize(spark, sf):
-    fine = tokenized(spark, sf).filter(F.col("s").rlike("^[a-z ]*+$"))
-    return fine.select("doc_id", "pos", F.col("tokens.ids").alias("ids"))
+    return tokenized(spark, sf).select("doc_id", "pos", F.col("tokens.ids").alias("ids"))
 
 
 @query("t1_errors")
@@ -189,37 +200,36 @@ def t1_errors(spark, sf):
         F.count(F.lit(1)).alias("n"), F.sum(F.size("tokens.ids")).alias("tokens"), F.count_distinct("tokens.char").alias("chars"))
 
 
-@query("t3_phonetic_sets", f"""WITH {SPOKEN} SELECT doc_id, pos::INT AS pos, list_sort(list_distinct([x FOR x IN ids IF x >= 10]))::INT[] AS symbols FROM tk WHERE fine""")
+@query("t3_phonetic_sets", f"""WITH {SPOKEN} SELECT doc_id, pos::INT AS pos, list_sort(list_distinct([x FOR x IN ids IF x >= 10]))::INT[] AS symbols FROM tk""")
 def t3_phonetic_sets(spark, sf):
-    fine = tokenized(spark, sf).filter(F.col("s").rlike("^[a-z ]*+$"))
-    return fine.select("doc_id", "pos", K.phonetic_set(F.col("tokens.ids"), TABLE).alias("symbols"))
+    return tokenized(spark, sf).select("doc_id", "pos", K.phonetic_set(F.col("tokens.ids"), TABLE).alias("symbols"))
 
 
-@query("t5_c12_units", f"""WITH {SPOKEN}, w AS (SELECT doc_id, pos, [x FOR x IN string_split(s, ' ') IF x <> ''] AS words FROM tk WHERE fine)
-    SELECT doc_id, pos::INT AS pos, len(words) AS words, list_sum([length(x) FOR x IN words])::BIGINT AS units FROM w""")
+@query("t5_c12_units", f"""WITH {SPOKEN}
+    SELECT doc_id, pos::INT AS pos, len(words) AS words, CASE WHEN fine THEN coalesce(list_sum([length(x) FOR x IN words]), 0)::BIGINT END AS units FROM tk""")
 def t5_c12_units(spark, sf):
-    fine = tokenized(spark, sf).filter(F.col("s").rlike("^[a-z ]*+$"))
     words = K.reference_words(K.keys_of(F.col("phoneme_ids"), TABLE), TABLE)["words"]
-    return fine.select("doc_id", "pos", F.size(words).cast("bigint").alias("words"), F.aggregate(
-        words, F.lit(0).cast("bigint"), lambda a, w: a + F.size(w)).alias("units"))
+    held = tokenized(spark, sf).select("doc_id", "pos", F.when(F.col("phoneme_ids").isNotNull(), words).alias("w"))
+    return held.select("doc_id", "pos", F.when(F.col("w").isNotNull(), F.size("w")).cast("bigint").alias("words"), F.aggregate(
+        "w", F.lit(0).cast("bigint"), lambda a, w: a + F.size(w)).alias("units"))
 
 
-@query("a11_training_pairs", f"""WITH {SPOKEN}, w AS (SELECT unnest(string_split(s, ' ')) AS word FROM tk WHERE fine),
+@query("a11_training_pairs", f"""WITH {SPOKEN}, w AS (SELECT unnest(words) AS word FROM tk WHERE fine),
     p AS (SELECT word, unnest(range(1, greatest(length(word), 1))) AS i FROM w)
     SELECT substr(word, i, 1) AS first, substr(word, i + 1, 1) AS second, count(*) AS "count" FROM p GROUP BY ALL""")
 def a11_training_pairs(spark, sf):
-    return K.training_pairs(tokenized(spark, sf).filter(F.col("s").rlike("^[a-z ]*+$")), TABLE)
+    return K.training_pairs(tokenized(spark, sf).filter(F.col("phoneme_ids").isNotNull()), TABLE)
 
 
-@query("j18_pair_status", f"""WITH {SPOKEN}, w AS (SELECT doc_id, pos, unnest(string_split(s, ' ')) AS word, unnest(range(0, len(string_split(s, ' ')))) AS wi FROM tk WHERE fine),
+@query("j18_pair_status", f"""WITH {SPOKEN}, w AS (SELECT doc_id, pos, unnest(words) AS word, unnest(range(0, len(words))) AS wi FROM tk WHERE fine),
     c AS (SELECT *, unnest(range(1, length(word) + 1)) AS i FROM w WHERE word <> ''),
     tr AS (SELECT DISTINCT substr(word, i, 1) AS f, substr(word, i + 1, 1) AS s2 FROM c WHERE i < length(word) AND doc_id % 2 = 0),
     u AS (SELECT doc_id, pos, wi, i, (i > 1 AND (substr(word, i - 1, 1), substr(word, i, 1)) NOT IN (SELECT (f, s2) FROM tr))
       OR (i < length(word) AND (substr(word, i, 1), substr(word, i + 1, 1)) NOT IN (SELECT (f, s2) FROM tr)) AS unseen FROM c WHERE doc_id % 2 = 1)
     SELECT doc_id, count(*) AS units, count_if(unseen) AS unseen FROM u GROUP BY 1""")
 def j18_pair_status(spark, sf):
-    fine = tokenized(spark, sf).filter(F.col("s").rlike("^[a-z ]*+$")).withColumn(
-        "words", K.reference_words(K.keys_of(F.col("phoneme_ids"), TABLE), TABLE)["words"])
+    fine = written(tokenized(spark, sf).filter(F.col("phoneme_ids").isNotNull()).select(
+        "doc_id", "pos", K.reference_words(K.keys_of(F.col("phoneme_ids"), TABLE), TABLE)["words"].alias("words")), "units")
     trained = K.pair_counts(fine.filter("doc_id % 2 = 0"), "words")
     rows = fine.filter("doc_id % 2 = 1").select(F.concat_ws("-", "doc_id", "pos").alias("key"), "words")
     status = K.unit_pair_status(rows, "key", "words", trained)
@@ -235,18 +245,18 @@ def c11_symbol_classes(spark, sf):
     return counts.groupBy("symbol").agg(F.sum("n").alias("n")).select("symbol", K.symbol_class(F.col("symbol"), TABLE, True).alias("class"), "n")
 
 
-@query("v6_compare_ids", f"""WITH {SPOKEN}, r AS (SELECT doc_id || '-' || pos AS id, lang AS teacher, CASE WHEN pos % 10 = 0 AND len(ids) > 0 THEN true ELSE false END AS changed FROM tk WHERE fine)
+@query("v6_compare_ids", f"""WITH {SPOKEN}, r AS (SELECT doc_id || '-' || pos AS id, lang AS teacher, pos % 10 = 0 AND fine AS changed FROM tk)
     SELECT teacher, count(*) AS records, count_if(changed) AS differing, array_to_string((list(id ORDER BY id) FILTER (changed))[1:3], ' ') AS first_ids FROM r GROUP BY teacher""")
 def v6_compare_ids(spark, sf):
-    fresh = tokenized(spark, sf).filter(F.col("s").rlike("^[a-z ]*+$")).select(
-        F.concat_ws("-", "doc_id", "pos").alias("id"), F.col("lang").alias("teacher"), "pos", "phoneme_ids")
+    fresh = written(tokenized(spark, sf).select(
+        F.concat_ws("-", "doc_id", "pos").alias("id"), F.col("lang").alias("teacher"), "pos", "phoneme_ids"), "fresh-ids")
     stored = fresh.withColumn("phoneme_ids", F.when(F.col("pos") % 10 == 0, F.reverse("phoneme_ids")).otherwise(F.col("phoneme_ids")))
     return R.compare_ids(stored, fresh)
 
 
-@query("v10_parseable_rows", f"""WITH {SPOKEN} SELECT lang, CASE WHEN regexp_matches(s, '^([a-z ]|[,;:.!?])*$') THEN 'kept' ELSE 'rejected' END AS part, count(*) AS n FROM tk GROUP BY ALL""")
+@query("v10_parseable_rows", f"""WITH {SPOKEN} SELECT lang, CASE WHEN fine THEN 'kept' ELSE 'rejected' END AS part, count(*) AS n FROM tk GROUP BY ALL""")
 def v10_parseable_rows(spark, sf):
-    kept, rejected = K.parseable(ascii_spoken(spark, sf), TABLE, "s", "lang")
+    kept, rejected = K.parseable(spoken(spark, sf), TABLE, "s", "lang")
     both = kept.select("lang", F.lit("kept").alias("part")).unionByName(rejected.select("lang", F.lit("rejected").alias("part")))
     return both.groupBy("lang", "part").agg(F.count(F.lit(1)).alias("n"))
 
@@ -254,14 +264,14 @@ def v10_parseable_rows(spark, sf):
 OLD_MAPS = {"full": {k: i for i, k in enumerate(KEYS)}, "letters": {k: i for i, k in enumerate(KEYS[:36]) if k not in "qx,"}}
 
 
-@query("t4_a17_lossy_maps", f"""WITH {SPOKEN}, c AS (SELECT doc_id, pos, s, unnest(['full', 'letters']) AS voice FROM tk WHERE fine),
+@query("t4_a17_lossy_maps", f"""WITH {SPOKEN}, c AS (SELECT doc_id, pos, s, unnest(['full', 'letters']) AS voice FROM tk WHERE regexp_matches(s, '^[a-z ]*$')),
     d AS (SELECT voice, CASE WHEN voice = 'letters' THEN [x FOR x IN regexp_extract_all(s, '.') IF x IN ('q', 'x')] ELSE [] END AS lost,
       len([w FOR w IN string_split(s, ' ') IF w <> '' AND length(w) > 1 OR (voice = 'letters' AND w IN ('q', 'x'))]) = 0 AND trim(s) <> '' AS split FROM c),
     n AS (SELECT voice, x, count(*) AS n FROM (SELECT voice, unnest(lost) AS x FROM d) GROUP BY ALL),
     g AS (SELECT voice, count(*) AS sentences, count_if(len(lost) > 0 OR split) AS lossy_sentences FROM d GROUP BY voice)
     SELECT g.*, coalesce((SELECT string_agg(x || ':' || n, ' ' ORDER BY n DESC, x) FROM n WHERE n.voice = g.voice), '') AS dropped_chars FROM g""")
 def t4_a17_lossy_maps(spark, sf):
-    rows = ascii_spoken(spark, sf).filter(F.col("s").rlike("^[a-z ]*+$")).withColumn("voice", F.explode(F.array(F.lit("full"), F.lit("letters"))))
+    rows = spoken(spark, sf).filter(F.col("s").rlike("^[a-z ]*+$")).withColumn("voice", F.explode(F.array(F.lit("full"), F.lit("letters"))))
     return K.lossy_report(K.remap(rows, TABLE, OLD_MAPS, "s", "voice", "lang"), "voice")
 
 
