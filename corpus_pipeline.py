@@ -70,7 +70,7 @@ def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, n_tokens, ids, decoded_sha256): byte-level BPE ids of every text, and the digest of what they decode to."""
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    rows = bpe.decode(bpe.encode(docs.select("doc_id", "text"), path, public_tokenizers.PATTERN, keep_text=False), path)
+    rows = bpe.encode(docs.select("doc_id", "text"), path, public_tokenizers.PATTERN, keep_text=False, decoded=True)
     return rows.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

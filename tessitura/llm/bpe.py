@@ -32,9 +32,13 @@ DICTIONARY, LONG = 800_000, 256
 class Ranks:
     """A rank file: ids of single bytes, bytes of every id, and the pairs that merge."""
 
-    def __init__(self, path: str) -> None:
+    @staticmethod
+    def read(path: str) -> dict[bytes, int]:
         with open(path, "rb") as lines:
-            self.of = {base64.b64decode(a): int(b) for a, b in (line.split() for line in lines if line.strip())}
+            return {base64.b64decode(a): int(b) for a, b in (line.split() for line in lines if line.strip())}
+
+    def __init__(self, path: str) -> None:
+        self.of = self.read(path)
         self.byte_ids = [self.of[bytes([b])] for b in range(256)]
         if max(self.of.values()) >= NONE:
             raise ValueError(f"ids from {NONE} do not fit the pair table")
@@ -180,16 +184,18 @@ def _pieces_of(shared) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(bounds) // 4 - 1, [None, pa.py_buffer(bounds), pa.py_buffer(blob)])
 
 
-def encode(docs: DataFrame, path: str, pattern: str, most: int = DICTIONARY, text: str = "text", keep_text: bool = True) -> DataFrame:
+def encode(docs: DataFrame, path: str, pattern: str, most: int = DICTIONARY, text: str = "text", keep_text: bool = True,
+           decoded: bool = False) -> DataFrame:
     """The rows with ``ids``: the whole text cut by the pattern, each piece merged by the ranks; null is empty.
 
-    Without ``keep_text`` the text itself is not carried along.
+    Without ``keep_text`` the text itself is not carried along. With ``decoded`` the ids are decoded again by the same
+    Python worker, as by ``decode``.
 
     Pieces are counted over all rows; the distinct frequent ones are folded once and held by every task (at most ``most``
     of 64 bytes), all others are folded in the rows where they stand, once per row. Columns of the added names are replaced.
     """
     need(docs, text)
-    docs = replacing(docs, "ids", "_pieces", "_codes", "_rare", "_rare_ids")
+    docs = replacing(docs, "ids", *(["decoded"] if decoded else []), "_pieces", "_codes", "_rare", "_rare_ids")
     small_batches(docs)
     cut = docs.withColumn("_pieces", pieces(F.col(text), pattern))
     if not keep_text:
@@ -221,9 +227,9 @@ def encode(docs: DataFrame, path: str, pattern: str, most: int = DICTIONARY, tex
             names = batch.schema.names
             words = batch.column("_rare").flatten().to_pylist()
             folded = [x if x is not None else merged_long(w, path) for w, x in zip(words, batch.column("_rare_ids").flatten().to_pylist())]
-            more = np.fromiter(map(len, folded), np.int64, len(folded))
-            values = np.concatenate([flat, np.fromiter((i for x in folded for i in x), np.int32, int(more.sum()))])
-            lengths = np.concatenate([sizes, more])
+            counts = np.fromiter(map(len, folded), np.int64, len(folded))
+            values = np.concatenate([flat, np.fromiter((i for x in folded for i in x), np.int32, int(counts.sum()))])
+            lengths = np.concatenate([sizes, counts])
             starts = np.cumsum(lengths) - lengths
             n_rare = np.asarray(pa.compute.list_value_length(batch.column("_rare")), np.int64)
             data = batch.column("_codes").to_pylist()
@@ -233,12 +239,30 @@ def encode(docs: DataFrame, path: str, pattern: str, most: int = DICTIONARY, tex
             ids, ends = gathered(values, starts, lengths, np.where(codes < 0, offset - codes - 1, codes))
             bounds = np.concatenate(([0], ends))[np.concatenate(([0], np.cumsum(n_pieces)))]
             own = [c for c in names if c not in ("_codes", "_rare", "_rare_ids")]
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in own], pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids, pa.int32()))],
-                                             names=[*own, "ids"])
+            lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids, pa.int32()))
+            more = {"ids": lists} | ({"decoded": joined_pieces(lists, path)} if decoded else {})
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in own], *more.values()], names=[*own, *more])
 
     folded = F.transform("_rare", lambda w: F.when(F.octet_length(w) <= LONG, fold(w, path)))
     numbered = cut.mapInArrow(number, with_fields(docs, _codes=T.BinaryType(), _rare=T.ArrayType(T.BinaryType())))
-    return numbered.withColumn("_rare_ids", folded).mapInArrow(assemble, with_fields(docs, ids=T.ArrayType(T.IntegerType())))
+    return numbered.withColumn("_rare_ids", folded).mapInArrow(
+        assemble, with_fields(docs, ids=T.ArrayType(T.IntegerType()), **({"decoded": T.BinaryType()} if decoded else {})))
+
+
+@lru_cache(maxsize=4)
+def _by_id(path: str) -> pa.Array:
+    names = {i: t for t, i in Ranks.read(path).items()}
+    return pa.array([names.get(i) for i in range(max(names) + 1)], pa.binary())
+
+
+def joined_pieces(ids: pa.ListArray, path: str) -> pa.Array:
+    """The binary pieces of every row's ids, concatenated; an unknown id is an error."""
+    sizes = np.asarray(pa.compute.fill_null(pa.compute.list_value_length(ids), 0), np.int64)
+    parts = _by_id(path).take(ids.flatten())
+    if parts.null_count:
+        raise ValueError("an id is outside the vocabulary")
+    joined = pa.compute.binary_join(pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32()), parts), b"")
+    return pa.compute.if_else(ids.is_valid(), joined, None)
 
 
 def decode(rows: DataFrame, path: str, ids: str = "ids") -> DataFrame:
@@ -247,17 +271,7 @@ def decode(rows: DataFrame, path: str, ids: str = "ids") -> DataFrame:
     rows = replacing(rows, "decoded")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        book = ranks(path)
-        names = {i: t for t, i in book.of.items()}
-        table = pa.array([names.get(i) for i in range(max(names) + 1)], pa.binary())
         for batch in sliced(batches):
-            column = batch.column(ids)
-            sizes = np.asarray(pa.compute.fill_null(pa.compute.list_value_length(column), 0), np.int64)
-            parts = table.take(column.flatten())
-            if parts.null_count:
-                raise ValueError("an id is outside the vocabulary")
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32()), parts)
-            joined = pa.compute.binary_join(lists, b"")
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.compute.if_else(column.is_valid(), joined, None)], names=[*batch.schema.names, "decoded"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, joined_pieces(batch.column(ids), path)], names=[*batch.schema.names, "decoded"])
 
     return rows.mapInArrow(run, with_fields(rows, decoded=T.BinaryType()))
