@@ -37,7 +37,8 @@ class Limits:
 @dataclass(frozen=True)
 class Inputs:
     """lineup (voice, speaker, language), languages (espeak, whisper, voxlingua), score rows of originals and candidate,
-    human verdicts on originals (voice, speaker, espeak, human); None where a listening input was not given."""
+    human verdicts on originals (voice, speaker, espeak, human); None where a listening input was not given. Verdicts may
+    carry ``position``, their place in the source: of several for one cell the first new and the last original counts."""
 
     lineup: DataFrame
     languages: DataFrame
@@ -97,6 +98,12 @@ def check_reference(rows: DataFrame, message: str) -> None:
     require_empty(wrong.select("voice", "speaker", "path", "speaker_reference"), message)
 
 
+def _at_end(rows: DataFrame, column: str, by_place, by_value) -> Column:
+    """The first or last value in order of ``position`` where the rows carry one, else the smallest or largest value, so
+    that the result never depends on how rows are dealt out."""
+    return by_place(column, "position") if "position" in rows.columns else by_value(column)
+
+
 def _shared(i: Inputs, cand: DataFrame, orig: DataFrame) -> DataFrame:
     c, o = common_texts(cand, orig, "text", CELL)
     left = c.groupBy(*CELL).agg(F.count(F.lit(1)).alias("shared"), pooled_rate("cer").alias("c_cer"), F.avg("UTMOS").alias("c_utmos"))
@@ -120,8 +127,8 @@ def own_language(i: Inputs, strict: bool = True) -> DataFrame:
     heard = ab.groupBy(*KEY).agg(F.count(F.lit(1)).alias("answers"),
                                  F.avg(original_preferred(F.col("answer"), F.col("original_side"))).alias("preferred"))
     verdicts = i.verdicts if i.verdicts is not None else spark.createDataFrame([], "voice string, speaker string, language string, human string")
-    new = verdicts.groupBy(*KEY, F.col("language").alias("espeak")).agg(F.first("human").alias("new_human"))
-    human = i.original_human.groupBy(*KEY).agg(F.last("human").alias("old_human"))
+    new = verdicts.groupBy(*KEY, F.col("language").alias("espeak")).agg(_at_end(verdicts, "human", F.min_by, F.min).alias("new_human"))
+    human = i.original_human.groupBy(*KEY).agg(_at_end(i.original_human, "human", F.max_by, F.max).alias("old_human"))
     rows = (line.join(_shared(i, cand, orig), CELL, "left").join(similarity, CELL, "left").join(heard, KEY, "left")
             .join(new, CELL, "left").join(human, KEY, "left").join(i.languages.select("espeak", "whisper"), "espeak", "left"))
     voice, lang, c = _key(), F.col("espeak"), F.col
@@ -274,12 +281,16 @@ def status_counts(results: DataFrame) -> DataFrame:
         "status", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-def needs_ears(i: Inputs, results: DataFrame) -> DataFrame:
+#: Where a listener finds the material of each kind of task.
+PLACES = {"verdict": "verdict form", "page": "listening page", "owner": "full listening", "clean": "verdict form, clean sound"}
+
+
+def needs_ears(i: Inputs, results: DataFrame, places: dict[str, str] = PLACES) -> DataFrame:
     """What a listener still has to do: unmeasured tests, notes to read, carried-over faults, low-quality groups."""
     t, c = i.limits, F.col
     test = c("test")
     task = F.when(test.contains("human enough"), "human enough?").when(test.contains("A/B"), "blind A/B").when(test.contains("native rating"), "native rating")
-    where = F.when(test.contains("human enough"), "voices/verdict.html with the manifests in verdict/").otherwise("listening page")
+    where = F.when(test.contains("human enough"), places["verdict"]).otherwise(places["page"])
     why = F.when(test.contains("human enough"), test).when(test.contains("A/B"), F.coalesce(F.nullif(c("note"), F.lit("")), F.lit("no answers"))).otherwise(c("note"))
     out = results.filter(c("status") == "not_measured").select(
         task.alias("task"), "voice", "language", where.alias("where"), why.alias("why")).filter(c("task").isNotNull())
@@ -289,8 +300,8 @@ def needs_ears(i: Inputs, results: DataFrame) -> DataFrame:
             F.concat(F.lit("listener "), c("listener"), F.lit(", item "), c("item")).alias("where"), c("note").alias("why")))
     out = out.unionByName(i.lineup.select(
         F.lit("carried-over narrow band or crackle?").alias("task"), _key().alias("voice"), F.lit(i.weak_language).alias("language"),
-        F.lit("listening (owner)").alias("where"), F.lit("weak-language test").alias("why")))
+        F.lit(places["owner"]).alias("where"), F.lit("weak-language test").alias("why")))
     low = i.candidate.groupBy(*CELL).agg(F.avg("UTMOS").alias("m")).filter(c("m") < t.utmos_relisten)
     return out.unionByName(low.select(
         F.lit("re-listen: low recording quality").alias("task"), _key().alias("voice"), c("espeak").alias("language"),
-        F.lit("verdict page 'clean enough'").alias("where"), F.concat(F.lit("UTMOS "), fixed(c("m"), 2), F.lit(f" < {t.utmos_relisten}")).alias("why")))
+        F.lit(places["clean"]).alias("where"), F.concat(F.lit("UTMOS "), fixed(c("m"), 2), F.lit(f" < {t.utmos_relisten}")).alias("why")))

@@ -18,8 +18,9 @@ def names(keys: Sequence[str] | str) -> list[str]:
 
 
 def value_bucket(value: Column, per_unit: int = 256) -> Column:
-    """A bucket that never falls when the number rises; bounded size once equal values are pre-aggregated."""
-    return (F.signum(value) * F.floor(F.log1p(F.abs(value)) * per_unit)).cast("bigint")
+    """A bucket that never falls when the number rises (NaN last, as it sorts); bounded size once equal values are
+    pre-aggregated."""
+    return F.when(F.isnan(value.cast("double")), F.lit(2**62)).otherwise(F.signum(value) * F.floor(F.log1p(F.abs(value)) * per_unit)).cast("bigint")
 
 
 def position_bucket(position: Column, rows: int = 100_000) -> Column:

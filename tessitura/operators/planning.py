@@ -153,6 +153,11 @@ def part_of(position: Column, parts: Column) -> tuple[Column, Column]:
 
 def takes_within_budget(takes: DataFrame, keys: list[str], order: list[Column], bucket: Column, seconds: str,
                         budget: Column) -> DataFrame:
-    """Rows whose earlier rows of the same job add up to less than the budget; ``before`` is that sum."""
-    run = grouped_scan(takes, keys, order, bucket, sums={"_through": F.col(seconds)})
-    return run.withColumn("before", F.col("_through") - F.col(seconds)).drop("_through").filter(F.col("before") < budget)
+    """Rows whose earlier rows of the same job add up to less than the budget; ``before`` is that sum.
+
+    Lengths are summed as whole microseconds, so neither the order of partial sums nor the subtraction loses bits.
+    """
+    micros = F.round(F.col(seconds).cast("double") * 1_000_000).cast("bigint")
+    run = grouped_scan(takes, keys, order, bucket, sums={"_through": micros})
+    before = F.col("_through") - micros
+    return run.withColumn("before", before / 1_000_000.0).filter(before < F.round(budget.cast("double") * 1_000_000).cast("bigint")).drop("_through")

@@ -81,3 +81,96 @@ def s21_phonemized_file(spark, sf):
     rows.write.json(folder)
     return D.read_phonemized(spark, folder, alphabet).groupBy("run").agg(
         F.count(F.lit(1)).alias("rows"), F.sum(F.size("tokens")).alias("tokens"))
+
+
+def _delimited(rows, folder: str, sep: str = "\t"):
+    rows.write.option("header", True).option("sep", sep).option("emptyValue", "").csv(folder)
+    return folder
+
+
+@query("s3_tab_table_file", """SELECT n_name AS locale, r_name AS language FROM nation JOIN region ON n_regionkey = r_regionkey""")
+def s3_tab_table_file(spark, sf):
+    folder = work_folder(spark, "tab")
+    n, r = read_table(spark, sf, "nation"), read_table(spark, sf, "region")
+    rows = n.join(r, n["n_regionkey"] == r["r_regionkey"]).select(F.explode(F.array(
+        F.concat_ws("\t", "n_name", "r_name"), F.concat(F.lit("# key "), F.col("n_nationkey").cast("string")))).alias("value"))
+    rows.write.text(f"{folder}/body")
+    lines = spark.read.text(f"{folder}/body").select(F.lit(1).alias("turn"), "value").unionByName(spark.range(1).select(F.lit(0).alias("turn"), F.lit("locale\tlanguage").alias("value")))
+    lines.repartition(1).sortWithinPartitions("turn").select("value").write.text(f"{folder}/table")  # a dimension: one row a nation, its header first
+    return D.read_tab_table(spark, f"{folder}/table").select("locale", "language")
+
+
+@query("s17_languages_file", """SELECT 'c' || c_custkey AS espeak, CASE WHEN c_custkey % 3 > 0 THEN c_mktsegment END AS whisper, CASE WHEN c_custkey % 5 > 0 THEN 'n' || c_nationkey END AS voxlingua FROM customer""")
+def s17_languages_file(spark, sf):
+    c = F.col("c_custkey")
+    rows = read_table(spark, sf, "customer").select(
+        F.concat(F.lit("c"), c.cast("string")).alias("espeak"), F.when(c % 3 > 0, F.col("c_mktsegment")).alias("whisper"),
+        F.when(c % 5 > 0, F.concat(F.lit("n"), F.col("c_nationkey").cast("string"))).alias("voxlingua"))
+    return D.read_languages(spark, _delimited(rows, work_folder(spark, "languages")))
+
+
+@query("s24_held_out_file", """SELECT lang AS espeak, doc_id::INT AS idx, source || ' ' || doc_id AS text FROM documents""")
+def s24_held_out_file(spark, sf):
+    rows = read_table(spark, sf, "documents").select(F.col("lang").alias("espeak"), F.col("doc_id").cast("int").alias("idx"),
+                                                     F.concat_ws(" ", "source", F.col("doc_id").cast("string")).alias("text"))
+    return D.read_held_out(spark, _delimited(rows, work_folder(spark, "held-out")))
+
+
+@query("s24_voices_file", "SELECT s_name AS voice, s_nationkey::VARCHAR AS speaker FROM supplier")
+def s24_voices_file(spark, sf):
+    rows = read_table(spark, sf, "supplier").select(F.col("s_name").alias("voice"), F.col("s_nationkey").cast("string").alias("speaker"))
+    return D.read_voices(spark, _delimited(rows, work_folder(spark, "voices")))
+
+
+@query("s22_ab_items_file", """SELECT 'v' || (p_partkey % 20) AS voice, '0' AS speaker, 'n' || (p_partkey % 7) AS language, p_partkey::VARCHAR AS item, p_name AS text, 'o/' || p_partkey AS original, 'c/' || p_partkey AS candidate FROM part""")
+def s22_ab_items_file(spark, sf):
+    k = F.col("p_partkey")
+    named = lambda head, value: F.concat(F.lit(head), value.cast("string"))
+    rows = read_table(spark, sf, "part").select(
+        named("v", k % 20).alias("voice"), F.lit("0").alias("speaker"), named("n", k % 7).alias("language"), k.cast("string").alias("item"),
+        F.col("p_name").alias("text"), named("o/", k).alias("original"), named("c/", k).alias("candidate"))
+    return D.read_ab_items(spark, _delimited(rows, work_folder(spark, "ab-items")))
+
+
+@query("s22_rating_items_file", """SELECT 'n' || (p_partkey % 7) AS language, 'v' || (p_partkey % 20) AS voice, '0' AS speaker, p_partkey::VARCHAR AS item, p_name AS text, 'f/' || p_partkey AS file FROM part""")
+def s22_rating_items_file(spark, sf):
+    k = F.col("p_partkey")
+    named = lambda head, value: F.concat(F.lit(head), value.cast("string"))
+    rows = read_table(spark, sf, "part").select(
+        named("n", k % 7).alias("language"), named("v", k % 20).alias("voice"), F.lit("0").alias("speaker"), k.cast("string").alias("item"),
+        F.col("p_name").alias("text"), named("f/", k).alias("file"))
+    return D.read_rating_items(spark, _delimited(rows, work_folder(spark, "rating-items")))
+
+
+HOST = "mirror.example.org"
+
+
+def catalogue_index(spark, sf):
+    """Parts as catalogue files: most mirrored, some only upstream, some known twice."""
+    k = F.col("p_partkey")
+    path = F.concat(F.lit("models/"), k.cast("string"), F.lit(".onnx"))
+    file = lambda url, size: F.to_json(F.struct(F.create_map(k.cast("string"), F.struct(F.array(F.struct(
+        url.alias("url"), path.alias("mirrorPath"), size.alias("sizeBytes"))).alias("files"))).alias("packs"))).alias("value")
+    part = read_table(spark, sf, "part")
+    up = F.concat(F.lit("https://up.example.net/"), path)
+    source = part.filter(k % 3 != 0).select(file(up, F.col("p_size")))
+    mirror = part.filter(k % 4 == 0).select(file(F.concat(F.lit(f"https://{HOST}/"), path), k * 10))
+    extra = part.filter(k % 6 == 0).select(path.alias("path"), F.concat(F.lit("https://more.example.com/"), path).alias("url"), F.lit(0).alias("size"))
+    return C.url_index(source, mirror, extra, HOST)
+
+
+INDEX = f"""p AS (SELECT p_partkey AS k, p_size, 'models/' || p_partkey || '.onnx' AS path FROM part),
+    ix AS (SELECT path, list_filter([CASE WHEN k % 4 = 0 OR k % 3 <> 0 THEN 'https://{HOST}/' || path END, CASE WHEN k % 3 <> 0 THEN 'https://up.example.net/' || path END,
+      CASE WHEN k % 6 = 0 THEN 'https://more.example.com/' || path END], lambda x: x IS NOT NULL) AS urls, nullif(CASE WHEN k % 4 = 0 AND k > 0 THEN k * 10 WHEN k % 3 <> 0 THEN p_size END, 0) AS size
+      FROM p WHERE k % 4 = 0 OR k % 3 <> 0 OR k % 6 = 0)"""
+
+
+@query("s10_url_index", f"WITH {INDEX} SELECT path, array_to_string(urls, ' ') AS urls, size::BIGINT AS size FROM ix")
+def s10_url_index(spark, sf):
+    return catalogue_index(spark, sf).select("path", F.array_join("urls", " ").alias("urls"), F.col("size").cast("bigint").alias("size"))
+
+
+@query("j14_required_files", f"WITH {INDEX} SELECT p.path, array_to_string(ix.urls, ' ') AS urls, ix.urls IS NULL AS missing FROM p LEFT JOIN ix USING (path)")
+def j14_required_files(spark, sf):
+    required = read_table(spark, sf, "part").select(F.concat(F.lit("models/"), F.col("p_partkey").cast("string"), F.lit(".onnx")).alias("path"))
+    return C.plan_fetch(required, catalogue_index(spark, sf)).select("path", F.array_join("urls", " ").alias("urls"), "missing")

@@ -193,7 +193,8 @@ def t1_t2_tokenize(spark, sf):
     return tokenized(spark, sf).select("doc_id", "pos", F.col("tokens.ids").alias("ids"))
 
 
-@query("t1_errors")
+@query("t1_errors", f"""WITH {SPOKEN} SELECT lang, CASE WHEN fine THEN 'none' ELSE 'unknown_symbol' END AS error, count(*) AS n, sum(len(ids))::BIGINT AS tokens,
+    count(DISTINCT nullif(regexp_extract(s, '[^a-zß ,;:.!?{ACCENTS}]'), '')) AS chars FROM tk GROUP BY ALL""")
 def t1_errors(spark, sf):
     t = K.tokenize(spoken(spark, sf), TABLE, "s", "lang")
     return t.groupBy("lang", F.coalesce("tokens.error", F.lit("none")).alias("error")).agg(
