@@ -196,7 +196,8 @@ def _to_extend(found: DataFrame) -> DataFrame:
     rows = found.select("a", "doc", "h", place.alias("place"), (place - lead).alias("first"), "same_b",
                         F.lag(F.when(F.col("same_b"), place)).over(order).alias("previous"))
     covered = F.col("same_b") & (F.col("previous") <= F.col("first")) & (F.col("first") - F.col("previous") <= PASSAGE)
-    open_groups = rows.filter(~F.coalesce(covered, F.lit(False))).select("a").distinct()
+    # Written, so that both sides of the join are plain exchanges and a passage of very many documents can be split.
+    open_groups = written(rows.filter(~F.coalesce(covered, F.lit(False))).select("a").distinct(), "suffix-open")
     return rows.join(open_groups, "a", "left_semi").groupBy("doc", "h").agg(F.collect_set("place").alias("places"))
 
 
