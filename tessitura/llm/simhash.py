@@ -25,9 +25,11 @@ from .graph import components
 GENERATOR, LENGTH, RADIUS = 0xC75, 23, 3
 #: Differing bits allowed, and expected fingerprints of a comparison cell.
 DISTANCE, CELL = 4, 2048
-#: Of near copies: word-set fingerprints per text, words of a shingle, differing bits of the shingle fingerprints (at
-#: least 0.8 of 64 bits agree).
-TABLES, SHINGLE, SHINGLE_DISTANCE = 4, 5, 12
+#: Of near copies: word-set fingerprints per text, words of a shingle, and the similarity (a fraction) of near copies.
+TABLES, SHINGLE, SIMILARITY = 8, 5, (4, 5)
+#: Differing bits of the shingle fingerprints of candidates (texts of similarity 0.8 differ in 10 on average, deviation 3;
+#: others in 32, deviation 4), expected texts of a cell where similarities are computed, and shingles counted together.
+APART, BLOCK, COLUMNS = 24, 512, 4096
 
 
 def shingle_hashes(words: list[bytes], k: int) -> np.ndarray:
@@ -74,11 +76,19 @@ def fingerprints(docs: DataFrame, k: int = 4, key: str = "doc_id", text: str = "
 
 
 def word_set_fingerprints(words: list[bytes], tables: int = TABLES) -> list[int]:
-    """Independent fingerprints of the set of words, one per hash seed."""
+    """Independent fingerprints of the set of words: its hashes are mixed anew for each."""
     import xxhash
 
-    distinct, digest = set(words), xxhash.xxh64_intdigest
-    return [majority(np.fromiter((digest(w, seed) for w in distinct), np.uint64, len(distinct))) for seed in range(tables)]
+    distinct = set(words)
+    each = np.fromiter(map(xxhash.xxh64_intdigest, distinct), np.uint64, len(distinct))
+    return [majority(_mixed(each, table)) for table in range(tables)]
+
+
+def _mixed(x: np.ndarray, seed: int) -> np.ndarray:
+    x = x + np.uint64(0x9E3779B97F4A7C15 * (seed + 1) & (1 << 64) - 1)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
 
 
 @lru_cache(maxsize=1)
@@ -220,9 +230,9 @@ def links(nodes: DataFrame, fine: int = 64) -> DataFrame:
     return dealt.mapInArrow(compare, "u bigint, v bigint")
 
 
-def _components(rows: DataFrame, nodes: DataFrame, fine: int) -> DataFrame:
+def _components(rows: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``rows`` (key, node) with the smallest key of their component."""
-    roots = components(links(nodes, fine))
+    roots = components(edges)
     rooted = nodes.join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     named = rooted.groupBy("root").agg(F.min("least").alias("component"))
     return rows.join(rooted.select("node", "root").join(named, "root").drop("root"), "node")
@@ -236,27 +246,133 @@ def near_duplicates(docs: DataFrame, k: int = 4, key: str = "doc_id", text: str
     """
     rows = written(fingerprints(docs, k, key, text).withColumnRenamed("fp", "node"), "fingerprints")
     nodes = written(rows.groupBy("node").agg(F.min("key").alias("least")).withColumn("prints", F.array("node")).withColumn("fine", F.lit(0).cast("bigint")), "fingerprint-nodes")
-    return _components(rows, nodes, 64).select(F.col("key").alias(key), F.col("node").alias("fp"), "component")
+    return _components(rows, nodes, links(nodes)).select(F.col("key").alias(key), F.col("node").alias("fp"), "component")
+
+
+def shared(sets: list[np.ndarray]) -> np.ndarray:
+    """Number of common elements of every two sets (sorted distinct hashes)."""
+    rows = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    _, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    often = count > 1
+    number = np.cumsum(often) - 1
+    hit = often[column]
+    rows, column = rows[hit], number[column[hit]]
+    order = np.argsort(column, kind="stable")
+    rows, column = rows[order], column[order]
+    out = np.zeros((len(sets), len(sets)), np.int64)
+    total = int(often.sum())
+    bounds = np.searchsorted(column, np.arange(0, total + COLUMNS, COLUMNS))
+    for k, (a, b) in enumerate(zip(bounds, bounds[1:])):
+        part = np.zeros((len(sets), min(COLUMNS, total - k * COLUMNS)), np.float32)
+        part[rows[a:b], column[a:b] - k * COLUMNS] = 1
+        out += (part @ part.T).astype(np.int64)
+    return out
+
+
+def similar(node: np.ndarray, sets: list[np.ndarray], side: np.ndarray, similarity: tuple[int, int]) -> Iterator[tuple[int, int]]:
+    """Links that connect whatever has at least the Jaccard similarity, inside one side or, of two, between them."""
+    size, (p, q) = np.array([len(x) for x in sets]), similarity
+    near = (p + q) * shared(sets) >= p * (size[:, None] + size[None, :])
+    near &= (side[:, None] != side[None, :]) if side.any() and not side.all() else ~np.eye(len(sets), dtype=bool)
+    labels = np.arange(len(sets))
+    for i in np.nonzero(near.any(axis=1))[0]:
+        at = np.nonzero(near[i])[0]
+        names, first = np.unique(labels[at], return_index=True)
+        new = names != labels[i]
+        for k in at[first[new]]:
+            yield int(node[i]), int(node[k])
+        labels[np.isin(labels, names)] = labels[i]
+
+
+def _shingle_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of each cell (root, i, j); they come sorted by cell."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        cell = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in range(3)], axis=1)
+        bounds = [0, *(np.nonzero((cell[1:] != cell[:-1]).any(axis=1))[0] + 1).tolist(), len(cell)]
+        for a, b in zip(bounds, bounds[1:]):
+            if held and tuple(cell[a]) != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(a, b - a))
+            last = tuple(cell[a])
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def similar_links(members: DataFrame, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
+    """Edges (u, v) that connect all ``members`` (node, root, shingles) of one root with at least the Jaccard similarity.
+
+    All pairs of a root are compared. A root with many nodes is cut into parts of about ``BLOCK``; each pair of parts is a
+    cell of its own. Per cell only links that join something are returned.
+    """
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for cell in _shingle_cells(batches):
+            i, j = cell.column("i")[0].as_py(), cell.column("j")[0].as_py()
+            side = cell.column("part").to_numpy() != i
+            if cell.num_rows > 1 and (i == j or side.any() and not side.all()):
+                sets = [x.values.to_numpy().view(np.uint64) for x in cell.column("shingles")]
+                found = list(similar(cell.column("node").to_numpy(), sets, side, similarity))
+                if found:
+                    u, v = zip(*found)
+                    yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+
+    large = written(members.groupBy("root").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > BLOCK).select(
+        "root", F.ceil(F.col("n") / BLOCK).cast("int").alias("parts")), "copy-groups")
+    rows = members.join(large, "root", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    cells = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")).select(
+        "root", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "node", "shingles")
+    return cells.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j").mapInArrow(compare, "u bigint, v bigint")
+
+
+def set_node(shingles: np.ndarray) -> int:
+    """The name of a set of shingles: a signed 64-bit hash."""
+    import xxhash
 
+    return int(np.uint64(xxhash.xxh64_intdigest(shingles.tobytes())).astype(np.int64))
 
-def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", tables: int = TABLES, k: int = SHINGLE, bits: int = SHINGLE_DISTANCE) -> DataFrame:
-    """(key, component) of near copies: texts whose k-word-shingle fingerprints differ in at most ``bits`` bits.
 
-    Such fingerprints differ in too many bits to be looked up by anchors, so candidates are texts that are within 4 bits
-    in one of several fingerprints of their word sets, which edits change less. Texts with equal fingerprints throughout
-    are one node, named by a 64-bit hash of them.
+def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", tables: int = TABLES, k: int = SHINGLE, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
+    """(key, component) of near copies: texts whose sets of k-word shingles have at least the Jaccard similarity.
+
+    Candidates are texts within 4 bits in one of several fingerprints of their word sets, which edits change less than
+    those of shingles, and within ``APART`` bits in the fingerprint of the shingle set. What candidates connect is
+    compared in full, by the shingle sets themselves (as 64-bit hashes), and only that decides. Texts with equal sets are
+    one node, named by a 64-bit hash of the set.
     """
     need(docs, key, text)
     small_batches(docs)
+    rows = docs.select(F.col(key).alias("key"), F.col(text).cast("binary").alias("body"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            words = [blank_words(x.as_py()) for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([word_set_fingerprints(w, tables) for w in words], pa.list_(pa.int64())),
-                                              pa.array([fingerprint(w, k) for w in words], pa.int64())], names=["key", "prints", "fine"])
+            prints, fine, node = [], [], []
+            for x in batch.column(1):
+                words = blank_words(x.as_py())
+                shingles = np.unique(shingle_hashes(words, k))
+                prints.append(word_set_fingerprints(words, tables))
+                fine.append(majority(shingles))
+                node.append(set_node(shingles))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints, pa.list_(pa.int64())), pa.array(fine, pa.int64()), pa.array(node, pa.int64())],
+                                             names=["key", "prints", "fine", "node"])
+
+    def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.unique(shingle_hashes(blank_words(x.as_py()), k)) for x in batch.column(0)]
+            yield pa.RecordBatch.from_arrays([pa.array([set_node(x) for x in sets], pa.int64()), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))],
+                                             names=["node", "shingles"])
 
-    rows = docs.select(F.col(key).alias("key"), F.col(text).cast("binary").alias("body"))
-    kind = T.StructType([T.StructField("key", docs.schema[key].dataType), T.StructField("prints", T.ArrayType(T.LongType())), T.StructField("fine", T.LongType())])
-    found = written(rows.mapInArrow(run, kind).withColumn("node", F.xxhash64("prints", "fine")), "word-fingerprints")
+    kind = T.StructType([T.StructField("key", docs.schema[key].dataType), T.StructField("prints", T.ArrayType(T.LongType())), T.StructField("fine", T.LongType()),
+                         T.StructField("node", T.LongType())])
+    found = written(rows.mapInArrow(run, kind), "word-fingerprints")
     nodes = written(found.groupBy("node").agg(F.min("key").alias("least"), F.min("prints").alias("prints"), F.min("fine").alias("fine")), "copy-nodes")
-    return _components(found.select("key", "node"), nodes, bits).select(F.col("key").alias(key), "component")
+    groups = written(components(links(nodes, APART)), "copy-candidates")
+    wanted = nodes.join(groups, "node").select("least")
+    texts = rows.join(wanted, F.col("key").eqNullSafe(F.col("least"))).select("body")
+    sets = texts.mapInArrow(again, "node bigint, shingles array<bigint>").groupBy("node").agg(F.first("shingles").alias("shingles"))
+    members = written(sets.join(groups, "node").select("node", "root", "shingles"), "copy-shingles")
+    return _components(found.select("key", "node"), nodes, similar_links(members, similarity)).select(F.col("key").alias(key), "component")

@@ -119,6 +119,41 @@ def test_hot_anchors_are_cut_without_losing_links(spark, monkeypatch):
     assert {v: roots.get(v, v) for v in values} == group
 
 
+def edited_copies():
+    """Copies of a few texts with words changed in bunches and apart: similarities on both sides of 0.8, in any number of bits."""
+    rng, rows = np.random.default_rng(11), []
+    for base in range(12):
+        words = prose(800 + base, int(rng.integers(60, 260)), 4000).split()
+        for copy in range(9):
+            own, edits = list(words), int(rng.integers(1, 3 + len(words) // 30))
+            at = rng.choice(len(words), edits, replace=False) if copy % 2 else np.arange(edits) + int(rng.integers(0, len(words) - edits))
+            for place in at:
+                own[place] = f"edit{base}x{copy}x{place}"
+            rows.append((base * 100 + copy, " ".join(own)))
+    return rows
+
+
+@pytest.mark.parametrize("block", [simhash.BLOCK, 3])
+def test_near_copies_equal_all_similarities(spark, monkeypatch, block):
+    monkeypatch.setattr(simhash, "BLOCK", block)
+    rows = edited_copies() + [(2000, None), (2001, ""), (2002, "one two"), (2003, "one two"), (2004, "one two three")]
+    sets = {}
+    for i, t in rows:
+        w = blank_words((t or "").encode())
+        sets[i] = {tuple(w[a:a + 5]) for a in range(max(1, len(w) - 4))}
+    like = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a, b in itertools.combinations(sets, 2)}
+    bits = {i: plain_fingerprint(blank_words((t or "").encode()), 5) for i, t in rows}
+    apart = {p: (bits[p[0]] ^ bits[p[1]]).bit_count() for p in like}
+    assert any(like[p] >= 0.8 and apart[p] > 12 for p in like) and any(like[p] < 0.8 and apart[p] <= 12 for p in like)
+    group = {i: i for i in sets}
+    for _ in range(9):
+        for (a, b), x in like.items():
+            if x >= 0.8:
+                group[a] = group[b] = min(group[a], group[b])
+    assert {r.doc_id: r.component for r in simhash.near_copies(table(spark, rows, extra=CLASH)).collect()} == group
+    assert len(set(group.values())) > 20 and simhash.near_copies(table(spark, [])).collect() == []
+
+
 def test_anchors_meet_whenever_four_bits_differ():
     rng = np.random.default_rng(4)
     for _ in range(500):
