@@ -5,7 +5,8 @@ words, and at least 20 words from there on. So only suffixes that begin at minim
 sorted by their next 20 words (then 50 words), and compared with their neighbours. Suffixes that agree with a neighbour
 on 50 words are repeated; those that agree on 20 are extended: left and right of them every 50-word window over the
 minimiser is hashed, sorted and compared in the same way. Windows are extended for a whole group of equal suffixes as
-soon as one of them is not yet covered by its predecessor, so the result equals a comparison of all windows of all texts.
+soon as one of them is not yet covered: its predecessor begins at or before the first of these windows, and the span that
+begins there meets the suffix's own. So the result equals a comparison of all windows of all texts.
 Words and windows are compared as 64-bit hashes.
 """
 from __future__ import annotations
@@ -195,7 +196,7 @@ def _to_extend(found: DataFrame) -> DataFrame:
     order = Window.partitionBy("doc", "h").orderBy("at")
     rows = found.select("a", "doc", "h", place.alias("place"), (place - lead).alias("first"), "same_b",
                         F.lag(F.when(F.col("same_b"), place)).over(order).alias("previous"))
-    covered = F.col("same_b") & (F.col("previous") <= F.col("first")) & (F.col("first") - F.col("previous") <= PASSAGE)
+    covered = F.col("same_b") & (F.col("previous") <= F.col("first")) & (F.col("place") - F.col("previous") <= PASSAGE)
     # Written, so that both sides of the join are plain exchanges and a passage of very many documents can be split.
     open_groups = written(rows.filter(~F.coalesce(covered, F.lit(False))).select("a").distinct(), "suffix-open")
     return rows.join(open_groups, "a", "left_semi").groupBy("doc", "h").agg(F.collect_set("place").alias("places"))

@@ -57,6 +57,34 @@ def test_repeats_equal_all_windows(spark, partitions):
     assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in by_id.items()}
 
 
+def barely_apart(words, changed):
+    """Whether, of a text with one changed word and its copy, a matched suffix begins over 50 words after the one matched
+    before it, but the first window it is the minimiser of does not."""
+    hashes = suffixes.Hashes([w.encode() for w in words])
+    places, first = np.unique(hashes.minimisers(), return_index=True)
+    met = lambda n: (places + n <= len(words)) & ((places > changed) | (places + n <= changed))
+    kept, whole = met(20), met(50)[met(20)]
+    places, first = places[kept], first[kept]
+    return bool((whole[1:] & whole[:-1] & (places[:-1] <= first[1:]) & (first[1:] - places[:-1] <= 50) & (places[1:] - places[:-1] > 50)).any())
+
+
+def test_one_changed_word_loses_no_leading_words(spark):
+    rng, rows, close = np.random.default_rng(12), [], 0
+    for k in range(20_000):
+        words, changed = [f"w{x}" for x in rng.integers(0, 50_000, 170)], int(rng.integers(55, 115))
+        hit = barely_apart(words, changed)
+        close += hit
+        if hit or k < 200:
+            rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join([*words[:changed], "changed", *words[changed + 1:]]))]
+        if close == 6:
+            break
+    assert close
+    got = collections.defaultdict(set)
+    for r in suffixes.repeated_spans(table(spark, rows)).collect():
+        got[r.doc] |= {p for a, b in zip(r.starts, r.ends) for p in range(a, b)}
+    assert got == {i: places for (i, _), places in marked_words(rows, False).items()}
+
+
 def test_cut_texts_keep_one_copy(spark):
     rows = list(dict.fromkeys(x for x in awkward() if x[0] is not None)) + passages()
     # Of equal (id, text) rows and of texts that share an id the order is that of a hash, so ids are unique here.
