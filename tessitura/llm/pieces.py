@@ -1,6 +1,7 @@
 """Texts cut by the pattern of a byte-level tokenizer, and ids of distinct pieces."""
 from __future__ import annotations
 
+import json
 import os
 from collections.abc import Callable, Iterator
 
@@ -65,13 +66,18 @@ class Cache:
 _CACHES: dict[tuple, Cache] = {}
 
 
+def added_tokens(path: str) -> list[str]:
+    """Strings that the library makes one id wherever they stand, before it cuts a text by the pattern."""
+    with open(path, encoding="utf-8") as f:
+        return [token["content"] for token in json.load(f).get("added_tokens") or ()]
+
+
 def library_cache(path: str) -> Cache:
-    """The worker's cache over the tokenizers library; strings of special tokens in a text are ordinary text."""
+    """The worker's cache over the tokenizers library with its default settings."""
     if path not in _CACHES:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True
         _CACHES[path] = Cache(lambda texts: [x.ids for x in tokenizer.encode_batch_fast(texts, add_special_tokens=False)])
     return _CACHES[path]

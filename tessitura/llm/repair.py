@@ -13,6 +13,7 @@ from __future__ import annotations
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 from typing import NamedTuple
 
 import numpy as np
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..session import work_folder, written
 from .common import need, shared_file, small_batches
-from .pieces import coded, gathered, library_cache, pieces, sliced
+from .pieces import added_tokens, coded, gathered, library_cache, pieces, sliced
 
 MAGIC, HEAD = b"RPG1", struct.Struct("<4s5Q")
 #: Ids after which a shard is closed, rounds, pairs replaced per round, and occurrences below which a pair is left.
@@ -189,7 +190,8 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, pattern: str, voc
     each shard's ``start`` (ids of all shards before).
 
     Nulls: a null text is empty (its end id alone), null keys come first. Equal keys follow each other by the hash of the
-    text. Characters that the JVM does not know may part texts differently, so such texts go to the library whole.
+    text. Characters that the JVM does not know may part texts differently, and strings of added tokens are ids of their
+    own, so texts with either go to the library whole.
     """
     from pyspark import TaskContext
 
@@ -235,7 +237,8 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, pattern: str, voc
     body = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(F.col(key).cast("bigint").alias("key"), body.alias("body"), F.xxhash64(body).alias("tie"))
     ordered = rows.repartitionByRange("key", "tie").sortWithinPartitions("key", "tie")
-    parts = F.when(F.col("body").rlike(r"\p{Cn}"), F.array("body")).otherwise(pieces(F.col("body"), pattern))
+    whole = reduce(lambda a, b: a | b, [F.contains("body", F.lit(x)) for x in added_tokens(tokenizer)], F.col("body").rlike(r"\p{Cn}"))
+    parts = F.when(whole, F.array("body")).otherwise(pieces(F.col("body"), pattern))
     manifest = written(ordered.select("key", parts.alias("pieces")).mapInArrow(
         run, "part bigint, number bigint, file string, docs bigint, ids bigint, bytes bigint"), "id-shards")
     before = Window.orderBy("part", "number").rowsBetween(Window.unboundedPreceding, -1)  # a row per shard

@@ -139,6 +139,18 @@ def test_token_files_equal_the_library(spark):
     assert repair.token_files(table(spark, []), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, 50_257, 2).collect() == []
 
 
+def test_token_files_equal_the_unchanged_library_on_added_tokens(spark):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tokenizer = Tokenizer.from_file(path)
+    rows = [(1, "<|endoftext|>"), (2, "a  <|endoftext|> b<|endoftext|>\n\n c"), (3, "<|endoftext |> <|endoftext|"), (4, "after"), (5, "x<|endoftext|><|endoftext|>\u0378")]
+    got = sorted(repair.token_files(table(spark, rows, extra=CLASH), path, public_tokenizers.PATTERN, 50_257, 2).collect(), key=lambda r: r.start)
+    want = [tokenizer.encode(t, add_special_tokens=False).ids + [2] for _, t in rows]
+    assert [list(r.ids) for r in got] == want and want[0] == [50_256, 2]
+    assert [r.start for r in got] == [sum(map(len, want[:k])) for k in range(len(want))]
+
+
 @pytest.mark.parametrize("first", [300, 70_000])
 def test_grammar_gives_back_any_span(tmp_path, first):
     rng = np.random.default_rng(1)
