@@ -1,8 +1,8 @@
 """Licence scan by a positional rare-token index.
 
-The index lists for every licence word the templates and offsets where it stands. A template can only be found where the
-rarest word of its mandatory key phrase stands, so each file looks up the rarest (highest-IDF) licence words it has,
-places the templates by relative position, verifies the key phrase and counts how many template words agree there.
+The index lists one word per template, the rarest (highest-IDF over all files) of its mandatory key phrase, with its
+offset. Where a file has that word the template is placed, its key phrase verified, and the template words that agree at
+their fixed offsets from there are counted.
 """
 from __future__ import annotations
 
