@@ -5,7 +5,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..sources.tables import read_table
-from . import bpe, decontam, hmm, licenses, repair, rules, sharding, simhash, suffixes, warc
+from . import associations, bpe, decontam, divergence, hmm, interactions, licenses, repair, rules, sharding, simhash, suffixes, warc
 from .registry import ORACLES, QUERIES, query
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -159,3 +159,87 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     spans = rows.select("doc", F.explode(F.arrays_zip("starts", "ends")).alias("s"))
     return spans.select(F.when(F.col("doc") != F.lit(-(1 << 63)), F.col("doc")).alias("doc_id"), F.col("s.starts").alias("start_word"),
                         F.col("s.ends").alias("end_word"), (F.col("s.ends") - F.col("s.starts")).alias("n_words"))
+
+
+#: Fixed values of op11: the listed rules.
+LISTED = (associations.Rule("block", "net/"), associations.Rule("allow", "example.net/en/"), associations.Rule("block", "example.com/de/"),
+          associations.Rule("allow", "org/fr/"))
+
+
+@query("op11_association_rules", r"""
+WITH u AS (SELECT row_number() OVER () AS r, page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+h AS (SELECT r, page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path, regexp_extract(rest, '^[^?#]*\?([^#]*)', 1) AS query FROM u),
+l(host_rule, path_rule, says) AS (VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')),
+b AS (SELECT r, arg_max(host_rule || path_rule, length(host_rule || path_rule)) AS rule, arg_max(says, length(host_rule || path_rule)) AS says
+    FROM h JOIN l ON (host = host_rule OR suffix(host, '.' || host_rule)) AND prefix(path, path_rule) GROUP BY r),
+d AS (SELECT h.r, page_id, host, path, rule, says, list_distinct([('host:' || x) FOR x IN string_split(host, '.') IF x <> '']
+    || [('path:' || regexp_replace(x, '[0-9]+', '#', 'g')) FOR x IN string_split(path, '/') IF x <> '']
+    || [('query:' || string_split(x, '=')[1]) FOR x IN string_split(query, '&') IF string_split(x, '=')[1] <> '']) AS tokens FROM h LEFT JOIN b USING (r)),
+m AS (SELECT greatest(1, ceil(0.01 * count(*))) AS least FROM d WHERE rule IS NOT NULL),
+f AS (SELECT t FROM (SELECT unnest(tokens) AS t FROM d WHERE rule IS NOT NULL) GROUP BY t HAVING count(*) >= (SELECT least FROM m)),
+k AS (SELECT r, says, list_sort(list_intersect(tokens, ts)) AS w FROM d, (SELECT coalesce(list(t), []) AS ts FROM f) WHERE rule IS NOT NULL),
+s AS (SELECT says, [w[j] FOR j IN range(1, len(w) + 1) IF (c >> (j - 1)) & 1 = 1] AS w FROM (SELECT says, w, unnest(range(1, (1 << len(w))::BIGINT)) AS c FROM k)),
+n AS (SELECT w, count(*) AS n_w, count(*) FILTER (WHERE says = 'block') AS n_block, count(*) FILTER (WHERE says = 'allow') AS n_allow FROM s GROUP BY w),
+x AS (SELECT w, 'block' AS said, n_block AS n, n_block::DOUBLE / n_w AS conf FROM n UNION ALL SELECT w, 'allow', n_allow, n_allow::DOUBLE / n_w FROM n),
+y AS (SELECT * FROM x WHERE n >= (SELECT least FROM m) AND conf >= 0.9),
+z AS (SELECT d.r, said, row_number() OVER (PARTITION BY d.r ORDER BY conf DESC, n DESC, len(w), array_to_string(w, ' ')) AS place
+    FROM d JOIN y ON list_has_all(d.tokens, y.w) WHERE d.rule IS NULL)
+SELECT page_id, host, path, rule, coalesce(says, said, 'allow') AS verdict FROM d LEFT JOIN (SELECT * FROM z WHERE place = 1) USING (r)
+""")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages that a listed rule decides are the labelled ones: ``labels`` tells of documents, not of pages."""
+    pages = read_table(spark, sf_dir, "pages").select("page_id", "url")
+    return associations.judge(pages, LISTED).select("page_id", "host", "path", "rule", "verdict")
+
+
+@query("op12_retracted_audit", r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t,
+    regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+l AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id),
+m AS (SELECT part, coalesce(good, 0) AS good, coalesce(l.toxic, 0) AS toxic, (CASE WHEN len(w) < 200 THEN 1 ELSE 0 END)
+    + (CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 2 ELSE 0 END)
+    + (CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 2 * length(t) THEN 4 ELSE 0 END)
+    + (CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 8 ELSE 0 END)
+    + (CASE WHEN d.doc_id > min(d.doc_id) OVER (PARTITION BY t) THEN 16 ELSE 0 END) AS mask FROM d LEFT JOIN l USING (doc_id)),
+c AS (SELECT part, mask, count(*) AS n, sum(good) AS g, sum(toxic) AS x FROM m GROUP BY part, mask),
+a(f, bit) AS (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)),
+o AS (SELECT [a.f, b.f, c.f, d.f, e.f] AS fs, [a.bit, b.bit, c.bit, d.bit, e.bit] AS bits FROM a, a b, a c, a d, a e
+    WHERE a.bit + b.bit + c.bit + d.bit + e.bit = 31 AND a.bit | b.bit | c.bit | d.bit | e.bit = 31),
+s AS (SELECT array_to_string(fs, '') AS filter_order, step, fs[step] AS f, bits[step] AS bit, coalesce(list_sum(bits[1:step - 1]), 0)::INT AS before
+    FROM o, (SELECT unnest([1, 2, 3, 4, 5]) AS step)),
+q AS (SELECT part, filter_order, step, f, sum(CASE WHEN mask & (bit | before) = 0 THEN n ELSE 0 END) AS kept,
+    sum(CASE WHEN mask & bit > 0 AND mask & before = 0 THEN n ELSE 0 END) AS removed,
+    sum(CASE WHEN mask & bit > 0 AND mask & before > 0 THEN n ELSE 0 END) AS redundant, sum(CASE WHEN mask = bit THEN n ELSE 0 END) AS unique_fails,
+    sum(CASE WHEN mask & bit > 0 AND mask & before = 0 THEN g ELSE 0 END) AS good_lost,
+    sum(CASE WHEN mask & bit > 0 AND mask & before = 0 THEN x ELSE 0 END) AS toxic_lost FROM c, s GROUP BY ALL)
+SELECT part, filter_order, step::INT AS step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant,
+  unique_fails::BIGINT AS unique_fails, good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost,
+  (sum(removed) OVER (PARTITION BY part, f))::BIGINT AS shapley FROM q
+""")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = read_table(spark, sf_dir, "labels")
+    return interactions.audit(interactions.audit_stream(spark, f"{sf_dir.rstrip('/')}/documents.parquet", labels))
+
+
+@query("op13_divergence_cube", r"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+t AS (SELECT r, lang, source, unnest(w) AS term FROM d),
+k AS (SELECT lang, term, count(*) AS total FROM t GROUP BY lang, term HAVING count(DISTINCT r) >= 10),
+v AS (SELECT lang, count(*) AS v, sum(total) AS n FROM k GROUP BY lang),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT lang, source, term, count(*) AS n FROM t JOIN k USING (lang, term) GROUP BY lang, source, term),
+m AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, total FROM g JOIN k USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+p AS (SELECT lang, source, term, m.n, 1 + (1000000000::HUGEINT * (m.n + 2)) // (sum(m.n) OVER (PARTITION BY lang, source) + 2 * v.v) AS p,
+    1 + (1000000000::HUGEINT * (total + 2)) // (v.n + 2 * v.v) AS q FROM m JOIN v USING (lang)),
+e AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value FROM p a JOIN p b USING (lang, term)
+    WHERE a.source <> b.source GROUP BY ALL),
+o AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(e.value, 0)::BIGINT AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+    LEFT JOIN e ON e.lang = a.lang AND e.source = a.source AND e.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, ((p - q) * (p - q) // (p + q))::BIGINT FROM p WHERE n > 0 AND p > q),
+z AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM o)
+SELECT lang, source, part, item, value, rank::INT AS rank FROM z WHERE part = 'pair' OR rank <= 10
+""")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(read_table(spark, sf_dir, "documents").select("text", "lang", "source"))
