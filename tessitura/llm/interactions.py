@@ -5,8 +5,9 @@ mask that was counted for the earlier one (first of its text) is taken back from
 stream writes signed counts only, so the sum of what it wrote is the audit after any number of batches, in any order of files.
 
 Texts are told apart by a 128-bit digest. Texts of state are kept in buckets, as many as rows / ``PER_BUCKET``, so that a state value
-has a bounded expected size at any input; before the shuffle a task keeps only its own smallest id of each text (a larger one is a copy
-whatever follows), so a text that a third of all rows share reaches its bucket once per task.
+has a bounded expected size at any input; the state store is the session's (a corpus of many terabytes wants the one that keeps
+state on disk). Before the shuffle a task keeps only its own smallest id of each text (a larger one is a copy whatever follows), so a
+text that a third of all rows share reaches its bucket once per task.
 
 A null text is empty, a null source the part ''. A null id is neither smaller nor larger than another: such a row is never a copy and
 makes none. Rows of equal id and text are no copies of each other; a repeated id in ``labels`` counts as good (toxic) if any row says so.
@@ -21,10 +22,10 @@ from hashlib import blake2b
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
-from pyspark.sql.streaming import StatefulProcessor
+from pyspark.sql.streaming.state import GroupStateTimeout
 
 from ..session import work_folder
-from .common import batches_of, flushed
+from .common import batches_of, flushed, small_batches
 
 #: The filters in order of their bits.
 FILTERS = "ABCDE"
@@ -36,11 +37,9 @@ _CONTINUED = bytes(range(0x80, 0xC0))
 _MASKED = pa.schema([("doc_id", pa.int64()), ("part", pa.string()), ("digest", pa.binary()), ("mask", pa.int32())])
 _OPEN = pa.schema([("bucket", pa.int64()), ("digest", pa.binary()), ("doc_id", pa.int64()), ("mask", pa.int32()), ("part", pa.string()),
                    ("good", pa.int32()), ("toxic", pa.int32()), ("n", pa.int64())])
+_HELD = pa.schema(list(_OPEN)[1:])
 _ROW = "digest binary, doc_id bigint, mask int, part string, good int, toxic int, n bigint"
 _DELTA = "part string, mask int, good int, toxic int, delta bigint, retracted bigint"
-#: Settings of the stream's own session: state on disk, and only changes written at each commit.
-_STATE = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
-          "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true"}
 
 
 def mask_of(text: bytes) -> int:
@@ -97,56 +96,54 @@ def _combined(buckets: int):
     return lambda batches: flushed(_OPEN, rows_of(batches))
 
 
-class SmallestIds(StatefulProcessor):
-    """State of a bucket: the rows of smallest id of each of its texts."""
+def _stored(rows: list[tuple]) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, _HELD) as out:
+        out.write_batch(batches_of(_HELD, rows))
+    return sink.getvalue().to_pybytes()
 
-    def init(self, handle) -> None:
-        self.first = handle.getListState("first", _ROW)
 
-    def handleInputRows(self, key, rows, timerValues):
-        import pandas as pd
+def _smallest_ids(key, frames, state):
+    """A bucket's state holds the rows of smallest id of each of its texts, as one Arrow stream."""
+    import pandas as pd
 
-        counts: dict[tuple, list[int]] = defaultdict(lambda: [0, 0])
-        fresh: list[tuple] = []
-        for frame in rows:
-            for digest, i, mask, part, good, toxic, n in zip(*(frame[c] for c in _OPEN.names[1:])):
-                if digest is None:
-                    counts[part, int(mask), int(good), int(toxic)][0] += int(n)
-                else:
-                    fresh.append((bytes(digest), int(i), int(mask), part, int(good), int(toxic), int(n)))
-        if fresh:
-            self._update(fresh, counts)
-        out = [(*k, d, r) for k, (d, r) in counts.items() if d or r]
-        yield pd.DataFrame(out, columns=["part", "mask", "good", "toxic", "delta", "retracted"])
-
-    def _update(self, fresh: list[tuple], counts) -> None:
-        held: dict[bytes, list[tuple]] = defaultdict(list)
-        for row in self.first.get():
-            held[bytes(row[0])].append((bytes(row[0]), *row[1:]))
-        added, retracted = [], False
-        for row in sorted(fresh, key=lambda r: r[1]):
+    counts: dict[tuple, list[int]] = defaultdict(lambda: [0, 0])
+    fresh: list[tuple] = []
+    for frame in frames:
+        for row in zip(*(frame[c] for c in _HELD.names)):
             digest, i, mask, part, good, toxic, n = row
-            old = held[digest]
-            if old and old[0][1] < i:
-                counts[part, mask | COPY, good, toxic][0] += n
-                continue
-            if old and old[0][1] > i:
-                for _, _, _, p, g, x, m in old:
-                    counts[p, mask, g, x][0] -= m
-                    counts[p, mask, g, x][1] += m
-                    counts[p, mask | COPY, g, x][0] += m
-                old.clear()
-                retracted = True
-            old.append(row)
-            added.append(row)
-            counts[part, mask, good, toxic][0] += n
-        if retracted:
-            self.first.put([r for rows in held.values() for r in rows])
-        elif added:
-            self.first.appendList(added)
-
-    def close(self) -> None:
-        pass
+            if digest is None:
+                counts[part, int(mask), int(good), int(toxic)][0] += int(n)
+            else:
+                fresh.append((bytes(digest), int(i), int(mask), part, int(good), int(toxic), int(n)))
+    if fresh:
+        held: dict[bytes, list[tuple]] = defaultdict(list)
+        if state.exists:
+            for batch in pa.ipc.open_stream(bytes(state.get[0])):
+                for row in zip(*(c.to_pylist() for c in batch.columns)):
+                    held[row[0]].append(row)
+        _update(held, fresh, counts)
+        state.update((_stored([r for rows in held.values() for r in rows]),))
+    out = [(*k, d, r) for k, (d, r) in counts.items() if d or r]
+    yield pd.DataFrame(out, columns=["part", "mask", "good", "toxic", "delta", "retracted"])
+
+
+def _update(held: dict[bytes, list[tuple]], fresh: list[tuple], counts) -> None:
+    """Takes new rows into the state: a smaller id takes back what was counted for the earlier one."""
+    for row in fresh:
+        digest, i, mask, part, good, toxic, n = row
+        old = held[digest]
+        if old and old[0][1] < i:
+            counts[part, mask | COPY, good, toxic][0] += n
+            continue
+        if old and old[0][1] > i:
+            for _, _, _, p, g, x, m in old:
+                counts[p, mask, g, x][0] -= m
+                counts[p, mask, g, x][1] += m
+                counts[p, mask | COPY, g, x][0] += m
+            old.clear()
+        old.append(row)
+        counts[part, mask, good, toxic][0] += n
 
 
 def _exact(path: str) -> str:
@@ -159,6 +156,7 @@ def audit_stream(spark: SparkSession, documents: str, labels: DataFrame, batches
     """Runs the stream over all files at ``documents`` (in about ``batches`` micro-batches of files) and returns the signed counts
     that it wrote: part, mask, good, toxic, delta, retracted."""
     whole = spark.read.parquet(documents)
+    small_batches(whole)
     files, rows = len(whole.inputFiles()), whole.count()
     buckets = max(1, -(-rows // PER_BUCKET))
     known = labels.groupBy("doc_id").agg(F.max((F.col("quality") == 1).cast("int")).alias("good"), F.max((F.col("toxic") == 1).cast("int")).alias("toxic"))
@@ -171,19 +169,11 @@ def audit_stream(spark: SparkSession, documents: str, labels: DataFrame, batches
     judged = masked.withColumn("_s", spread).join(known.withColumn("_s", F.lit(0).cast("bigint")), ["doc_id", "_s"], "left").select(
         "doc_id", "part", "digest", "mask", F.coalesce("good", F.lit(0)).alias("good"), F.coalesce("toxic", F.lit(0)).alias("toxic"))
     combined = judged.mapInArrow(_combined(buckets), T.StructType.fromDDL("bucket bigint, " + _ROW))
-    deltas = combined.groupBy("bucket").transformWithStateInPandas(SmallestIds(), T.StructType.fromDDL(_DELTA), "append", "none")
+    deltas = combined.groupBy("bucket").applyInPandasWithState(
+        _smallest_ids, T.StructType.fromDDL(_DELTA), T.StructType.fromDDL("texts binary"), "append", GroupStateTimeout.NoTimeout)
     out = work_folder(spark, "audit")
-    before = {k: spark.conf.get(k, None) for k in [*_STATE, "spark.sql.execution.arrow.maxRecordsPerBatch"]}
-    try:
-        for k, v in _STATE.items():
-            spark.conf.set(k, v)
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
-        run = deltas.writeStream.format("parquet").outputMode("append").option("path", out).option(
-            "checkpointLocation", work_folder(spark, "audit-state")).trigger(availableNow=True).start()
-        run.awaitTermination()
-    finally:
-        for k, v in before.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    deltas.writeStream.format("parquet").outputMode("append").option("path", out).option(
+        "checkpointLocation", work_folder(spark, "audit-state")).trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(T.StructType.fromDDL(_DELTA)).parquet(out)
 
 
