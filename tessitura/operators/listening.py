@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.hashing import hash_bucket, hex_hash, unit_hash
 from .catalog import split_key
+from ..session import written
 from .ordering import first_after, grouped_scan, position_bucket, top_rows, value_bucket
 
 
@@ -45,33 +46,49 @@ def pair_queue(pairs: DataFrame, seed: int, repeat_share: float = 0.1) -> DataFr
 TEMPO_BANDS = ((1.25, 9.0, 8), (1.10, 1.20, 6), (1.0, 1.04, 6))
 
 
+def fitting_partners(samples: DataFrame, group: str, sample: str, rate: str, bands) -> tuple[DataFrame, DataFrame]:
+    """Samples in order of rate, and per sample and band the places of all faster samples that fit.
+
+    Returns (group, ``at``, sample, rate), and (group, ``at``, ``band``, ``from``, ``n``): the partners are the ``n`` places
+    from ``from`` on. A pair fits a band if the faster rate is at least ``low`` times and less than ``high`` times the slower
+    one; equal rates are ordered by sample. Rates that are null or not above 0 take no part.
+    """
+    order = grouped_scan(samples.filter(F.col(rate) > 0).select(group, sample, rate), [group], [rate, sample], rank="at")
+    order = written(order, "by-rate")
+    edges = F.explode(F.array(*[F.struct(F.lit(b).alias("band"), F.lit(e).alias("edge"), F.lit(float(x)).alias("x"))
+                                for b, (low, high, _) in enumerate(bands) for e, x in (("low", low), ("high", high))])).alias("e")
+    asks = order.select(group, F.col(rate).alias("_rate"), "at", edges).select(
+        group, (F.col("_rate") * F.col("e.x")).alias("value"), F.struct("at", "e.band", "e.edge").alias("ask"))
+    places = first_after(order.select(group, F.col(rate).alias("value"), F.col("at").alias("item")), asks, [group], None, strict=False)
+    edge = lambda e: F.max(F.when(F.col("ask.edge") == e, F.col("item")))
+    found = places.groupBy(group, F.col("ask.at").alias("at"), F.col("ask.band").alias("band")).agg(edge("low").alias("_low"), edge("high").alias("_high"))
+    past = order.groupBy(group).agg((F.max("at") + 1).alias("_past"))
+    start = F.greatest("_low", F.col("at") + 1)
+    return order, found.filter("_low IS NOT NULL").join(past, group).select(
+        group, "at", "band", start.alias("from"), (F.coalesce("_high", "_past") - start).alias("n")).filter("n > 0")
+
+
 def tempo_pairs(samples: DataFrame, group: str, sample: str, rate: str, seed: int, bands=TEMPO_BANDS) -> DataFrame:
-    """Pairs spread over rate ratios: per band at most one pair per group, and the first N groups in hashed order.
+    """Pairs spread over rate ratios: per band one pair per group, and the first N groups in hashed order.
 
-    Every sample looks up only the next sample whose rate is at least the band's lower ratio times its own: a group
-    has a pair inside the band exactly if one of these look-ups falls below the upper ratio.
+    A group's pair is drawn from all its fitting ones: a hash picks a number below their count, the running sum of the
+    samples' partner counts says whose partner it is and which. No pair but the drawn one is formed.
     """
-    order = grouped_scan(samples.select(group, sample, rate), [group], [F.col(rate), F.col(sample)],
-                         value_bucket(F.col(rate)), rank="item")
-    out = None
-    for number, (low, high, n) in enumerate(bands):
-        events = order.select(group, F.col(rate).alias("value"), "item")
-        if low == 1.0:
-            found = order.select(group, F.col("item").alias("ask"), (F.col("item") + 1).alias("item"))
-        else:
-            asks = order.select(group, (F.col(rate) * low).alias("value"), F.col("item").alias("ask"))
-            found = first_after(events, asks, [group], value_bucket, strict=False)
-        slow = order.select(group, F.col("item").alias("ask"), F.col(sample).alias("slow"), F.col(rate).alias("slow_rate"))
-        fast = order.select(group, "item", F.col(sample).alias("fast"), F.col(rate).alias("fast_rate"))
-        pairs = found.join(slow, [group, "ask"]).join(fast, [group, "item"]).withColumn("ratio", F.col("fast_rate") / F.col("slow_rate"))
-        fits = pairs.filter((F.col("ratio") >= low) & (F.col("ratio") < high)).withColumn(
-            "_digest", hex_hash(seed, number, F.col("slow"), F.col("fast")))
-        one = fits.groupBy(group).agg(F.min_by(F.struct("slow", "fast", "ratio", "_digest"), "_digest").alias("p")).select(group, "p.*")
-        picked = top_rows(one, [], [F.col("_digest")], n, F.col("_digest")).withColumn("band", F.lit(number))
-        out = picked if out is None else out.unionByName(picked)
+    order, partners = fitting_partners(samples, group, sample, rate, bands)
+    run = written(grouped_scan(partners, [group, "band"], ["at"], rank="_row", sums={"_upto": F.col("n")}), "partners")
+    drawn = run.groupBy(group, "band").agg(F.sum("n").alias("fitting")).withColumn(
+        "_draw", F.least(F.floor(unit_hash(seed, "pair", F.col("band"), F.col(group)) * F.col("fitting")), F.col("fitting") - 1))
+    picked = run.join(drawn, [group, "band"]).filter((F.col("_draw") >= F.col("_upto") - F.col("n")) & (F.col("_draw") < F.col("_upto"))).select(
+        group, "band", "fitting", F.col("at").alias("_slow"), (F.col("from") + F.col("_draw") - F.col("_upto") + F.col("n")).alias("_fast"))
+    most = F.element_at(F.array(*[F.lit(n) for *_, n in bands]), F.col("band") + 1)
+    digest = hex_hash(seed, F.col("band"), F.col(group))
+    few = top_rows(picked.withColumn("_digest", digest).withColumn("_most", most), ["band"], [F.col("_digest")], F.col("_most"), F.col("_digest")).drop("_most", "_digest")
+    side_of = lambda name, at: order.select(group, F.col("at").alias(at), F.col(sample).alias(name), F.col(rate).alias(f"{name}_rate"))
+    pairs = few.join(side_of("slow", "_slow"), [group, "_slow"]).join(side_of("fast", "_fast"), [group, "_fast"]).withColumn(
+        "ratio", F.col("fast_rate") / F.col("slow_rate"))
     side = unit_hash(seed, "side", F.col("slow"), F.col("fast")) < 0.5
-    chosen = out.select(
-        group, "band", F.round("ratio", 2).alias("ratio"), F.when(side, F.col("slow")).otherwise(F.col("fast")).alias("a"),
+    chosen = pairs.select(
+        group, "band", "fitting", F.round("ratio", 2).alias("ratio"), F.when(side, F.col("slow")).otherwise(F.col("fast")).alias("a"),
         F.when(side, F.col("fast")).otherwise(F.col("slow")).alias("b"),
         F.when(F.col("ratio") < 1.04, "close").when(side, "B").otherwise("A").alias("expect"))
     return shuffled(chosen, [], f"{seed}:queue", [F.col("a"), F.col("b"), F.col("band")], "id")

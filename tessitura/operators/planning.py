@@ -7,7 +7,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.hashing import hex_hash, unit_hash
 from .checks import require_empty
-from .ordering import exact_quantiles, grouped_scan
+from ..session import written
+from .ordering import SALTS, exact_quantiles, grouped_scan
 
 
 @dataclass(frozen=True)
@@ -123,29 +124,79 @@ def longest_first(jobs: DataFrame, speed: dict[str, float]) -> DataFrame:
 REALTIME = {"piper": 13.0, "kokoro": 4.2, "kokoro_ja": 4.2, "mms": 4.7, "coqui": 25.0, "mimic3": 23.0, "glowtts": 3.2}
 
 
-def utterance_order(speakers: DataFrame, sentences: DataFrame, core: int, seed: int, second_fraction: float,
-                    cycles: int) -> DataFrame:
-    """The first ``cycles`` rounds of each speaker's sequence, with 0-based ``position`` and ``render`` number.
+def _pairs_below(speakers: DataFrame, rest: DataFrame, seed: int) -> DataFrame:
+    """(key, text, rank, _digest) of the pairs whose digest lies below their speaker's ``_bound``.
 
-    ``sentences`` (espeak, rank, text) is in coverage order: the first ``core`` come first for everyone, the rest in
-    a per-speaker hash order; a hashed share of renders is followed by a second one.
+    Every pair's digest is computed once, inside the join; only those below the bound leave it. Sentences are dealt out over
+    salts, so that a language's pairs are spread over many tasks.
+    """
+    salted = rest.withColumn("_salt", F.pmod(F.xxhash64("text"), F.lit(SALTS)))
+    copies = speakers.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))
+    digest = hex_hash(seed, F.col("key"), F.col("text"))
+    below = (F.substring(digest, 1, 13) < F.col("_bound")) | (F.col("_bound") == _EVERYTHING)
+    return copies.join(salted, ["espeak", "_salt"]).filter(below).select("key", "text", "rank", digest.alias("_digest"))
+
+
+# Above any 13 hex digits.
+_EVERYTHING = "g"
+
+
+def _bounds(speakers: DataFrame, slack: float) -> DataFrame:
+    """Per speaker the hex digits below which, with room to spare, as many digests fall as are asked for."""
+    wanted = F.col("_wanted") + F.lit(slack) * F.sqrt(F.col("_wanted") + 1.0) + slack
+    share = wanted / F.col("_rest")
+    digits = F.lpad(F.lower(F.hex(F.floor(F.least(share, F.lit(1.0)) * float(16**13 - 1)).cast("bigint"))), 13, "0")
+    return speakers.withColumn("_bound", F.when(share >= 1, F.lit(_EVERYTHING)).otherwise(digits))
+
+
+def utterance_order(speakers: DataFrame, sentences: DataFrame, core: int, seed: int, second_fraction: float) -> DataFrame:
+    """The first ``need`` utterances of each speaker's endless sequence, with 0-based ``position``, ``cycle`` and ``render``.
+
+    ``sentences`` (espeak, rank, text) is in coverage order: the first ``core`` come first for everyone, the rest in a
+    per-speaker hash order; a hashed share of renders is followed by a second one, and a new cycle begins when all are used.
+    ``speakers`` has key, espeak and ``need``, the most its budget can use (see ``needed``).
+
+    A speaker that needs m of n sentences of the rest only takes pairs whose digest lies below a bound for m of n; where the
+    bound turns out too low, it is doubled for these speakers. So rows grow with what is needed, not with speakers x sentences.
     """
     key, text = F.col("key"), F.col("text")
-    crossed = speakers.select("key", "espeak").join(sentences.select("espeak", "rank", "text"), "espeak")
-    rest = F.col("rank") > core
-    ranked = crossed.withColumn("_rest", rest.cast("int")).withColumn(
-        "_place", F.when(rest, hex_hash(seed, key, text)).otherwise(F.format_string("%064d", F.col("rank").cast("bigint"))))
-    rounds = ranked.select("*", F.explode(F.sequence(F.lit(0), F.lit(cycles - 1))).alias("cycle"))
+    sizes = sentences.groupBy("espeak").agg(F.count(F.lit(1)).alias("_all"), F.count_if(F.col("rank") > core).alias("_rest"))
+    asked = written(speakers.select("key", "espeak", F.col("need").cast("bigint").alias("need")).join(sizes, "espeak").withColumn(
+        "_wanted", F.least("_rest", F.greatest(F.lit(0).cast("bigint"), F.col("need") - (F.col("_all") - F.col("_rest"))))), "speakers")
+    rest = sentences.filter(F.col("rank") > core).select("espeak", "rank", "text")
+    open_, found, slack = asked.filter("_wanted > 0"), None, 4.0
+    while True:
+        new = written(_pairs_below(_bounds(open_, slack), rest, seed), "rest")
+        enough = open_.join(new.groupBy("key").agg(F.count(F.lit(1)).alias("_found")), "key", "left").withColumn(
+            "_enough", F.coalesce("_found", F.lit(0)) >= F.col("_wanted")).select("key", "_enough")
+        done = new.join(enough.filter("_enough"), "key", "left_semi")
+        found = done if found is None else found.unionByName(done)
+        open_ = open_.join(enough.filter("NOT _enough"), "key", "left_semi")
+        if open_.isEmpty():
+            break
+        open_, slack = written(open_, "speakers"), slack * 2
+    head = asked.join(sentences.filter(F.col("rank") <= core).select("espeak", "rank", "text"), "espeak").filter(F.col("rank") <= F.col("need")).select(
+        "key", "espeak", "need", "_all", "text", "rank", F.lit(0).alias("_rest"), F.format_string("%064d", F.col("rank").cast("bigint")).alias("_place"))
+    tail = found.join(asked.select("key", "espeak", "need", "_all"), "key").select(
+        "key", "espeak", "need", "_all", "text", "rank", F.lit(1).alias("_rest"), F.col("_digest").alias("_place"))
+    cycles = F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("need") - 1) / F.col("_all")).cast("bigint"))
+    rounds = head.unionByName(tail).filter("need > 0").select("*", F.explode(cycles).alias("cycle"))
     second = unit_hash(seed, key, text, F.col("cycle"), "second") < second_fraction
     copies = rounds.select("*", F.explode(F.when(second, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("copy"))
     bucket = F.concat_ws("-", F.format_string("%06d", F.col("cycle")), F.col("_rest").cast("string"),
-                         F.when(rest, F.substring("_place", 1, 3)).otherwise(F.substring("_place", 1, 61)))
+                         F.when(F.col("_rest") == 1, F.substring("_place", 1, 3)).otherwise(F.substring("_place", 1, 61)))
     order = [F.col("cycle"), F.col("_rest"), F.col("_place"), F.col("rank"), F.col("copy")]
-    out = grouped_scan(copies, ["key"], order, bucket, rank="_rank")
-    return out.select("key", "espeak", "text", "cycle", (2 * F.col("cycle") + F.col("copy")).alias("render"),
+    out = grouped_scan(copies, ["key"], order, bucket, rank="_rank").filter(F.col("_rank") <= F.col("need"))
+    return out.select("key", "espeak", "text", F.col("cycle").cast("int").alias("cycle"), (2 * F.col("cycle") + F.col("copy")).cast("int").alias("render"),
                       (F.col("_rank") - 1).alias("position"))
 
 
+def needed(budget_seconds: Column, parts: Column, least_seconds: float) -> Column:
+    """Utterances of a speaker that jobs of this budget can use, if none lasts less than ``least_seconds``: each part takes
+    until its budget is full."""
+    return (parts * F.ceil(budget_seconds / F.lit(float(least_seconds)))).cast("bigint")
+
+
 def part_of(position: Column, parts: Column) -> tuple[Column, Column]:
     """Part that takes a position of the sequence, and the position inside that part."""
     return (position % parts).cast("int"), F.floor(position / parts).cast("bigint")

@@ -1,17 +1,19 @@
 """Metric against verdict: language z-scores, rank-based AUC, bootstrap intervals, extremes, disagreements, strengths."""
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from ..functions.hashing import unit_hash
 from ..session import ensure_checkpoint_dir, written
 from .checks import require_empty
-from .ordering import exact_quantiles, grouped_scan, top_rows, value_bucket, value_counts
+from .ordering import exact_quantiles, grouped_scan, top_rows, value_counts
 
 EXTREME_FRACTION = 0.15
+FANOUT = 256  # children of a node of the tree that bootstrap counts are dealt down
 BROADCAST_ROWS = 100_000  # a strengths table up to this many rows is sent to every task
 
 
@@ -60,40 +62,83 @@ def groups_with_both(rows: DataFrame, group: str, verdict: str) -> DataFrame:
     return rows.groupBy(group).agg(F.min(verdict).alias("_a"), F.max(verdict).alias("_b")).filter("_a <> _b").select(group)
 
 
-def bootstrap_auc(rows: DataFrame, keys: Sequence[str], stratum: Sequence[str], row_id: str, value: str, passed: Column,
+def _drawn(total: np.ndarray, weights: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """Per draw (column), ``total`` dealt out over the rows of ``weights`` in proportion to them."""
+    whole = weights.sum()
+    return rng.multinomial(total, weights / whole).T if whole else np.zeros((len(weights), len(total)), np.int64)
+
+
+def _generator(seed: int, *place) -> np.random.Generator:
+    digest = hashlib.sha256(":".join(map(str, (seed, *place))).encode()).digest()
+    return np.random.Generator(np.random.PCG64(int.from_bytes(digest[:16], "big")))
+
+
+def bootstrap_auc(rows: DataFrame, keys: Sequence[str], stratum: Sequence[str], value: str, passed: Column,
                   draws: int, seed: int, low: float = 0.025, high: float = 0.975) -> DataFrame:
     """Interval of the pooled AUC over ``draws`` resamples; each stratum is redrawn with replacement to its own size.
 
-    Slot ``i`` of draw ``r`` takes the row whose hash rank is floor(hash(seed, r, stratum, i) * size) + 1, so the
-    resample is the same however the data is partitioned.
+    A resample is known by how often each (value, verdict) is drawn, which is multinomial over their counts. These counts
+    are dealt out down a tree over the ordered distinct values (``FANOUT`` children a node, all draws at once as one array a
+    node), from generators seeded by (seed, stratum, node); so the work is draws x distinct values however many rows there
+    are, no task holds more than ``FANOUT`` x draws counts, and a result does not depend on partitions. Null values are left out.
     """
+    import pandas as pd
+
     groups = list(dict.fromkeys([*keys, *stratum]))
-    digest = F.sha2(F.concat_ws(":", F.lit(str(seed)), F.col(row_id).cast("string")), 256)
-    base = rows.select(*groups, row_id, value, passed.cast("bigint").alias("_passed")).withColumn("_digest", digest)
-    ranked = grouped_scan(base, groups, [F.col("_digest"), F.col(row_id)], F.substring("_digest", 1, 3), rank="_slot")
-    sizes = base.groupBy(*groups).agg(F.count(F.lit(1)).alias("_size"))
-    slots = ranked.join(sizes, groups).select(*groups, "_slot", "_size", F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw"))
-    picked = slots.withColumn("_slot", (F.floor(
-        unit_hash(seed, F.col("draw"), *[F.col(g) for g in groups], F.col("_slot")) * F.col("_size")) + 1).cast("bigint"))
-    counted = picked.groupBy(*groups, "draw", "_slot").agg(F.count(F.lit(1)).alias("_times"))
-    sampled = counted.join(ranked.select(*groups, "_slot", value, "_passed"), [*groups, "_slot"])
-    per_value = sampled.groupBy("draw", *groups, value).agg(
-        F.sum(F.col("_times") * F.col("_passed")).alias("p"), F.sum(F.col("_times") * (1 - F.col("_passed"))).alias("f"))
-    run = grouped_scan(per_value, ["draw", *groups], [F.col(value)], value_bucket(F.col(value).cast("double")),
-                       sums={"upto_f": F.col("f")})
-    wins = run.groupBy("draw", *groups).agg(
-        F.sum(F.col("p") * ((F.col("upto_f") - F.col("f")) * 2 + F.col("f"))).alias("_twice"), F.sum("p").alias("_np"), F.sum("f").alias("_nf"))
-    stats = wins.groupBy("draw", *keys).agg(
-        F.try_divide(F.sum("_twice") / 2.0, F.sum(F.col("_np") * F.col("_nf"))).alias("auc"))
+    won = passed.cast("bigint")
+    marked = rows.withColumn("_p", won).withColumn("_f", 1 - won)
+    cells = written(value_counts(marked, groups, value, sums={"_np": F.col("_p"), "_nf": F.col("_f")}, rank="_node").select(
+        *groups, (F.col("_node") - 1).alias("_node"), F.col("_np").alias("p"), F.col("_nf").alias("f")), "cells")
+    widest = cells.agg(F.max("_node")).first()[0] or 0
+    depth = 1
+    while widest >= FANOUT**depth:
+        depth += 1
+    schema = lambda fields: T.StructType([*[cells.schema[g] for g in groups], *T.StructType.fromDDL(fields).fields])
+    arrays, root = "p array<bigint>, f array<bigint>, earlier array<bigint>", [*groups, "_node"]
+    plain = lambda v: v.item() if hasattr(v, "item") else v
+
+    def start(frames):
+        for frame in frames:
+            out = []
+            for *group, p, f in frame.itertuples(index=False, name=None):
+                rng = _generator(seed, *map(plain, group), "root")
+                pass_counts = rng.binomial(p + f, p / (p + f), draws)
+                out.append((*group, 0, pass_counts, p + f - pass_counts, np.zeros(draws, np.int64)))
+            yield pd.DataFrame(out, columns=[*root, "p", "f", "earlier"])
+
+    def deal(level):
+        def split(key, above, below):
+            if above.empty or below.empty:
+                return pd.DataFrame(columns=[*root, "p", "f", "earlier"] if level else [*groups, "twice"])
+            below, rng = below.sort_values("_node"), _generator(seed, *map(plain, key), level)
+            p, f = (_drawn(np.asarray(above[c].iloc[0]), below[c].to_numpy(np.int64), rng) for c in "pf")
+            earlier = np.asarray(above["earlier"].iloc[0]) + np.cumsum(f, axis=0) - f
+            if level:
+                return pd.DataFrame([(*key[:-1], n, *a) for n, *a in zip(below["_node"], p, f, earlier)], columns=[*root, "p", "f", "earlier"])
+            return pd.DataFrame([(*key[:-1], (p * (2.0 * earlier + f)).sum(axis=0))], columns=[*groups, "twice"])
+        return split
+
+    tops = cells.groupBy(*groups).agg(F.sum("p").alias("p"), F.sum("f").alias("f"))
+    nodes = tops.mapInPandas(start, schema(f"_node bigint, {arrays}"))
+    tops = nodes = written(nodes, "draws")
+    for level in range(depth - 1, -1, -1):
+        parent = [*groups, F.floor(F.col("_node") / FANOUT).cast("bigint").alias("_parent")]
+        weights = cells.groupBy(*groups, F.floor(F.col("_node") / FANOUT**level).cast("bigint").alias("_node")).agg(
+            F.sum("p").alias("p"), F.sum("f").alias("f"))
+        nodes = nodes.groupBy(*groups, F.col("_node").alias("_parent")).cogroup(weights.groupBy(*parent)).applyInPandas(
+            deal(level), schema(f"_node bigint, {arrays}" if level else "twice array<double>"))
+    wins = nodes.select(*groups, F.posexplode("twice").alias("draw", "_t")).groupBy("draw", *groups).agg(F.sum("_t").alias("_twice"))
+    sizes = tops.select(*groups, F.posexplode(F.zip_with("p", "f", lambda a, b: a.cast("double") * b)).alias("draw", "_pairs"))
+    total = lambda df, c: df.groupBy("draw", *keys).agg(F.sum(c).alias(c))
+    stats = total(wins, "_twice").join(total(sizes, "_pairs"), ["draw", *keys]).select(
+        *keys, F.try_divide(F.col("_twice") / 2.0, F.col("_pairs")).alias("auc"))
     return exact_quantiles(stats, list(keys), "auc", {"ci_lo": low, "ci_hi": high})
 
 
 def _ranked(rows: DataFrame, keys: Sequence[str], value: str, tie: str) -> DataFrame:
-    """Rank by value then tie inside ``keys``; equal values are spread over buckets by the tie's hash order."""
-    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("group_rows"))
-    bucket = F.struct(value_bucket(F.col(value).cast("double")).alias("v"), F.col(value).alias("x"),
-                      F.floor(F.col(tie) / 100_000).cast("bigint").alias("t"))
-    ranked = grouped_scan(rows, list(keys), [F.col(value), F.col(tie)], bucket, rank="rank")
+    """Rank by value then tie inside ``keys``, with the group's rows; equal values are cut by the tie."""
+    ranked = written(grouped_scan(rows, list(keys), [value, tie], rank="rank"), "ranked")
+    sizes = ranked.groupBy(*keys).agg(F.count(F.lit(1)).alias("group_rows"))
     return ranked.join(sizes, list(keys)) if keys else ranked.crossJoin(F.broadcast(sizes))
 
 
@@ -139,9 +184,9 @@ def evaluate(rows: DataFrame, metrics: Sequence[str], row_id: str, draws: int, s
     named = lambda df, prefix: df.select(*keys, *[F.col(c).alias(f"{prefix}_{c}") for c in df.columns if c not in keys])
     parts = [
         named(pooled_auc(cases, keys, [], "value", passed), "global"),
-        named(bootstrap_auc(cases, keys, [], row_id, "value", passed, draws, seed), "global"),
+        named(bootstrap_auc(cases, keys, [], "value", passed, draws, seed), "global"),
         named(pooled_auc(inside, keys, ["lang"], "value", passed), "within"),
-        named(bootstrap_auc(inside, keys, ["lang"], row_id, "value", passed, draws, seed), "within"),
+        named(bootstrap_auc(inside, keys, ["lang"], "value", passed, draws, seed), "within"),
         both.groupBy(*keys).agg(F.count(F.lit(1)).alias("within_langs")),
         cases.groupBy(*keys).agg(F.avg(passed.cast("double")).alias("base_pass_rate")),
         extremes(cases, keys, "value", row_id, passed),

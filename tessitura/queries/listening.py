@@ -45,7 +45,16 @@ def w22_pair_queue(spark, sf):
     return queue(spark, sf)
 
 
-@query("w21_tempo_pairs")
+@query("w21_tempo_pairs", f"""WITH {VOICES}, o AS (SELECT lang, voice, rate, row_number() OVER (PARTITION BY lang ORDER BY rate, voice) AS at FROM v WHERE rate > 0),
+    bands(band, low, high, n) AS (VALUES (0, 1.25, 9.0, 8), (1, 1.10, 1.20, 6), (2, 1.0, 1.04, 6)),
+    f AS (SELECT s.lang, band, n, s.voice AS slow, q.voice AS fast, q.rate / s.rate AS ratio, row_number() OVER w - 1 AS k, count(*) OVER (PARTITION BY s.lang, band) AS fitting
+      FROM o s JOIN o q ON q.lang = s.lang AND q.at > s.at JOIN bands ON q.rate >= s.rate * low::DOUBLE AND q.rate < s.rate * high::DOUBLE WINDOW w AS (PARTITION BY s.lang, band ORDER BY s.at, q.at)),
+    d AS (SELECT *, row_number() OVER (PARTITION BY band ORDER BY sha256(concat_ws(':', 2, band, lang))) AS place FROM f
+      WHERE k = least(floor({Q.unit("concat_ws(':', 2, 'pair', band, lang)")} * fitting)::BIGINT, fitting - 1)),
+    c AS (SELECT *, {Q.unit("concat_ws(':', 2, 'side', slow, fast)")} < 0.5 AS side FROM d WHERE place <= n),
+    p AS (SELECT lang, band, fitting, round(ratio, 2) AS ratio, CASE WHEN side THEN slow ELSE fast END AS a, CASE WHEN side THEN fast ELSE slow END AS b,
+      CASE WHEN ratio < 1.04 THEN 'close' WHEN side THEN 'B' ELSE 'A' END AS expect FROM c)
+    SELECT *, row_number() OVER (ORDER BY sha256(concat_ws(':', '2:queue', a, b, band)), a, b, band) - 1 AS id FROM p""")
 def w21_tempo_pairs(spark, sf):
     return L.tempo_pairs(voices(spark, sf), "lang", "voice", "rate", seed=2)
 

@@ -230,7 +230,7 @@ def e1_global_auc(spark, sf):
 def e3_bootstrap_interval(spark, sf):
     rows = verdicts(spark, sf)
     inside = rows.join(St.groups_with_both(rows, "lang", "human"), "lang", "left_semi")
-    return St.bootstrap_auc(inside, [], ["lang"], "doc_id", "m1", F.col("human") == "pass", 200, seed=0)
+    return St.bootstrap_auc(inside, [], ["lang"], "m1", F.col("human") == "pass", 200, seed=0)
 
 
 @query("e4_full_evaluation")

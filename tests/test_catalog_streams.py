@@ -1,4 +1,5 @@
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -91,6 +92,32 @@ def test_manifest_stream_equals_batch(spark, tmp_path):
     assert spark.read.parquet(out + "/bad").count() == rejected.count() == 3
 
 
+def test_step_windows_over_micro_batches(spark, tmp_path):
+    """Windows of 7 steps of three runs whose steps land in five files, against a plain loop; the rest waits."""
+    rng = random.Random(6)
+    clock, steps, want, open_ = {}, [], [], {}
+    for k in range(150):
+        run = rng.choice(["hot", "hot", "a", "b"])
+        begin = clock.get(run, 100.0 + rng.random())
+        clock[run] = end = begin + rng.uniform(0.1, 2)
+        steps.append((run, k, begin, end, rng.randint(1, 32), rng.random(), rng.choice([0.0, 0.05])))
+    for run, k, begin, end, samples, wait, excluded in steps:
+        w = open_.setdefault(run, [begin, 0, 0.0, 0.0, 0.0])
+        w[1:] = [w[1] + 1, w[2] + samples, w[3] + wait, w[4] + excluded]
+        if w[1] == 7:
+            seconds = end - w[0] - w[4]
+            want.append((run, w[0], end, 7, 7 / seconds, w[2] / seconds, w[3] / seconds))
+            open_[run] = [end, 0, 0.0, 0.0, 0.0]
+    kind = "run string, step long, t_begin double, t_end double, samples int, wait double, excluded double"
+    for n in range(5):
+        part = steps[30 * n:30 * n + 30]
+        rng.shuffle(part)
+        spark.createDataFrame(part, kind).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    got = I.run_available(I.step_windows(stream, "run", 7), "windows", "append", I.ON_DISK).collect()
+    assert [tuple(r)[:1] + tuple(map(pytest.approx, tuple(r)[1:])) for r in sorted(got)] == sorted(want) and len(want) > 15
+
+
 def test_queries_and_sql_pair_up():
     import __spark_entry__ as entry
     assert set(entry.oracle_sql()) <= set(entry.queries()) and len(entry.queries()) > 140

@@ -1,3 +1,4 @@
+import math
 import random
 from statistics import median
 
@@ -43,6 +44,64 @@ def test_quantile_rules(spark, values):
     assert O.exact_quantiles(df, [], "v", {"m": 0.5}).first()["m"] == pytest.approx(median(v for *_, v in values))
 
 
+def test_quantiles_narrowed_by_a_coarse_sketch(spark, monkeypatch):
+    monkeypatch.setattr(O, "ACCURACY", 40)
+    rng = random.Random(4)
+    rows = [("hot", rng.choice([rng.random(), 0.5, round(rng.random(), 1), -1e300, 1e300])) for _ in range(3000)] + [("few", float(i)) for i in range(7)]
+    rows += [("odd", x) for x in [float("nan")] * 90 + [float("inf")] * 3 + [float("-inf")] * 60 + [0.25] * 80] + [("none", None)] * 3
+    df = spark.createDataFrame(rows, "g string, v double").repartition(5)
+    qs = {"a": 0.0, "b": 0.03, "c": 0.5, "d": 0.75, "e": 1.0}
+    got = {r["g"]: r for r in O.exact_quantiles(df, ["g"], "v", qs, "nearest").collect()}
+    assert set(got) == {"hot", "few", "odd"}
+    for g in got:
+        s = sorted((v for k, v in rows if k == g), key=lambda x: (math.isnan(x), x))
+        for name, q in qs.items():
+            want = s[min(len(s) - 1, round(q * (len(s) - 1)))]
+            assert got[g][name] == want or math.isnan(got[g][name]) and math.isnan(want)
+    assert O.exact_quantiles(df.limit(0), [], "v", {"m": 0.5}).collect()[0]["m"] is None
+
+
+@pytest.fixture
+def many_buckets(monkeypatch):
+    monkeypatch.setattr(O, "BUCKET_ROWS", 20)
+    monkeypatch.setattr(O, "MOST_ROWS", 60)
+
+
+def test_scan_by_splitters(spark, many_buckets):
+    rng = random.Random(9)
+    rows = [(i, rng.choice(["hot", "hot", "hot", "a", None]), rng.choice([None, rng.random(), 0.25, 0.5, float("nan"), 1e9 + rng.random()]), f"t{i:04d}") for i in range(900)]
+    df = spark.createDataFrame(rows, "i int, g string, v double, t string").repartition(4)
+    got = O.grouped_scan(df, ["g"], ["v", "t"], rank="r", sums={"s": F.col("i")}).collect()
+    want, run = {}, {}
+    for i, g, v, t in sorted(rows, key=lambda x: (x[1] or "", x[2] is not None, x[2] is not None and math.isnan(x[2]), 0.0 if x[2] is None or math.isnan(x[2]) else x[2], x[3])):
+        n, s = run.get(g, (0, 0))
+        run[g] = want[i] = (n + 1, s + i)
+    assert {r["i"]: (r["r"], r["s"]) for r in got} == want
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_splitters_fill_buckets_and_shuffle_once(spark, many_buckets):
+    """A metric between 0 and 1 with many ties: no bucket far above the mean, one shuffle of the rows, none to one task."""
+    df = spark.range(6000).select("id", F.when(F.col("id") % 3 == 0, 0.5).otherwise(F.rand(1)).alias("m"), F.when(F.col("id") % 10 < 8, "hot").otherwise("x").alias("g"))
+    cuts = O.splitters(df, ["g", "m", "id"], 50, 6000)
+    sizes = [r["count"] for r in O.split_bucket(df, ["g", "m", "id"], cuts, "_b").groupBy("_b").count().collect()]
+    assert len(sizes) == 50 and max(sizes) < 3 * 6000 / 50
+    before = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    try:
+        for k, v in zip(before, ("-1", "false")):
+            spark.conf.set(k, v)
+        plan = plan_of(O.grouped_scan(df, ["g"], ["m", "id"], rank="r"))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    exchanges = [line for line in plan.splitlines() if "Exchange " in line and "Broadcast" not in line]
+    of_rows = [line for line in exchanges if "ENSURE_REQUIREMENTS" in line and "_cell" in line]
+    assert "SinglePartition" not in plan and len(exchanges) == 4 and len(of_rows) == 3  # rows, bucket totals twice, totals by group
+
+
 def test_top_rows(spark, values):
     df = spark.createDataFrame(values, "i int, g string, v double")
     got = O.top_rows(df, ["g"], [F.desc("v"), F.col("i")], 5, F.col("i"), rank="r").collect()
