@@ -15,35 +15,64 @@ def lines(spark, text):
     return spark.createDataFrame([(x,) for x in text.splitlines()], "value string")
 
 
-def test_voice_lists(spark):
-    text = ("mms-az\tmms:az:/lap/b/az/model.mnn|/lap/b/az/tokens.txt\nmimic3-ko\tmimic3:ko:/lap/b/ko/ko_KO.onnx.json\n"
-            "kokoro-kumo\tkokoro_ja:ja:/lap/b/dict/m.bin\nkokoro-x\tkokoro:en-us\npiper-v\t/lap/b/v/v.onnx.json\n")
-    got = {r["voice"]: r for r in C.parse_voice_lists(lines(spark, text), "/lap/b", "/box").collect()}
-    assert got["mms-az"]["paths"] == {"model": "/box/az/model.mnn", "tokens": "/box/az/tokens.txt"} and got["mms-az"]["espeak"] == "az"
-    assert got["mimic3-ko"]["paths"] == {"config": "/box/ko/ko_KO.onnx.json", "mnn": "/box/ko/ko_KO.mnn"}
-    assert got["kokoro-kumo"]["paths"] == {"voice": "kumo", "dict_path": "/box/dict/m.bin"} and got["kokoro-x"]["paths"] == {"voice": "x"}
-    assert got["piper-v"]["paths"]["onnx"] == "/box/v/v.onnx" and got["piper-v"]["espeak"] is None
-    for bad, why in (("x\tmms:az:/elsewhere/m.mnn|/elsewhere/t.txt", "not under"), ("x\twhat:az:/lap/b/m", "unknown engine")):
-        with pytest.raises(Exception, match=why):
-            C.parse_voice_lists(lines(spark, bad), "/lap/b", "/box").collect()
-
-
-def test_voice_config_and_speakers(spark):
-    raw = {"audio": {"sample_rate": 22050}, "espeak": {"voice": "es"}, "language": {"code": "es_ES"}, "num_speakers": 2, "speaker_id_map": {"M": 0, "F": 1},
-           "phoneme_id_map": {"_": [0]}, "inference": {"noise_scale": 0.6, "length_scale": 1.0, "noise_w": 0.8}}
-    single = raw | {"espeak": {"voice": "es-419"}, "language": {"code": "es_MX"}, "num_speakers": 1}
-    del single["speaker_id_map"]
-    piper = C.parse_voice_configs(spark.createDataFrame([("two", json.dumps(raw)), ("one", json.dumps(single))], "voice string, value string"))
-    assert {r["voice"]: r["phoneme_type"] for r in piper.collect()} == {"two": "espeak", "one": "espeak"}
-    engines = spark.createDataFrame([], "voice string, kind string, espeak string")
-    regions = spark.createDataFrame([("es_ES", "es"), ("es_MX", "es-419")], "locale string, language string")
-    tiers = lambda rows: spark.createDataFrame([("g", e, v, s, "good", "clean", 1.0, None) for e, v, s in rows],
-                                               "lang string, espeak string, voice string, speaker string, tier string, condition string, weight double, articulation_rate double")
-    got = {r["key"]: r for r in C.build_speakers(tiers([("es", "two", "F"), ("es-419", "one", "0"), ("es", "cv", "0")]), piper, engines, regions).collect()}
-    assert got["two.F"]["sid"] == 1 and got["one"]["language"] == "es-419" and got["one"]["sid"] is None and got["cv"]["source_kind"] == "corpus"
-    for bad in (("es", "two", "X"), ("de", "one", "0"), ("es-419", "one", "1")):
-        with pytest.raises(checks.CheckError):
-            C.build_speakers(tiers([bad]), piper, engines, regions)
+def made_voice(rng, k):
+    """A line of a voice list below /from and what it means below /to."""
+    name, code = f"voice{k}", rng.choice(["xx", "yy-1", "zz"])
+    file = lambda ending: f"{rng.choice(['p', 'q/r'])}/{k}{ending}"
+    kind = rng.choice(["piper", "kokoro", "mms", "coqui", "glowtts", "mimic3", "kokoro_ja"])
+    if kind in ("piper", "mimic3"):
+        f = file("")
+        paths = {"config": f"/to/{f}.onnx.json", "mnn": f"/to/{f}.mnn"} | ({"onnx": f"/to/{f}.onnx"} if kind == "piper" else {})
+        return name, f"/from/{f}.onnx.json" if kind == "piper" else f"{kind}:{code}:/from/{f}.onnx.json", kind, None if kind == "piper" else code, paths
+    if kind == "kokoro":
+        return f"kokoro-{name}", f"{kind}:{code}", kind, code, {"voice": name}
+    if kind == "kokoro_ja":
+        f = file(".dic")
+        return f"kokoro-{name}", f"{kind}:{code}:/from/{f}", kind, code, {"voice": name, "dict_path": f"/to/{f}"}
+    names = {"mms": ("model", "tokens"), "coqui": ("model", "config"), "glowtts": ("model", "vocoder", "lexicon")}[kind]
+    files = [file(f".{n}") for n in names]
+    return name, f"{kind}:{code}:" + "|".join(f"/from/{f}" for f in files), kind, code, {n: f"/to/{f}" for n, f in zip(names, files)}
+
+
+def test_voice_lists_equal_what_they_were_made_from(spark):
+    rng = random.Random(41)
+    made = [made_voice(rng, k) for k in range(80)]
+    text = "".join(f"{name}\t{spec}\n" + "\n" * (rng.random() < 0.1) for name, spec, *_ in made)
+    got = {r["voice"]: (r["kind"], r["espeak"], r["paths"]) for r in C.parse_voice_lists(lines(spark, text), "/from", "/to").collect()}
+    assert got == {name: tuple(rest) for name, _, *rest in made} and len({m[2] for m in made}) == 7
+    for _, spec, kind, *_ in made[:12]:
+        if kind not in ("piper", "kokoro"):
+            for bad, why in ((spec.replace("/from/", "/off/"), "not under"), (spec.replace(kind, "nothing", 1), "unknown engine"), (spec + "|/from/one/more|/from/two", "unknown engine")):
+                with pytest.raises(Exception, match=why):
+                    C.parse_voice_lists(lines(spark, f"n\t{bad}"), "/from", "/to").collect()
+
+
+def test_speakers_take_their_configuration(spark):
+    """Made configurations of one or many speakers; then every voice with one fault must be refused."""
+    rng, configs, rows, want = random.Random(42), [], [], {}
+    for k in range(25):
+        many, voice, code, region = rng.random() < 0.5, f"w{k}", rng.choice(["xx", "xx-9"]), rng.choice(["xx_AA", "xx_BB", None])
+        ids = {f"n{i}": i * 2 for i in range(rng.randint(2, 5))} if many else None
+        raw = {"audio": {"sample_rate": 16000}, "espeak": {"voice": code}, "num_speakers": len(ids or "1"), "phoneme_id_map": {"_": [0]}}
+        raw |= ({"language": {"code": region}} if region else {}) | ({"speaker_id_map": ids} if many else {}) | ({"phoneme_type": "text"} if k % 3 else {})
+        configs.append((voice, json.dumps(raw)))
+        speaker = rng.choice(list(ids)) if many else "0"
+        rows.append(("g", code, voice, speaker, "good", "clean", 1.0, None))
+        want[f"{voice}.{speaker}" if many else voice] = (ids[speaker] if many else None, {"xx_AA": "xx", "xx_BB": "xx-9"}.get(region, code), "piper")
+    rows += [("g", "yy", "engine1", "0", "good", "clean", 1.0, None), ("g", "yy", "read aloud", "0", "good", "clean", 1.0, None)]
+    want |= {"engine1": (None, "yy", "mms"), "read aloud": (None, "yy", "corpus")}
+    parsed = C.parse_voice_configs(spark.createDataFrame(configs, "voice string, value string"))
+    assert {r["voice"]: r["phoneme_type"] for r in parsed.collect()} == {v: "text" if "phoneme_type" in c else "espeak" for v, c in configs}
+    engines = spark.createDataFrame([("engine1", "mms", "yy")], "voice string, kind string, espeak string")
+    regions = spark.createDataFrame([("xx_AA", "xx"), ("xx_BB", "xx-9")], "locale string, language string")
+    frame = lambda x: spark.createDataFrame(x, "lang string, espeak string, voice string, speaker string, tier string, condition string, weight double, articulation_rate double")
+    got = {r["key"]: (r["sid"], r["language"], r["source_kind"]) for r in C.build_speakers(frame(rows), parsed, engines, regions).collect()}
+    assert got == want
+    faults = [(*r[:3], "nobody", *r[4:]) for r in rows[:26]] + [(r[0], "other", *r[2:]) for r in rows[:26]]
+    refused = C.build_speakers(frame(faults), parsed, engines, regions, strict=False)
+    assert refused.filter("problem IS NULL").count() == 0 and refused.count() == len(faults)
+    with pytest.raises(checks.CheckError):
+        C.build_speakers(frame(rows + faults[:1]), parsed, engines, regions)
 
 
 def test_urls_and_required_files(spark):
