@@ -15,6 +15,7 @@ from functools import cached_property, lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
+import xxhash
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..session import written
@@ -168,19 +169,37 @@ def piece_counts(rows: DataFrame) -> DataFrame:
     return written(rows.mapInArrow(run, "token binary, n bigint").groupBy("token").agg(F.sum("n").alias("n")), "piece-counts")
 
 
-def dictionary(counts: DataFrame, path: str, most: int) -> tuple[bytes, bytes, np.ndarray, np.ndarray]:
-    """Frequent pieces (their bytes end to end, and 32-bit bounds) with the ids that the fold gives (flat, and how many)."""
+def dictionary(counts: DataFrame, path: str, most: int) -> tuple[tuple, tuple]:
+    """Frequent pieces in order of their 64-bit hash, and the ids that the fold gives, as arrays that a task needs little
+    memory for: (bytes end to end, 32-bit bounds, hashes) to find a piece's place, (flat ids, how many) for a place."""
     parts = 4 * counts.sparkSession.sparkContext.defaultParallelism
-    table = written(frequent(counts, most).select("token").repartition(parts).select("token", fold(F.col("token"), path).alias("ids")), "piece-ids").toArrow()
-    tokens, ids = table.column("token").combine_chunks().cast(pa.binary()), table.column("ids").combine_chunks()
-    sizes = np.asarray(pa.compute.list_value_length(ids), np.int64)
+    table = written(frequent(counts, most).select("token").repartition(parts).select(
+        "token", fold(F.col("token"), path).alias("ids"), F.xxhash64("token").alias("h")), "piece-ids").toArrow().combine_chunks()
+    order = np.argsort(table.column("h").to_numpy().view(np.uint64), kind="stable")
+    table = table.take(pa.array(order)).combine_chunks()
+    column = lambda c: pa.concat_arrays(table.column(c).chunks) if table.num_rows else pa.array([], table.schema.field(c).type)
+    tokens, ids = column("token").cast(pa.binary()), column("ids")
     bounds = np.concatenate(([0], np.cumsum(np.asarray(pa.compute.binary_length(tokens), np.int64)))).astype(np.int32)
-    return b"".join(tokens.to_pylist()), bounds.tobytes(), np.asarray(ids.flatten(), np.int32), sizes
+    blob = tokens.buffers()[2].to_pybytes()[:bounds[-1]] if len(tokens) else b""
+    sizes = np.asarray(pa.compute.list_value_length(ids), np.uint8)
+    return (blob, bounds.tobytes(), table.column("h").to_numpy().view(np.uint64).copy()), (np.asarray(ids.flatten(), np.int32), sizes)
 
 
-def _pieces_of(shared) -> pa.Array:
+def _places(distinct: pa.Array, dealt: pa.Array, hashes: np.ndarray) -> np.ndarray:
+    """Place of each piece in the dictionary, or -1; what the hash finds is compared in full."""
+    own = np.fromiter((xxhash.xxh64_intdigest(x, 42) for x in distinct.to_pylist()), np.uint64, len(distinct))
+    at = np.searchsorted(hashes, own)
+    met = np.flatnonzero(at < len(hashes))
+    met = met[hashes[at[met]] == own[met]]
+    same = np.asarray(pa.compute.equal(dealt.take(pa.array(at[met])), distinct.take(pa.array(met))), bool) if len(met) else np.empty(0, bool)
+    out = np.full(len(distinct), -1, np.int64)
+    out[met[same]] = at[met[same]]
+    return out
+
+
+def _pieces_of(lookup: tuple) -> pa.Array:
     """The dictionary's pieces as an array over the broadcast bytes."""
-    blob, bounds = shared.value[:2]
+    blob, bounds = lookup[:2]
     return pa.Array.from_buffers(pa.binary(), len(bounds) // 4 - 1, [None, pa.py_buffer(bounds), pa.py_buffer(blob)])
 
 
@@ -200,14 +219,14 @@ def encode(docs: DataFrame, path: str, pattern: str, most: int = DICTIONARY, tex
     cut = docs.withColumn("_pieces", pieces(F.col(text), pattern))
     if not keep_text:
         docs, cut = docs.drop(text), cut.drop(text)
-    shared = docs.sparkSession.sparkContext.broadcast(dictionary(piece_counts(cut.select("_pieces")), path, most))
+    context = docs.sparkSession.sparkContext
+    lookup, values_of = map(context.broadcast, dictionary(piece_counts(cut.select("_pieces")), path, most))
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        dealt = _pieces_of(shared)
+        dealt, hashes = _pieces_of(lookup.value), lookup.value[2]
         for batch in sliced(batches):
             distinct, occurrence, bounds = coded(batch.column("_pieces"))
-            known = np.asarray(pa.compute.fill_null(pa.compute.index_in(distinct.cast(pa.binary()), value_set=dealt), -1), np.int64)
-            codes = known[occurrence]
+            codes = _places(distinct.cast(pa.binary()), dealt, hashes)[occurrence]
             rare = np.nonzero(codes < 0)[0]
             row = np.searchsorted(bounds, rare, "right") - 1
             pairs, inverse = np.unique(row * (len(distinct) + 1) + occurrence[rare], return_inverse=True)
@@ -222,22 +241,28 @@ def encode(docs: DataFrame, path: str, pattern: str, most: int = DICTIONARY, tex
                 names=[*[c for c in batch.schema.names if c != "_pieces"], "_codes", "_rare"])
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _, _, flat, sizes = shared.value
+        flat, sizes = values_of.value
+        starts = (np.cumsum(sizes, dtype=np.int64) - sizes).astype(np.int32)
         for batch in sliced(batches):
             names = batch.schema.names
             words = batch.column("_rare").flatten().to_pylist()
             folded = [x if x is not None else merged_long(w, path) for w, x in zip(words, batch.column("_rare_ids").flatten().to_pylist())]
             counts = np.fromiter(map(len, folded), np.int64, len(folded))
-            values = np.concatenate([flat, np.fromiter((i for x in folded for i in x), np.int32, int(counts.sum()))])
-            lengths = np.concatenate([sizes, counts])
-            starts = np.cumsum(lengths) - lengths
+            rare_ids = np.fromiter((i for x in folded for i in x), np.int32, int(counts.sum()))
             n_rare = np.asarray(pa.compute.list_value_length(batch.column("_rare")), np.int64)
             data = batch.column("_codes").to_pylist()
             n_pieces = np.fromiter((len(x) // 4 for x in data), np.int64, len(data))
-            codes = np.frombuffer(b"".join(data), "<i4").astype(np.int64)
-            offset = np.repeat(len(sizes) + np.cumsum(n_rare) - n_rare, n_pieces)
-            ids, ends = gathered(values, starts, lengths, np.where(codes < 0, offset - codes - 1, codes))
-            bounds = np.concatenate(([0], ends))[np.concatenate(([0], np.cumsum(n_pieces)))]
+            codes = np.frombuffer(b"".join(data), "<i4")
+            known, rare = np.flatnonzero(codes >= 0), np.flatnonzero(codes < 0)
+            place = codes[known]
+            rare_place = np.repeat(np.cumsum(n_rare) - n_rare, n_pieces)[rare] - codes[rare] - 1
+            lengths = np.zeros(len(codes), np.int64)
+            lengths[known], lengths[rare] = sizes[place], counts[rare_place]
+            common = np.repeat(codes >= 0, lengths)
+            ids = np.empty(len(common), np.int32)
+            ids[common] = gathered(flat, starts[place], lengths[known], np.arange(len(known)))[0]
+            ids[~common] = gathered(rare_ids, (np.cumsum(counts) - counts)[rare_place], lengths[rare], np.arange(len(rare)))[0]
+            bounds = np.concatenate(([0], np.cumsum(lengths)))[np.concatenate(([0], np.cumsum(n_pieces)))]
             own = [c for c in names if c not in ("_codes", "_rare", "_rare_ids")]
             lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids, pa.int32()))
             more = {"ids": lists} | ({"decoded": joined_pieces(lists, path)} if decoded else {})
