@@ -12,7 +12,7 @@ from tessitura.llm import bpe, decontam, rules, simhash, suffixes
 from tessitura.session import written
 from tessitura.sources.tables import read_table
 
-#: SQL cannot express SimHash and byte-pair merges; tests hold run() against brute force.
+#: SQL cannot express SimHash and byte-pair merges; the stages are held against brute force in tests.
 ORACLE_SQL = None
 
 
@@ -36,7 +36,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of every group of near copies the document with the smallest doc_id (of equal ids, the smallest hash of the text).
 
-    Rows that repeat id and text are copies too: one of them stays. Null ids come first.
+    Rows that repeat id and text are copies too: the one whose columns come first as JSON stays. Null ids come first.
     """
     key = F.struct(F.col("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"))
     groups = written(simhash.near_copies(docs.select(key.alias("key"), "text"), key="key"), "near-copies")
@@ -45,7 +45,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows = docs.select(key.alias("key"), F.struct(*docs.columns).alias("row"))
     met = rows.join(stays, F.col("key.doc_id").eqNullSafe(F.col("id")) & (F.col("key.h") == F.col("hash"))).select("key", "row", "times")
     once = met.filter("times = 1").select("row").unionByName(
-        met.filter("times > 1").groupBy("key").agg(F.first("row").alias("row")).select("row"))
+        met.filter("times > 1").groupBy("key").agg(F.min_by("row", F.to_json("row")).alias("row")).select("row"))
     return once.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
