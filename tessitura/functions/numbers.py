@@ -20,3 +20,9 @@ def round_exact(value, digits: int) -> Column:
 def utc_micros(stamp: Column) -> Column:
     """Microseconds since the epoch of a time without zone, read as UTC."""
     return F.unix_micros(F.concat(stamp.cast("timestamp_ntz").cast("string"), F.lit("+00:00")).cast("timestamp"))
+
+
+def seconds_of(samples: Column, rate: Column, cap: float | None = None, digits: int = 4) -> Column:
+    """Seconds of a number of samples, at most ``cap``, rounded half-even; no samples or rate gives null."""
+    seconds = F.try_divide(samples.cast("double"), rate.cast("double"))
+    return round_exact(seconds if cap is None else F.when(seconds.isNotNull(), F.least(seconds, F.lit(float(cap)))), digits)

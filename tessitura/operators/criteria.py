@@ -266,11 +266,15 @@ def runtime(i: Inputs) -> DataFrame:
     return i.runtime.select(F.inline(F.array(F.when(base, one(t.runtime_base)).otherwise(one(t.runtime_variant)))))
 
 
+def outside_lineup(candidate: DataFrame, lineup: DataFrame) -> DataFrame:
+    """Candidate (voice, speaker) that the line-up does not name."""
+    return candidate.select(*KEY).subtract(lineup.select(*KEY))
+
+
 def evaluate(i: Inputs, strict: bool = True) -> DataFrame:
     """All criteria as one table of results; candidate voices outside the line-up are an error."""
     if strict:
-        strangers = i.candidate.select(*KEY).subtract(i.lineup.select(*KEY))
-        require_empty(strangers, "candidate rows for voices outside the lineup")
+        require_empty(outside_lineup(i.candidate, i.lineup), "candidate rows for voices outside the lineup")
     return own_language(i, strict).unionByName(cross_language(i, strict)).unionByName(weak_language(i, strict)).unionByName(runtime(i))
 
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators import criteria as C
+from ..session import work_folder
+from ..sources import readers as D
 from ..sources.tables import read_table
 from .registry import query
 
@@ -150,4 +152,6 @@ def s23_f15_tagged_verdicts(spark, sf):
         F.when(k % 4 == 0, F.concat(F.lit("other~"), "source", F.lit("~"), "lang")).when(k % 5 == 0, F.col("source")).otherwise(
             F.concat(F.lit("run1~"), "source", F.lit("~"), "lang")).alias("voice"),
         k.cast("string").alias("speaker"), F.when(k % 7 == 0, "").when(F.col("quality") == 1, "pass").otherwise("fail").alias("human"))
-    return C.tagged_verdicts(rows, "run1").select(F.col("speaker").cast("bigint").alias("doc_id"), "voice", "language", "human")
+    folder = work_folder(spark, "verdicts")
+    rows.write.option("header", True).option("emptyValue", "").csv(folder)
+    return D.read_verdicts(spark, folder, "run1").select(F.col("speaker").cast("bigint").alias("doc_id"), "voice", "language", "human")

@@ -4,8 +4,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import text as X
-from ..functions.numbers import fixed
 from ..operators import catalog as C
+from ..operators.criteria import outside_lineup
 from ..operators import checks as K
 from ..operators import ids as I
 from ..operators import ordering as O
@@ -13,6 +13,8 @@ from ..operators import packing as P
 from ..operators import planning as L
 from ..operators import records as V
 from ..operators import selection as S
+from ..session import work_folder
+from ..sources import readers as D
 from ..sources.tables import read_table
 from . import sql as Q
 from .registry import query
@@ -73,11 +75,12 @@ def u3_unknown_names(spark, sf):
     return L.unknown_names(speakers(spark, sf), L.Selection(frozenset({"v1", "v99"}), frozenset({"v3", "nobody"})))
 
 
-@query("u6_outside_the_lineup", """SELECT s_nationkey, s_suppkey FROM supplier WHERE (s_nationkey, s_suppkey) NOT IN
+@query("u6_outside_the_lineup", """SELECT 'n' || s_nationkey AS voice, s_suppkey::VARCHAR AS speaker FROM supplier WHERE (s_nationkey, s_suppkey) NOT IN
     (SELECT (s_nationkey, s_suppkey) FROM supplier WHERE s_acctbal > 3000)""")
 def u6_outside_the_lineup(spark, sf):
-    s = read_table(spark, sf, "supplier").select("s_nationkey", "s_suppkey", "s_acctbal")
-    return s.select("s_nationkey", "s_suppkey").subtract(s.filter("s_acctbal > 3000").select("s_nationkey", "s_suppkey"))
+    rows = read_table(spark, sf, "supplier").select(
+        F.concat(F.lit("n"), F.col("s_nationkey").cast("string")).alias("voice"), F.col("s_suppkey").cast("string").alias("speaker"), "s_acctbal")
+    return outside_lineup(rows.withColumn("espeak", F.lit("xx")), rows.filter("s_acctbal > 3000").select("voice", "speaker", F.lit("xx").alias("language")))
 
 
 @query("w6_hours", f"WITH {SPEAKERS_SQL} SELECT key, round(({HOURS_SQL})::DOUBLE, 6) AS hours FROM sp")
@@ -210,27 +213,52 @@ def s13_finished_jobs(spark, sf):
     return V.finished_items(items, done, done)
 
 
-@query("a2_teacher_reports", """WITH s AS (SELECT l_suppkey AS teacher, l_quantity::BIGINT AS rendered, (l_quantity - l_linenumber % 3)::BIGINT AS kept,
-      l_extendedprice / 100 AS kept_seconds, CASE WHEN l_returnflag = 'A' THEN l_linenumber ELSE 0 END AS a, CASE WHEN l_returnflag = 'R' THEN l_linenumber ELSE 0 END AS b,
-      (l_partkey % 2)::BIGINT AS unaligned FROM lineitem)
-    SELECT teacher, sum(rendered)::BIGINT AS rendered, sum(kept)::BIGINT AS kept, round(sum(kept_seconds) / 3600, 3) AS kept_hours, sum(a)::BIGINT AS duration_outlier,
-      sum(b)::BIGINT AS internal_silence, sum(unaligned)::BIGINT AS unaligned, (sum(rendered) - sum(kept)) / sum(rendered) > 0.04 AS flagged FROM s GROUP BY 1""")
-def a2_teacher_reports(spark, sf):
-    stats = read_table(spark, sf, "lineitem").select(
+def job_statistics(spark: SparkSession, sf: str) -> DataFrame:
+    return read_table(spark, sf, "lineitem").select(
         F.col("l_suppkey").alias("teacher"), F.col("l_quantity").cast("bigint").alias("rendered"),
         (F.col("l_quantity") - F.col("l_linenumber") % 3).cast("bigint").alias("kept"), (F.col("l_extendedprice") / 100).alias("kept_seconds"),
         F.when(F.col("l_returnflag") == "A", F.create_map(F.lit("duration_outlier"), F.col("l_linenumber")))
         .when(F.col("l_returnflag") == "R", F.create_map(F.lit("internal_silence"), F.col("l_linenumber"))).otherwise(
             F.create_map().cast("map<string,int>")).alias("dropped"), (F.col("l_partkey") % 2).alias("unaligned"))
-    return P.teacher_reports(stats, 0.04).withColumn("kept_hours", F.round("kept_hours", 3))
+
+
+JOBS_SQL = """s AS (SELECT l_suppkey AS teacher, l_quantity::BIGINT AS rendered, (l_quantity - l_linenumber % 3)::BIGINT AS kept,
+      l_extendedprice / 100 AS kept_seconds, CASE WHEN l_returnflag = 'A' THEN l_linenumber ELSE 0 END AS a, CASE WHEN l_returnflag = 'R' THEN l_linenumber ELSE 0 END AS b,
+      (l_partkey % 2)::BIGINT AS unaligned FROM lineitem)"""
+
+
+@query("a2_teacher_reports", f"""WITH {JOBS_SQL}
+    SELECT teacher, sum(rendered)::BIGINT AS rendered, sum(kept)::BIGINT AS kept, round(sum(kept_seconds) / 3600, 3) AS kept_hours, sum(a)::BIGINT AS duration_outlier,
+      sum(b)::BIGINT AS internal_silence, sum(unaligned)::BIGINT AS unaligned, (sum(rendered) - sum(kept)) / sum(rendered) > 0.04 AS flagged FROM s GROUP BY 1""")
+def a2_teacher_reports(spark, sf):
+    return P.teacher_reports(job_statistics(spark, sf), 0.04).withColumn("kept_hours", F.round("kept_hours", 3))
+
+
+def speaker_statistics(spark: SparkSession, sf: str) -> DataFrame:
+    return read_table(spark, sf, "lineitem").select(
+        F.col("l_returnflag").alias("language"), F.col("l_suppkey").alias("speaker"), F.col("l_linenumber").alias("kept"), F.col("l_quantity").alias("kept_seconds"))
+
+
+def written_reports(spark: SparkSession, sf: str) -> str:
+    """Both report tables of the given jobs as files."""
+    folder = work_folder(spark, "reports")
+    D.write_reports(P.teacher_reports(job_statistics(spark, sf), 0.04), P.speaker_reports(speaker_statistics(spark, sf)), folder)
+    return folder
 
 
 @query("a3_s15_speaker_reports", """SELECT l_returnflag AS language, l_suppkey AS speaker, sum(l_linenumber)::BIGINT AS kept, printf('%.3f', round(sum(l_quantity) / 3600, 6)) AS kept_hours
     FROM lineitem GROUP BY ALL""")
 def a3_s15_speaker_reports(spark, sf):
-    stats = read_table(spark, sf, "lineitem").select(
-        F.col("l_returnflag").alias("language"), F.col("l_suppkey").alias("speaker"), F.col("l_linenumber").alias("kept"), F.col("l_quantity").alias("kept_seconds"))
-    return P.speaker_reports(stats).withColumn("kept_hours", fixed(F.round("kept_hours", 6), 3))
+    return D.read_delimited(spark, f"{written_reports(spark, sf)}/speakers", "language string, speaker bigint, kept bigint, kept_hours string", exact=True)
+
+
+@query("s15_filter_report_file", f"""WITH {JOBS_SQL}
+    SELECT teacher, sum(rendered)::BIGINT AS rendered, sum(kept)::BIGINT AS kept, sum(a)::BIGINT AS duration_outlier, sum(b)::BIGINT AS internal_silence,
+      (sum(rendered) - sum(kept)) / sum(rendered) > 0.04 AS flagged, printf('%.3f', sum(kept_seconds) / 3600) AS kept_hours FROM s GROUP BY 1""")
+def s15_filter_report_file(spark, sf):
+    rows = D.read_delimited(spark, f"{written_reports(spark, sf)}/filter", "teacher bigint, rendered bigint, kept bigint, kept_hours string, duration_outlier bigint, "
+                            "internal_silence bigint, unaligned bigint, flagged boolean", exact=True)
+    return rows.select("teacher", "rendered", "kept", "duration_outlier", "internal_silence", "flagged", "kept_hours")
 
 
 _J1 = """WITH piper AS (SELECT 'v' || n_nationkey AS voice, 'e' || n_nationkey AS espeak, 'loc' || n_nationkey AS locale, n_regionkey + 1 AS num_speakers, n_nationkey FROM nation WHERE n_regionkey IN (0, 1)),
@@ -354,17 +382,34 @@ def f17_named_voices(spark, sf):
     return named_voices(speakers(spark, sf), ["v1", "v7", "v30"]).select("key", "voice")
 
 
-@query("s4_v5_tier_table", f"""WITH {SPEAKERS_SQL} SELECT tier, count(*) AS rows, count(DISTINCT (voice, key)) AS keys, count(articulation_rate) AS with_rate FROM sp GROUP BY 1""")
+@query("s4_v5_tier_table", f"""WITH {SPEAKERS_SQL} SELECT tier, human, count(*) AS rows, count(DISTINCT (voice, key)) AS keys, count(articulation_rate) AS with_rate, round(sum(articulation_rate), 2) AS rates
+    FROM (SELECT *, CASE WHEN tier IN ('good', 'natural_degraded') THEN 'pass' ELSE 'fail' END AS human FROM sp) GROUP BY ALL""")
 def s4_v5_tier_table(spark, sf):
-    from ..sources.readers import check_domain
-    rows = check_domain(speakers(spark, sf), "tier", C.TIERS)
-    return rows.groupBy("tier").agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("voice", "key").alias("keys"), F.count("articulation_rate").alias("with_rate"))
-
-
-@query("s12_voice_config_maps", """SELECT event_id, (props::JSON->>'k')::INT AS k, 'espeak' AS phoneme_type FROM events""")
+    """The tier table as a quoted file, read with its enum columns and its unique key checked."""
+    folder, passed = work_folder(spark, "tiers"), lambda *names: F.when(F.col("tier").isin(*names), "pass").otherwise("fail")
+    rows = speakers(spark, sf).select(
+        F.col("language").alias("lang"), "espeak", "voice", F.col("key").alias("speaker"), passed("good", "natural_degraded").alias("human"),
+        passed("good", "clean_robot").alias("audio"), "tier", F.lit(I.CONDITIONS[0]).alias("condition"), F.lit(0.5).alias("weight"), "articulation_rate")
+    rows.write.option("header", True).csv(folder)
+    return D.read_tiers(spark, folder).groupBy("tier", "human").agg(
+        F.count(F.lit(1)).alias("rows"), F.count_distinct("voice", "speaker").alias("keys"), F.count("articulation_rate").alias("with_rate"),
+        F.round(F.sum("articulation_rate"), 2).alias("rates"))
+
+
+@query("s12_voice_config_maps", """SELECT event_id::VARCHAR AS voice, CASE WHEN event_id % 4 = 0 THEN 'espeak' ELSE 'text' END AS phoneme_type, 16000 + (event_id % 3)::INT AS sample_rate, event_type AS espeak,
+      CASE WHEN event_id % 5 > 0 THEN 'xx_' || user_id END AS locale, (event_id % 3 + 1)::INT AS num_speakers,
+      CASE WHEN event_id % 3 > 0 THEN '0:0,u' || user_id || ':1' ELSE '' END AS speakers, value AS noise_scale FROM events""")
 def s12_voice_config_maps(spark, sf):
-    parsed = read_table(spark, sf, "events").select("event_id", F.from_json("props", "k int, phoneme_type string").alias("c"))
-    return parsed.select("event_id", "c.k", F.coalesce("c.phoneme_type", F.lit("espeak")).alias("phoneme_type"))
+    k, user = F.col("event_id"), F.col("user_id").cast("string")
+    body = F.struct(
+        F.when(k % 4 > 0, "text").alias("phoneme_type"), F.struct((16000 + k % 3).alias("sample_rate")).alias("audio"),
+        F.struct(F.col("event_type").alias("voice")).alias("espeak"), F.when(k % 5 > 0, F.struct(F.concat(F.lit("xx_"), user).alias("code"))).alias("language"),
+        (k % 3 + 1).alias("num_speakers"), F.when(k % 3 > 0, F.map_from_entries(F.array(
+            F.struct(F.lit("0").alias("k"), F.lit(0).alias("v")), F.struct(F.concat(F.lit("u"), user).alias("k"), F.lit(1).alias("v"))))).alias("speaker_id_map"),
+        F.create_map(F.lit("_"), F.array(F.lit(0))).alias("phoneme_id_map"), F.struct(F.col("value").alias("noise_scale")).alias("inference"))
+    files = read_table(spark, sf, "events").select(k.cast("string").alias("voice"), F.to_json(body).alias("value"))
+    listed = F.array_join(F.array_sort(F.transform(F.map_entries("speaker_id_map"), lambda e: F.concat_ws(":", e["key"], e["value"].cast("string")))), ",")
+    return C.parse_voice_configs(files).select("voice", "phoneme_type", "sample_rate", "espeak", "locale", "num_speakers", listed.alias("speakers"), "noise_scale")
 
 
 @query("u7_merged_manifests", """SELECT 'supplier' AS origin, s_name AS voice, s_nationkey AS nation, NULL::VARCHAR AS segment FROM supplier

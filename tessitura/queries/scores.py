@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions.hashing import unit_hash
 from ..operators import scoring as R
 from ..operators import stats as St
+from ..session import work_folder
+from ..sources import readers as D
 from ..sources.tables import read_table
 from . import sql as Q
 from .registry import query
@@ -68,12 +70,16 @@ def a7_clip_means(spark, sf):
     return R.clip_means(clips, ["value"], "value")
 
 
-@query("s8_score_table", f"""WITH {SCORES_SQL} SELECT voice, count(*) AS n, count(cer_edits) AS with_edits,
+@query("s8_score_table", f"""WITH {SCORES_SQL} SELECT voice, count(*) AS n, count(cer_edits) AS with_edits, round(sum(BAK), 3) AS bak, count(OVRL) AS with_ovrl,
     round(sum(CASE WHEN cer_chars <> 0 THEN cer_edits / cer_chars END), 6) AS rate_sum FROM scores GROUP BY voice""")
 def s8_score_table(spark, sf):
-    rate = R.row_rate("cer")
-    return scores(spark, sf).groupBy("voice").agg(
-        F.count(F.lit(1)).alias("n"), F.count("cer_edits").alias("with_edits"), F.round(F.sum(rate), 6).alias("rate_sum"))
+    """Score rows written as a file and read back: absent values stay null, rates are computed anew."""
+    folder, kinds = work_folder(spark, "scores"), D.columns_of(R.SCORE_SCHEMA)
+    rows = scores(spark, sf)
+    D.write_scores(rows.select(*[(F.col(c) if c in rows.columns else F.lit(None)).cast(k).alias(c) for c, k in kinds.items()]), folder)
+    return D.read_scores(spark, folder).groupBy("voice").agg(
+        F.count(F.lit(1)).alias("n"), F.count("cer_edits").alias("with_edits"), F.round(F.sum("BAK"), 3).alias("bak"), F.count("OVRL").alias("with_ovrl"),
+        F.round(F.sum(R.row_rate("cer")), 6).alias("rate_sum"))
 
 
 @query("f16_rows_of_a_voice", f"""WITH {SCORES_SQL} SELECT voice, speaker, espeak, count(*) AS n, round(avg(UTMOS), 6) AS utmos

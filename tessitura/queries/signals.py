@@ -4,6 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import arrays as A
+from ..functions.numbers import seconds_of
 from ..operators import quality as Z
 from ..sources.tables import balanced, read_table
 from .registry import query
@@ -155,10 +156,10 @@ def w10_drop_reasons(spark, sf):
     return rounded(Z.drop_reasons(items, outliers, F.col("n_chars") / 1000.0, 5.0))
 
 
-@query("c21_seconds", """SELECT l_returnflag, round(least(sum(l_partkey * 100) / 22050.0, 500000), 4)::DOUBLE AS seconds FROM lineitem GROUP BY 1""")
+@query("c21_seconds", """SELECT l_orderkey, l_linenumber, round_even(least(l_partkey * 100 / (16000.0::DOUBLE + l_linenumber), 30), 4) AS seconds FROM lineitem""")
 def c21_seconds(spark, sf):
-    return read_table(spark, sf, "lineitem").groupBy("l_returnflag").agg(
-        F.round(F.least(F.sum(F.col("l_partkey") * 100) / 22050.0, F.lit(500000.0)), 4).alias("seconds"))
+    return read_table(spark, sf, "lineitem").select(
+        "l_orderkey", "l_linenumber", seconds_of(F.col("l_partkey") * 100, F.lit(16000) + F.col("l_linenumber"), cap=30).alias("seconds"))
 
 
 METRICS = {"voice": "c_name", "espeak": "concat('n', CAST(c_nationkey AS STRING), '-x')", "sample_rate": "CASE WHEN c_custkey % 5 = 0 THEN 16000 ELSE 22050 END",

@@ -9,6 +9,8 @@ from ..functions.text import WordLimits
 from ..operators import ordering as O
 from ..operators import selection as S
 from ..plans import corpus as C
+from ..session import work_folder
+from ..sources import sentences as T
 from ..sources.tables import read_table, split_sentences
 from . import sql as Q
 from .registry import query
@@ -243,12 +245,18 @@ def w15_greedy_coverage(spark, sf):
     return S.greedy_order(p, 40).join(p.select("lang", "hash", "sentence"), ["lang", "hash"])
 
 
-@query("s16_selection_lists", f"""WITH {Q.sentences()}, {Q.kept()}, r AS (SELECT lang, hash, row_number() OVER (PARTITION BY lang ORDER BY hash) AS rank FROM kept)
-    SELECT lang, CASE WHEN rank <= 20 THEN 'held_out' ELSE 'train' END AS list, count(*) AS n FROM r GROUP BY ALL""")
+@query("s16_selection_lists", f"""WITH {Q.sentences()}, {Q.kept()}, r AS (SELECT lang, sentence, row_number() OVER (PARTITION BY lang ORDER BY hash) AS rank FROM kept),
+    c AS (SELECT lang, count(*) AS pool FROM kept GROUP BY 1)
+    SELECT lang, CASE WHEN rank <= 20 THEN 'held_out' ELSE 'train' END AS list, count(*) AS n, sum(length(sentence))::BIGINT AS chars, max(pool) AS pool FROM r JOIN c USING (lang) GROUP BY ALL""")
 def s16_selection_lists(spark, sf):
+    """The chosen sentences as text files by language and list, the counts as JSON; both read back."""
+    folder = work_folder(spark, "selection")
     ranked = S.hash_ordered(pool(spark, sf), ["lang"], "hash", "rank")
-    return ranked.groupBy("lang", F.when(F.col("rank") <= 20, "held_out").otherwise("train").alias("list")).agg(
-        F.count(F.lit(1)).alias("n"))
+    listed = ranked.withColumn("list", F.when(F.col("rank") <= 20, "held_out").otherwise("train"))
+    T.write_selection(listed, ranked.groupBy("lang").agg(F.count(F.lit(1)).alias("pool")), folder)
+    counts = spark.read.schema("lang string, pool bigint").json(f"{folder}/stats")
+    return spark.read.text(f"{folder}/lists").join(counts, "lang").groupBy("lang", "list").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.char_length("value")).alias("chars"), F.max("pool").alias("pool"))
 
 
 @query("f14_run_of_voice", """WITH v AS (SELECT DISTINCT CASE n_nationkey % 5 WHEN 0 THEN 'en-us' WHEN 1 THEN 'es-419' WHEN 2 THEN 'fr' WHEN 3 THEN 'xx-yy' ELSE 'de' END AS espeak FROM nation),
