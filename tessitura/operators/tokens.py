@@ -1,16 +1,19 @@
 """Token table, context-rule tokenization, replay of older symbol maps, and phone units.
 
-The table is a parameter (its JSON file); nothing of it is built in. Tokenization compiles one pattern per language
-whose alternatives are the table's rules in order, so a batch of strings is scanned by the regex engine.
+The table is a parameter (its JSON file); nothing of it is built in. Tokenization works on the code points of a whole Arrow
+batch: each rule is a few vector operations over them, so no step is taken per row or character in Python.
 """
 from __future__ import annotations
 
 import json
+import re
 import unicodedata
 from dataclasses import dataclass, field
 from functools import cached_property
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions.symbols import char_class
@@ -92,67 +95,89 @@ TOKENS = T.StructType([
     T.StructField("at", T.IntegerType()), T.StructField("char", T.StringType())])
 
 
-def _one_of(chars: str) -> str:
-    return "[" + "".join(f"\\U{ord(c):08x}" for c in sorted(set(chars))) + "]"
-
-
-def _language_pattern(table: TokenTable, language: str):
-    """(compiled pattern, token ID of each rule group): strong punctuation, rules, weak punctuation, plain, unknown."""
-    import regex
-    parts, tokens = [], {}
-    if table.clause:
-        parts.append(f"(?P<own>{_one_of(table.clause)}(?=\\Z| (?:\\Z| )))")
-    for n, rule in enumerate(r for r in table.rules if language in r.languages):
-        skip = table.of_classes(*rule.skip_classes)
-        before = "".join(set(rule.prev_chars + table.of_classes(*rule.prev_classes)) - set(skip))
-        pattern = _one_of(rule.char)
-        if rule.prev_chars or rule.prev_classes:
-            pattern = f"(?<={_one_of(before)}{_one_of(skip) + '*' if skip else ''}){pattern}" if before else "(?!)"
-        if rule.next_chars:
-            pattern += f"(?={_one_of(rule.next_chars)})"
-        parts.append(f"(?P<rule{n}>{pattern})")
-        tokens[f"rule{n}"] = table.ids[rule.token]
-    if table.clause:
-        parts.append(f"(?P<weak>{_one_of(table.clause)}(?= ))")
-    plain = "".join(k for k in table.ids if len(k) == 1 and k not in table.reserved)
-    parts += [f"(?P<plain>{_one_of(plain)})", "(?P<bad>.)"]
-    return regex.compile("|".join(parts), regex.DOTALL), tokens
+class _Scanner:
+    """Tokens of a whole batch at once: arrays over its code points, a few operations a rule, none a row."""
+
+    def __init__(self, table: TokenTable) -> None:
+        self.table = table
+        self.every, self.plain = (np.full(0x110000, -1, np.int32) for _ in range(2))
+        for key, number in table.ids.items():
+            if len(key) == 1:
+                self.every[ord(key)] = number
+                self.plain[ord(key)] = -1 if key in table.reserved else number
+        points = lambda chars: np.array(sorted(map(ord, set(chars))), np.int64)
+        self.clause = points(table.clause)
+        self.rules = []
+        for r in table.rules:
+            skip = table.of_classes(*r.skip_classes)
+            before = points(set(r.prev_chars + table.of_classes(*r.prev_classes)) - set(skip)) if r.prev_chars or r.prev_classes else None
+            self.rules.append((points(r.char), table.ids[r.token], set(r.languages), before, points(skip), points(r.next_chars)))
+
+    def ids(self, codes: np.ndarray, starts: np.ndarray, lengths: np.ndarray, languages: list[str | None]) -> np.ndarray:
+        """One ID per code point, -1 where nothing fits: clause punctuation before a pause, then the rules in order, then
+        punctuation before a blank, then the character itself."""
+        row, ends = np.repeat(np.arange(len(lengths)), lengths), (starts + lengths - 1)[lengths > 0]
+
+        def following(x: np.ndarray) -> np.ndarray:
+            after = np.append(x[1:], -1)
+            after[ends] = -1
+            return after
+
+        after = following(codes)
+        then = following(after)
+        clause, found = np.isin(codes, self.clause), np.full(len(codes), -1, np.int32)
+        strong = clause & ((after == -1) | ((after == 32) & ((then == -1) | (then == 32))))
+        found[strong] = self.every[codes[strong]]
+        for chars, token, spoken, before, skip, behind in self.rules:
+            fits = np.fromiter((x in spoken for x in languages), bool, len(languages))
+            at = np.flatnonzero(np.isin(codes, chars) & (found < 0) & fits[row])
+            if before is not None and len(at):
+                kept = np.maximum.accumulate(np.where(np.isin(codes, skip), -1, np.arange(len(codes)))) if len(skip) else np.arange(len(codes))
+                previous = np.where(at > 0, kept[at - 1], -1)
+                at = at[(previous >= starts[row[at]]) & np.isin(codes[previous], before)]
+            found[at[np.isin(after[at], behind)] if len(behind) else at] = token
+        weak = clause & (after == 32) & (found < 0)
+        found[weak] = self.every[codes[weak]]
+        return np.where(found < 0, self.plain[codes], found)
+
+    def batch(self, texts: pa.Array, languages: pa.Array) -> pa.StructArray:
+        strings, spoken = texts.to_pylist(), languages.to_pylist()
+        joined = "".join(x or "" for x in strings)
+        codes = np.frombuffer(joined.encode("utf-32-le"), "<u4").astype(np.int64)
+        lengths = np.fromiter((len(x or "") for x in strings), np.int64, len(strings))
+        starts = np.cumsum(lengths) - lengths
+        found = self.ids(codes, starts, lengths, spoken)
+        normal = joined.isascii() or unicodedata.is_normalized("NFD", joined)
+        known = {x: x in self.table.languages and x not in self.table.unsupported for x in set(spoken)}
+        error: list[str | None] = [
+            "no_text" if x is None else "unsupported_language" if not known[l] else "not_nfd" if not normal and not unicodedata.is_normalized("NFD", x) else None
+            for x, l in zip(strings, spoken)]
+        bad = np.flatnonzero(found < 0)
+        rows, first = np.unique(np.searchsorted(starts, bad, "right") - 1, return_index=True)
+        place: dict[int, int] = {r: int(p - starts[r]) for r, p in zip(rows.tolist(), bad[first].tolist()) if error[r] is None}
+        for r in place:
+            error[r] = "unknown_symbol"
+        fine = np.fromiter((e is None for e in error), bool, len(error))
+        offsets = np.concatenate(([0], np.cumsum(np.where(fine, lengths, 0)))).astype(np.int32)
+        ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(found[np.repeat(fine, lengths)]), mask=pa.array(~fine))
+        return pa.StructArray.from_arrays(
+            [ids, pa.array(error, pa.string()), pa.array([place.get(k) for k in range(len(error))], pa.int32()),
+             pa.array([strings[k][place[k]] if k in place else None for k in range(len(error))], pa.string())], names=["ids", "error", "at", "char"])
 
 
 def tokenizer(table: TokenTable):
     """Column function (symbol string, language) -> struct(ids, error, at, char): one ID per character.
 
-    ``error`` is null, ``unsupported_language``, ``not_nfd`` or ``unknown_symbol`` (at that index and character).
+    ``error`` is null, ``no_text``, ``unsupported_language``, ``not_nfd`` or ``unknown_symbol`` (at that index and character).
     """
-    def scan(pattern, tokens, text):
-        ids = []
-        for m in pattern.finditer(text):
-            group = m.lastgroup
-            if group == "bad":
-                return {"ids": None, "error": "unknown_symbol", "at": m.start(), "char": m.group()}
-            ids.append(tokens[group] if group in tokens else table.ids[m.group()])
-        return {"ids": ids, "error": None, "at": None, "char": None}
-
-    def failed(kind):
-        return {"ids": None, "error": kind, "at": None, "char": None}
+    held: list[_Scanner] = []
 
-    compiled: dict = {}
-
-    def one(text, language):
-        if text is None:
-            return failed("no_text")
-        if language in table.unsupported or language not in table.languages:
-            return failed("unsupported_language")
-        if not unicodedata.is_normalized("NFD", text):
-            return failed("not_nfd")
-        if language not in compiled:
-            compiled[language] = _language_pattern(table, language)
-        return scan(*compiled[language], text)
-
-    def batch(texts: pd.Series, languages: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([one(t, l) for t, l in zip(texts, languages)], columns=["ids", "error", "at", "char"]).astype({"at": "Int32"})
+    def tokens(texts: pa.Array, languages: pa.Array) -> pa.Array:
+        if not held:
+            held.append(_Scanner(table))
+        return held[0].batch(texts, languages)
 
-    return F.pandas_udf(batch, TOKENS)
+    return F.arrow_udf(tokens, TOKENS)
 
 
 def padded(ids: Column, table: TokenTable) -> Column:
@@ -191,11 +216,10 @@ def replayer(maps: dict[str, dict[str, int]], pad: str = "_", bos: str = "^", eo
     compiled: dict = {}
 
     def one(text, voice):
-        import regex
         known = maps[voice]
         if voice not in compiled:
             keys = sorted(known, key=len, reverse=True)
-            compiled[voice] = regex.compile("|".join(regex.escape(k, literal_spaces=True) for k in keys) + "|(.)", regex.DOTALL)
+            compiled[voice] = re.compile("|".join(map(re.escape, keys)) + "|(.)", re.DOTALL)
         words = text.split()
         split = bool(words) and all(w in known for w in words)
         found, dropped = (words, []) if split else ([], [])
@@ -233,10 +257,12 @@ def remap_ids(rows: DataFrame, table: TokenTable, old_map: dict[str, int], ids:
         "phoneme_ids", padded(F.col("tokens.ids"), table)).drop("_text")
 
 
-def lossy_report(remapped: DataFrame, voice: str) -> DataFrame:
-    """Per voice: sentences, lossy ones, and dropped characters by falling frequency."""
-    sizes = remapped.groupBy(voice).agg(F.count(F.lit(1)).alias("sentences"), F.count_if(~F.col("aligned")).alias("lossy_sentences"))
-    chars = remapped.select(voice, F.explode("teacher.dropped.char").alias("char")).groupBy(voice, "char").agg(F.count(F.lit(1)).alias("n"))
+def lossy_report(remapped: DataFrame, voice: str, times: str | None = None) -> DataFrame:
+    """Per voice: sentences, lossy ones, and dropped characters by falling frequency. ``times``: how often a row's sentence
+    occurs, where equal ones were counted before."""
+    n = F.lit(1) if times is None else F.col(times)
+    sizes = remapped.groupBy(voice).agg(F.sum(n).alias("sentences"), F.sum(F.when(F.col("aligned"), 0).otherwise(n)).alias("lossy_sentences"))
+    chars = remapped.select(voice, n.alias("_n"), F.explode("teacher.dropped.char").alias("char")).groupBy(voice, "char").agg(F.sum("_n").alias("n"))
     listed = F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("m"), "char")))
     named = chars.groupBy(voice).agg(F.array_join(F.transform(listed, lambda x: F.concat(x["char"], F.lit(":"), (-x["m"]).cast("string"))), " ").alias("dropped_chars"))
     return sizes.join(named, voice, "left").withColumn("dropped_chars", F.coalesce("dropped_chars", F.lit("")))
