@@ -70,7 +70,8 @@ def tagged_verdicts(rows: DataFrame, tag: str) -> DataFrame:
     mine = rows.filter((F.size(parts) == 3) & (F.element_at(parts, 1) == tag) & F.col("human").isNotNull() & (F.col("human") != ""))
     human = F.when(F.col("human").isin("pass", "fail"), F.col("human")).otherwise(
         F.raise_error(F.concat(F.lit("human verdict "), F.col("human"))))
-    return mine.select(F.element_at(parts, 2).alias("voice"), "speaker", F.element_at(parts, 3).alias("language"), human.alias("human"))
+    return mine.select(F.element_at(parts, 2).alias("voice"), "speaker", F.element_at(parts, 3).alias("language"), human.alias("human"),
+                       *[c for c in rows.columns if c == "position"])
 
 
 def judge(measured: Column, passes: Column) -> Column:

@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions.numbers import fixed
 from ..operators.checks import CheckError, require_empty, require_unique
@@ -17,11 +17,11 @@ def columns_of(schema: str) -> dict[str, str]:
 
 
 def read_delimited(spark: SparkSession, path, required: str, optional: str = "", sep: str = "\t", quoted: bool = False,
-                   comment: str | None = None, exact: bool = False, non_empty: Sequence[str] | None = None) -> DataFrame:
+                   comment: str | None = None, exact: bool = False, non_empty: Sequence[str] | None = None, placed: bool = False) -> DataFrame:
     """A headed table by column name: required and optional columns typed, other columns ignored (or refused).
 
     Cells are read as strings and cast, so a malformed number is an error; empty cells are null. ``non_empty`` names
-    the required columns that may not be empty (all of them by default).
+    the required columns that may not be empty (all of them by default). With ``placed`` rows have their ``position``.
     """
     reader = spark.read.option("header", True).option("sep", sep).option("enforceSchema", False).option("mode", "FAILFAST")
     if not quoted:
@@ -41,7 +41,14 @@ def read_delimited(spark: SparkSession, path, required: str, optional: str = "",
             cell = F.when(cell.isNull(), F.raise_error(F.lit(f"{path}: empty {c}"))).otherwise(cell)
         cells.append(cell.cast(kind).alias(c))
     cells += [(F.col(f"`{c}`") if c in raw.columns else F.lit(None)).cast(kind).alias(c) for c, kind in may.items()]
-    return raw.select(*cells)
+    return raw.select(*cells, *([file_position().alias("position")] if placed else []))
+
+
+def file_position() -> Column:
+    """Place of a row of a file source, rising in file order: the file, the byte where the row's part of the file begins, and a
+    number that rises inside the part. Rules on the first or last row of a table order by it, however the file was split."""
+    return F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+                    F.monotonically_increasing_id().alias("row"))
 
 
 def read_tab_table(spark: SparkSession, path) -> DataFrame:
@@ -168,12 +175,12 @@ def read_ratings(spark: SparkSession, path) -> DataFrame:
 
 def read_verdicts(spark: SparkSession, path, tag: str) -> DataFrame:
     from ..operators.criteria import tagged_verdicts
-    rows = read_delimited(spark, path, "voice string, speaker string", "human string", sep=",", quoted=True)
+    rows = read_delimited(spark, path, "voice string, speaker string", "human string", sep=",", quoted=True, placed=True)
     return tagged_verdicts(rows, tag)
 
 
 def read_original_human(spark: SparkSession, path) -> DataFrame:
-    return read_delimited(spark, path, "voice string, speaker string, human string, espeak string", sep=",", quoted=True)
+    return read_delimited(spark, path, "voice string, speaker string, human string, espeak string", sep=",", quoted=True, placed=True)
 
 
 def read_runtime(spark: SparkSession, path) -> DataFrame:
@@ -183,11 +190,15 @@ def read_runtime(spark: SparkSession, path) -> DataFrame:
 # --- shard manifests ---------------------------------------------------------------------------------------------
 
 def read_shard_lines(spark: SparkSession, paths) -> DataFrame:
-    """Non-blank manifest lines with their file and shard folder."""
-    lines = spark.read.text(paths).select("value", F.col("_metadata.file_path").alias("file")).filter(F.trim("value") != "")
+    """Non-blank manifest lines with their file, shard folder and ``position``."""
+    lines = _all_lines(spark, paths).filter(F.trim("value") != "")
     return lines.withColumn("shard", F.regexp_extract("file", r"([^/]+)/[^/]+$", 1))
 
 
+def _all_lines(spark: SparkSession, paths) -> DataFrame:
+    return spark.read.text(paths).select("value", F.col("_metadata.file_path").alias("file"), file_position().alias("position"))
+
+
 def read_shards(spark: SparkSession, paths, vocab: Vocabulary) -> DataFrame:
     """Parsed manifest records with ``problems``; see ``validated`` for the split."""
     return parse_records(read_shard_lines(spark, paths), vocab)
@@ -198,20 +209,21 @@ def read_valid_shards(spark: SparkSession, paths, vocab: Vocabulary) -> DataFram
     from ..operators.records import duplicate_ids, validated
     good, bad = validated(read_shards(spark, paths, vocab))
     if not bad.isEmpty():
-        require_empty(number_lines(bad.limit(20)).select("file", "line", "problems"), "malformed records")
+        require_empty(number_lines(bad, _all_lines(spark, paths)).limit(20).select("file", "line", "problems"), "malformed records")
     require_empty(duplicate_ids(good), "record IDs repeat")
-    return good.drop("value")
-
-
-def number_lines(rejected: DataFrame) -> DataFrame:
-    """Adds the 1-based ``line`` of rejected lines, re-reading only the files that hold one."""
-    spark = rejected.sparkSession
-    files = [r[0] for r in rejected.select("file").distinct().collect()]
-    if not files:
-        return rejected.withColumn("line", F.lit(None).cast("int"))
-    whole = spark.read.text(files, wholetext=True).select(
-        F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\r?\n", -1)).alias("_pos", "value"))
-    return rejected.join(whole, ["file", "value"], "left").withColumn("line", F.col("_pos") + 1).drop("_pos")
+    return good.drop("value", "position")
+
+
+def number_lines(rejected: DataFrame, lines: DataFrame) -> DataFrame:
+    """Adds the 1-based ``line`` in its file of each rejected line: lines of earlier parts of the file, and its place in its own.
+
+    ``lines`` are all lines of the same read with their ``position``; only one row per part of a file is held.
+    """
+    parts = lines.groupBy("file", F.col("position.block").alias("block")).agg(F.count(F.lit(1)).alias("n"), F.min("position.row").alias("first"))
+    before = F.sum("n").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
+    counted = parts.select("file", "block", "first", F.coalesce(before, F.lit(0)).alias("before"))
+    found = rejected.withColumn("block", F.col("position.block")).join(counted, ["file", "block"])
+    return found.withColumn("line", (F.col("before") + F.col("position.row") - F.col("first") + 1).cast("int")).drop("block", "first", "before")
 
 
 def read_loose_records(spark: SparkSession, paths) -> DataFrame:

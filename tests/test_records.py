@@ -4,7 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tessitura.operators import checks, records as R
+from tessitura.operators import checks, criteria as C, records as R
 from tessitura.sources import readers as S
 
 VOCAB = R.Vocabulary(60, 4, 2, 3)
@@ -74,6 +74,46 @@ def test_shards_round_trip_and_strict_read(spark, tmp_path):
         S.read_valid_shards(spark, str(tmp_path / "m/*.jsonl"), VOCAB)
 
 
+@pytest.fixture
+def small_splits(spark):
+    """Files are read in parts of about 150 bytes, several parts to a task."""
+    sizes = {"spark.sql.files.maxPartitionBytes": "150", "spark.sql.files.openCostInBytes": "1", "spark.sql.files.minPartitionNum": "3"}
+    before = {k: spark.conf.get(k, None) for k in sizes}
+    for k, v in sizes.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_errors_name_file_and_line_of_split_files(spark, tmp_path, small_splits):
+    rng, wrong = random.Random(3), {}
+    for name in ("b.jsonl", "a.jsonl"):
+        lines = [json.dumps(record(id=f"{name}{i}")) if rng.random() < 0.9 else rng.choice(["{", "", "   ", "[]"]) for i in range(60)]
+        (tmp_path / name).write_text("\n".join(lines) + "\n")
+        wrong |= {(name, i): x for i, x in enumerate(lines, 1) if x.strip() and x[-1] != "}"}
+    bad = R.validated(S.read_shards(spark, str(tmp_path / "*.jsonl"), VOCAB))[1]
+    got = {(r["file"].split("/")[-1], r["line"]): r["value"] for r in S.number_lines(bad, S._all_lines(spark, str(tmp_path / "*.jsonl"))).collect()}
+    assert got == wrong and len(got) > 3
+    with pytest.raises(checks.CheckError, match="malformed"):
+        S.read_valid_shards(spark, str(tmp_path / "*.jsonl"), VOCAB)
+
+
+def test_verdicts_keep_the_order_of_their_file(spark, tmp_path, small_splits):
+    """The first verdict of a voice counts, the last of an original, as they stand in the file."""
+    rng, first, last = random.Random(5), {}, {}
+    rows = [(f"v{rng.randint(0, 9)}", rng.choice(["pass", "fail"])) for _ in range(120)]
+    for v, human in rows:
+        first.setdefault(v, human)
+        last[v] = human
+    (tmp_path / "new.csv").write_text("voice,speaker,human\n" + "".join(f"t~{v}~xx,0,{h}\n" for v, h in rows))
+    (tmp_path / "old.csv").write_text("voice,speaker,human,espeak\n" + "".join(f"{v},0,{h},xx\n" for v, h in rows))
+    new, old = S.read_verdicts(spark, str(tmp_path / "new.csv"), "t"), S.read_original_human(spark, str(tmp_path / "old.csv"))
+    assert new.rdd.getNumPartitions() > 3
+    assert {r["voice"]: r["h"] for r in new.repartition(5).groupBy("voice").agg(C._at_end(new, "human", F.min_by, F.min).alias("h")).collect()} == first
+    assert {r["voice"]: r["h"] for r in old.repartition(5).groupBy("voice").agg(C._at_end(old, "human", F.max_by, F.max).alias("h")).collect()} == last
+
+
 def test_score_rows_round_trip(spark, tmp_path):
     rows = spark.createDataFrame([("v", "0", "de", 0, "a", "/a", 1.5, 1, 10), ("v", "0", "de", 1, "b", "/b", 2.0, 9, 30), ("v", "0", "de", 2, "c", "/c", 2.0, None, None)],
                                  "voice string, speaker string, espeak string, idx int, text string, path string, duration_s double, per_edits int, per_units int")
@@ -126,7 +166,7 @@ def test_small_tables(spark, tmp_path):
         S.read_ab_answers(spark, file("listener,voice,speaker,item,original_side,answer\nme,v,0,1,A,C\n")).collect()
     assert S.read_runtime(spark, file("variant\tratio\nbase\t1.08\n")).first()["ratio"] == 1.08
     got = S.read_verdicts(spark, file('lang,voice,speaker,human,audio\n"es","run1~v~es-419","0","pass",""\n"es","v","0","fail",""\n'), "run1").collect()
-    assert [tuple(r) for r in got] == [("v", "0", "es-419", "pass")]
+    assert [tuple(r)[:4] for r in got] == [("v", "0", "es-419", "pass")]
     pairs = spark.createDataFrame([("a", "b", 3), ("b", "a", 5), ("a", "a", 3)], S.PAIR_SCHEMA)
     S.write_pair_counts(pairs, str(tmp_path / "pairs"))
     assert {tuple(r) for r in S.read_pair_counts(spark, str(tmp_path / "pairs")).collect()} == {("a", "b", 3), ("b", "a", 5), ("a", "a", 3)}
