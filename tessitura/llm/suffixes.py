@@ -203,7 +203,7 @@ def _to_extend(found: DataFrame) -> DataFrame:
 
 
 def _extended(docs: DataFrame, places: DataFrame, key: str, text: str) -> DataFrame:
-    """All windows whose minimiser is one of the places, as suffix rows."""
+    """All windows whose minimiser is one of the places, as suffix rows; ``a`` is of the whole window, so ``b`` is not needed."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def parts():
             for batch in batches:
@@ -211,7 +211,7 @@ def _extended(docs: DataFrame, places: DataFrame, key: str, text: str) -> DataFr
                     hashes = Hashes(blank_words(body))
                     windows = np.nonzero(np.isin(hashes.minimisers(), np.array(wanted, np.int64)))[0]
                     found = hashes.of(PASSAGE)[windows]
-                    yield _rows(doc, h, found, found, at_of(windows, 0, 1))
+                    yield _rows(doc, h, found, np.zeros_like(found), at_of(windows, 0, 1))
         yield from _together(parts())
 
     texts = docs.select(*_keys(docs, key, text), F.col(text).cast("binary").alias("body"))
