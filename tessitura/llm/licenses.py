@@ -1,8 +1,9 @@
 """Licence scan by a positional rare-token index.
 
-The index lists one word per template, the rarest (highest-IDF over all files) of its mandatory key phrase, with its
-offset. Where a file has that word the template is placed, its key phrase verified, and the template words that agree at
-their fixed offsets from there are counted.
+The index posts every template word with its templates and offsets, and the words' IDF over all files. A file looks up its
+licence words in falling order of IDF: of each template whose key words it has, the two rarest (``RARE``) give two sets of
+places, moved by their offsets; where these agree, the whole key phrase is verified. The template's other words are then looked
+for within ``SHIFT`` words of their place, so a word put in or left out moves a match but does not break it.
 """
 from __future__ import annotations
 
@@ -51,43 +52,68 @@ MORE = (
 )
 
 
+#: Key words of a template that a file's places are intersected over, and how far another word may stand from its place.
+RARE, SHIFT = 2, 2
+
+
 class Index(NamedTuple):
-    """``anchors``: rarest key word to (template number, its offset in the template)."""
+    """``postings``: licence word to (template number, offset in the template, whether in its key phrase); ``order``: words
+    from the highest IDF to the lowest; ``keys``: distinct key words of each template."""
 
     templates: tuple[Template, ...]
-    anchors: dict[bytes, list[tuple[int, int]]]
+    postings: dict[bytes, list[tuple[int, int, bool]]]
+    order: dict[bytes, int]
+    keys: tuple[frozenset[bytes], ...]
 
 
 def build_index(templates: tuple[Template, ...], counts: dict[bytes, int]) -> Index:
-    anchors: dict[bytes, list[tuple[int, int]]] = {}
+    postings: dict[bytes, list[tuple[int, int, bool]]] = {}
     for t, one in enumerate(templates):
-        i = min(range(len(one.key)), key=lambda i: (counts.get(one.key[i], 0), one.key[i], i))
-        anchors.setdefault(one.key[i], []).append((t, one.at + i))
-    return Index(templates, anchors)
+        for i, w in enumerate(one.words):
+            postings.setdefault(w, []).append((t, i, one.at <= i < one.at + len(one.key)))
+    order = {w: k for k, w in enumerate(sorted(postings, key=lambda w: (counts.get(w, 0), w)))}
+    return Index(templates, postings, order, tuple(frozenset(x.key) for x in templates))
+
+
+def placed(where: dict[bytes, list[int]], index: Index) -> dict[int, set[int]]:
+    """Per template the places (of its first word) at which its rarest key words of this file agree."""
+    possible = {t for t, keys in enumerate(index.keys) if keys <= where.keys()}
+    starts: dict[int, set[int]] = {}
+    used = dict.fromkeys(possible, 0)
+    for word in sorted(where, key=index.order.__getitem__):
+        for t, offset, mandatory in index.postings[word]:
+            if mandatory and t in possible and used[t] < RARE:
+                here = {p - offset for p in where[word]}
+                starts[t] = starts[t] & here if used[t] else here
+                used[t] += 1
+    return starts
 
 
 def found_templates(words: list[bytes], index: Index) -> Iterator[tuple[int, int, float]]:
-    """(template number, word where its key starts, share of the template's words that stand in place)."""
-    n = len(words)
-    for p in [i for i, w in enumerate(words) if w in index.anchors]:
-        for t, offset in index.anchors[words[p]]:
-            one, start = index.templates[t], p - offset
+    """(template number, word where its key starts, share of the template's words that stand near their place)."""
+    where: dict[bytes, list[int]] = {}
+    for p, w in enumerate(words):
+        if w in index.postings:
+            where.setdefault(w, []).append(p)
+    for t, starts in placed(where, index).items():
+        one = index.templates[t]
+        for start in starts:
             key = start + one.at
             if key >= 0 and tuple(words[key:key + len(one.key)]) == one.key:
-                same = sum(1 for i, w in enumerate(one.words) if 0 <= start + i < n and words[start + i] == w)
-                yield t, key, same / len(one.words)
+                near = sum(w in words[max(0, start + i - SHIFT):max(0, start + i + SHIFT + 1)] for i, w in enumerate(one.words))
+                yield t, key, near / len(one.words)
 
 
 def scan(docs: DataFrame, templates: tuple[Template, ...] = BASE + MORE, text: str = "text") -> DataFrame:
     """The rows with ``n_words`` and ``found``: (label, template, word, share) of every place, in order of place.
 
     Document frequencies of the licence words come from all documents; only they decide which words are looked up, the
-    places found are the same for any. Null texts have no words; repeated rows stay; columns of the added names are replaced.
+    places found are the same for any frequencies. Null texts have no words; repeated rows stay; columns of the added names are replaced.
     """
     need(docs, text)
     docs = replacing(docs, "n_words", "found")
     small_batches(docs)
-    index = build_index(templates, word_counts(docs, {w for t in templates for w in t.key}, text))
+    index = build_index(templates, word_counts(docs, {w for t in templates for w in t.words}, text))
     kind = pa.list_(pa.struct([("label", pa.string()), ("template", pa.int32()), ("word", pa.int64()), ("share", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

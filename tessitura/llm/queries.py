@@ -106,7 +106,7 @@ WITH t(t, label, words, off, key) AS (VALUES {_template_rows()}),
 d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 p AS (SELECT r, w, unnest(range(1, len(w) + 1)) AS i FROM d),
 f AS (SELECT r, t, label, i, words, w, i - off AS start FROM p JOIN t ON w[i] = key[1] WHERE list_slice(w, i, i + len(key) - 1) = key),
-s AS (SELECT r, t, label, i, len([1 FOR x, k IN words IF start + k - 1 >= 1 AND w[start + k - 1] = x])::DOUBLE / len(words) AS share FROM f),
+s AS (SELECT r, t, label, i, len([1 FOR x, k IN words IF list_contains(list_slice(w, greatest(1, start + k - 3), greatest(0, start + k + 1)), x)])::DOUBLE / len(words) AS share FROM f),
 g AS (SELECT r, count(*) FILTER (WHERE t < 3) AS n_base, min(i) FILTER (WHERE t < 3) - 1 AS first_word, max(i) FILTER (WHERE t < 3) - 1 AS last_word,
   string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE t < 3) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(share) AS score FROM s GROUP BY r)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels,
