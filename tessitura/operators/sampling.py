@@ -9,7 +9,7 @@ from ..functions.hashing import hash_bucket, hex_hash, unit_hash
 from .checks import require_empty
 from .ordering import first_after, grouped_scan
 
-MICRO = 1_000_000  # weights are summed as whole millionths, so sums do not depend on their order
+MICRO = 1_000_000  # weights and seconds are summed as whole millionths, so sums do not depend on their order
 
 
 @dataclass(frozen=True)
@@ -28,9 +28,12 @@ def language_mass(items: DataFrame, strict: bool = True) -> DataFrame:
     if strict:
         bad = items.filter(F.col("weight").isNull() | F.col("seconds").isNull() | (F.col("weight") <= 0) | (F.col("seconds") <= 0))
         require_empty(bad.select("id"), "weights and durations must be positive")
+    whole = lambda c: F.sum(F.round(F.col(c) * MICRO).cast("bigint")) / float(MICRO)
     per = items.groupBy("lang").agg(
-        F.count(F.lit(1)).alias("items"), (F.sum("seconds") / 3600.0).alias("hours"), F.sum("weight").alias("weight_sum"))
-    total = per.agg(F.sum(F.sqrt("hours")).alias("_root"))
+        F.count(F.lit(1)).alias("items"), (whole("seconds") / 3600.0).alias("hours"), whole("weight").alias("weight_sum"))
+    # One row a language: added up in their order, so that masses, and with them the draws, never differ by a rounding.
+    roots = F.transform(F.array_sort(F.collect_list(F.struct("lang", "hours"))), lambda x: F.sqrt(x["hours"]))
+    total = per.agg(F.aggregate(roots, F.lit(0.0), lambda a, x: a + x).alias("_root"))
     return per.crossJoin(F.broadcast(total)).select("lang", "items", "hours", "weight_sum", (F.sqrt("hours") / F.col("_root")).alias("mass"))
 
 
