@@ -18,7 +18,7 @@ import pyarrow.compute  # noqa: F401
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from ..session import written
+from ..session import work_folder, written
 from .common import let, need, replacing, small_batches, with_fields
 from .pieces import coded, gathered, pieces, sliced
 from .vocabulary import frequent
@@ -169,25 +169,46 @@ def piece_counts(rows: DataFrame) -> DataFrame:
     return written(rows.mapInArrow(run, "token binary, n bigint").groupBy("token").agg(F.sum("n").alias("n")), "piece-counts")
 
 
-def dictionary(counts: DataFrame, path: str, most: int) -> tuple[tuple, tuple]:
-    """Frequent pieces in order of their 64-bit hash, and the ids that the fold gives, as arrays that a task needs little
-    memory for: (bytes end to end, 32-bit bounds, hashes) to find a piece's place, (flat ids, how many) for a place."""
-    parts = 4 * counts.sparkSession.sparkContext.defaultParallelism
-    table = written(frequent(counts, most).select("token").repartition(parts).select(
-        "token", fold(F.col("token"), path).alias("ids"), F.xxhash64("token").alias("h")), "piece-ids").toArrow().combine_chunks()
-    order = np.argsort(table.column("h").to_numpy().view(np.uint64), kind="stable")
-    table = table.take(pa.array(order)).combine_chunks()
-    column = lambda c: pa.concat_arrays(table.column(c).chunks) if table.num_rows else pa.array([], table.schema.field(c).type)
-    tokens, ids = column("token").cast(pa.binary()), column("ids")
-    bounds = np.concatenate(([0], np.cumsum(np.asarray(pa.compute.binary_length(tokens), np.int64)))).astype(np.int32)
-    blob = tokens.buffers()[2].to_pybytes()[:bounds[-1]] if len(tokens) else b""
+def dictionary(counts: DataFrame, path: str, most: int) -> str:
+    """A folder of frequent pieces in order of their 64-bit hash, with the ids that the fold gives. Python workers read it
+    themselves, each once, so it never passes the driver."""
+    spark = counts.sparkSession
+    folder, parts = work_folder(spark, "pieces"), 4 * spark.sparkContext.defaultParallelism
+    folded = frequent(counts, most).select("token").repartition(parts).select("token", fold(F.col("token"), path).alias("ids"), F.xxhash64("token").alias("h"))
+    written(folded, "piece-ids").repartitionByRange("h").sortWithinPartitions("h", "token").write.parquet(folder)
+    return folder
+
+
+def _dealt(folder: str, column: str) -> tuple[pa.Array, np.ndarray]:
+    """(a column, hashes) of the dictionary in its order."""
+    from pyarrow import fs, parquet
+
+    system, root = fs.FileSystem.from_uri(folder)
+    names = sorted(f.path for f in system.get_file_info(fs.FileSelector(root)) if f.path.endswith(".parquet"))
+    parts = [parquet.read_table(system.open_input_file(n), columns=[column, "h"], use_threads=False) for n in names]
+    whole = pa.concat_tables(parts).combine_chunks()
+    one = lambda c: pa.concat_arrays(whole.column(c).chunks) if whole.num_rows else pa.array([], whole.schema.field(c).type)
+    return one(column), one("h").to_numpy(zero_copy_only=False)
+
+
+@lru_cache(maxsize=1)
+def _pieces_of(folder: str) -> tuple[pa.Array, np.ndarray]:
+    """(pieces, hashes), held by a Python worker over its tasks."""
+    pieces_, hashes = _dealt(folder, "token")
+    return pieces_.cast(pa.binary()), hashes
+
+
+@lru_cache(maxsize=1)
+def _ids_of(folder: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(flat ids, start and number of each piece's), held by a Python worker over its tasks."""
+    ids, _ = _dealt(folder, "ids")
     sizes = np.asarray(pa.compute.list_value_length(ids), np.uint8)
-    return (blob, bounds.tobytes(), table.column("h").to_numpy().view(np.uint64).copy()), (np.asarray(ids.flatten(), np.int32), sizes)
+    return np.asarray(ids.flatten(), np.int32), (np.cumsum(sizes, dtype=np.int64) - sizes).astype(np.int32), sizes
 
 
 def _places(distinct: pa.Array, dealt: pa.Array, hashes: np.ndarray) -> np.ndarray:
     """Place of each piece in the dictionary, or -1; what the hash finds is compared in full."""
-    own = np.fromiter((xxhash.xxh64_intdigest(x, 42) for x in distinct.to_pylist()), np.uint64, len(distinct))
+    own = np.fromiter((xxhash.xxh64_intdigest(x, 42) for x in distinct.to_pylist()), np.uint64, len(distinct)).view(np.int64)
     at = np.searchsorted(hashes, own)
     met = np.flatnonzero(at < len(hashes))
     met = met[hashes[at[met]] == own[met]]
@@ -197,12 +218,6 @@ def _places(distinct: pa.Array, dealt: pa.Array, hashes: np.ndarray) -> np.ndarr
     return out
 
 
-def _pieces_of(lookup: tuple) -> pa.Array:
-    """The dictionary's pieces as an array over the broadcast bytes."""
-    blob, bounds = lookup[:2]
-    return pa.Array.from_buffers(pa.binary(), len(bounds) // 4 - 1, [None, pa.py_buffer(bounds), pa.py_buffer(blob)])
-
-
 def encode(docs: DataFrame, path: str, pattern: str, most: int = DICTIONARY, text: str = "text", keep_text: bool = True,
            decoded: bool = False) -> DataFrame:
     """The rows with ``ids``: the whole text cut by the pattern, each piece merged by the ranks; null is empty.
@@ -210,8 +225,8 @@ def encode(docs: DataFrame, path: str, pattern: str, most: int = DICTIONARY, tex
     Without ``keep_text`` the text itself is not carried along. With ``decoded`` the ids are decoded again by the same
     Python worker, as by ``decode``.
 
-    Pieces are counted over all rows; the distinct frequent ones are folded once and held by every task (at most ``most``
-    of 64 bytes), all others are folded in the rows where they stand, once per row. Columns of the added names are replaced.
+    Pieces are counted over all rows; the distinct frequent ones are folded once and held by every Python worker (at most
+    ``most`` of 64 bytes, read from the shared folder), all others are folded in the rows where they stand, once per row. Columns of the added names are replaced.
     """
     need(docs, text)
     docs = replacing(docs, "ids", *(["decoded"] if decoded else []), "_pieces", "_codes", "_rare", "_rare_ids")
@@ -219,11 +234,10 @@ def encode(docs: DataFrame, path: str, pattern: str, most: int = DICTIONARY, tex
     cut = docs.withColumn("_pieces", pieces(F.col(text), pattern))
     if not keep_text:
         docs, cut = docs.drop(text), cut.drop(text)
-    context = docs.sparkSession.sparkContext
-    lookup, values_of = map(context.broadcast, dictionary(piece_counts(cut.select("_pieces")), path, most))
+    folder = dictionary(piece_counts(cut.select("_pieces")), path, most)
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        dealt, hashes = _pieces_of(lookup.value), lookup.value[2]
+        dealt, hashes = _pieces_of(folder)
         for batch in sliced(batches):
             distinct, occurrence, bounds = coded(batch.column("_pieces"))
             codes = _places(distinct.cast(pa.binary()), dealt, hashes)[occurrence]
@@ -241,8 +255,7 @@ def encode(docs: DataFrame, path: str, pattern: str, most: int = DICTIONARY, tex
                 names=[*[c for c in batch.schema.names if c != "_pieces"], "_codes", "_rare"])
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flat, sizes = values_of.value
-        starts = (np.cumsum(sizes, dtype=np.int64) - sizes).astype(np.int32)
+        flat, starts, sizes = _ids_of(folder)
         for batch in sliced(batches):
             names = batch.schema.names
             words = batch.column("_rare").flatten().to_pylist()
