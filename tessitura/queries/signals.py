@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions import arrays as A
 from ..functions.numbers import seconds_of
 from ..operators import quality as Z
+from ..plans import packaging as Package
+from ..session import work_folder, written
+from ..sources.readers import read_delimited, read_loose_records
 from ..sources.tables import balanced, read_table
 from .registry import query
 from .scores import rounded
@@ -156,6 +159,49 @@ def w10_drop_reasons(spark, sf):
     return rounded(Z.drop_reasons(items, outliers, F.col("n_chars") / 1000.0, 5.0))
 
 
+PACKING = Package.PackagingOptions(duration_z=3.0, min_symbol_count=30, max_silence_s=5.0, shard_bytes=60_000, flag_fraction=0.2, seed=7)
+PACKED = f"""{TIMED}, st AS (SELECT lang, symbol, avg(x) AS m, stddev_pop(x) AS sd FROM sym GROUP BY ALL HAVING count(*) >= 30 AND min(x) < max(x)),
+    z AS (SELECT doc_id FROM sym JOIN st USING (lang, symbol) GROUP BY 1 HAVING max((x - m) / sd) > 3.0),
+    dr AS (SELECT doc_id, CASE WHEN doc_id IN (FROM z) THEN 'duration_outlier' WHEN n_chars / 1000.0 > 5 THEN 'internal_silence' END AS reason FROM documents)"""
+
+
+def packaged(spark: SparkSession, sf: str) -> str:
+    """Documents as rendered items, checked, packed and written; returns the folder."""
+    d = read_table(spark, sf, "documents").select("doc_id", "lang", "source", "n_chars")
+    rows = timings(spark, sf).withColumnRenamed("id", "doc_id").join(d, "doc_id").select(
+        F.col("doc_id").cast("string").alias("id"), F.lit("x").alias("audio"), F.col("lang").alias("language"), F.col("lang").alias("espeak"), F.col("source").alias("speaker"),
+        F.lit("clean").alias("condition"), F.col("ids").alias("phoneme_ids"), "durations", F.lit("t").alias("text"), "teacher", F.lit(1.0).alias("weight"),
+        (F.col("n_chars") / 15).alias("seconds"))
+    folder = work_folder(spark, "package")
+    items = written(rows, "rendered")
+    Package.write_package(Package.package(items, LETTER_IDS, F.col("seconds") * 15 / 1000.0, F.round(F.col("seconds") * 15), PACKING), folder)
+    return folder
+
+
+@query("packing_flow_shards", f"""WITH RECURSIVE {PACKED}, o AS (SELECT doc_id::VARCHAR AS id, n_chars AS size, row_number() OVER w AS rank, sum(n_chars) OVER w AS tot FROM documents JOIN dr USING (doc_id)
+      WHERE reason IS NULL WINDOW w AS (ORDER BY sha256(concat_ws(':', 7, doc_id)), doc_id::VARCHAR)),
+    starts AS (SELECT min(rank) AS rank, 0 AS shard FROM o HAVING count(*) > 0 UNION ALL
+      SELECT (SELECT min(greatest(n.rank, s.rank + 1)) FROM o n WHERE n.tot > a.tot - a.size + 60000), s.shard + 1 FROM starts s JOIN o a ON a.rank = s.rank
+      WHERE EXISTS (SELECT 1 FROM o n WHERE n.rank > s.rank AND n.tot > a.tot - a.size + 60000)),
+    m AS (SELECT o.id, o.rank, max(s.shard) AS shard FROM o JOIN starts s ON s.rank <= o.rank GROUP BY ALL)
+    SELECT 'shard-' || lpad(shard::VARCHAR, 5, '0') AS shard, count(*) AS records, min(id::BIGINT) AS lowest, max(id::BIGINT) AS highest FROM m GROUP BY shard""")
+def packing_flow_shards(spark, sf):
+    """The whole flow, read back from its files."""
+    back = read_loose_records(spark, f"{packaged(spark, sf)}/shards/*/*.json")
+    k = F.col("id").cast("bigint")
+    return back.groupBy("shard").agg(F.count(F.lit(1)).alias("records"), F.min(k).alias("lowest"), F.max(k).alias("highest")).withColumn(
+        "shard", F.regexp_replace("shard", "^shard=", ""))
+
+
+@query("packing_flow_report", f"""WITH {PACKED} SELECT lang AS teacher, count(*) AS rendered, count_if(reason IS NULL) AS kept, count_if(reason = 'duration_outlier') AS duration_outlier,
+    count_if(reason = 'internal_silence') AS internal_silence, printf('%.3f', sum(n_chars) FILTER (reason IS NULL) / 15 / 3600) AS kept_hours,
+    count_if(reason IS NOT NULL) / count(*) > 0.2 AS flagged FROM documents JOIN dr USING (doc_id) GROUP BY 1""")
+def packing_flow_report(spark, sf):
+    rows = read_delimited(spark, f"{packaged(spark, sf)}/reports/filter", "teacher string, rendered bigint, kept bigint, kept_hours string, duration_outlier bigint, "
+                          "internal_silence bigint, unaligned bigint, flagged boolean", exact=True)
+    return rows.select("teacher", "rendered", "kept", "duration_outlier", "internal_silence", "kept_hours", "flagged")
+
+
 @query("c21_seconds", """SELECT l_orderkey, l_linenumber, round_even(least(l_partkey * 100 / (16000.0::DOUBLE + l_linenumber), 30), 4) AS seconds FROM lineitem""")
 def c21_seconds(spark, sf):
     return read_table(spark, sf, "lineitem").select(
