@@ -122,6 +122,7 @@ def greedy_cover(types: DataFrame, pairs: DataFrame, marks: DataFrame, objective
     runs = types.select("run").distinct()
     tables = {}
     for name, table in (("types", types), ("pairs", pairs), ("marks", marks)):
+        table = table.join(runs, "run", "left_semi")
         mass = pooled_mass(table, runs, ["symbol"])
         tables[name] = table.select("run", "symbol").join(mass, "symbol").checkpoint()
     remaining = {r[0] for r in runs.collect()}

@@ -40,8 +40,8 @@ def forbidden_texts(benchmark: DataFrame) -> DataFrame:
 
 
 def select_sentences(documents: DataFrame, benchmark: DataFrame, options: SelectionOptions):
-    """(pool, held-out rows, training candidates)."""
-    pool = sentence_pool(documents, options)
+    """(pool, held-out rows, training candidates). The pool is written once: what follows reads it several times."""
+    pool = written(sentence_pool(documents, options), "pool")
     usable = pool.filter(F.col("symbols").isNotNull())
     held = S.held_out(usable, options.held_out)
     return pool, held, S.leak_guard(usable, held, forbidden_texts(benchmark))

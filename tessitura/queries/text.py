@@ -9,7 +9,7 @@ from ..functions.text import WordLimits
 from ..operators import ordering as O
 from ..operators import selection as S
 from ..plans import corpus as C
-from ..session import work_folder
+from ..session import work_folder, written
 from ..sources import sentences as T
 from ..sources.tables import read_table, split_sentences
 from . import sql as Q
@@ -153,7 +153,7 @@ def w20_hash_seeds(spark, sf):
     SELECT lang, count(*) AS n, min(hash) AS first_hash FROM kept WHERE hash NOT IN (SELECT hash FROM held)
       AND hash NOT IN (SELECT sha1({Q.key('sentence')}) FROM bench) GROUP BY lang""")
 def j4_leak_guard(spark, sf):
-    p = pool(spark, sf)
+    p = written(pool(spark, sf).select("lang", "hash"), "pool")  # read twice
     free = S.leak_guard(p, S.held_out(p, 50), C.forbidden_texts(read_table(spark, sf, "benchmark")))
     return free.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.min("hash").alias("first_hash"))
 
