@@ -3,6 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.symbols import char_class
 from ..operators import catalog as C
 from ..operators import packing as P
 from ..operators import records as R
@@ -12,7 +13,7 @@ from ..sources import sentences as T
 from ..sources.tables import read_table
 from . import sql as Q
 from .registry import query
-from .symbols import BIGRAMS, CHARS, bigrams
+from .symbols import BIGRAMS, CHARS, REF, alphabet, bigrams
 from .text import pool
 
 
@@ -71,15 +72,16 @@ def s7_sentence_table_file(spark, sf):
     return T.read_sentence_table(spark, folder).groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.sum(F.char_length("text")).alias("chars"))
 
 
-@query("s21_phonemized_file", """SELECT lang AS run, count(*) AS rows, sum(length(regexp_replace(lower(text), '[^a-z ]', '', 'g')))::BIGINT AS tokens FROM documents GROUP BY 1""")
+@query("s21_phonemized_file", f"""WITH {REF} SELECT lang AS run, count(*) AS rows, sum(len(list_filter(regexp_extract_all(text, '(?s).'), lambda x: list_contains(known, x))))::BIGINT AS tokens
+    FROM documents, (SELECT list(c) AS known FROM ref) GROUP BY 1""")
 def s21_phonemized_file(spark, sf):
-    folder, alphabet = work_folder(spark, "phonemized"), [*"abcdefghijklmnopqrstuvwxyz "]
-    text = F.lower("text")
+    """Documents as phonemized lines: the tokens are the characters that the benchmark's alphabet has."""
+    folder, letters = work_folder(spark, "phonemized"), alphabet(spark, sf)
     rows = read_table(spark, sf, "documents").select(
-        F.col("lang").alias("run"), F.col("doc_id").cast("int").alias("idx"), text.alias("phonemes"),
-        F.regexp_extract_all(text, F.lit("([a-z ])"), 1).alias("tokens"))
+        F.col("lang").alias("run"), F.col("doc_id").cast("int").alias("idx"), F.col("text").alias("phonemes"),
+        F.regexp_extract_all("text", F.lit(f"([{char_class(letters)}])"), 1).alias("tokens"))
     rows.write.json(folder)
-    return D.read_phonemized(spark, folder, alphabet).groupBy("run").agg(
+    return D.read_phonemized(spark, folder, letters).groupBy("run").agg(
         F.count(F.lit(1)).alias("rows"), F.sum(F.size("tokens")).alias("tokens"))
 
 
