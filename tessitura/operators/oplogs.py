@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.numbers import round_exact
+from ..session import written
 from .ordering import exact_quantiles, top_rows
 
 WARMUP_SECONDS = 90.0
@@ -48,33 +49,37 @@ def in_window(samples: DataFrame, window: DataFrame, time: str = "t") -> DataFra
 
 
 def summarize_runs(steps: DataFrame, gpu: DataFrame, machine: DataFrame, last: int = 100) -> DataFrame:
-    """One row per run over its steady window: throughput, waits, GPU use, memory, first and last losses."""
-    window = steady_window(steps)
-    span = F.col("t_stop") - F.col("t_start")
-    counted = steps.join(window, "run").filter((F.col("t_end") > F.col("t_start")) & (F.col("t_end") <= F.col("t_stop")))
-    base = counted.groupBy("run").agg(
-        F.max(span).alias("_d"), F.count(F.lit(1)).alias("steady_steps"), F.sum("batch_size").alias("_utts"), F.sum("audio_seconds").alias("_audio"),
-        F.sum("data_wait").alias("_wait"), F.avg("data_wait").alias("_mean_wait"), F.avg(F.col("t_end") - F.col("t_begin")).alias("_compute"))
+    """One row per run over its steady window: throughput, waits, GPU use, memory, first and last losses.
+
+    The windows (a row a run) are written once; each log is then read once for all its sums and twice for its quantiles.
+    """
+    window = written(steady_window(steps), "steady-windows")
+    span, finite = F.col("t_stop") - F.col("t_start"), ~F.isnan("loss") & (F.abs("loss") != float("inf"))
+    inside = (F.col("t_end") > F.col("t_start")) & (F.col("t_end") <= F.col("t_stop"))
+    steady = lambda c: F.when(inside, F.col(c) if isinstance(c, str) else c)
+    sums = steps.join(window, "run", "left").groupBy("run").agg(
+        F.max(steady(span)).alias("_d"), F.count_if(inside).alias("steady_steps"), F.sum(steady("batch_size")).alias("_utts"),
+        F.sum(steady("audio_seconds")).alias("_audio"), F.sum(steady("data_wait")).alias("_wait"), F.avg(steady("data_wait")).alias("_mean_wait"),
+        F.avg(steady(F.col("t_end") - F.col("t_begin"))).alias("_compute"), F.count_if(~finite).alias("nonfinite_loss_steps"),
+        F.min_by("loss", F.col("step")).alias("loss_first")).filter("steady_steps > 0")
     d = F.col("_d")
-    out = base.select(
+    out = sums.select(
         "run", round_exact(d, 1).alias("steady_seconds"), "steady_steps", round_exact(F.col("steady_steps") / d, 3).alias("steps_per_s"),
         round_exact(F.col("_utts") / d, 1).alias("utts_per_s"), round_exact(F.col("_audio") / d, 1).alias("audio_sec_per_s"),
         round_exact("_compute", 4).alias("mean_step_compute_s"), round_exact("_mean_wait", 4).alias("mean_data_wait_s"),
-        round_exact(F.col("_wait") / d, 4).alias("data_wait_frac"))
-    waits = exact_quantiles(counted.select("run", "data_wait"), ["run"], "data_wait", {"p90_data_wait_s": 0.9}, rule="nearest").select(
+        round_exact(F.col("_wait") / d, 4).alias("data_wait_frac"), "nonfinite_loss_steps", "loss_first")
+    waits = exact_quantiles(steps.join(window, "run").filter(inside), ["run"], "data_wait", {"p90_data_wait_s": 0.9}, rule="nearest").select(
         "run", round_exact("p90_data_wait_s", 4).alias("p90_data_wait_s"))
-    steady = in_window(gpu, window)
-    use = steady.groupBy("run").agg(round_exact(F.avg("util"), 1).alias("gpu_util_mean"), round_exact(F.avg("power"), 1).alias("gpu_power_mean_w"))
-    use_q = exact_quantiles(steady, ["run"], "util", {"gpu_util_p10": 0.1, "gpu_util_p50": 0.5, "gpu_util_p90": 0.9}, rule="nearest")
-    memory = gpu.groupBy("run").agg(F.max("mem").alias("gpu_mem_used_max_mib"))
+    within = F.col("t").between(F.col("t_start"), F.col("t_stop"))
+    use = gpu.join(window, "run", "left").groupBy("run").agg(
+        round_exact(F.avg(F.when(within, F.col("util"))), 1).alias("gpu_util_mean"), round_exact(F.avg(F.when(within, F.col("power"))), 1).alias("gpu_power_mean_w"),
+        F.max("mem").alias("gpu_mem_used_max_mib"))
+    use_q = exact_quantiles(in_window(gpu, window), ["run"], "util", {"gpu_util_p10": 0.1, "gpu_util_p50": 0.5, "gpu_util_p90": 0.9}, rule="nearest")
     host = in_window(machine, window).groupBy("run").agg(
         round_exact(F.avg("cores"), 2).alias("container_cores_used_mean"), F.max("mem_gb").alias("sys_mem_used_gb_max"))
-    finite = ~F.isnan("loss") & (F.abs("loss") != float("inf"))
-    losses = steps.groupBy("run").agg(
-        F.count_if(~finite).alias("nonfinite_loss_steps"), F.min_by("loss", F.col("step")).alias("loss_first"))
     tail = top_rows(steps, ["run"], [F.desc("step")], last, F.col("step")).groupBy("run").agg(
         round_exact(F.avg(F.when(finite, F.col("loss"))), 3).alias("loss_last_mean"))
-    for part in (waits, use, use_q, memory, host, losses, tail):
+    for part in (waits, use, use_q, host, tail):
         out = out.join(part, "run", "left")
     return out
 
