@@ -93,14 +93,19 @@ def ranks(path: str) -> Ranks:
     return Ranks(path)
 
 
+@lru_cache(maxsize=1)
+def _listed(path: str) -> tuple[str, str, str]:
+    """The rank map as text: offsets, slots, ids of single bytes. The driver keeps only this of a rank file."""
+    book = Ranks(path)
+    return tuple(",".join(map(str, values)) for values in (*book.rows, book.byte_ids))
+
+
 def fold(word: Column, path: str) -> Column:
     """Ids of one word (binary), as an array of ints.
 
     The rank map stands in the plan itself: a lambda variable would be copied for every word.
     """
-    book = ranks(path)
-    literal = lambda values, kind: F.split(F.lit(",".join(map(str, values))), ",").cast(f"array<{kind}>")
-    offsets, slots = literal(book.rows[0], "int"), literal(book.rows[1], "bigint")
+    offsets, slots, byte_ids = (F.split(F.lit(x), ",").cast(f"array<{kind}>") for x, kind in zip(_listed(path), ("int", "bigint", "int")))
     id_mask, none = (1 << ID_BITS + PLACE_BITS) - 1, NONE << PLACE_BITS
 
     def step(ids: Column) -> Column:
@@ -123,7 +128,7 @@ def fold(word: Column, path: str) -> Column:
         return F.aggregate(steps, ids, lambda state, _: step(state))
 
     places = F.when(F.octet_length(word) > 0, F.sequence(F.lit(1), F.octet_length(word))).otherwise(F.array().cast("array<int>"))
-    chars = let(F.decode(word, "ISO-8859-1"), lambda w: F.transform(places, lambda i: F.get(literal(book.byte_ids, "int"), F.ascii(F.substring(w, i, F.lit(1))))))
+    chars = let(F.decode(word, "ISO-8859-1"), lambda w: F.transform(places, lambda i: F.get(byte_ids, F.ascii(F.substring(w, i, F.lit(1))))))
     return let(chars, from_ids)
 
 
@@ -195,6 +200,7 @@ def _dealt(folder: str, column: str) -> tuple[pa.Array, np.ndarray]:
 def _pieces_of(folder: str) -> tuple[pa.Array, np.ndarray]:
     """(pieces, hashes), held by a Python worker over its tasks."""
     pieces_, hashes = _dealt(folder, "token")
+    pa.default_memory_pool().release_unused()
     return pieces_.cast(pa.binary()), hashes
 
 
@@ -203,7 +209,10 @@ def _ids_of(folder: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(flat ids, start and number of each piece's), held by a Python worker over its tasks."""
     ids, _ = _dealt(folder, "ids")
     sizes = np.asarray(pa.compute.list_value_length(ids), np.uint8)
-    return np.asarray(ids.flatten(), np.int32), (np.cumsum(sizes, dtype=np.int64) - sizes).astype(np.int32), sizes
+    flat = np.array(ids.flatten(), np.int32)
+    del ids
+    pa.default_memory_pool().release_unused()
+    return flat, (np.cumsum(sizes, dtype=np.int64) - sizes).astype(np.int32), sizes
 
 
 def _places(distinct: pa.Array, dealt: pa.Array, hashes: np.ndarray) -> np.ndarray:
