@@ -39,3 +39,22 @@ def test_alignment_of_nulls_and_empty_sides(spark):
     df = spark.createDataFrame([(0, None, ["a"]), (1, ["a"], None), (2, [], ["a"]), (3, ["a"], []), (4, [], [])], "i int, r array<string>, h array<string>")
     got = [r["s"] and [tuple(s) for s in r["s"]] for r in df.select("i", A.align(F.col("r"), F.col("h")).alias("s")).orderBy("i").collect()]
     assert got == [None, None, [("insert", None, 0)], [("delete", 0, None)], []]
+
+
+@pytest.mark.parametrize("core,share,cycles", [(7, 0.35, 2), (0, 0.0, 1), (400, 0.5, 3)])
+def test_whole_rounds_equal_a_plain_loop(spark, core, share, cycles):
+    tongue = {"p1": "nl", "p2": "nl", "p3": "fi", "p4": "xx"}
+    lines = {"nl": [f"nl line {i}" for i in range(131)], "fi": [f"fi line {i}" for i in range(23)], "xx": []}
+    sentences = spark.createDataFrame([(lang, i + 1, t) for lang, ts in lines.items() for i, t in enumerate(ts)], "espeak string, rank int, text string").repartition(3)
+    who = spark.createDataFrame(list(tongue.items()), "key string, espeak string")
+    sha = lambda *parts: hashlib.sha256(":".join(map(str, parts)).encode()).hexdigest()
+    want = []
+    for k, lang in tongue.items():
+        order, mine = lines[lang][:core] + sorted(lines[lang][core:], key=lambda t: sha(3, k, t)), []
+        for cycle in range(cycles):
+            for t in order:
+                twice = int(sha(3, k, t, cycle, "second")[:16], 16) / 2**64 < share
+                mine += [(cycle, 2 * cycle + copy, t) for copy in range(1 + twice)]
+        want += [(k, p, *x) for p, x in enumerate(mine)]
+    got = L.utterance_order(who, sentences, core, 3, share, cycles=cycles).select("key", "position", "cycle", "render", "text").collect()
+    assert sorted(map(tuple, got)) == sorted(want)
