@@ -16,8 +16,10 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from ..functions.arrays import let
 from ..functions.symbols import char_class
 from ..functions.text import teacher_string
+from ..session import written
 from .ordering import grouped_scan, position_bucket
 from .records import body
 
@@ -169,6 +171,7 @@ def tokenizer(table: TokenTable):
     """Column function (symbol string, language) -> struct(ids, error, at, char): one ID per character.
 
     ``error`` is null, ``no_text``, ``unsupported_language``, ``not_nfd`` or ``unknown_symbol`` (at that index and character).
+    It is marked as not deterministic, so that Spark does not move filters on it below it and compute it twice.
     """
     held: list[_Scanner] = []
 
@@ -177,7 +180,7 @@ def tokenizer(table: TokenTable):
             held.append(_Scanner(table))
         return held[0].batch(texts, languages)
 
-    return F.arrow_udf(tokens, TOKENS)
+    return F.arrow_udf(tokens, TOKENS).asNondeterministic()
 
 
 def padded(ids: Column, table: TokenTable) -> Column:
@@ -272,16 +275,17 @@ def lossy_report(remapped: DataFrame, voice: str, times: str | None = None) -> D
 
 def keys_of(ids: Column, table: TokenTable, without_specials: bool = True) -> Column:
     """Table keys of stored IDs; padding, start and end left out; an unknown ID is an error."""
-    names = F.create_map(*[x for k, i in table.ids.items() for x in (F.lit(i), F.lit(k))])
+    names = F.array(*[F.lit(k) for k in sorted(table.ids, key=table.ids.get)])
     specials = [table.ids[k] for k in (table.pad, table.bos, table.eos)]
     inner = F.filter(ids, lambda i: ~i.isin(*specials)) if without_specials else ids
-    return F.transform(inner, lambda i: F.coalesce(F.try_element_at(names, i), F.raise_error(F.concat(F.lit("unknown phoneme id "), i.cast("string")))))
+    return F.transform(inner, lambda i: F.coalesce(F.get(names, i.cast("int")), F.raise_error(F.concat(F.lit("unknown phoneme id "), i.cast("string")))))
 
 
 def _units(word: Column, phone: str, mark: str) -> Column:
     found = F.regexp_extract_all(word, F.lit(f"({phone}{mark}*+)"), 1)
+    marks = lambda u: F.array_join(F.array_sort(F.regexp_extract_all(F.substr(u, F.lit(2)), F.lit("(?s)(.)"), 1)), "")
     return F.transform(found, lambda u: F.struct(
-        F.substring(u, 1, 1).alias("base"), F.array_join(F.array_sort(F.regexp_extract_all(F.substr(u, F.lit(2)), F.lit("(?s)(.)"), 1)), "").alias("marks")))
+        F.substring(u, 1, 1).alias("base"), F.when(F.char_length(u) > 1, marks(u)).otherwise("").alias("marks")))
 
 
 def _class(chars: str) -> str:
@@ -295,11 +299,14 @@ def reference_words(keys: Column, table: TokenTable) -> Column:
     before it, or a special token, makes the string malformed.
     """
     phone, mark, edge = (_class(c) for c in (table.phones, table.marks, table.boundaries))
-    heard = F.array_join(F.filter(keys, lambda k: k.rlike(f"^(?:{phone}|{mark}|{edge})$")), "")
-    words = F.filter(F.split(heard, edge), lambda w: w != "")
-    special = [k for k, c in table.classes.items() if c == "special"]
-    malformed = F.exists(words, lambda w: w.rlike(f"^{mark}")) | F.exists(keys, lambda k: k.isin(*special))
-    return F.struct(F.when(~malformed, F.transform(words, lambda w: _units(w, phone, mark))).alias("words"), malformed.alias("malformed"))
+    counted, special = sorted({*table.phones, *table.marks, *table.boundaries}), [k for k, c in table.classes.items() if c == "special"]
+
+    def parsed(keys: Column, heard: Column) -> Column:
+        words = F.filter(F.split(heard, edge), lambda w: w != "")
+        malformed = heard.rlike(f"(?:^|{edge}){mark}") | F.exists(keys, lambda k: k.isin(*special))
+        return let(malformed, lambda bad: F.struct(F.when(~bad, F.transform(words, lambda w: _units(w, phone, mark))).alias("words"), bad.alias("malformed")))
+
+    return let(keys, lambda held: let(F.array_join(F.filter(held, lambda k: k.isin(*counted)), ""), lambda heard: parsed(held, heard)))
 
 
 def recognized_units(text: Column, table: TokenTable) -> Column:
@@ -342,14 +349,45 @@ def training_pairs(records: DataFrame, table: TokenTable, ids: str = "phoneme_id
     return pair_counts(records.select(reference_words(keys_of(F.col(ids), table), table)["words"].alias("words")), "words")
 
 
+#: Trained pairs up to which every row tests its own; more are joined.
+MOST_PAIRS = 20_000
+
+
+def _pair_name(first: Column, second: Column) -> Column:
+    return F.concat(F.char_length(first).cast("string"), F.lit(":"), first, second)
+
+
+def _seen(word: Column, known: list[str]) -> Column:
+    """Per unit of a word whether the pair with the unit before it and the pair with the unit behind it are both known."""
+    n = F.size(word)
+    near = F.zip_with(F.slice(word, F.lit(1), n - 1), F.slice(word, F.lit(2), n - 1), lambda a, b: F.coalesce(
+        _pair_name(a["base"], b["base"]).isin(*known) if known else F.lit(False), F.lit(False)))
+    edge = F.array(F.lit(True))
+    whole = let(near, lambda x: F.zip_with(F.concat(edge, x), F.concat(x, edge), lambda a, b: a & b))
+    return F.when(n > 1, whole).when(n == 1, edge).otherwise(F.array().cast("array<boolean>"))
+
+
 def unit_pair_status(rows: DataFrame, key: str, words: str, trained: DataFrame) -> DataFrame:
-    """(key, unit, seen): per unit in order whether every within-word pair it belongs to occurs in training."""
+    """(key, unit, seen): per unit in order whether every within-word pair it belongs to occurs in training.
+
+    Pairs of an alphabet are few, so every row looks its own up, without a shuffle; only beyond ``MOST_PAIRS`` trained pairs each
+    unit's pairs are joined with them.
+    """
+    pairs = written(trained.filter(F.col("count") > 0).select("first", "second").distinct(), "trained-pairs")
+    if pairs.count() > MOST_PAIRS:
+        return _joined_pair_status(rows, key, words, pairs)
+    known = [r[0] for r in pairs.filter("first IS NOT NULL AND second IS NOT NULL").select(_pair_name(F.col("first"), F.col("second"))).collect()]
+    status = F.flatten(F.transform(words, lambda w: _seen(w, known)))
+    return rows.select(key, F.posexplode(status).alias("unit", "seen")).withColumn("unit", F.col("unit").cast("bigint"))
+
+
+def _joined_pair_status(rows: DataFrame, key: str, words: str, pairs: DataFrame) -> DataFrame:
     placed = rows.select(key, F.posexplode(words).alias("_w", "_units")).select(
         key, "_w", F.posexplode("_units").alias("_u", "_unit"), F.size("_units").alias("_n"), "_units")
     near = placed.select(key, "_w", "_u", F.explode(F.array_compact(F.array(
         F.when(F.col("_u") > 0, F.struct(F.try_element_at("_units", F.col("_u"))["base"].alias("first"), F.col("_unit.base").alias("second"))),
         F.when(F.col("_u") < F.col("_n") - 1, F.struct(F.col("_unit.base").alias("first"), F.try_element_at("_units", F.col("_u") + 2)["base"].alias("second")))))).alias("_p"))
-    seen = trained.filter(F.col("count") > 0).select(F.col("first"), F.col("second"), F.lit(True).alias("_known"))
+    seen = pairs.withColumn("_known", F.lit(True))
     unseen = near.select(key, "_w", "_u", "_p.first", "_p.second").join(seen, ["first", "second"], "left").groupBy(key, "_w", "_u").agg(
         F.max(F.col("_known").isNull()).alias("_unseen"))
     numbered = placed.select(key, "_w", "_u").join(unseen, [key, "_w", "_u"], "left")
@@ -358,15 +396,22 @@ def unit_pair_status(rows: DataFrame, key: str, words: str, trained: DataFrame)
 
 
 def split_by_pair_status(edits: DataFrame, key: str, edits_column: str, status: DataFrame) -> DataFrame:
-    """Per key: edits and units of seen and of unseen pairs; a length mismatch is an error."""
-    each = edits.select(key, F.posexplode(edits_column).alias("unit", "edits"))
-    joined = each.withColumn("unit", F.col("unit").cast("bigint")).join(status, [key, "unit"], "full_outer")
-    bad = F.col("edits").isNull() | F.col("seen").isNull()
-    value = F.when(bad, F.raise_error(F.lit("per-unit edits do not match the reference units"))).otherwise(F.col("edits"))
-    total = lambda test, v: F.coalesce(F.sum(F.when(test, v)), F.lit(0))
-    return joined.groupBy(key).agg(
-        total(F.col("seen"), value).alias("per_seen_edits"), F.count_if(F.col("seen")).alias("per_seen_units"),
-        total(~F.col("seen"), value).alias("per_unseen_edits"), F.count_if(~F.col("seen")).alias("per_unseen_units"))
+    """Per key: edits and units of seen and of unseen pairs; a length mismatch is an error.
+
+    A key's units meet again as one array, so edits and status are joined by key, not by unit.
+    """
+    held = status.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("unit", "seen"))).alias("_status"))
+    each = edits.select(key, F.col(edits_column).alias("_edits")).filter(F.size("_edits") > 0)
+    placed = F.forall(F.transform("_status", lambda x, i: (x["unit"] == i) & x["seen"].isNotNull()), lambda fits: fits)
+    whole = F.coalesce((F.size("_edits") == F.size("_status")) & placed, F.lit(False)) & ~F.exists("_edits", lambda e: e.isNull())
+    both = F.when(whole, F.zip_with("_edits", "_status", lambda e, s: F.struct(e.cast("bigint").alias("edits"), s["seen"].alias("seen")))).otherwise(
+        F.raise_error(F.lit("per-unit edits do not match the reference units")))
+    none = F.lit(0).cast("bigint")
+    total = lambda units, seen: F.aggregate(units, none, lambda a, u: a + F.when(u["seen"] == F.lit(seen), u["edits"]).otherwise(none))
+    names = ["per_seen_edits", "per_seen_units", "per_unseen_edits", "per_unseen_units"]
+    sums = let(both, lambda units: let(F.size(F.filter(units, lambda u: u["seen"])).cast("bigint"), lambda n: F.struct(*[
+        v.alias(k) for k, v in zip(names, (total(units, True), n, total(units, False), F.size(units) - n))])))
+    return each.join(held, key, "full_outer").select(key, sums.alias("_sums")).groupBy(key).agg(*[F.sum(f"_sums.{k}").alias(k) for k in names])
 
 
 def parseable(rows: DataFrame, table: TokenTable, text: str, language: str) -> tuple[DataFrame, DataFrame]:

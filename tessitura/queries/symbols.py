@@ -219,7 +219,7 @@ def t5_c12_units(spark, sf):
     p AS (SELECT word, unnest(range(1, greatest(length(word), 1))) AS i FROM w)
     SELECT substr(word, i, 1) AS first, substr(word, i + 1, 1) AS second, count(*) AS "count" FROM p GROUP BY ALL""")
 def a11_training_pairs(spark, sf):
-    return K.training_pairs(tokenized(spark, sf).filter(F.col("phoneme_ids").isNotNull()), TABLE)
+    return K.training_pairs(tokenized(spark, sf).filter(F.col("tokens.error").isNull()), TABLE)
 
 
 @query("j18_pair_status", f"""WITH {SPOKEN}, w AS (SELECT doc_id, pos, unnest(words) AS word, unnest(range(0, len(words))) AS wi FROM tk WHERE fine),
@@ -229,7 +229,7 @@ def a11_training_pairs(spark, sf):
       OR (i < length(word) AND (substr(word, i, 1), substr(word, i + 1, 1)) NOT IN (SELECT (f, s2) FROM tr)) AS unseen FROM c WHERE doc_id % 2 = 1)
     SELECT doc_id, count(*) AS units, count_if(unseen) AS unseen FROM u GROUP BY 1""")
 def j18_pair_status(spark, sf):
-    fine = written(tokenized(spark, sf).filter(F.col("phoneme_ids").isNotNull()).select(
+    fine = written(tokenized(spark, sf).filter(F.col("tokens.error").isNull()).select(
         "doc_id", "pos", K.reference_words(K.keys_of(F.col("phoneme_ids"), TABLE), TABLE)["words"].alias("words")), "units")
     trained = K.pair_counts(fine.filter("doc_id % 2 = 0"), "words")
     rows = fine.filter("doc_id % 2 = 1").select(F.concat_ws("-", "doc_id", "pos").alias("key"), "words")

@@ -41,6 +41,46 @@ def test_alignment_of_nulls_and_empty_sides(spark):
     assert got == [None, None, [("insert", None, 0)], [("delete", 0, None)], []]
 
 
+WORDS = "key string, words array<array<struct<base:string,marks:string>>>"
+
+
+def status_rows(spark, rng):
+    rows = [(f"k{n}", [[(rng.choice("uvwx"), "") for _ in range(rng.randint(0, 4))] for _ in range(rng.randint(0, 4))]) for n in range(25)]
+    trained = spark.createDataFrame([("u", "v", 2), ("v", "w", 1), ("w", "w", 0), ("x", "u", 4)], "first string, second string, count long")
+    return spark.createDataFrame(rows, WORDS), trained
+
+
+def test_pair_status_needs_no_shuffle_and_equals_the_join(spark, monkeypatch):
+    df, trained = status_rows(spark, random.Random(5))
+    near = K.unit_pair_status(df, "key", "words", trained)
+    assert "Exchange" not in plan(near)
+    found = sorted(map(tuple, near.collect()))
+    monkeypatch.setattr(K, "MOST_PAIRS", 0)
+    assert found == sorted(map(tuple, K.unit_pair_status(df, "key", "words", trained).collect())) and len(found) > 40
+
+
+def test_split_joins_by_key(spark):
+    df, trained = status_rows(spark, random.Random(6))
+    edits = df.select("key", F.transform(F.flatten("words"), lambda u: F.lit(1)).alias("edits"))
+    split = K.split_by_pair_status(edits, "key", "edits", K.unit_pair_status(df, "key", "words", trained))
+    assert re.findall(r"Join \[([^\]]*)\]", plan(split)) and all("unit" not in keys for keys in re.findall(r"Join \[([^\]]*)\]", plan(split)))
+    assert all(r["per_seen_edits"] == r["per_seen_units"] and r["per_unseen_edits"] == r["per_unseen_units"] for r in split.collect())
+    with pytest.raises(Exception, match="do not match"):
+        K.split_by_pair_status(edits.withColumn("edits", F.concat("edits", F.array(F.lit(1)))), "key", "edits", K.unit_pair_status(df, "key", "words", trained)).collect()
+
+
+def letters():
+    keys = ["_", "^", "$", " ", *"abc"]
+    kind = lambda k: "special" if k in "_^$" else "space" if k == " " else "vowel"
+    return K.TokenTable({k: i for i, k in enumerate(keys)}, {k: kind(k) for k in keys}, frozenset({"en"}), reserved="_^$")
+
+
+def test_a_filter_on_tokens_does_not_tokenize_twice(spark):
+    t = K.tokenize(spark.createDataFrame([("ab c", "en"), ("a#", "en")], "s string, l string"), letters(), "s", "l")
+    fine = t.filter(F.col("tokens.error").isNull()).select("phoneme_ids")
+    assert plan(fine).count("[tokens(") == 1 and len(fine.collect()) == 1
+
+
 @pytest.mark.parametrize("core,share,cycles", [(7, 0.35, 2), (0, 0.0, 1), (400, 0.5, 3)])
 def test_whole_rounds_equal_a_plain_loop(spark, core, share, cycles):
     tongue = {"p1": "nl", "p2": "nl", "p3": "fi", "p4": "xx"}
