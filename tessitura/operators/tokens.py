@@ -12,7 +12,6 @@ from dataclasses import dataclass, field
 from functools import cached_property
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
@@ -216,30 +215,87 @@ def replayer(maps: dict[str, dict[str, int]], pad: str = "_", bos: str = "^", eo
 
     A string all of whose blank-separated words are keys is read word by word (a quirk the older runtime has).
     """
-    compiled: dict = {}
-
-    def one(text, voice):
-        known = maps[voice]
-        if voice not in compiled:
-            keys = sorted(known, key=len, reverse=True)
-            compiled[voice] = re.compile("|".join(map(re.escape, keys)) + "|(.)", re.DOTALL)
-        words = text.split()
-        split = bool(words) and all(w in known for w in words)
-        found, dropped = (words, []) if split else ([], [])
-        if not split:
-            for m in compiled[voice].finditer(text):
-                if m.lastindex:
-                    dropped.append({"index": m.start(), "char": m.group()})
-                else:
-                    found.append(m.group())
-        fill = known[pad]
-        ids = [known[bos], fill, *[x for t in found for x in (known[t], fill)], known[eos]]
-        return {"ids": ids, "dropped": dropped, "whitespace_split": split}
-
-    def batch(texts: pd.Series, voices: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([one(t, v) for t, v in zip(texts, voices)], columns=["ids", "dropped", "whitespace_split"])
-
-    return F.pandas_udf(batch, REPLAY)
+    held: dict[str, _Replay] = {}
+
+    def batch(texts: pa.Array, voices: pa.Array) -> pa.Array:
+        strings, spoken = texts.to_pylist(), voices.to_pylist()
+        order, parts = [], []
+        for voice in dict.fromkeys(spoken):
+            if voice not in held:
+                held[voice] = _Replay(maps[voice], maps[voice][pad], maps[voice][bos], maps[voice][eos])
+            at = [k for k, v in enumerate(spoken) if v == voice]
+            order += at
+            parts.append(held[voice].batch([strings[k] for k in at]))
+        if len(parts) < 2:
+            return parts[0] if parts else pa.array([], pa.struct(_REPLAY_FIELDS))
+        return pa.concat_arrays(parts).take(pa.array(np.argsort(np.array(order, np.int64), kind="stable")))
+
+    return F.arrow_udf(batch, REPLAY)
+
+
+_DROPPED_FIELDS = [("index", pa.int32()), ("char", pa.string())]
+_REPLAY_FIELDS = [("ids", pa.list_(pa.int32())), ("dropped", pa.list_(pa.struct(_DROPPED_FIELDS))), ("whitespace_split", pa.bool_())]
+
+
+class _Replay:
+    """What one voice map makes of a batch of strings: by array operations over their code points. Strings with a key of several
+    characters in them, or read word by word, are scanned one at a time."""
+
+    def __init__(self, known: dict[str, int], fill: int, first: int, last: int) -> None:
+        self.known, self.fill, self.first, self.last = known, fill, first, last
+        self.pattern = re.compile("|".join(map(re.escape, sorted(known, key=len, reverse=True))) + "|(.)", re.DOTALL)
+        long = [re.escape(k) for k in known if len(k) > 1]
+        self.long = re.compile("|".join(long)) if long else None
+        self.found = np.full(0x110000, -1, np.int64)
+        for k, i in known.items():
+            if len(k) == 1:
+                self.found[ord(k)] = i
+
+    def _scan(self, text: str, split: bool) -> tuple[list[int], list[int]]:
+        if split:
+            return [self.known[w] for w in text.split()], []
+        found, dropped = [], []
+        for m in self.pattern.finditer(text):
+            if m.lastindex:
+                dropped.append(m.start())
+            else:
+                found.append(self.known[m.group()])
+        return found, dropped
+
+    def _is_split(self, text: str) -> bool:
+        first = text.split(None, 1)[:1]
+        return bool(first) and first[0] in self.known and all(w in self.known for w in text.split())
+
+    def batch(self, strings: list[str]) -> pa.StructArray:
+        split = [self._is_split(x) for x in strings]
+        apart = {k: self._scan(x, s) for k, (x, s) in enumerate(zip(strings, split)) if s or self.long is not None and self.long.search(x)}
+        plain = ["" if k in apart else x for k, x in enumerate(strings)]
+        lengths = np.fromiter(map(len, plain), np.int64, len(plain))
+        codes = np.frombuffer("".join(plain).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+        row, starts = np.repeat(np.arange(len(plain)), lengths), np.cumsum(lengths) - lengths
+        values, lost = self.found[codes], self.found[codes] < 0
+        rows, ids = row[~lost], values[~lost]
+        lost_rows, lost_at = row[lost], np.flatnonzero(lost) - starts[row[lost]]
+        if apart:
+            rows = np.concatenate([rows, *[np.full(len(f), k, np.int64) for k, (f, _) in apart.items()]])
+            ids = np.concatenate([ids, *[np.array(f, np.int64) for f, _ in apart.values()]])
+            lost_rows = np.concatenate([lost_rows, *[np.full(len(d), k, np.int64) for k, (_, d) in apart.items()]])
+            lost_at = np.concatenate([lost_at, *[np.array(d, np.int64) for _, d in apart.values()]])
+            order, lost_order = np.argsort(rows, kind="stable"), np.argsort(lost_rows, kind="stable")
+            rows, ids, lost_rows, lost_at = rows[order], ids[order], lost_rows[lost_order], lost_at[lost_order]
+        n = np.bincount(rows, minlength=len(strings))
+        ends = np.cumsum(2 * n + 3)
+        padded_ids = np.full(int(ends[-1]) if len(ends) else 0, self.fill, np.int32)
+        padded_ids[ends - 1], padded_ids[ends - 2 * n - 3] = self.last, self.first
+        inside = np.arange(len(rows)) - (np.cumsum(n) - n)[rows]
+        padded_ids[(ends - 2 * n - 3)[rows] + 2 + 2 * inside] = ids
+        chars = [strings[k][i] for k, i in zip(lost_rows.tolist(), lost_at.tolist())]
+        dropped = pa.StructArray.from_arrays([pa.array(lost_at, pa.int32()), pa.array(chars, pa.string())], fields=[pa.field(*f) for f in _DROPPED_FIELDS])
+        offsets = lambda counts: pa.array(np.concatenate(([0], np.cumsum(counts))).astype(np.int32))
+        return pa.StructArray.from_arrays([
+            pa.ListArray.from_arrays(offsets(2 * n + 3), pa.array(padded_ids)),
+            pa.ListArray.from_arrays(offsets(np.bincount(lost_rows, minlength=len(strings))), dropped), pa.array(split, pa.bool_())],
+            fields=[pa.field(*f) for f in _REPLAY_FIELDS])
 
 
 def remap(rows: DataFrame, table: TokenTable, maps: dict[str, dict[str, int]], text: str, voice: str, language: str) -> DataFrame:
@@ -264,11 +320,17 @@ def lossy_report(remapped: DataFrame, voice: str, times: str | None = None) -> D
     """Per voice: sentences, lossy ones, and dropped characters by falling frequency. ``times``: how often a row's sentence
     occurs, where equal ones were counted before."""
     n = F.lit(1) if times is None else F.col(times)
-    sizes = remapped.groupBy(voice).agg(F.sum(n).alias("sentences"), F.sum(F.when(F.col("aligned"), 0).otherwise(n)).alias("lossy_sentences"))
-    chars = remapped.select(voice, n.alias("_n"), F.explode("teacher.dropped.char").alias("char")).groupBy(voice, "char").agg(F.sum("_n").alias("n"))
-    listed = F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("m"), "char")))
-    named = chars.groupBy(voice).agg(F.array_join(F.transform(listed, lambda x: F.concat(x["char"], F.lit(":"), (-x["m"]).cast("string"))), " ").alias("dropped_chars"))
-    return sizes.join(named, voice, "left").withColumn("dropped_chars", F.coalesce("dropped_chars", F.lit("")))
+    n = n.cast("bigint")
+    none = F.lit(0).cast("bigint")
+    # One entry for the sentence (no character) and one for each dropped character, so that rows are read once.
+    entry = lambda char, m, lossy: F.struct(char.cast("string").alias("char"), m.alias("n"), lossy.alias("lossy"))
+    whole = F.array(entry(F.lit(None), n, F.when(F.col("aligned"), none).otherwise(n)))
+    entries = F.concat(whole, F.transform("teacher.dropped", lambda d: entry(d["char"], n, none)))
+    counts = remapped.select(voice, F.inline(entries)).groupBy(voice, "char").agg(F.sum("n").alias("n"), F.sum("lossy").alias("lossy"))
+    sentence, listed = F.col("char").isNull(), F.array_sort(F.collect_list(F.when(F.col("char").isNotNull(), F.struct((-F.col("n")).alias("m"), "char"))))
+    named = F.array_join(F.transform(listed, lambda x: F.concat(x["char"], F.lit(":"), (-x["m"]).cast("string"))), " ")
+    return counts.groupBy(voice).agg(F.sum(F.when(sentence, F.col("n"))).alias("sentences"), F.sum(F.when(sentence, F.col("lossy"))).alias("lossy_sentences"),
+                                     named.alias("dropped_chars"))
 
 
 # --- phone units ---------------------------------------------------------------------------------------------------

@@ -81,6 +81,41 @@ def test_a_filter_on_tokens_does_not_tokenize_twice(spark):
     assert plan(fine).count("[tokens(") == 1 and len(fine.collect()) == 1
 
 
+def plain_replay(known, text):
+    words = text.split()
+    if words and all(w in known for w in words):
+        return [1, 0, *[x for w in words for x in (known[w], 0)], 2], [], True
+    ids, dropped, at = [1, 0], [], 0
+    while at < len(text):
+        key = next((k for k in sorted(known, key=len, reverse=True) if text.startswith(k, at)), None)
+        if key is None:
+            dropped.append((at, text[at]))
+        else:
+            ids += [known[key], 0]
+        at += len(key or "x")
+    return [*ids, 2], dropped, False
+
+
+def test_replay_equals_a_plain_scan(spark):
+    rng = random.Random(12)
+    single = {"_": 0, "^": 1, "$": 2, " ": 3, "a": 4, "b": 5}
+    maps = {"single": single, "long": single | {"ab": 6, "cab": 7}}
+    rows = [(i, "".join(rng.choice("aabbc é\U0001f600") for _ in range(rng.randint(0, 9))), rng.choice(list(maps))) for i in range(300)]
+    rows += [(300, "a b", "single"), (301, "ab a", "long"), (302, "ab a", "single"), (303, "", "long")]
+    df = spark.createDataFrame(rows, "i int, t string, v string").repartition(3)
+    got = {r["i"]: (r["r"]["ids"], [tuple(d) for d in r["r"]["dropped"]], r["r"]["whitespace_split"])
+           for r in df.select("i", K.replayer(maps)(F.col("t"), F.col("v")).alias("r")).collect()}
+    assert got == {i: plain_replay(maps[v], t) for i, t, v in rows}
+
+
+def test_lossy_report_reads_its_rows_once(spark):
+    known = {"_": 0, "^": 1, "$": 2, " ": 3, "a": 4}
+    df = spark.createDataFrame([("a b#", "v", "en", 2), ("aa", "v", "en", 3), ("a a", "v", "en", 5), ("aa", "w", "en", 1)], "s string, v string, l string, n int")
+    report = K.lossy_report(K.remap(df, letters(), {"v": known, "w": known}, "s", "v", "l"), "v", "n")
+    assert plan(report).count("Scan") == 1
+    assert sorted(map(tuple, report.collect())) == [("v", 10, 7, "#:2 b:2"), ("w", 1, 0, "")]
+
+
 @pytest.mark.parametrize("core,share,cycles", [(7, 0.35, 2), (0, 0.0, 1), (400, 0.5, 3)])
 def test_whole_rounds_equal_a_plain_loop(spark, core, share, cycles):
     tongue = {"p1": "nl", "p2": "nl", "p3": "fi", "p4": "xx"}
