@@ -482,5 +482,5 @@ def parseable(rows: DataFrame, table: TokenTable, text: str, language: str) -> t
     names = F.when(F.col("tokens.error").isNull(), keys_of(F.col("tokens.ids"), table, without_specials=False))
     marked = t.withColumn("_bad", (F.coalesce(F.col("tokens.error"), F.lit("")) != "unsupported_language") & (
         F.col("tokens.error").isNotNull() | F.coalesce(reference_words(names, table)["malformed"], F.lit(True))))
-    drop = ["tokens", "phoneme_ids", "_bad"]
-    return marked.filter(~F.col("_bad")).drop(*drop), marked.filter(F.col("_bad")).drop(*drop)
+    marked = written(marked.select(*rows.columns, "_bad"), "parseable")  # both parts read it
+    return marked.filter(~F.col("_bad")).drop("_bad"), marked.filter(F.col("_bad")).drop("_bad")

@@ -133,3 +133,27 @@ def test_whole_rounds_equal_a_plain_loop(spark, core, share, cycles):
         want += [(k, p, *x) for p, x in enumerate(mine)]
     got = L.utterance_order(who, sentences, core, 3, share, cycles=cycles).select("key", "position", "cycle", "render", "text").collect()
     assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_sentences_are_classified_and_tokenized_once(spark, tmp_path):
+    """Reject counts and both parts of parseable rows take one run over their input, counted by an accumulator."""
+    from tessitura.operators import selection as S
+    from tessitura.operators import tokens as K
+    from tessitura.queries.symbols import TABLE
+
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(x):
+        seen.add(1)
+        return x
+
+    texts = ["one two three four", "one two three four", "One two three four", "too short", "a b c 4", "x y z w"]
+    rows = spark.createDataFrame([(k, "en", t) for k, t in enumerate(texts)], "doc_id bigint, lang string, sentence string")
+    passed = rows.withColumn("sentence", counted.asNondeterministic()("sentence"))
+    got = {(r["lang"], r["reason"]): r["n"] for r in S.reject_counts(S.classify(passed)).collect()}
+    assert got == {("en", "too_short"): 1, ("en", "digit"): 1, ("en", "duplicate"): 2}
+    assert seen.value == len(texts)
+    kept, rejected = K.parseable(passed.withColumn("sentence", F.lower("sentence")), TABLE, "sentence", "lang")
+    assert (kept.count(), rejected.count()) == (5, 1)
+    assert seen.value == 2 * len(texts)
