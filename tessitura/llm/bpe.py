@@ -1,7 +1,8 @@
 """Byte-level BPE: ranked merges folded over the bytes of distinct words by higher-order functions, ids back to bytes.
 
-The rank map is a literal: the sparse rows of a pair table (left id by right id) laid over one another in one array, so
-that a look-up is one sum and two array reads, shared by every row of a task.
+The rank map is a table of one row that plans read by scalar subqueries: the sparse rows of a pair table (left id by right
+id) laid over one another in one array, so that a look-up is one sum and two array reads, shared by every row of a task.
+As a literal it would stand in the text of every plan, which the driver builds, logs and keeps again and again.
 A word starts as the ids of its bytes; each step of the fold replaces the leftmost pair of least
 rank, until no pair merges.
 """
@@ -9,14 +10,14 @@ from __future__ import annotations
 
 import base64
 import heapq
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 import xxhash
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from ..session import work_folder, written
 from .common import let, need, replacing, small_batches, with_fields
@@ -94,26 +95,47 @@ def ranks(path: str) -> Ranks:
 
 
 @lru_cache(maxsize=1)
-def _listed(path: str) -> tuple[str, str, str]:
-    """The rank map as text: offsets, slots, ids of single bytes. The driver keeps only this of a rank file."""
+def _rows(path: str) -> tuple[list[int], list[int], list[int]]:
+    """The rank map as offsets, slots and ids of single bytes. The driver keeps only this of a rank file."""
     book = Ranks(path)
-    return tuple(",".join(map(str, values)) for values in (*book.rows, book.byte_ids))
+    return (*book.rows, book.byte_ids)
 
 
-def fold(word: Column, path: str) -> Column:
-    """Ids of one word (binary), as an array of ints.
+def rank_table(spark: SparkSession, path: str) -> DataFrame:
+    """The rank map as a struct ``ranks`` of offsets, slots and byte_ids: one row in the shared folder."""
+    schema = "ranks struct<offsets: array<int>, slots: array<bigint>, byte_ids: array<int>>"
+    return written(spark.createDataFrame([(_rows(path),)], schema).coalesce(1), "rank-map")
+
+
+def with_ranks(rows: DataFrame, table: DataFrame, name: str, body: Callable[[Column, Column, Column], Column]) -> DataFrame:
+    """The rows with ``body`` over offsets, slots and byte ids of a rank table as column ``name``.
 
-    The rank map stands in the plan itself: a lambda variable would be copied for every word.
+    A subquery may not stand inside a higher-order function, so its value is a column first. That is named once, so that
+    the optimizer puts the subquery in its place and no row carries the map.
     """
-    offsets, slots, byte_ids = (F.split(F.lit(x), ",").cast(f"array<{kind}>") for x, kind in zip(_listed(path), ("int", "bigint", "int")))
-    id_mask, none = (1 << ID_BITS + PLACE_BITS) - 1, NONE << PLACE_BITS
+    bound = lambda ranks: let(ranks["offsets"], lambda o: let(ranks["slots"], lambda s: let(ranks["byte_ids"], lambda b: body(o, s, b))))
+    held = rows.select("*", table.scalar().alias("_ranks"))
+    return held.select(*rows.columns, let(F.col("_ranks"), bound).alias(name))
+
+
+def fold(word: Column, path: str) -> Column:
+    """Ids of one word (binary), as an array of ints. The rank map stands in the plan as a literal: for small plans."""
+    return _folded(word, *[F.split(F.lit(",".join(map(str, x))), ",").cast(f"array<{kind}>") for x, kind in zip(_rows(path), ("int", "bigint", "int"))])
+
+
+def _folded(word: Column, offsets: Column, slots: Column, byte_ids: Column) -> Column:
+    """Ids of one word (binary) by a rank map, as an array of ints."""
+    none = NONE << PLACE_BITS
 
     def step(ids: Column) -> Column:
-        """Ranks all neighbouring pairs, each with its place below the rank, and merges the least one if any merges."""
+        """Ranks all neighbouring pairs, each with its place below the rank, and merges the least one if any merges.
+
+        The left id above the rank is taken off by its own bits: an entry of another left id stays above ``none``.
+        """
         def ranked(right: Column, i: Column) -> Column:
             left = F.get(ids, i - 1)
             entry = F.get(slots, F.get(offsets, left) + right)
-            return F.when(F.shiftright(entry, ID_BITS + PLACE_BITS) == left + 1, entry.bitwiseAND(id_mask).bitwiseOR(i))
+            return entry.bitwiseXOR(F.shiftleft((left + 1).cast("bigint"), ID_BITS + PLACE_BITS)).bitwiseOR(i)
 
         def merged(least: Column) -> Column:
             right = least.bitwiseAND((1 << PLACE_BITS) - 1).cast("int")
@@ -174,12 +196,13 @@ def piece_counts(rows: DataFrame) -> DataFrame:
     return written(rows.mapInArrow(run, "token binary, n bigint").groupBy("token").agg(F.sum("n").alias("n")), "piece-counts")
 
 
-def dictionary(counts: DataFrame, path: str, most: int) -> str:
+def dictionary(counts: DataFrame, table: DataFrame, most: int) -> str:
     """A folder of frequent pieces in order of their 64-bit hash, with the ids that the fold gives. Python workers read it
     themselves, each once, so it never passes the driver."""
     spark = counts.sparkSession
     folder, parts = work_folder(spark, "pieces"), 4 * spark.sparkContext.defaultParallelism
-    folded = frequent(counts, most).select("token").repartition(parts).select("token", fold(F.col("token"), path).alias("ids"), F.xxhash64("token").alias("h"))
+    dealt = frequent(counts, most).select("token").repartition(parts).select("token", F.xxhash64("token").alias("h"))
+    folded = with_ranks(dealt, table, "ids", lambda *ranks: _folded(F.col("token"), *ranks))
     written(folded, "piece-ids").repartitionByRange("h").sortWithinPartitions("h", "token").write.parquet(folder)
     return folder
 
@@ -243,7 +266,8 @@ def encode(docs: DataFrame, path: str, pattern: str, most: int = DICTIONARY, tex
     cut = docs.withColumn("_pieces", pieces(F.col(text), pattern))
     if not keep_text:
         docs, cut = docs.drop(text), cut.drop(text)
-    folder = dictionary(piece_counts(cut.select("_pieces")), path, most)
+    table = rank_table(docs.sparkSession, path)
+    folder = dictionary(piece_counts(cut.select("_pieces")), table, most)
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         dealt, hashes = _pieces_of(folder)
@@ -290,9 +314,9 @@ def encode(docs: DataFrame, path: str, pattern: str, most: int = DICTIONARY, tex
             more = {"ids": lists} | ({"decoded": joined_pieces(lists, path)} if decoded else {})
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in own], *more.values()], names=[*own, *more])
 
-    folded = F.transform("_rare", lambda w: F.when(F.octet_length(w) <= LONG, fold(w, path)))
     numbered = cut.mapInArrow(number, with_fields(docs, _codes=T.BinaryType(), _rare=T.ArrayType(T.BinaryType())))
-    return numbered.withColumn("_rare_ids", folded).mapInArrow(
+    folded = with_ranks(numbered, table, "_rare_ids", lambda *ranks: F.transform("_rare", lambda w: F.when(F.octet_length(w) <= LONG, _folded(w, *ranks))))
+    return folded.mapInArrow(
         assemble, with_fields(docs, ids=T.ArrayType(T.IntegerType()), **({"decoded": T.BinaryType()} if decoded else {})))
 
 

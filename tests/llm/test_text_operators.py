@@ -120,6 +120,14 @@ def test_fold_and_heap_agree_on_every_byte(spark, tiktoken_encoding):
         assert list(r.ids) == want == bpe.merged_long(bytes(r.w), RANKS)
 
 
+def test_bpe_plans_do_not_hold_the_rank_map(spark):
+    """Neither as text that the driver keeps nor as a column that rows carry."""
+    got = bpe.encode(table(spark, awkward()), RANKS, public_tokenizers.PATTERN, keep_text=False)
+    plans = got._jdf.queryExecution()
+    assert len(plans.toString()) < 100_000
+    assert "_ranks" not in plans.sparkPlan().toString()
+
+
 def test_token_files_equal_the_library(spark):
     from tokenizers import Tokenizer
 
