@@ -170,3 +170,31 @@ def test_small_tables(spark, tmp_path):
     pairs = spark.createDataFrame([("a", "b", 3), ("b", "a", 5), ("a", "a", 3)], S.PAIR_SCHEMA)
     S.write_pair_counts(pairs, str(tmp_path / "pairs"))
     assert {tuple(r) for r in S.read_pair_counts(spark, str(tmp_path / "pairs")).collect()} == {("a", "b", 3), ("b", "a", 5), ("a", "a", 3)}
+
+
+def test_long_arrays_are_checked_without_a_step_per_item(spark):
+    """No lambda over durations in the plan; other arrays than those of small ints give what the variant gives."""
+    long = [2, 4, *[x for k in range(150_000) for x in (5 + k % 55, 4)], 3]
+    whole = record(1) | {"phoneme_ids": long, "durations": [1] * len(long)}
+    lines = [whole, whole | {"phoneme_ids": long[:-2] + [5, 3]}, whole | {"durations": [1] * (len(long) - 1) + [-1]}, whole | {"phoneme_ids": "[2,4,3]", "durations": None},
+             record(2, phoneme_ids=[2, 4, 1 << 31, 4, 3]), record(2, phoneme_ids=[2, None, 3], durations=[1, None, 1]), record(2, durations=[1 << 70])]
+    got = parse(spark, [json.dumps(x) for x in lines])
+    assert [got[k]["problems"] for k in range(len(lines))] == [
+        [], ["phoneme_ids"], ["durations"], ["phoneme_ids"], ["phoneme_ids", "durations"], ["phoneme_ids", "durations"], ["durations"]]
+    assert got[0]["phoneme_ids"] == long and got[3]["phoneme_ids"] is None and got[4]["phoneme_ids"] == [2, 4, None, 4, 3]
+    assert got[5]["phoneme_ids"] == [2, None, 3] and got[5]["durations"] == [1, None, 1] and got[6]["durations"] is None
+    plan = R.parse_records(spark.createDataFrame([("{}",)], "value string"), VOCAB)._jdf.queryExecution().optimizedPlan().toString()
+    assert "exists(" not in plan and "aggregate(" not in plan
+
+
+@pytest.mark.parametrize("ids, bad", [([2, 4, 9, 4, 3], False), ([2, 4, 60, 4, 3], True), ([2, 4, None, 4, 3], None), ([2, None, 9, 4, 3], None),
+                                      ([2, None, 9, 5, 3], True), ([2, 4, None, -1, 3], True), ([], True), (None, None), ([None] * 3, None)])
+def test_layout_with_unknown_items(spark, ids, bad):
+    assert spark.createDataFrame([(ids,)], "ids array<int>").select(R.bad_layout(F.col("ids"), VOCAB)).first()[0] is bad
+
+
+@pytest.mark.parametrize("durations, bad", [([1, 0, 2], False), ([0, 0, 0], True), ([3, -3, 0], True), ([0, None, 0], None), ([1, None, -1], True),
+                                            ([None] * 3, None), ([1, None], True), ([], True), (None, False)])
+def test_durations_with_unknown_items(spark, durations, bad):
+    row = spark.createDataFrame([([2, 4, 3], durations)], "ids array<int>, d array<int>")
+    assert row.select(R.bad_durations(F.col("d"), F.col("ids"))).first()[0] is bad
