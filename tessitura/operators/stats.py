@@ -15,6 +15,7 @@ from .ordering import exact_quantiles, grouped_scan, top_rows, value_counts
 EXTREME_FRACTION = 0.15
 FANOUT = 256  # children of a node of the tree that bootstrap counts are dealt down
 BROADCAST_ROWS = 100_000  # a strengths table up to this many rows is sent to every task
+LINK_ROWS = 200_000  # games that a task of a round of strengths reads
 
 
 def join_verdicts(verdicts: DataFrame, scores: DataFrame, keys: Sequence[str], strict: bool = True) -> DataFrame:
@@ -201,27 +202,29 @@ def preference_strengths(answers: DataFrame, iterations: int = 200, tolerance: f
     """Log strengths from pairwise answers (a, b, answer in A/B/tie), by the fixed-point update with a 0.1 prior.
 
     Wins and games are aggregated once. The update keeps ratios when all strengths are scaled, so the geometric mean
-    is taken out once at the end instead of in every round. Each round joins the current strengths to the games table
-    and is checkpointed, so plans and lineage stay short; a positive ``tolerance`` stops once no ratio of strengths moves more.
+    is taken out once at the end instead of in every round. A round is one pass over the kept games table, cut into a task
+    per ``LINK_ROWS`` links (rounds are many and short, so tasks without rows would cost most), and one checkpoint, so plans
+    and lineage stay short; a positive ``tolerance`` stops once no ratio of strengths moves more.
     """
     ensure_checkpoint_dir(answers.sparkSession)
     score = F.when(F.col("answer") == "A", 1.0).when(F.col("answer") == "B", 0.0).otherwise(0.5)
     sides = answers.select(F.inline(F.array(
         F.struct(F.col("a").alias("key"), F.col("b").alias("other"), score.alias("won")),
         F.struct(F.col("b").alias("key"), F.col("a").alias("other"), (1.0 - score).alias("won")))))
-    games = sides.groupBy("key", "other").agg(F.count(F.lit(1)).alias("games"), F.sum("won").alias("won")).checkpoint()
-    state = games.groupBy("key").agg(
-        F.sum("won").alias("wins"), F.sum("games").alias("played"), F.lit(1.0).alias("was"), F.lit(1.0).alias("s")).checkpoint()
+    games = written(sides.groupBy("key", "other").agg(F.count(F.lit(1)).alias("games"), F.sum("won").alias("won")), "games")
+    tasks = games.count() // LINK_ROWS + 1
+    totals = games.groupBy("key").agg(F.sum("won").alias("wins"), F.sum("games").alias("played"))
+    state = totals.withColumn("s", F.lit(1.0)).coalesce(tasks).checkpoint()
     small = state.count() <= BROADCAST_ROWS
-    links = games.select("key", "other", "games").repartition("key").persist(StorageLevel.MEMORY_AND_DISK)
+    links = games.select("key", "other", "games").join(totals, "key").repartition(tasks, "key").persist(StorageLevel.MEMORY_AND_DISK)
     sent = F.broadcast if small else (lambda df: df)  # size known; larger tables are shuffled
     for step in range(1, iterations + 1):
-        opponent = state.select(F.col("key").alias("other"), F.col("s").alias("so"))
-        load = links.join(sent(opponent), "other").join(sent(state.drop("was")), "key").groupBy("key", "wins", "played", "s").agg(
+        now = state.select("key", "s")  # both sides read the same columns, so one copy is sent for both
+        load = links.join(sent(now.toDF("other", "so")), "other").join(sent(now), "key").groupBy("key", "wins", "played", "s").agg(
             F.sum(F.col("games") / (F.col("s") + F.col("so"))).alias("load"))
         moved = load.select("key", "wins", "played", F.col("s").alias("was"), (
             (F.col("wins") + 0.1) / (F.col("load") + F.lit(0.2) / F.col("s"))).alias("s")).persist(StorageLevel.MEMORY_AND_DISK)
-        state = moved.checkpoint()
+        state = moved.checkpoint()  # of kept rows, as a checkpoint alone would hand down what is known of every earlier round
         moved.unpersist()
         change = F.ln("s") - F.ln("was")
         if tolerance and step % 10 == 0 and state.agg(F.max(change) - F.min(change)).first()[0] < tolerance:
