@@ -14,6 +14,7 @@ import struct
 import zlib
 from collections.abc import Iterator
 from functools import reduce
+from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..session import work_folder, written
 from .common import need, shared_file, small_batches
-from .pieces import added_tokens, coded, gathered, library_cache, pieces, sliced
+from .pieces import added_tokens, coded, gathered, gathered_batches, library_cache, pieces
 
 MAGIC, HEAD = b"RPG1", struct.Struct("<4s5Q")
 #: Ids after which a shard is closed, rounds, pairs replaced per round, and occurrences below which a pair is left.
@@ -54,7 +55,7 @@ def choose(pairs: np.ndarray, counts: np.ndarray, most: int) -> np.ndarray:
 def compress(ids: np.ndarray, sizes: np.ndarray, first: int, rounds: int = ROUNDS, most: int = PAIRS, least: int = LEAST) -> Grammar:
     """Re-Pair of documents that follow each other (``sizes`` ids each); nonterminals are numbered from ``first``."""
     symbols = ids.astype(np.int64)
-    owner = np.repeat(np.arange(len(sizes)), sizes)
+    owner = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
     rules: list[np.ndarray] = []
     number = first
     for _ in range(rounds):
@@ -62,7 +63,9 @@ def compress(ids: np.ndarray, sizes: np.ndarray, first: int, rounds: int = ROUND
             break
         inside = owner[1:] == owner[:-1]
         narrow = number <= 1 << 16  # then a pair of symbols fits 32 bits, which sort faster
-        sorting = np.sort((symbols[:-1] << 16 | symbols[1:]).astype(np.uint32)[inside] if narrow else (symbols[:-1] << 32 | symbols[1:])[inside])
+        short = symbols.astype(np.uint32) if narrow else symbols
+        sorting = (short[:-1] << (16 if narrow else 32) | short[1:])[inside]
+        sorting.sort()
         if not len(sorting):
             break
         edge = np.concatenate(([0], np.nonzero(sorting[1:] != sorting[:-1])[0] + 1, [len(sorting)]))
@@ -83,7 +86,7 @@ def compress(ids: np.ndarray, sizes: np.ndarray, first: int, rounds: int = ROUND
         row[lefts], column[rights] = np.arange(1, len(lefts) + 1), np.arange(1, len(rights) + 1)
         rule = np.full((len(lefts) + 1) * (len(rights) + 1), -1, np.int32)
         rule[row[taken >> 32] * (len(rights) + 1) + column[taken & 0xFFFFFFFF]] = np.arange(len(taken))
-        maybe = np.nonzero((row[symbols[:-1]] > 0) & (column[symbols[1:]] > 0) & inside)[0]
+        maybe = np.nonzero((row > 0).take(symbols[:-1]) & (column > 0).take(symbols[1:]) & inside)[0]
         at = rule[row[symbols[maybe]] * (len(rights) + 1) + column[symbols[maybe + 1]]]
         hit, at = maybe[at >= 0], at[at >= 0]
         symbols[hit] = number + at
@@ -105,24 +108,13 @@ def expansion_lengths(rules: np.ndarray, first: int) -> np.ndarray:
 
 
 def expand(symbols: np.ndarray, rules: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of the symbols, and the end of each symbol's ids; every pass opens the outermost rules."""
+    """Ids of the symbols, and the end of each symbol's ids: every symbol, an id or a rule, stands for a run of ids."""
     runs: list[list[int]] = []
     for a, b in rules.tolist():
         runs.append((runs[a - first] if a >= first else [a]) + (runs[b - first] if b >= first else [b]))
-    lengths = np.fromiter(map(len, runs), np.int64, len(runs))
-    flat = np.concatenate([np.fromiter(r, np.int64, len(r)) for r in runs]) if runs else np.empty(0, np.int64)
-    nonterminal = symbols >= first
-    number = np.where(nonterminal, symbols - first, 0)
-    size = np.where(nonterminal, lengths[number] if len(runs) else 0, 1)
-    ends = np.cumsum(size)
-    ids = np.empty(int(ends[-1]) if len(ends) else 0, np.int64)
-    ids[(ends - size)[~nonterminal]] = symbols[~nonterminal]
-    if nonterminal.any():
-        starts = np.cumsum(lengths) - lengths
-        opened, _ = gathered(flat, starts, lengths, number[nonterminal])
-        places, _ = gathered(np.arange(len(ids)), ends - size, size, np.nonzero(nonterminal)[0])
-        ids[places] = opened
-    return ids, ends
+    lengths = np.concatenate((np.ones(first, np.int64), np.fromiter(map(len, runs), np.int64, len(runs))))
+    flat = np.concatenate((np.arange(first), np.fromiter(chain.from_iterable(runs), np.int64)))
+    return gathered(flat, np.cumsum(lengths) - lengths, lengths, symbols)
 
 
 def packed(keys: list[int | None], sizes: np.ndarray, grammar: Grammar) -> Iterator[bytes]:
@@ -215,7 +207,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, pattern: str, voc
             keys, sizes, held, size, number = [], [], [], 0, number + 1
             return pa.RecordBatch.from_pylist([row], schema=MANIFEST)
 
-        for some in sliced(batches):
+        for some in gathered_batches(batches):
             distinct, occurrence, bounds = coded(some.column("pieces"))
             ids, ends = gathered(*cache.ids(distinct.to_pylist()), occurrence)
             stops = np.concatenate(([0], ends))[bounds]

@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import re
 
@@ -181,6 +182,52 @@ def test_grammar_gives_back_any_span(tmp_path, first):
         assert [k for k, _ in shard.documents()] == [1, None, 3, 4, 5, 6]
 
 
+def test_library_takes_many_pieces_a_call(monkeypatch):
+    """Pieces in groups get the ids that each gets alone, also with the mark, an added token or letters of any script in them."""
+    import tokenizers
+    from tessitura.llm import pieces as P
+
+    path, calls = public_tokenizers.path("byte_bpe_50k.json"), []
+    real = tokenizers.Tokenizer
+    plain = real.from_file(path)
+
+    class Counted:
+        def __init__(self, inner):
+            object.__setattr__(self, "inner", inner)
+
+        def __getattr__(self, name):
+            return getattr(self.inner, name)
+
+        def __setattr__(self, name, value):
+            setattr(self.inner, name, value)
+
+        def encode_batch_fast(self, texts, **options):
+            calls.append(len(texts))
+            return self.inner.encode_batch_fast(texts, **options)
+
+    class Files:
+        from_file = staticmethod(lambda path: Counted(real.from_file(path)))
+
+    words = [f" {x}{i}" for i in range(150) for x in ("word", "Straße", "слово", "漢字", "\u0378 x", "a b\n\n c ")]
+    texts = ["", P.MARK, f"a{P.MARK}b", "<|endoftext|>", "a<|endoftext|> b", "<|", "endoftext", "|>", "'s", "\n", "\r\n\t", "\x1c", "\0", "\u2028 ", *words, "", " "]
+    monkeypatch.setattr(tokenizers, "Tokenizer", Files)
+    got = P.library_encode(path)(texts)
+    assert [np.frombuffer(x, "<u4").tolist() for x in got] == [plain.encode(x, add_special_tokens=False).ids for x in texts]
+    assert sum(calls) < len(texts) / 10
+    assert P.library_encode(path)([]) == []
+
+
+def test_batches_are_joined_whole():
+    from tessitura.llm import pieces as P
+
+    rows = [[f"p{i}"] * (i % 4) for i in range(3000)]
+    batches = [pa.RecordBatch.from_pydict({"pieces": pa.array(rows[k:k + 50], pa.list_(pa.string()))}) for k in range(0, 3000, 50)]
+    for least in (1, 5000, 1 << 30):
+        joined = list(P.gathered_batches(iter(batches), least))
+        assert [r for b in joined for r in b.column("pieces").to_pylist()] == rows and all(b.nbytes >= least for b in joined[:-1])
+    assert len(joined) == 1 and not list(P.gathered_batches(iter([])))
+
+
 def test_grammar_of_nothing():
     grammar = repair.compress(np.empty(0, np.int64), np.empty(0, np.int64), 10)
     assert len(grammar.symbols) == 0 and hashlib.sha256(b"".join(repair.packed([], np.empty(0, np.int64), grammar)))
