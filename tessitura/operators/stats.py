@@ -219,7 +219,7 @@ def preference_strengths(answers: DataFrame, iterations: int = 200, tolerance: f
     links = games.select("key", "other", "games").join(totals, "key").repartition(tasks, "key").persist(StorageLevel.MEMORY_AND_DISK)
     sent = F.broadcast if small else (lambda df: df)  # size known; larger tables are shuffled
     for step in range(1, iterations + 1):
-        now = state.select("key", "s")  # both sides read the same columns, so one copy is sent for both
+        now = state.select("key", "s")
         load = links.join(sent(now.toDF("other", "so")), "other").join(sent(now), "key").groupBy("key", "wins", "played", "s").agg(
             F.sum(F.col("games") / (F.col("s") + F.col("so"))).alias("load"))
         moved = load.select("key", "wins", "played", F.col("s").alias("was"), (
