@@ -2,6 +2,7 @@
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -135,6 +136,50 @@ def test_whole_rounds_equal_a_plain_loop(spark, core, share, cycles):
     assert sorted(map(tuple, got)) == sorted(want)
 
 
+@pytest.mark.parametrize("share,most", [(1, 1), (2, 1), (4, 10**9)])
+def test_speakers_in_turns_equal_all_at_once(spark, monkeypatch, share, most):
+    monkeypatch.setattr(L, "ROUND_SHARE", share)
+    monkeypatch.setattr(L, "ROUND_ROWS", most)
+    lines = [("nl", i + 1, f"nl line {i}", i) for i in range(61)] + [("fi", i + 1, f"fi line {i}", 100 + i) for i in range(9)]
+    sentences = spark.createDataFrame(lines, "espeak string, rank int, text string, line bigint").repartition(3)
+    who = spark.createDataFrame([(f"p{k}", "nl" if k % 3 else "fi") for k in range(11)] + [("p1", "nl"), (None, "fi")], "key string, espeak string")
+    calls, text = [], {x[3]: x[2] for x in lines}
+
+    def each(rows):
+        calls.append(rows.columns)
+        return rows.select("key", "position", "render", "line")
+
+    got = L.utterance_order(who, sentences, 5, 3, 0.3, cycles=2, columns=("line",), each=each).collect()
+    want = L.utterance_order(who, sentences, 5, 3, 0.3, cycles=2).select("key", "position", "render", "text").collect()
+    assert len(calls) == {1: 8, 2: 4, 4: 1}[share] and all("text" not in c for c in calls)
+    place = lambda x: (x[0] or "", *x[1:])
+    assert sorted(((r["key"], r["position"], r["render"], text[r["line"]]) for r in got), key=place) == sorted(map(tuple, want), key=place)
+
+
+@pytest.mark.parametrize("share", [0.0, 0.2, 0.5, 1.0 - 2.0**-53, 1.0, 1.5])
+def test_hex_bound_is_the_unit_hash_bound(share):
+    bound = L._hex_below(share)
+    near = [int(bound, 16) + d for d in (-2049, -1024, -1, 0, 1, 1024)] if bound != "g" else []
+    for v in [0, 1, 2**63, 2**64 - 1025, 2**64 - 1, *near]:
+        if 0 <= v < 2**64:
+            assert (f"{v:016x}" < bound) == (float(v) / 2**64 < share)
+
+
+def test_written_tables_leave_no_shuffle_files(spark):
+    from tessitura.session import DROP_SHUFFLES, written
+
+    disk = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager()
+    shuffled = lambda: {f for f in disk.getAllFiles().mkString("|").split("|") if "/shuffle_" in f}
+    before, setting = shuffled(), spark.conf.get(DROP_SHUFFLES, None)
+    table = written(spark.range(5000).groupBy((F.col("id") % 77).alias("k")).agg(F.sum("id").alias("s")), "sums")
+    for _ in range(50):
+        if not shuffled() - before:
+            break
+        time.sleep(0.1)
+    assert not shuffled() - before
+    assert table.count() == 77 and spark.conf.get(DROP_SHUFFLES, None) == setting
+
+
 def test_sentences_are_classified_and_tokenized_once(spark, tmp_path):
     """Reject counts and both parts of parseable rows take one run over their input, counted by an accumulator."""
     from tessitura.operators import selection as S
