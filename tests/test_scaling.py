@@ -156,6 +156,23 @@ def test_speakers_in_turns_equal_all_at_once(spark, monkeypatch, share, most):
     assert sorted(((r["key"], r["position"], r["render"], text[r["line"]]) for r in got), key=place) == sorted(map(tuple, want), key=place)
 
 
+def test_parts_of_speakers_in_turns(spark, monkeypatch, tmp_path):
+    from tessitura.queries.planning import w4_parts
+
+    words = ["river", "stone", "green", "paper", "quiet", "lamp", "door", "seven"]
+    rng = random.Random(4)
+    docs = [(k, ". ".join(" ".join(rng.choices(words, k=6)) for _ in range(7)), rng.choice(["en", "fr"]), f"src{k % 5}", 200) for k in range(40)]
+    spark.createDataFrame(docs, "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(f"{tmp_path}/documents.parquet")
+    whole = sorted(map(tuple, w4_parts(spark, str(tmp_path)).collect()))
+    monkeypatch.setattr(L, "ROUND_ROWS", 1)
+    monkeypatch.setattr(L, "ROUND_SHARE", 1)
+    asked, before = [], L._rounds_of
+    monkeypatch.setattr(L, "_rounds_of", lambda who, *rest: asked.append(who.count()) or before(who, *rest))
+    assert sorted(map(tuple, w4_parts(spark, str(tmp_path)).collect())) == whole
+    assert len(asked) > 3 and sum(asked) == len({(d[3], d[2]) for d in docs})
+    assert {(r[0], r[1]) for r in whole} == {(f"{d[3]}.{d[2]}", p) for d in docs for p in range(3)} and all(r[4] for r in whole)
+
+
 @pytest.mark.parametrize("share", [0.0, 0.2, 0.5, 1.0 - 2.0**-53, 1.0, 1.5])
 def test_hex_bound_is_the_unit_hash_bound(share):
     bound = L._hex_below(share)
