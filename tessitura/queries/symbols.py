@@ -250,7 +250,7 @@ def c11_symbol_classes(spark, sf):
     SELECT teacher, count(*) AS records, count_if(changed) AS differing, array_to_string((list(id ORDER BY id) FILTER (changed))[1:3], ' ') AS first_ids FROM r GROUP BY teacher""")
 def v6_compare_ids(spark, sf):
     fresh = written(tokenized(spark, sf).select(
-        F.concat_ws("-", "doc_id", "pos").alias("id"), F.col("lang").alias("teacher"), "pos", "phoneme_ids"), "fresh-ids")
+        F.concat_ws("-", "doc_id", "pos").alias("id"), F.col("lang").alias("teacher"), "pos", "phoneme_ids"), "fresh-ids", "zstd")
     stored = fresh.withColumn("phoneme_ids", F.when(F.col("pos") % 10 == 0, F.reverse("phoneme_ids")).otherwise(F.col("phoneme_ids")))
     return R.compare_ids(stored, fresh)
 

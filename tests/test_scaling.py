@@ -197,6 +197,26 @@ def test_written_tables_leave_no_shuffle_files(spark):
     assert table.count() == 77 and spark.conf.get(DROP_SHUFFLES, None) == setting
 
 
+def test_ids_are_compared_in_one_pass(spark):
+    from tessitura.operators import records as R
+
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("array<int>")
+    def counted(x):
+        seen.add(1)
+        return x
+
+    old = [("a", "t", [1, 2]), ("b", "t", [1, None, 2]), ("c", "t", [12]), ("d", "t", None), ("e", "u", []), ("f", "u", None), ("g", "u", [3]), (None, "u", [4]), ("h", None, [5]),
+           ("i", "t", [7]), ("i", "t", [8])]
+    new = [("a", [1, 2]), ("b", [1, 2]), ("c", [1, 2]), ("d", None), ("e", None), ("f", []), ("g", [3]), ("i", [7]), ("i", [9]), ("j", [1])]
+    records = spark.createDataFrame(old, "id string, teacher string, phoneme_ids array<int>").withColumn("phoneme_ids", counted.asNondeterministic()("phoneme_ids"))
+    fresh = spark.createDataFrame(new, "id string, phoneme_ids array<int>")
+    got = {r["teacher"]: (r["records"], r["differing"], r["first_ids"]) for r in R.compare_ids(records, fresh).collect()}
+    assert got == {"t": (8, 5, "b c i"), "u": (4, 3, "e f"), None: (1, 1, None)}
+    assert seen.value == len(old)
+
+
 def test_sentences_are_classified_and_tokenized_once(spark, tmp_path):
     """Reject counts and both parts of parseable rows take one run over their input, counted by an accumulator."""
     from tessitura.operators import selection as S
