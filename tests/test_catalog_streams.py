@@ -1,3 +1,4 @@
+import gzip
 import json
 import random
 
@@ -121,6 +122,23 @@ def test_manifest_stream_equals_batch(spark, tmp_path):
     assert spark.read.parquet(out + "/bad").count() == rejected.count() == 3
 
 
+def test_manifest_backlog_is_taken_in_bounded_batches(spark, tmp_path):
+    good = {"audio": "a.flac", "language": "es", "espeak": "es", "speaker": "s", "condition": "clean", "phoneme_ids": [1, 0, 9, 0, 2], "durations": [1, 2, 3, 4, 5],
+            "text": "", "teacher": "t", "weight": 1.5}
+    source, out = tmp_path / "in", str(tmp_path / "out")
+    source.mkdir()
+    for n in range(3):
+        lines = [json.dumps(good | {"id": f"{n}-{i}", **({"phoneme_ids": [7]} if i == 1 else {})}) for i in range(3)] + ["{", "  "]
+        (source / f"m{n}.jsonl.gz").write_bytes(gzip.compress("\n".join(lines).encode()))
+    I.ingest_manifests(spark, str(source), VOCAB, out + "/valid", out + "/bad", out + "/state", batch_bytes=1).awaitTermination()
+    valid, bad = spark.read.parquet(out + "/valid"), spark.read.parquet(out + "/bad")
+    assert sorted(p.name for p in (tmp_path / "out" / "valid").iterdir()) == ["batch=0", "batch=1", "batch=2"]
+    assert sorted(tuple(r) for r in valid.select("id", "phoneme_ids", "durations", "batch").collect()) == sorted(
+        (f"{n}-{i}", [1, 0, 9, 0, 2], [1, 2, 3, 4, 5], next(r["batch"] for r in valid.collect() if r["id"] == f"{n}-0")) for n in range(3) for i in (0, 2))
+    assert sorted((r["value"][:1], len(r["value"]) > 1, r["problems"]) for r in bad.collect()) == sorted(
+        [("{", False, ["json"])] * 3 + [("{", True, ["phoneme_ids", "durations"])] * 3)
+
+
 def test_step_windows_over_micro_batches(spark, tmp_path):
     """Windows of 7 steps of three runs whose steps land in five files, against a plain loop; the rest waits."""
     rng = random.Random(6)
