@@ -6,6 +6,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.hashing import hash_bucket, hex_hash, unit_hash
+from ..session import written
 from .checks import require_empty
 from .ordering import first_after, grouped_scan
 
@@ -70,7 +71,9 @@ def draw_items(items: DataFrame, slots: DataFrame, o: EpochOptions) -> DataFrame
     draws = slots.select("batch", "slot", "lang", F.explode(F.sequence(F.lit(0), size - 1)).alias("j"))
     micro = F.round(F.col("weight") * MICRO).cast("bigint")
     weighted = items.select("id", "lang", "length", micro.alias("_w")).withColumn("_digest", hex_hash(o.seed, "item", F.col("id")))
-    run = grouped_scan(weighted, ["lang"], [F.col("_digest"), F.col("id")], hash_bucket(F.col("_digest")), rank="item", sums={"value": F.col("_w")})
+    # Read three times below: once for all, or every plan that uses the draws would hold the whole scan as often.
+    run = written(grouped_scan(weighted, ["lang"], [F.col("_digest"), F.col("id")], hash_bucket(F.col("_digest")), rank="item", sums={"value": F.col("_w")}).select(
+        "lang", "value", "item", "id", "length"), "weights")
     totals = weighted.groupBy("lang").agg(F.sum("_w").alias("_total"))
     u = unit_hash(o.seed, o.epoch, "item", F.col("batch"), F.col("slot"), F.col("j"))
     targets = draws.join(totals, "lang").select(
@@ -98,7 +101,7 @@ def plan_epoch(items: DataFrame, o: EpochOptions) -> DataFrame:
     if not 1 <= o.languages_per_batch <= o.batch_size:
         raise ValueError(f"languages_per_batch {o.languages_per_batch} must be within 1..{o.batch_size}")
     slots = chosen_languages(language_mass(items), o)
-    dealt = deal_by_length(draw_items(items, slots, o), o)
+    dealt = deal_by_length(written(draw_items(items, slots, o), "drawn"), o)
     batches = items.sparkSession.range(o.batches).select(F.col("id").alias("batch")).withColumn(
         "_digest", hex_hash(o.seed, o.epoch, "order", F.col("batch")))
     order = grouped_scan(batches, [], [F.col("_digest")], hash_bucket(F.col("_digest")), rank="_n").select(

@@ -217,6 +217,25 @@ def test_ids_are_compared_in_one_pass(spark):
     assert seen.value == len(old)
 
 
+def test_epoch_reads_its_items_once_and_keeps_its_plan_short(spark):
+    from tessitura.operators import sampling as P
+
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("bigint")
+    def counted(x):
+        seen.add(1)
+        return x
+
+    rows = [(k, "abcd"[k % 4], 1.0, 2.0, 10 * k) for k in range(400)]
+    items = spark.createDataFrame(rows, "id bigint, lang string, weight double, seconds double, length bigint").withColumn("length", counted.asNondeterministic()("length"))
+    epoch = P.plan_epoch(items, P.EpochOptions(8, 12, 4, 3, 1))
+    got = epoch.collect()
+    assert len(got) == 12 * 8 and all(r["length"] == 10 * r["id"] and r["lang"] == "abcd"[r["id"] % 4] for r in got)
+    assert seen.value == len(rows)
+    assert plan(epoch).count("Exchange") < 40
+
+
 def test_sentences_are_classified_and_tokenized_once(spark, tmp_path):
     """Reject counts and both parts of parseable rows take one run over their input, counted by an accumulator."""
     from tessitura.operators import selection as S
