@@ -13,7 +13,7 @@ from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Row, functions as F, types as T
 
 from ..functions.arrays import let
 from ..functions.symbols import char_class
@@ -339,7 +339,8 @@ def keys_of(ids: Column, table: TokenTable, without_specials: bool = True) -> Co
     """Table keys of stored IDs; padding, start and end left out; an unknown ID is an error."""
     names = F.array(*[F.lit(k) for k in sorted(table.ids, key=table.ids.get)])
     specials = [table.ids[k] for k in (table.pad, table.bos, table.eos)]
-    inner = F.filter(ids, lambda i: ~i.isin(*specials)) if without_specials else ids
+    # The pad, every second item, is left out first: by a loop in generated code, not by a lambda.
+    inner = F.filter(F.array_remove(ids, specials[0]), lambda i: ~i.isin(*specials[1:])) if without_specials else ids
     return F.transform(inner, lambda i: F.coalesce(F.get(names, i.cast("int")), F.raise_error(F.concat(F.lit("unknown phoneme id "), i.cast("string")))))
 
 
@@ -354,8 +355,9 @@ def _class(chars: str) -> str:
     return f"[{char_class(chars)}]" if chars else "(?!)"
 
 
-def reference_words(keys: Column, table: TokenTable) -> Column:
-    """Struct (words, malformed): words of units (base, sorted marks) from one utterance's table keys.
+def reference_words(keys: Column, table: TokenTable, bases: bool = False) -> Column:
+    """Struct (words, malformed): words of units (base, sorted marks) from one utterance's table keys; with ``bases`` a word is
+    the text of its bases, a character a unit.
 
     Stress, ties, tones and older symbols do not count; blanks and punctuation end a word; a mark without a phone
     before it, or a special token, makes the string malformed.
@@ -364,9 +366,9 @@ def reference_words(keys: Column, table: TokenTable) -> Column:
     counted, special = sorted({*table.phones, *table.marks, *table.boundaries}), [k for k, c in table.classes.items() if c == "special"]
 
     def parsed(keys: Column, heard: Column) -> Column:
-        words = F.filter(F.split(heard, edge), lambda w: w != "")
-        malformed = heard.rlike(f"(?:^|{edge}){mark}") | F.exists(keys, lambda k: k.isin(*special))
-        return let(malformed, lambda bad: F.struct(F.when(~bad, F.transform(words, lambda w: _units(w, phone, mark))).alias("words"), bad.alias("malformed")))
+        words = F.filter(F.split(F.regexp_replace(heard, mark, "") if bases else heard, edge), lambda w: w != "")
+        malformed = heard.rlike(f"(?:^|{edge}){mark}") | (F.arrays_overlap(keys, F.array(*map(F.lit, special))) if special else F.lit(False))
+        return let(malformed, lambda bad: F.struct(F.when(~bad, words if bases else F.transform(words, lambda w: _units(w, phone, mark))).alias("words"), bad.alias("malformed")))
 
     return let(keys, lambda held: let(F.array_join(F.filter(held, lambda k: k.isin(*counted)), ""), lambda heard: parsed(held, heard)))
 
@@ -402,9 +404,15 @@ def word_pairs(words: Column) -> Column:
     return F.flatten(F.filter(F.transform(words, one), lambda p: p.isNotNull()))
 
 
+def _of_bases(rows: DataFrame, words: str) -> bool:
+    return isinstance(rows.select(words).schema[0].dataType.elementType, T.StringType)
+
+
 def pair_counts(rows: DataFrame, words: str) -> DataFrame:
-    """(first, second, count) over all rows."""
-    return rows.select(F.inline(word_pairs(F.col(words)))).groupBy("first", "second").agg(F.count(F.lit(1)).alias("count"))
+    """(first, second, count) over all rows, of words of units or of bases: equal words are counted first and paired once."""
+    forms = rows.select(F.explode(words).alias("_word")).groupBy("_word").agg(F.count(F.lit(1)).alias("_n"))
+    word = F.transform(F.split("_word", ""), lambda u: F.struct(u.alias("base"))) if _of_bases(rows, words) else F.col("_word")
+    return forms.select("_n", F.inline(word_pairs(F.array(word)))).groupBy("first", "second").agg(F.sum("_n").alias("count"))
 
 
 def training_pairs(records: DataFrame, table: TokenTable, ids: str = "phoneme_ids") -> DataFrame:
@@ -415,31 +423,37 @@ def training_pairs(records: DataFrame, table: TokenTable, ids: str = "phoneme_id
 MOST_PAIRS = 20_000
 
 
-def _pair_name(first: Column, second: Column) -> Column:
-    return F.concat(F.char_length(first).cast("string"), F.lit(":"), first, second)
+def _is_known(first: Column, second: Column, known: list[Row]) -> Column:
+    """True if the pair is among ``known``; a first phone of one character and the second name a pair as they stand."""
+    short, long = [r[0] + r[1] for r in known if len(r[0]) == 1], [f"{len(r[0])}:{r[0]}{r[1]}" for r in known if len(r[0]) != 1]
+    among = lambda name, names: name.isin(*names) if names else F.lit(False)
+    n = F.char_length(first)
+    return F.coalesce(F.when(n == 1, among(F.concat(first, second), short)).otherwise(among(F.concat(n.cast("string"), F.lit(":"), first, second), long)), F.lit(False))
 
 
-def _seen(word: Column, known: list[str]) -> Column:
+def _seen(bases: Column, known: list[Row]) -> Column:
     """Per unit of a word whether the pair with the unit before it and the pair with the unit behind it are both known."""
-    n = F.size(word)
-    near = F.zip_with(F.slice(word, F.lit(1), n - 1), F.slice(word, F.lit(2), n - 1), lambda a, b: F.coalesce(
-        _pair_name(a["base"], b["base"]).isin(*known) if known else F.lit(False), F.lit(False)))
+    n = F.size(bases)
+    near = F.zip_with(F.slice(bases, F.lit(1), n - 1), F.slice(bases, F.lit(2), n - 1), lambda a, b: _is_known(a, b, known))
     edge = F.array(F.lit(True))
     whole = let(near, lambda x: F.zip_with(F.concat(edge, x), F.concat(x, edge), lambda a, b: a & b))
     return F.when(n > 1, whole).when(n == 1, edge).otherwise(F.array().cast("array<boolean>"))
 
 
 def unit_pair_status(rows: DataFrame, key: str, words: str, trained: DataFrame) -> DataFrame:
-    """(key, unit, seen): per unit in order whether every within-word pair it belongs to occurs in training.
+    """(key, unit, seen): per unit in order whether every within-word pair it belongs to occurs in training, for words of units or
+    of bases.
 
     Pairs of an alphabet are few, so every row looks its own up, without a shuffle; only beyond ``MOST_PAIRS`` trained pairs each
     unit's pairs are joined with them.
     """
     pairs = written(trained.filter(F.col("count") > 0).select("first", "second").distinct(), "trained-pairs")
+    texts = _of_bases(rows, words)
     if pairs.count() > MOST_PAIRS:
-        return _joined_pair_status(rows, key, words, pairs)
-    known = [r[0] for r in pairs.filter("first IS NOT NULL AND second IS NOT NULL").select(_pair_name(F.col("first"), F.col("second"))).collect()]
-    status = F.flatten(F.transform(words, lambda w: _seen(w, known)))
+        units = F.transform(words, lambda w: F.transform(F.split(w, ""), lambda u: F.struct(u.alias("base")))) if texts else F.col(words)
+        return _joined_pair_status(rows.select(key, units.alias(words)), key, words, pairs)
+    known = pairs.filter("first IS NOT NULL AND second IS NOT NULL").select("first", "second").collect()
+    status = F.flatten(F.transform(words, lambda w: let(F.split(w, "") if texts else F.transform(w, lambda u: u["base"]), lambda x: _seen(x, known))))
     return rows.select(key, F.posexplode(status).alias("unit", "seen")).withColumn("unit", F.col("unit").cast("bigint"))
 
 

@@ -230,11 +230,11 @@ def a11_training_pairs(spark, sf):
     SELECT doc_id, count(*) AS units, count_if(unseen) AS unseen FROM u GROUP BY 1""")
 def j18_pair_status(spark, sf):
     fine = written(tokenized(spark, sf).filter(F.col("tokens.error").isNull()).select(
-        "doc_id", "pos", K.reference_words(K.keys_of(F.col("phoneme_ids"), TABLE), TABLE)["words"].alias("words")), "units")
+        "doc_id", "pos", K.reference_words(K.keys_of(F.col("phoneme_ids"), TABLE), TABLE, bases=True)["words"].alias("words")), "units")
     trained = K.pair_counts(fine.filter("doc_id % 2 = 0"), "words")
-    rows = fine.filter("doc_id % 2 = 1").select(F.concat_ws("-", "doc_id", "pos").alias("key"), "words")
+    rows = fine.filter("doc_id % 2 = 1").select(F.struct("doc_id", "pos").alias("key"), "words")
     status = K.unit_pair_status(rows, "key", "words", trained)
-    return status.groupBy(F.split_part("key", F.lit("-"), F.lit(1)).cast("bigint").alias("doc_id")).agg(
+    return status.groupBy(F.col("key.doc_id").alias("doc_id")).agg(
         F.count(F.lit(1)).alias("units"), F.count_if(~F.col("seen")).alias("unseen"))
 
 

@@ -236,6 +236,26 @@ def test_epoch_reads_its_items_once_and_keeps_its_plan_short(spark):
     assert plan(epoch).count("Exchange") < 40
 
 
+@pytest.mark.parametrize("most", [20_000, 3])
+def test_words_of_bases_give_the_pairs_of_words_of_units(spark, monkeypatch, most):
+    from tessitura.queries.symbols import TABLE
+
+    monkeypatch.setattr(K, "MOST_PAIRS", most)
+    rng = random.Random(8)
+    texts = ["".join(rng.choice("aabbce\u0301\u0327 ß,  ") for _ in range(rng.randint(0, 14))) for _ in range(120)] + ["\u0301a", "a \u0301", "", "a_b", "e\u0301\u0327a"]
+    rows = spark.createDataFrame([(k, list(t)) for k, t in enumerate(texts)], "key int, keys array<string>")
+    words = lambda **how: rows.select("key", K.reference_words(F.col("keys"), TABLE, **how).alias("w")).select("key", "w.*")
+    units, bases = words(), words(bases=True)
+    want = {r["key"]: (r["malformed"], r["words"] and ["".join(u["base"] for u in w) for w in r["words"]]) for r in units.collect()}
+    assert {r["key"]: (r["malformed"], r["words"]) for r in bases.collect()} == want
+    assert sum(m for m, _ in want.values()) > 5 and {"a", "c", "ß", "e"} < set("".join(w for _, ws in want.values() for w in ws or []))
+    pairs = sorted(map(tuple, K.pair_counts(units, "words").collect()))
+    assert sorted(map(tuple, K.pair_counts(bases, "words").collect())) == pairs and len(pairs) > 3
+    trained = spark.createDataFrame(pairs[::2], "first string, second string, count long")
+    status = [sorted(map(tuple, K.unit_pair_status(x.filter("words IS NOT NULL"), "key", "words", trained).collect())) for x in (units, bases)]
+    assert status[0] == status[1] and {s for _, _, s in status[0]} == {True, False}
+
+
 def test_sentences_are_classified_and_tokenized_once(spark, tmp_path):
     """Reject counts and both parts of parseable rows take one run over their input, counted by an accumulator."""
     from tessitura.operators import selection as S
